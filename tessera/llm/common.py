@@ -73,3 +73,20 @@ def text_bytes(column: pa.Array) -> pa.Array:
 
 def null_as_empty(name: str):
     return F.coalesce(F.col(name), F.lit(""))
+
+
+def keep_rows(df: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
+    """The rows of ``df`` whose id is in ``ids``, null matching null; columns as they were."""
+    wanted = ids.select(F.col(id_col).alias("_wanted"))
+    return df.join(wanted, df[id_col].eqNullSafe(wanted["_wanted"]), "left_semi")
+
+
+def filtered_by(df: DataFrame, text_col: str, judge) -> DataFrame:
+    """The rows of ``df`` whose text ``judge`` (batch of texts -> array of booleans; made once a task) keeps; columns as they were, no shuffle."""
+
+    def run(batches):
+        keep = judge()
+        for b in batches:
+            yield b.filter(pa.array(keep(text_bytes(b.column(b.schema.get_field_index(text_col)))), pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)

@@ -7,10 +7,25 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import near_dedup, packing, token_counts
+from tessera.llm import near_dedup, packing, quality, token_counts, toxicity
 from tessera.llm.common import table
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    labels = table(spark, sf_dir, "labels").where(~quality.held_out("doc_id"))
+    model = quality.fit(documents, labels, "doc_id", "text", "quality")
+    scored = quality.score(documents, model, "doc_id", "text")
+    return scored.select("doc_id", quality.held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    labels = table(spark, sf_dir, "labels").where(~quality.held_out("doc_id"))
+    model = toxicity.fit(documents, labels, "doc_id", "text", "toxic")
+    return toxicity.severity(documents, model, "doc_id", "text").withColumn("held_out", quality.held_out("doc_id"))
+
+
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), width=4, percent=80)
 
@@ -26,6 +41,8 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_quality": op1_quality,
+        "op3_toxicity": op3_toxicity,
         "op4_near_dedup": op4_near_dedup,
         "op5_token_counts": op5_token_counts,
         "op9_packing": op9_packing,
