@@ -21,6 +21,8 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """
     spark = edges.sparkSession
     left = written(spark, edges.where(F.col(a) != F.col(b)).select(F.least(a, b).alias("_u"), F.greatest(a, b).alias("_v")).distinct(), "edges")
+    if left.isEmpty():
+        return left.select(F.col("_u").alias("vertex"), F.col("_v").alias("label"))
     labels = None
     while labels is None or not left.isEmpty():
         ends = left.select(F.col("_v").alias("_x"), F.col("_u").alias("_p")).unionAll(left.select(F.col("_u").alias("_x"), F.col("_u").alias("_p")))
