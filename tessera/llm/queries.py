@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import license_scan, near_dedup, nearest, packing, quality, token_counts, toxicity, url_filter
+from tessera.llm import graph_dedup, license_scan, near_dedup, nearest, packing, quality, token_counts, toxicity, url_filter
 from tessera.llm.common import table
 
 
@@ -39,6 +39,10 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
+def op7_graph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph_dedup.near_duplicate_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(table(spark, sf_dir, "documents"))
 
@@ -60,6 +64,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_near_dedup": op4_near_dedup,
         "op5_token_counts": op5_token_counts,
         "op6_url_filter": op6_url_filter,
+        "op7_graph_dedup": op7_graph_dedup,
         "op8_license_scan": op8_license_scan,
         "op9_packing": op9_packing,
         "op10_nearest": op10_nearest,
