@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import graph_dedup, license_scan, near_dedup, nearest, packing, quality, token_counts, toxicity, url_filter
+from tessera.llm import graph_dedup, license_scan, near_dedup, nearest, packing, pieces, quality, token_counts, toxicity, url_filter
 from tessera.llm.common import table
 
 
@@ -19,6 +19,11 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", quality.held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op2_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = pieces.decode(pieces.encode(table(spark, sf_dir, "documents"), keep_text=True))
+    return coded.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), F.xxhash64("ids").alias("ids_hash"), (F.col("decoded") == F.col("text")).alias("round_trip"))
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     labels = table(spark, sf_dir, "labels").where(~quality.held_out("doc_id"))
@@ -60,6 +65,7 @@ def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality": op1_quality,
+        "op2_pieces": op2_pieces,
         "op3_toxicity": op3_toxicity,
         "op4_near_dedup": op4_near_dedup,
         "op5_token_counts": op5_token_counts,
