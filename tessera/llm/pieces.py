@@ -31,6 +31,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql.types import StringType, StructField, StructType
 
 from tessera.llm.common import ship, text_bytes, tokenizer_path
 from tessera.llm.lexicon import Memo, slices
@@ -214,7 +215,7 @@ def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokeni
 def decode(df: DataFrame, ids_col: str = "ids", out: str = "decoded", tokenizer: str = "piece_bpe_32k.model") -> DataFrame:
     """``df`` with the text of its ids as one more column; one pass, no shuffle."""
     ship(df.sparkSession)
-    schema = df.schema.add(out, "string")
+    schema = StructType([*df.schema.fields, StructField(out, StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model(tokenizer_path(tokenizer))
