@@ -93,7 +93,100 @@ SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM r WHERE rank <= 20
 """
 
 
+def _rule_sql(host: str, path: str, what: int) -> str:
+    """The longest fitting rule (``what``: 0 its verdict, 1 its text) as one CASE, longest first."""
+    rules = sorted(url_filter.RULES, key=lambda r: (-len(r[1]) - len(r[2]), r[0] != "allow", r))
+    cases = [f"WHEN ({host} = '{h}' OR ends_with({host}, '.{h}')) AND starts_with({path}, '{p}') THEN '{(v, h + p)[what]}'" for v, h, p in rules]
+    return f"CASE {' '.join(cases)} END"
+
+
+def _host_sql(url: str) -> str:
+    return f"translate(regexp_extract(coalesce({url}, ''), '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+def _key_sql(url: str) -> str:
+    return f"CASE WHEN contains({url}, '://') THEN {_host_sql(url)} || regexp_extract({url}, '(?s)^.*?://[^/?#]*([^#]*)', 1) END"
+
+
+_quoted = lambda x: x.replace("'", "''")
+_PATH = "regexp_extract(coalesce({u}, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1)"
+URL_SQL = f"""
+WITH RECURSIVE links AS (
+  SELECT url, regexp_extract(regexp_extract(html, '{_quoted(url_filter.LINK)}', 0), '{_quoted(url_filter.HREF)}', 1) AS target FROM pages WHERE contains(url, '://')
+  UNION ALL SELECT url, regexp_extract(regexp_extract(html, '{_quoted(url_filter.REFRESH)}', 0), '{_quoted(url_filter.CONTENT)}', 1) FROM pages WHERE contains(url, '://')
+), folders AS (
+  SELECT *, regexp_extract(url, '(?s)^(.*?://[^/?#]*)', 1) AS top, regexp_extract(url, '(?s)^(.*?://[^/?#]*(?:/[^?#]*/|/)?)', 1) AS folder FROM links WHERE target <> ''
+), absolute AS (
+  SELECT url, CASE WHEN regexp_matches(target, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN target WHEN starts_with(target, '//') THEN 'http:' || target WHEN starts_with(target, '/') THEN top || target
+    WHEN starts_with(target, '#') OR regexp_matches(target, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN NULL ELSE CASE WHEN folder = top THEN top || '/' ELSE folder END || target END AS target FROM folders
+), e AS (
+  SELECT {_key_sql('url')} AS a, {_key_sql('target')} AS b FROM absolute WHERE target IS NOT NULL
+), both_ways AS (SELECT a, b FROM e UNION SELECT b, a FROM e), reach AS (
+  SELECT a, a AS b FROM both_ways UNION SELECT r.a, x.b FROM reach r JOIN both_ways x ON r.b = x.a
+), said AS (
+  SELECT a, {_rule_sql(_host_sql("('x://' || b)"), _PATH.format(u="('x://' || b)"), 0)} AS v FROM reach
+), classes AS (
+  SELECT a, CASE WHEN bool_or(v = 'allow') THEN 'allow' WHEN bool_or(v = 'block') THEN 'block' END AS v FROM said GROUP BY a
+), p AS (
+  SELECT page_id, {_host_sql('url')} AS host, {_PATH.format(u='url')} AS path, {_key_sql('url')} AS k FROM pages
+)
+SELECT page_id, host, path, {_rule_sql('host', 'path', 1)} AS rule, coalesce({_rule_sql('host', 'path', 0)}, classes.v, 'allow') AS verdict
+FROM p LEFT JOIN classes ON p.k = classes.a
+"""
+
+
+def _license_sql() -> str:
+    words = ", ".join(f"({t}, {i}, '{w}')" for t, (_, text, _) in enumerate(license_scan.TEMPLATES) for i, w in enumerate(text.split()))
+    names = ", ".join(f"({t}, '{label}', ' {key} ')" for t, (label, _, key) in enumerate(license_scan.TEMPLATES))
+    base = []
+    for phrase, label in license_scan.BASE.items():
+        parts = phrase.split()
+        same = " AND ".join(f"words[i + {k}] = '{p}'" for k, p in enumerate(parts, 1))
+        base.append(f"SELECT rid, '{label}' AS label, unnest(list_filter(range(len(words)), lambda i: {same})) AS pos FROM d")
+    return f"""
+WITH d AS (
+  SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS words FROM documents
+), b AS ({' UNION ALL '.join(base)}), bs AS (
+  SELECT rid, count(*) AS n_base, min(pos) AS first_word, max(pos) AS last_word, list_sort(list_distinct(list(label))) AS base FROM b GROUP BY rid
+), tw(t, i, word) AS (VALUES {words}), tn(t, label, k) AS (VALUES {names}), w AS (
+  SELECT rid, unnest(words) AS word, generate_subscripts(words, 1) - 1 AS pos FROM d
+), f AS (
+  SELECT word, count(DISTINCT rid) AS n FROM w WHERE word IN (SELECT word FROM tw) GROUP BY word
+), idf AS (
+  SELECT v.word, ln(((SELECT count(*) FROM d) + 1) / (coalesce(n, 0) + 1)) + 1e-9 AS weight FROM (SELECT DISTINCT word FROM tw) v LEFT JOIN f ON v.word = f.word
+), ranked AS (
+  SELECT t, i, tw.word, weight, row_number() OVER (PARTITION BY t ORDER BY weight DESC, i) AS place FROM tw JOIN idf ON tw.word = idf.word
+), posting AS (SELECT t, i, word, weight FROM ranked WHERE place <= {license_scan.INDEXED}), total AS (SELECT t, sum(weight) AS every FROM posting GROUP BY t), spaced AS (
+  SELECT rid, ' ' || array_to_string(words, ' ') || ' ' AS s FROM d
+), keyed AS (SELECT rid, t, label FROM spaced, tn WHERE contains(s, k)), placed AS (
+  SELECT w.rid, p.t, w.pos - p.i AS start, sum(p.weight) AS weight, count(DISTINCT p.i) AS agree FROM w JOIN posting p ON w.word = p.word JOIN keyed k ON k.rid = w.rid AND k.t = p.t GROUP BY ALL
+), found AS (
+  SELECT placed.rid, max(least(1.0, round(weight / every, 9))) AS score, list_distinct(list(label)) AS more
+  FROM placed JOIN total USING (t) JOIN keyed ON keyed.rid = placed.rid AND keyed.t = placed.t WHERE agree >= 2 GROUP BY placed.rid
+)
+SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(array_to_string(base, ','), '') AS base_labels,
+  coalesce(array_to_string(list_sort(list_distinct(list_concat(coalesce(base, []), coalesce(more, [])))), ','), '') AS labels, coalesce(score, 0.0)::DOUBLE AS score
+FROM d LEFT JOIN bs ON d.rid = bs.rid LEFT JOIN found ON d.rid = found.rid
+"""
+
+
+#: Counts and components of links by brute force over all pairs of equal labels.
+GRAPH_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), l AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.e, b.e) >= 0.93
+), r AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a), c AS (SELECT a, min(b) AS low FROM r GROUP BY a), n AS (SELECT a, count(*) AS n FROM l GROUP BY a)
+SELECT vec_id, coalesce(n, 0) AS n_links, least(vec_id, coalesce(low, vec_id)) AS component_id, vec_id = least(vec_id, coalesce(low, vec_id)) AS kept
+FROM embeddings LEFT JOIN n ON vec_id = n.a LEFT JOIN c ON vec_id = c.a
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        "op6_url_filter": URL_SQL,
+        "op7_graph_dedup": GRAPH_SQL,
+        "op8_license_scan": _license_sql(),
         "op10_nearest": NEAREST_SQL,
     }
