@@ -61,12 +61,11 @@ def detected_type(header: Column, body: Column) -> tuple[Column, Column]:
 
 
 def formatted_list(s: Column) -> Column:
-    """Lines that all begin with a mark of a list lose it and become an enumeration; other texts stay."""
+    """The lines as an enumeration; if all begin with a mark of a list, the marks go."""
     lines = F.split(s, "\n")
     mark = r"^(\w|\d+)[.)]? "
-    items = F.transform(lines, lambda x: F.concat(F.lit("\\item "), F.regexp_replace(x, mark, "")))
-    listed = F.concat(F.lit("\\begin{enumerate}\n"), F.array_join(items, "\n"), F.lit("\n\\end{enumerate}"))
-    return F.when(F.forall(lines, lambda x: x.rlike(mark)), listed).otherwise(s)
+    bare = F.when(F.forall(lines, lambda x: x.rlike(mark)), F.transform(lines, lambda x: F.regexp_replace(x, mark, ""))).otherwise(lines)
+    return F.concat(F.lit("\\begin{enumerate}\n\\item "), F.array_join(bare, "\n\\item "), F.lit("\n\\end{enumerate}"))
 
 
 def wrapped(s: Column, command: str) -> Column:
@@ -76,15 +75,21 @@ def wrapped(s: Column, command: str) -> Column:
 
 @F.pandas_udf(StringType())
 def lists_to_latex(s: pd.Series) -> pd.Series:
-    """Runs of numbered items become enumerations. The replacement depends on each match, which no SQL function can say."""
-    item = r"\d+\.?\s[^\d\n][^\d]*?"
-    run = re.compile(rf"(?:(?<=\n)|^)({item}(?=\d+\.?\s|\n\s*\n|$))+", re.S)
+    """In each part between blank lines, what follows the first number becomes an enumeration, an item a number; items end at digits.
 
-    def listed(m: re.Match) -> str:
-        found = re.findall(r"\d+\.?\s([^\d]*)", m[0])
-        return "\\begin{enumerate}\n" + "\n".join(f"\\item {x.strip()}" for x in found) + "\n\\end{enumerate}\n"
+    The replacement depends on each match, which no SQL function can say.
+    """
+    mark = re.compile(r"\d+\.?\s")
 
-    return s.map(lambda x: x if x is None else run.sub(listed, x))
+    def listed(part: str) -> str:
+        first = mark.search(part.removesuffix("\n"))
+        if first is None:
+            return part
+        end = "\n" if part.endswith("\n") else ""
+        items = re.findall(r"\d+\.?\s([^\d]+)", part[first.start() : len(part) - len(end)])
+        return "".join([part[: first.start()], "\\begin{enumerate}\n", *(f"\\item {x.strip()}\n" for x in items), "\\end{enumerate}", end])
+
+    return s.map(lambda x: x if x is None else "\n\n".join(map(listed, x.split("\n\n"))))
 
 
 def _tag_changed(part: Column, tag: str, shown: Column, placeholder: str) -> Column:

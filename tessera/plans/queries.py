@@ -500,7 +500,7 @@ def type_detected(spark, d):
     return t(spark, d, "part").select("p_partkey", F.replace(h, F.lit("( "), F.lit("(")).alias("header"), b.alias("body"))
 
 
-@query("list_formatted", "SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN '\\begin{enumerate}' || chr(10) || '\\item ' || p_name || chr(10) || '\\item ' || p_type || chr(10) || '\\end{enumerate}' ELSE '1. ' || p_name || chr(10) || '! ' || p_type END AS text FROM part")
+@query("list_formatted", "SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN '\\begin{enumerate}' || chr(10) || '\\item ' || p_name || chr(10) || '\\item ' || p_type || chr(10) || '\\end{enumerate}' ELSE '\\begin{enumerate}' || chr(10) || '\\item 1. ' || p_name || chr(10) || '\\item ! ' || p_type || chr(10) || '\\end{enumerate}' END AS text FROM part")
 def list_formatted(spark, d):
     x = F.concat(F.lit("1. "), "p_name", F.lit("\n"), F.when(F.col("p_size") % 2 == 0, "b) ").otherwise("! "), "p_type")
     return t(spark, d, "part").select("p_partkey", markup.formatted_list(x).alias("text"))
