@@ -170,6 +170,21 @@ FROM d LEFT JOIN bs ON d.rid = bs.rid LEFT JOIN found ON d.rid = found.rid
 """
 
 
+#: Sets of four-word shingles, all pairs that share one, exact similarity, and the smallest id reachable.
+NEAR_DEDUP_SQL = """
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS words FROM documents
+), s AS (
+  SELECT doc_id, list_distinct(CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 4 THEN [array_to_string(words, ' ')] ELSE list_transform(range(1, len(words) - 2), lambda i: array_to_string(words[i:i + 3], ' ')) END) AS shingles FROM w
+), x AS (SELECT doc_id, len(shingles) AS n, unnest(shingles) AS shingle FROM s), o AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS both_have FROM x a JOIN x b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id GROUP BY 1, 2
+), l AS (SELECT a, b FROM o WHERE 100 * both_have >= 80 * (na + nb - both_have)),
+r AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a), c AS (SELECT a, min(b) AS low FROM r GROUP BY a)
+SELECT doc_id, len(shingles) AS n_shingles, least(doc_id, coalesce(low, doc_id)) AS component_id, doc_id = least(doc_id, coalesce(low, doc_id)) AS kept
+FROM s LEFT JOIN c ON s.doc_id = c.a
+"""
+
+
 #: Counts and components of links by brute force over all pairs of equal labels.
 GRAPH_SQL = """
 WITH RECURSIVE v AS (
@@ -185,6 +200,7 @@ FROM embeddings LEFT JOIN n ON vec_id = n.a LEFT JOIN c ON vec_id = c.a
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op4_near_dedup": NEAR_DEDUP_SQL,
         "op6_url_filter": URL_SQL,
         "op7_graph_dedup": GRAPH_SQL,
         "op8_license_scan": _license_sql(),
