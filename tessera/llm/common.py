@@ -6,11 +6,13 @@ import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
 from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -82,11 +84,15 @@ def keep_rows(df: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
 
 
 def filtered_by(df: DataFrame, text_col: str, judge) -> DataFrame:
-    """The rows of ``df`` whose text ``judge`` (batch of texts -> array of booleans; made once a task) keeps; columns as they were, no shuffle."""
+    """The rows of ``df`` whose text ``judge()`` (a function from a batch of texts to booleans, made once a task) keeps.
 
-    def run(batches):
-        keep = judge()
-        for b in batches:
-            yield b.filter(pa.array(keep(text_bytes(b.column(b.schema.get_field_index(text_col)))), pa.bool_()))
+    Only texts go to Python and only booleans come back; columns stay as they were; no shuffle.
+    """
 
-    return df.mapInArrow(run, df.schema)
+    @F.arrow_udf(BooleanType())
+    def keep(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        good = judge()
+        for texts in batches:
+            yield pa.array(good(text_bytes(texts)), pa.bool_())
+
+    return df.where(keep(F.col(text_col)))

@@ -16,7 +16,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Texts of at most so many bytes are taken at once; a longer text goes alone.
-SLICE_BYTES = 8_000_000
+SLICE_BYTES = 4_000_000
 
 
 def slices(texts: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int, pa.Array]]:
@@ -30,6 +30,7 @@ def slices(texts: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int, pa.A
         stop = max(start + 1, int(np.searchsorted(ends, done + most, side="right")))
         yield start, texts.slice(start, stop - start)
         start = stop
+    pa.default_memory_pool().release_unused()  # workers are kept, and other stages need the memory
 
 
 def split_words(texts: pa.Array, lower: bool = False) -> tuple[list[bytes], np.ndarray, np.ndarray]:

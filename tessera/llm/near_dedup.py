@@ -43,7 +43,9 @@ from tessera.llm.components import components
 from tessera.llm.lexicon import slices, split_words
 
 #: Bands, coordinates in a band, and size of the permuted universe.
-BANDS, ROWS, UNIVERSE = 36, 6, 1 << 22
+BANDS, ROWS, UNIVERSE = 36, 6, 1 << 20
+#: Ids of candidates are broadcast up to so many, 8 bytes each, so that texts need no shuffle.
+BROADCAST_IDS = 500_000
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -91,7 +93,7 @@ def shingle_sets(texts: pa.Array, width: int) -> Iterator[np.ndarray]:
 
 def signature(shingles: np.ndarray) -> np.ndarray:
     sigma, windows = permutations()
-    at = sigma[shingles.view(np.uint64) >> np.uint64(42)]
+    at = sigma[shingles.view(np.uint64) >> np.uint64(44)]
     return np.min([windows[at[i : i + 2048]].min(0) for i in range(0, len(at), 2048)], axis=0)
 
 
@@ -210,6 +212,8 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     fits = lambda x, y: F.least(x, y) * 100 >= F.greatest(x, y) * percent
     first = members.where("id != leader").join(leaders, "h").where(fits(F.col("n"), F.col("leader_n"))).select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct()
     wanted = members.select("id").distinct()
+    if wanted.count() <= BROADCAST_IDS:  # else by shuffle
+        wanted = F.broadcast(wanted)
     texts = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(wanted, "id", "left_semi")
     sets = written(spark, full_sets(texts, "id", "text", width), "sets")
     links = written(spark, similar(first, sets, percent), "links")
