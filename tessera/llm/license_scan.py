@@ -59,20 +59,17 @@ def spaced(phrase: str) -> str:
 
 
 def word_text(text: Column) -> Column:
-    """Each word with a space before and after it; empty without words.
+    """Each word with two spaces before and after it, shared by neighbours; two spaces without words.
 
     Full lower-casing maps no character beyond ASCII to a word of a phrase
     (of its two special cases, the dotted I keeps a mark and K is in none) and
     none to a character that parts words, so it may stand for that of A-Z.
     """
-    parted = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", "  ")
-    trimmed = F.trim(parted)
-    return F.when(trimmed == "", F.lit("")).otherwise(F.concat(F.lit(" "), trimmed, F.lit(" ")))
+    return F.regexp_replace(F.concat(F.lit("-"), F.lower(F.coalesce(text, F.lit(""))), F.lit("-")), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", "  ")
 
 
-def words_in(spaced_text: Column) -> Column:
-    """Words of a text in which each has a space of its own on both sides."""
-    return ((F.octet_length(spaced_text) - F.octet_length(F.replace(spaced_text, F.lit(" "), F.lit("")))) / 2).cast("long")
+def spaces(s: Column) -> Column:
+    return (F.octet_length(s) - F.octet_length(F.replace(s, F.lit(" "), F.lit("")))).cast("long")
 
 
 def places_of(s: Column, phrase: str) -> Column:
@@ -83,7 +80,7 @@ def places_of(s: Column, phrase: str) -> Column:
 def rarity(words: DataFrame) -> dict[str, float]:
     """IDF over all texts of the templates' words; one row a word reaches the driver, so as many as the templates hold."""
     vocabulary = sorted({w for _, t, _ in TEMPLATES for w in t.split()})
-    found = words.select(F.explode(F.array_intersect(F.split("s", " +"), F.array(*map(F.lit, vocabulary)))).alias("w"))
+    found = words.select(F.explode(F.array_intersect(F.split("s", "  "), F.array(*map(F.lit, vocabulary)))).alias("w"))
     often = {r["w"]: r["n"] for r in found.groupBy("w").agg(F.count("*").alias("n")).collect()}
     total = words.count()
     return {w: math.log((total + 1) / (often.get(w, 0) + 1)) + 1e-9 for w in vocabulary}
@@ -92,7 +89,8 @@ def rarity(words: DataFrame) -> dict[str, float]:
 def scan(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_words, n_base, first_word, last_word, base_labels, labels, score) for each row."""
     spark = documents.sparkSession
-    rows = documents.select(F.col(id_col).alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("th"), word_text(F.col(text_col)).alias("s"))
+    columns = F.col(id_col).alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("th"), word_text(F.col(text_col)).alias("s")
+    rows = documents.select(*columns)
     idf = rarity(rows)
     postings, weights = [], {}
     for t, (_, words, _) in enumerate(TEMPLATES):
@@ -101,24 +99,28 @@ def scan(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
         weights[t] = sum(idf[w] for _, w in at)
     index = sorted({p[0] for p in postings})
     keys = F.array_compact(F.array(*[F.when(F.col("s").contains(spaced(k)), F.lit(t)) for t, (_, _, k) in enumerate(TEMPLATES)]))
+    # a key phrase needs its longest word somewhere in the text: one scan rules most texts out
+    needed = "|".join(sorted({max(k.split(), key=len) for _, _, k in TEMPLATES}))
+    likely = documents.where(F.lower(F.col(text_col)).rlike(rf"(?<![a-z0-9])(?:{needed})(?![a-z0-9])")).select(*columns)
     tokens = F.split(F.trim("s"), "  ")
-    hits = rows.select("id", "th", "s", keys.alias("keys")).where(F.size("keys") > 0).select("id", "th", "keys", F.posexplode(tokens).alias("at", "w")).where(F.col("w").isin(index))
-    table = F.broadcast(spark.createDataFrame(postings, "w string, t int, i int, weight double"))  # as many rows as the templates index
+    hits = likely.select("id", "th", "s", keys.alias("keys")).where(F.size("keys") > 0).select("id", "th", "keys", F.posexplode(tokens).alias("at", "w")).where(F.col("w").isin(index))
+    listed = F.array(*[F.struct(F.lit(w).alias("w"), F.lit(t).alias("t"), F.lit(i).alias("i"), F.lit(x).alias("weight")) for w, t, i, x in postings])
+    table = F.broadcast(spark.range(1).select(F.inline(listed)))  # as many rows as the templates index
     placed = hits.join(table, "w").where(F.array_contains("keys", F.col("t"))).groupBy("id", "th", "t", (F.col("at") - F.col("i")).alias("place")).agg(F.sum("weight").alias("weight"), F.count_distinct("i").alias("agree"))
     share = F.element_at(F.create_map(*[F.lit(x) for t, v in weights.items() for x in (t, v)]), F.col("t"))
     label = F.element_at(F.create_map(*[F.lit(x) for t, (v, _, _) in enumerate(TEMPLATES) for x in (t, v)]), F.col("t"))
     best = placed.where("agree >= 2").groupBy("id", "th", "t").agg(F.max("weight").alias("weight"))
     found = best.groupBy("id", "th").agg(F.max(F.least(F.lit(1.0), F.round(F.col("weight") / share, 9))).alias("score"), F.collect_set(label).alias("more"))
     s = F.col("s")
-    count, first, last, names = [], [], [], []
-    for phrase, name in BASE.items():
-        p, n = spaced(phrase), len(phrase.split())
-        c = places_of(s, phrase)
-        count.append(c)
-        first.append(F.when(c > 0, words_in(F.substring_index(s, p, 1))))
-        last.append(F.when(c > 0, F.col("n_words") - words_in(F.substring_index(s, p, -1)) - n))
-        names.append(F.when(c > 0, F.lit(name)))
-    base = rows.withColumn("n_words", words_in(s)).select("id", "th", "n_words", sum(count).alias("n_base"), F.least(*first).alias("first_word"), F.greatest(*last).alias("last_word"), F.array_compact(F.array(*names)).alias("base"))
+    # each phrase's count is a column of its own before it is used, so it is worked out once
+    base = rows.select("id", "th", "s", (spaces(s) / 2 - 1).cast("long").alias("n_words"), *[places_of(s, p).alias(f"c{i}") for i, p in enumerate(BASE)])
+    first, last, names = [], [], []
+    for i, (phrase, name) in enumerate(BASE.items()):
+        p, n, some = spaced(phrase), len(phrase.split()), F.col(f"c{i}") > 0
+        first.append(F.when(some, ((spaces(F.substring_index(s, p, 1)) - 1) / 2).cast("long")))
+        last.append(F.when(some, F.col("n_words") - ((spaces(F.substring_index(s, p, -1)) - 1) / 2).cast("long") - n))
+        names.append(F.when(some, F.lit(name)))
+    base = base.select("id", "th", "n_words", sum(F.col(f"c{i}") for i in range(len(BASE))).alias("n_base"), F.least(*first).alias("first_word"), F.greatest(*last).alias("last_word"), F.array_compact(F.array(*names)).alias("base"))
     joined = base.join(found.withColumnsRenamed({"id": "fid", "th": "fth"}), F.col("id").eqNullSafe(F.col("fid")) & (F.col("th") == F.col("fth")), "left")
     together = F.array_union("base", F.coalesce("more", F.array().cast("array<string>")))
     return joined.select(F.col("id").alias(id_col), "n_words", "n_base", "first_word", "last_word", F.array_join(F.array_sort(F.array_distinct("base")), ",").alias("base_labels"), F.array_join(F.array_sort(together), ",").alias("labels"), F.coalesce("score", F.lit(0.0)).alias("score"))
