@@ -49,6 +49,39 @@ def test_graph_dedup(spark, vectors):
     assert graph_dedup.near_duplicate_vectors(frame(spark, vectors).where("false")).count() == 0
 
 
+def spanning_group(spark):
+    """One group of distinct near copies (pairwise cosine about 0.96) over many shards, among other vectors."""
+    rng = np.random.default_rng(21)
+    x = np.concatenate([rng.normal(size=64) + rng.normal(size=(900, 64)) * 0.2, rng.normal(size=(300, 64))])
+    return x, spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+
+
+def test_graph_dedup_group_over_many_shards(spark, monkeypatch):
+    monkeypatch.setattr(graph_dedup, "SHARD", 60)
+    x, df = spanning_group(spark)
+    got = {r["vec_id"]: r["n_links"] for r in graph_dedup.near_duplicate_vectors(df).collect()}
+    u = graph_dedup.unit(x)
+    assert got == dict(enumerate(((u @ u.T >= 0.93).sum(1) - 1).tolist()))
+
+
+def test_graph_dedup_raises_when_the_audit_fails(spark, vectors, monkeypatch):
+    monkeypatch.setattr(graph_dedup, "audited_recall", lambda *args: 0.9)
+    with pytest.raises(RuntimeError, match="recall"):
+        graph_dedup.near_duplicate_vectors(frame(spark, vectors)).collect()
+
+
+def test_exact_links(spark, monkeypatch):
+    monkeypatch.setattr(graph_dedup, "TILE", 100)
+    rng = np.random.default_rng(4)
+    x = np.repeat(rng.normal(size=(120, 8)), 5, 0) + rng.normal(size=(600, 8)) * 0.2
+    u, labels = graph_dedup.unit(x), np.arange(600) % 3
+    nodes = spark.createDataFrame([(i, int(k), v.tolist()) for i, (k, v) in enumerate(zip(labels, x, strict=True))], "id long, label long, v array<double>")
+    shared = spark.sparkContext.broadcast({0: graph_dedup.centres(u[labels == 0], 12), 1: graph_dedup.centres(u[labels == 1], 2)})  # label 2 has no centres
+    a, b = np.nonzero((u @ u.T >= 0.93) & (labels[:, None] == labels[None, :]) & ~np.eye(600, dtype=bool))
+    got = [(r["a"], r["b"]) for r in graph_dedup.exact_links(nodes, shared, 0.93).collect()]
+    assert sorted(got) == sorted(zip(a.tolist(), b.tolist(), strict=True))
+
+
 def test_graph_search_recall():
     rng = np.random.default_rng(9)
     u = graph_dedup.unit(np.repeat(rng.normal(size=(150, 16)), 4, 0) + rng.normal(size=(600, 16)) * 0.12)
