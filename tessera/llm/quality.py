@@ -3,7 +3,8 @@
 A document is the mean of learned vectors: one for each word, one for each
 character n-gram of it, and one for each word bigram that repeats its word
 (written with a back reference, so all such bigrams are one feature), hashed
-into a table. A softmax layer on the mean gives
+into a table. A run without white space of more than ``LONG`` characters gives all
+its n-grams too, but counts for no more than one of ``LONG`` characters. A softmax layer on the mean gives
 the class probabilities. Both are trained by numpy stochastic gradient descent
 on a bounded sample of labelled rows (:class:`Settings`).
 
@@ -20,7 +21,7 @@ the input are left out, whatever their names.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -47,17 +48,34 @@ class Settings:
 
 #: The feature of a repeated word.
 AGAIN = 0
+#: Characters of a word that counts in full; bytes of a word that a memo keeps; n-grams hashed at once.
+LONG, KEPT, BLOCK = 40, 160, 1 << 16
+ONE = np.ones(1)
 
 
-def word_features(word: bytes, s: Settings) -> np.ndarray:
-    """Hashed features of a word: itself and its character n-grams, with marks for its ends; case is kept."""
+def word_features(word: bytes, s: Settings) -> tuple[np.ndarray, np.ndarray]:
+    """Hashed features of a word and their weights (one for all, or one each): itself and its character n-grams, with marks for its ends; case is kept."""
     import xxhash
 
     chars = f"<{word.decode('utf-8', 'replace')}>"
-    if len(chars) > 42:  # one very long word must not outweigh its document
-        chars = f"{chars[:20]}\0{chars[-20:]}"
-    parts = [chars, *(chars[i : i + n] for n in s.grams for i in range(len(chars) - n + 1))]
-    return np.fromiter((xxhash.xxh3_64_intdigest(p) & (s.buckets - 1) for p in parts), np.int32, len(parts))
+    hashed = lambda parts: np.fromiter((xxhash.xxh3_64_intdigest(p) & (s.buckets - 1) for p in parts), np.int32, len(parts))
+    if len(chars) <= LONG + 2:
+        return hashed([chars, *(chars[i : i + n] for n in s.grams for i in range(len(chars) - n + 1))]), ONE
+    counts = np.bincount(hashed([chars]), minlength=s.buckets)
+    for n in s.grams:
+        for begin in range(0, len(chars) - n + 1, BLOCK):
+            counts += np.bincount(hashed([chars[i : i + n] for i in range(begin, min(begin + BLOCK, len(chars) - n + 1))]), minlength=s.buckets)
+    at = np.flatnonzero(counts)
+    most = 1 + sum(LONG + 3 - n for n in s.grams)  # one very long word must not outweigh its document
+    return at.astype(np.int32), counts[at] * (most / counts.sum())
+
+
+def look_up(memo: Memo, words: list[bytes], make: Callable[[list], list]) -> list:
+    """The words' values; those of words over ``KEPT`` bytes pass the memo by, one at a time."""
+    if max(map(len, words), default=0) <= KEPT:
+        return memo.look_up(words, make)
+    kept = iter(memo.look_up([w for w in words if len(w) <= KEPT], make))
+    return [next(kept) if len(w) <= KEPT else make([w])[0] for w in words]
 
 
 def again(codes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -71,17 +89,17 @@ def again(codes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 def document_features(texts: pa.Array, s: Settings, memo: Memo) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(features, how often) of each text."""
     words, codes, offsets = split_words(texts)
-    by_word = memo.look_up(words, lambda ws: [word_features(w, s) for w in ws])
+    by_word = look_up(memo, words, lambda ws: [word_features(w, s) for w in ws])
     for a, b, same in zip(offsets[:-1], offsets[1:], again(codes, offsets), strict=True):
         if a == b:
-            yield np.zeros(0, np.int32), np.zeros(0, np.int64)
+            yield np.zeros(0, np.int32), np.zeros(0)
         else:
             kinds, often = np.unique(codes[a:b], return_counts=True)
             found = [by_word[k] for k in kinds]
-            counts = np.bincount(np.concatenate(found), np.repeat(often, [len(f) for f in found]), s.buckets)
+            counts = np.bincount(np.concatenate([f for f, _ in found]), np.concatenate([np.full(len(f), n) if w is ONE else n * w for n, (f, w) in zip(often, found, strict=True)]), s.buckets)
             counts[AGAIN] += same
             at = np.flatnonzero(counts)
-            yield at.astype(np.int32), counts[at].astype(np.int64)
+            yield at.astype(np.int32), counts[at]
 
 
 @dataclass
@@ -129,12 +147,12 @@ def training_rows(labelled: DataFrame, s: Settings) -> list[tuple[np.ndarray, np
         for b in batches:
             for start, part in slices(text_bytes(b.column(1))):
                 found = list(document_features(part, s, memo))
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(start, len(part)), pa.array([a.tobytes() for a, _ in found], pa.binary()), pa.array([n.astype(np.int32).tobytes() for _, n in found], pa.binary()), b.column(2).slice(start, len(part))], names=["id", "at", "often", "label"])
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(start, len(part)), pa.array([a.tobytes() for a, _ in found], pa.binary()), pa.array([n.astype(np.float32).tobytes() for _, n in found], pa.binary()), b.column(2).slice(start, len(part))], names=["id", "at", "often", "label"])
 
     kind = labelled.schema["id"].dataType.simpleString()
     rows = labelled.select("id", "text", "label").mapInArrow(run, f"id {kind}, at binary, often binary, label int").collect()
     rows.sort(key=lambda r: (r["id"] is None, r["id"], r["label"]))
-    return [(np.frombuffer(r["at"], np.int32), np.frombuffer(r["often"], np.int32), r["label"]) for r in rows]
+    return [(np.frombuffer(r["at"], np.int32), np.frombuffer(r["often"], np.float32).astype(np.float64), r["label"]) for r in rows]
 
 
 def fit(documents: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, settings: Settings | None = None) -> Model:
@@ -152,17 +170,17 @@ def scorer(m: Model):
     """A function from a batch of texts to their scores, with a cache of words."""
     memo = Memo()
 
-    def weigh(words: list[bytes]) -> list[tuple[float, int]]:
+    def weigh(words: list[bytes]) -> list[tuple[float, float]]:
         found = [word_features(w, m.settings) for w in words]
-        sizes = np.array([len(f) for f in found])
-        ends = np.concatenate([[0], np.cumsum(sizes)])
-        return list(zip(sums(m.weight[np.concatenate(found)], ends).tolist(), sizes.tolist(), strict=True))
+        sizes = np.array([len(f) for f, _ in found])
+        totals = sums(m.weight[np.concatenate([f for f, _ in found])], np.concatenate([[0], np.cumsum(sizes)])).tolist()
+        return [(t, n) if w is ONE else (float(m.weight[f] @ w), float(w.sum())) for t, n, (f, w) in zip(totals, sizes.tolist(), found, strict=True)]
 
     def scores(texts: pa.Array) -> np.ndarray:
         done = [np.zeros(0)]
         for _, part in slices(texts):
             words, codes, offsets = split_words(part)
-            by_word = np.array(memo.look_up(words, weigh), np.float64).reshape(-1, 2)
+            by_word = np.array(look_up(memo, words, weigh), np.float64).reshape(-1, 2)
             total, same = sums(by_word[codes], offsets), again(codes, offsets)
             z = (total[:, 0] + same * m.weight[AGAIN]) / np.maximum(total[:, 1] + same, 1) + m.bias
             done.append(1 / (1 + np.exp(-np.clip(z, -500, 500))))

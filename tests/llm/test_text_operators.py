@@ -197,6 +197,25 @@ def test_quality_on_held_out_rows(spark):
     assert abs(quality.score(docs, none, "doc_id", "text").first()["score"] - 0.5) < 0.2
 
 
+def test_quality_of_texts_without_spaces(spark):
+    docs, labels, truth = labelled(spark)
+    runs = docs.where("length(text) > 0").select("doc_id", F.concat(F.lit("x" * 20), F.replace("text", F.lit(" "), F.lit("")), F.lit("y" * 20)).alias("text"))
+    model = quality.fit(runs, labels.where(~quality.held_out("doc_id")), "doc_id", "text", "quality")
+    got = {r["doc_id"]: r["score"] for r in quality.score(runs, model, "doc_id", "text").collect()}
+    held = [i for i in truth if zlib.crc32(str(i).encode()) % 3 == 1]
+    assert held and np.mean([(got[i] >= 0.5) == truth[i][0] for i in held]) > 0.95
+
+
+def test_long_runs_have_bounded_weight():
+    s = quality.Settings()
+    usual = len(quality.word_features(b"a" * 40, s)[0])
+    for run in ("漢字" * 100_000, "ab" * 21):
+        at, weights = quality.word_features(run.encode(), s)
+        assert len(at) == len(weights) and np.isclose(weights.sum(), usual)
+    middle = [quality.word_features(("a" * 30 + x + "b" * 30).encode(), s)[0].tolist() for x in ("good", "evil")]
+    assert middle[0] != middle[1]
+
+
 def test_toxicity_on_held_out_rows(spark):
     docs, labels, truth = labelled(spark)
     model = toxicity.fit(docs, labels.where(~quality.held_out("doc_id")), "doc_id", "text", "toxic")
