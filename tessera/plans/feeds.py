@@ -23,7 +23,7 @@ FROM (SELECT doc_id, text,
 """
 
 #: Tagged conversations: expert parameters on every 5th turn of an assistant, some broken ones.
-CONVERSATIONS = """
+ALL_CONVERSATIONS = """
 SELECT conv_id, turn, CASE WHEN role = 'user' THEN 'human' WHEN role = 'assistant' THEN 'gpt' ELSE 'human' END AS sender,
   CASE WHEN conv_id % 29 = 7 AND turn = 1 THEN text
        WHEN role <> 'assistant' AND turn % 4 = 3 THEN concat('<E>', text, '</E>')
@@ -33,7 +33,10 @@ SELECT conv_id, turn, CASE WHEN role = 'user' THEN 'human' WHEN role = 'assistan
        WHEN turn % 5 = 3 AND conv_id % 3 = 0 THEN concat('<U>', text, '</U> <E>({{''S'': ''Math'', ''T'': ''Essay'', ''G'': 4, ''M'': None, ''R'': True}}, {{''S'': ''Biology'', ''T'': ''Quiz'', ''G'': 5, ''M'': ''Hint'', ''R'': True}})</E>')
        WHEN turn % 7 = 5 THEN concat('<E>', text)
        ELSE concat('<U>', text, '<', chr(92), '/U>') END AS message
-FROM {conversations} WHERE text IS NOT NULL AND NOT contains(text, '<')
+FROM {conversations}"""
+
+#: The same for the DuckDB SQL, which leaves out null texts and texts with '<'; the queries run over all turns.
+CONVERSATIONS = ALL_CONVERSATIONS + """ WHERE text IS NOT NULL AND NOT contains(text, '<')
 """
 
 #: Layout blocks: a page an order, a block a line item.

@@ -377,7 +377,7 @@ CT = C + f""", u AS (SELECT *, {U} AS txt, {E} AS ex FROM c),
 
 
 def _conv(spark, d):
-    return feeds.feed(spark, feeds.CONVERSATIONS, conversations=t(spark, d, "conversations"))
+    return feeds.feed(spark, feeds.ALL_CONVERSATIONS, conversations=t(spark, d, "conversations"))
 
 
 def _cleaned(spark, d, only=None):

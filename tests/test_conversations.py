@@ -1,10 +1,12 @@
 from __future__ import annotations
 
+import hashlib
 import json
 
 from pyspark.sql import functions as F
 
 from tessera.operators import conversation, requests
+from tessera.plans import queries
 from tessera.sources import text
 
 GOOD = "{'S': 'Math', 'T': 'Quiz', 'G': 4, 'M': None, 'R': True}"
@@ -30,6 +32,17 @@ def test_turns(spark):
     assert call["name"] == "generate_exercise" and call["arguments"]["subjects"] == ["Math", "Math"] and call["arguments"]["ready"] is True
 
 
+def test_queries_take_all_turns(spark, tmp_path):
+    rows = [(1, 0, "user", "is 1 < 2?"), (1, 2, "assistant", "<b>yes</b>"), (2, 0, "user", "hi"), (2, 2, "assistant", None), (3, 0, "user", "hi")]
+    spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    run = lambda name: {(r["conv_id"], r["turn"]): r for r in queries.QUERIES[name](spark, str(tmp_path)).collect()}
+    parts = run("conv_extract_params")
+    assert set(parts) == {(c, n) for c, n, _, _ in rows} and parts[2, 2]["text_md5"] is None
+    got = run("conv_clean")
+    md5 = lambda s: hashlib.md5(s.encode()).hexdigest()
+    assert {k: r["content_md5"] for k, r in got.items()} == {(1, 0): md5("is 1 < 2?"), (1, 2): md5("<b>yes</b>"), (3, 0): md5("hi")}  # a turn without a text rejects its conversation
+
+
 def test_sinks_and_sources(spark, tmp_path):
     pairs = spark.createDataFrame([("do a", "line\nline"), ("do b", 'q "x"')], "instruction string, response string")
     for kind in ("csv", "json", "txt"):
