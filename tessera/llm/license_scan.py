@@ -5,15 +5,25 @@ text is rewritten with two spaces between words, so phrases can be counted,
 also ones that touch, by string functions.
 
 1. Document frequencies of the words of the licence templates over all texts
-   give their IDF; each template is indexed by its words of highest IDF.
-2. Each text's occurrences of indexed words look up the postings (template,
-   place). Those that agree on the template's place in the text are added up.
-3. A template is found where at least two indexed words agree and its
-   mandatory key phrase stands in the text. The score is the best share of a
-   template's indexed IDF that one place holds.
+   give their IDF; each template is indexed by its words of highest IDF, with
+   their positions.
+2. Each text's licence words, that is, all its words that the index holds, look
+   up their postings (template, position). An occurrence at ``at`` with a
+   posting at ``i`` proposes the template's place ``at - i``.
+3. At each proposed place the template's other indexed words are looked for at
+   their relative positions. The template is found there if ``AGREE`` of them
+   (all, if it has fewer) with at least ``SHARE`` of its indexed IDF agree, one
+   of them outside the key phrase (where the template has such words), and the
+   mandatory key phrase stands at its own position. So a key phrase out of its
+   notice, or a notice around another licence's name, is not found.
+4. The score is the largest share of a template's indexed IDF at a place where
+   it is found.
 
 Base phrases are counted at all their places, beside that.
 
+All of it is worked out in a text's own row, in time proportional to its
+words: apart from the frequencies, no row is shuffled or joined.
+
 Defined cases: a null text counts as empty: no words, no places, empty labels,
 score 0; ties in IDF go to the earlier word; repeated rows get equal results
 each; an empty table gives an empty one; other columns of the input are left
@@ -30,28 +40,40 @@ from pyspark.sql import functions as F
 #: Phrase -> label, fixed by the contract of the query.
 BASE = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
 
-#: Label, words of the notice, mandatory key phrase: fixed values from the licences' own public notices.
+#: Label, words of the notice, mandatory key phrase in it: fixed values from the licences' own public notices.
 TEMPLATES = [
     ("gpl-3.0", "this work is licensed under the gnu general public license version 3", "gnu general public license version 3"),
     ("gpl-2.0", "this work is licensed under the gnu general public license version 2", "gnu general public license version 2"),
+    ("gpl-3.0", "under the terms of the gnu general public license as published by the free software foundation either version 3 of the license", "version 3 of the license"),
+    ("gpl-2.0", "under the terms of the gnu general public license as published by the free software foundation either version 2 of the license", "version 2 of the license"),
     ("gpl", "you can redistribute it and or modify it under the terms of the gnu general public license", "gnu general public license"),
-    ("lgpl", "under the terms of the gnu lesser general public license", "gnu lesser general public license"),
-    ("agpl-3.0", "under the terms of the gnu affero general public license", "gnu affero general public license"),
+    ("lgpl", "you can redistribute it and or modify it under the terms of the gnu lesser general public license", "gnu lesser general public license"),
+    ("agpl", "you can redistribute it and or modify it under the terms of the gnu affero general public license", "gnu affero general public license"),
     ("apache-2.0", "licensed under the apache license version 2 0", "apache license version 2 0"),
+    ("apache-2.0", "you may not use this file except in compliance with the license you may obtain a copy of the license at http www apache org licenses license 2 0", "apache org licenses license 2 0"),
     ("mit", "released under the mit license", "mit license"),
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", "permission is hereby granted free of charge"),
-    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted", "redistribution and use in source and binary forms"),
-    ("mpl-2.0", "this source code form is subject to the terms of the mozilla public license v 2 0", "mozilla public license"),
+    ("mit", "licensed under the mit license", "mit license"),
+    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction", "permission is hereby granted free of charge"),
+    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", "redistribution and use in source and binary forms"),
+    ("mpl-2.0", "this source code form is subject to the terms of the mozilla public license v 2 0", "mozilla public license v 2 0"),
     ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", "with or without fee is hereby granted"),
     ("cc-by-4.0", "licensed under cc by 4 0", "cc by 4 0"),
     ("cc-by-sa-4.0", "licensed under cc by sa 4 0", "cc by sa 4 0"),
     ("cc-by-nc-4.0", "licensed under cc by nc 4 0", "cc by nc 4 0"),
-    ("cc-by", "licensed under a creative commons attribution license", "creative commons attribution"),
+    ("cc-by", "this work is licensed under a creative commons attribution license", "creative commons attribution license"),
+    ("cc-by", "this work is licensed under a creative commons attribution 4 0 international license", "creative commons attribution 4 0 international license"),
     ("cc0", "dedicated to the public domain under cc0 1 0 universal", "cc0 1 0"),
     ("unlicense", "this is free and unencumbered software released into the public domain", "free and unencumbered software"),
-    ("all-rights-reserved", "copyright all rights reserved", "all rights reserved"),
+    ("all-rights-reserved", "all rights reserved", "all rights reserved"),
 ]
-INDEXED = 6
+#: Indexed words a template; how many of them and what share of their IDF must agree at a place.
+INDEXED, AGREE, SHARE = 8, 3, 0.5
+
+
+def key_at(words: str, key: str) -> int:
+    """Where in a template's words its key phrase begins."""
+    w, k = words.split(), key.split()
+    return next(i for i in range(len(w)) if w[i : i + len(k)] == k)
 
 
 def spaced(phrase: str) -> str:
@@ -78,49 +100,59 @@ def places_of(s: Column, phrase: str) -> Column:
 
 
 def rarity(words: DataFrame) -> dict[str, float]:
-    """IDF over all texts of the templates' words; one row a word reaches the driver, so as many as the templates hold."""
+    """IDF over all texts of the templates' words, by one aggregate; one row a word reaches the driver, so as many as the templates hold."""
     vocabulary = sorted({w for _, t, _ in TEMPLATES for w in t.split()})
-    found = words.select(F.explode(F.array_intersect(F.split("s", "  "), F.array(*map(F.lit, vocabulary)))).alias("w"))
-    often = {r["w"]: r["n"] for r in found.groupBy("w").agg(F.count("*").alias("n")).collect()}
-    total = words.count()
+    found = F.array_append(F.array_intersect("w", F.array(*map(F.lit, vocabulary))), F.lit(""))  # the empty one counts texts
+    often = {r["w"]: r["n"] for r in words.select(F.explode(found).alias("w")).groupBy("w").agg(F.count("*").alias("n")).collect()}
+    total = often.get("", 0)
     return {w: math.log((total + 1) / (often.get(w, 0) + 1)) + 1e-9 for w in vocabulary}
 
 
+def indexed(idf: dict[str, float]) -> list[list[tuple[int, str, float]]]:
+    """The postings (position, word, IDF) of each template."""
+    return [[(i, w, idf[w]) for i, w in sorted(enumerate(words.split()), key=lambda x: (-idf[x[1]], x[0]))[:INDEXED]] for _, words, _ in TEMPLATES]
+
+
+def notices(w: Column, index: list[list[tuple[int, str, float]]]) -> Column:
+    """The templates found in an array of words: an array of (label, share)."""
+    rare = sorted({word for postings in index for _, word, _ in postings})
+    listed = F.array(*[F.struct(F.lit(word).alias("w"), F.lit(i).alias("i"), F.lit(t).alias("t")) for t, postings in enumerate(index) for i, word, _ in postings])
+    table = []
+    for (label, words, key), postings in zip(TEMPLATES, index, strict=True):
+        begin, size = key_at(words, key), len(key.split())
+        outside = [not begin <= i < begin + size for i, _, _ in postings]
+        checks = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(word).alias("w"), F.lit(x).alias("x"), F.lit(out or not any(outside)).alias("out")) for (i, word, x), out in zip(postings, outside, strict=True)])
+        phrase = F.array(*[F.struct(F.lit(begin + k).alias("i"), F.lit(word).alias("w")) for k, word in enumerate(key.split())])
+        table.append(F.struct(F.lit(label).alias("label"), checks.alias("checks"), phrase.alias("key"), F.lit(min(AGREE, len(postings))).alias("least"), F.lit(sum(x for _, _, x in postings)).alias("every")))
+    templates = F.array(*table)
+    own = F.filter(F.transform(w, lambda x, at: F.when(x.isin(rare), F.struct(x.alias("w"), at.alias("at")))), lambda x: x.isNotNull())
+    # a proposal is one number, so that equal ones are found by hashing: place * 64 + template
+    proposed = F.transform(own, lambda x: F.transform(F.filter(listed, lambda p: p["w"] == x["w"]), lambda p: (x["at"] - p["i"]).cast("long") * 64 + p["t"]))
+    place, template = lambda k: F.shiftright(k, 6).cast("int"), lambda k: F.element_at(templates, (F.pmod(k, F.lit(64)) + 1).cast("int"))
+    stands = lambda k: lambda x: F.coalesce(F.get(w, place(k) + x["i"]) == x["w"], F.lit(False))
+    keyed = F.filter(F.array_distinct(F.flatten(proposed)), lambda k: F.forall(template(k)["key"], stands(k)))
+    agreeing = F.transform(keyed, lambda k: F.struct(template(k).alias("t"), F.filter(template(k)["checks"], stands(k)).alias("agree")))
+    share = lambda f: F.aggregate(f["agree"], F.lit(0.0), lambda total, x: total + x["x"]) / f["t"]["every"]
+    enough = F.filter(agreeing, lambda f: (F.size(f["agree"]) >= f["t"]["least"]) & F.exists(f["agree"], lambda x: x["out"]) & (share(f) >= SHARE))
+    return F.transform(enough, lambda f: F.struct(f["t"]["label"].alias("label"), F.least(F.lit(1.0), F.round(share(f), 9)).alias("share")))
+
+
 def scan(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_words, n_base, first_word, last_word, base_labels, labels, score) for each row."""
-    spark = documents.sparkSession
-    columns = F.col(id_col).alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("th"), word_text(F.col(text_col)).alias("s")
-    rows = documents.select(*columns)
-    idf = rarity(rows)
-    postings, weights = [], {}
-    for t, (_, words, _) in enumerate(TEMPLATES):
-        at = sorted(enumerate(words.split()), key=lambda x: (-idf[x[1]], x[0]))[:INDEXED]
-        postings += [(w, t, i, idf[w]) for i, w in at]
-        weights[t] = sum(idf[w] for _, w in at)
-    index = sorted({p[0] for p in postings})
-    keys = F.array_compact(F.array(*[F.when(F.col("s").contains(spaced(k)), F.lit(t)) for t, (_, _, k) in enumerate(TEMPLATES)]))
-    # a key phrase needs its longest word somewhere in the text: one scan rules most texts out
-    needed = "|".join(sorted({max(k.split(), key=len) for _, _, k in TEMPLATES}))
-    likely = documents.where(F.lower(F.col(text_col)).rlike(rf"(?<![a-z0-9])(?:{needed})(?![a-z0-9])")).select(*columns)
-    tokens = F.split(F.trim("s"), "  ")
-    hits = likely.select("id", "th", "s", keys.alias("keys")).where(F.size("keys") > 0).select("id", "th", "keys", F.posexplode(tokens).alias("at", "w")).where(F.col("w").isin(index))
-    listed = F.array(*[F.struct(F.lit(w).alias("w"), F.lit(t).alias("t"), F.lit(i).alias("i"), F.lit(x).alias("weight")) for w, t, i, x in postings])
-    table = F.broadcast(spark.range(1).select(F.inline(listed)))  # as many rows as the templates index
-    placed = hits.join(table, "w").where(F.array_contains("keys", F.col("t"))).groupBy("id", "th", "t", (F.col("at") - F.col("i")).alias("place")).agg(F.sum("weight").alias("weight"), F.count_distinct("i").alias("agree"))
-    share = F.element_at(F.create_map(*[F.lit(x) for t, v in weights.items() for x in (t, v)]), F.col("t"))
-    label = F.element_at(F.create_map(*[F.lit(x) for t, (v, _, _) in enumerate(TEMPLATES) for x in (t, v)]), F.col("t"))
-    best = placed.where("agree >= 2").groupBy("id", "th", "t").agg(F.max("weight").alias("weight"))
-    found = best.groupBy("id", "th").agg(F.max(F.least(F.lit(1.0), F.round(F.col("weight") / share, 9))).alias("score"), F.collect_set(label).alias("more"))
+    rows = documents.select(F.col(id_col).alias("id"), word_text(F.col(text_col)).alias("s"))
+    rows = rows.select("id", "s", F.split(F.trim("s"), "  ").alias("w"))
+    index = indexed(rarity(rows))
     s = F.col("s")
     # each phrase's count is a column of its own before it is used, so it is worked out once
-    base = rows.select("id", "th", "s", (spaces(s) / 2 - 1).cast("long").alias("n_words"), *[places_of(s, p).alias(f"c{i}") for i, p in enumerate(BASE)])
+    rows = rows.select("id", "s", (spaces(s) / 2 - 1).cast("long").alias("n_words"), *[places_of(s, p).alias(f"c{i}") for i, p in enumerate(BASE)], notices(F.col("w"), index).alias("found"))
     first, last, names = [], [], []
     for i, (phrase, name) in enumerate(BASE.items()):
         p, n, some = spaced(phrase), len(phrase.split()), F.col(f"c{i}") > 0
         first.append(F.when(some, ((spaces(F.substring_index(s, p, 1)) - 1) / 2).cast("long")))
         last.append(F.when(some, F.col("n_words") - ((spaces(F.substring_index(s, p, -1)) - 1) / 2).cast("long") - n))
         names.append(F.when(some, F.lit(name)))
-    base = base.select("id", "th", "n_words", sum(F.col(f"c{i}") for i in range(len(BASE))).alias("n_base"), F.least(*first).alias("first_word"), F.greatest(*last).alias("last_word"), F.array_compact(F.array(*names)).alias("base"))
-    joined = base.join(found.withColumnsRenamed({"id": "fid", "th": "fth"}), F.col("id").eqNullSafe(F.col("fid")) & (F.col("th") == F.col("fth")), "left")
-    together = F.array_union("base", F.coalesce("more", F.array().cast("array<string>")))
-    return joined.select(F.col("id").alias(id_col), "n_words", "n_base", "first_word", "last_word", F.array_join(F.array_sort(F.array_distinct("base")), ",").alias("base_labels"), F.array_join(F.array_sort(together), ",").alias("labels"), F.coalesce("score", F.lit(0.0)).alias("score"))
+    every = sum(F.col(f"c{i}") for i in range(len(BASE)))
+    out = rows.select("id", "n_words", every.alias("n_base"), F.least(*first).alias("first_word"), F.greatest(*last).alias("last_word"), F.array_compact(F.array(*names)).alias("base"), "found")
+    together = F.array_union("base", F.transform("found", lambda f: f["label"]))
+    score = F.coalesce(F.array_max(F.transform("found", lambda f: f["share"])), F.lit(0.0))
+    return out.select(F.col("id").alias(id_col), "n_words", "n_base", "first_word", "last_word", F.array_join(F.array_sort(F.array_distinct("base")), ",").alias("base_labels"), F.array_join(F.array_sort(together), ",").alias("labels"), score.alias("score"))

@@ -137,7 +137,7 @@ FROM p LEFT JOIN classes ON p.k = classes.a
 
 def _license_sql() -> str:
     words = ", ".join(f"({t}, {i}, '{w}')" for t, (_, text, _) in enumerate(license_scan.TEMPLATES) for i, w in enumerate(text.split()))
-    names = ", ".join(f"({t}, '{label}', ' {key} ')" for t, (label, _, key) in enumerate(license_scan.TEMPLATES))
+    names = ", ".join(f"({t}, '{label}', '{key}', {license_scan.key_at(text, key)}, {len(key.split())})" for t, (label, text, key) in enumerate(license_scan.TEMPLATES))
     base = []
     for phrase, label in license_scan.BASE.items():
         parts = phrase.split()
@@ -148,7 +148,7 @@ WITH d AS (
   SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS words FROM documents
 ), b AS ({' UNION ALL '.join(base)}), bs AS (
   SELECT rid, count(*) AS n_base, min(pos) AS first_word, max(pos) AS last_word, list_sort(list_distinct(list(label))) AS base FROM b GROUP BY rid
-), tw(t, i, word) AS (VALUES {words}), tn(t, label, k) AS (VALUES {names}), w AS (
+), tw(t, i, word) AS (VALUES {words}), tn(t, label, k, ko, kn) AS (VALUES {names}), w AS (
   SELECT rid, unnest(words) AS word, generate_subscripts(words, 1) - 1 AS pos FROM d
 ), f AS (
   SELECT word, count(DISTINCT rid) AS n FROM w WHERE word IN (SELECT word FROM tw) GROUP BY word
@@ -156,13 +156,14 @@ WITH d AS (
   SELECT v.word, ln(((SELECT count(*) FROM d) + 1) / (coalesce(n, 0) + 1)) + 1e-9 AS weight FROM (SELECT DISTINCT word FROM tw) v LEFT JOIN f ON v.word = f.word
 ), ranked AS (
   SELECT t, i, tw.word, weight, row_number() OVER (PARTITION BY t ORDER BY weight DESC, i) AS place FROM tw JOIN idf ON tw.word = idf.word
-), posting AS (SELECT t, i, word, weight FROM ranked WHERE place <= {license_scan.INDEXED}), total AS (SELECT t, sum(weight) AS every FROM posting GROUP BY t), spaced AS (
-  SELECT rid, ' ' || array_to_string(words, ' ') || ' ' AS s FROM d
-), keyed AS (SELECT rid, t, label FROM spaced, tn WHERE contains(s, k)), placed AS (
-  SELECT w.rid, p.t, w.pos - p.i AS start, sum(p.weight) AS weight, count(DISTINCT p.i) AS agree FROM w JOIN posting p ON w.word = p.word JOIN keyed k ON k.rid = w.rid AND k.t = p.t GROUP BY ALL
+), posting AS (
+  SELECT r.t, i, word, weight, i < ko OR i >= ko + kn AS outside FROM ranked r JOIN tn ON r.t = tn.t WHERE place <= {license_scan.INDEXED}
+), total AS (SELECT t, sum(weight) AS every, least(count(*), {license_scan.AGREE}) AS least_words, bool_or(outside) AS outer_words FROM posting GROUP BY t), placed AS (
+  SELECT w.rid, p.t, w.pos - p.i AS start, sum(p.weight) AS weight, count(DISTINCT p.i) AS agree, bool_or(outside) AS beyond FROM w JOIN posting p ON w.word = p.word GROUP BY ALL
 ), found AS (
   SELECT placed.rid, max(least(1.0, round(weight / every, 9))) AS score, list_distinct(list(label)) AS more
-  FROM placed JOIN total USING (t) JOIN keyed ON keyed.rid = placed.rid AND keyed.t = placed.t WHERE agree >= 2 GROUP BY placed.rid
+  FROM placed JOIN total USING (t) JOIN tn USING (t) JOIN d ON d.rid = placed.rid
+  WHERE agree >= least_words AND (beyond OR NOT outer_words) AND weight / every >= {license_scan.SHARE} AND start + ko >= 0 AND array_to_string(words[start + ko + 1:start + ko + kn], ' ') = k GROUP BY placed.rid
 )
 SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(array_to_string(base, ','), '') AS base_labels,
   coalesce(array_to_string(list_sort(list_distinct(list_concat(coalesce(base, []), coalesce(more, [])))), ','), '') AS labels, coalesce(score, 0.0)::DOUBLE AS score

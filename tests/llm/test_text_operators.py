@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import itertools
+import math
 import random
 import re
 import zlib
@@ -242,6 +243,54 @@ def test_licenses(spark):
     assert license_scan.scan(df.where("false")).count() == 0
 
 
+def notices_by_force(texts):
+    """(labels, score) of each text: every template tried at every place."""
+    words = [re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")) for t in texts]
+    often = {}
+    for w in words:
+        for x in set(w):
+            often[x] = often.get(x, 0) + 1
+    idf = lambda x: math.log((len(texts) + 1) / (often.get(x, 0) + 1)) + 1e-9
+    out = []
+    for w in words:
+        labels, score = set(), 0.0
+        for label, notice, key in license_scan.TEMPLATES:
+            n, k = notice.split(), key.split()
+            ko = next(i for i in range(len(n)) if n[i : i + len(k)] == k)
+            rare = sorted(range(len(n)), key=lambda i: (-idf(n[i]), i))[: license_scan.INDEXED]
+            outer = {i for i in rare if not ko <= i < ko + len(k)}
+            for place in range(-len(n), len(w)):
+                if place + ko < 0 or w[place + ko : place + ko + len(k)] != k:
+                    continue
+                hit = [i for i in rare if 0 <= place + i < len(w) and w[place + i] == n[i]]
+                share = sum(idf(n[i]) for i in hit) / sum(idf(n[i]) for i in rare)
+                if len(hit) >= min(license_scan.AGREE, len(rare)) and (not outer or outer & set(hit)) and share >= license_scan.SHARE:
+                    labels.add(label)
+                    score = max(score, min(1.0, share))
+        out.append((labels, score))
+    return out
+
+
+def test_license_notices_against_brute_force(spark):
+    rng = random.Random(6)
+    fill = lambda n: " ".join(f"v{rng.randrange(200)}" for _ in range(n))
+    rows = [fill(rng.randrange(200)) for _ in range(60)] + [None, "", "apache license, version 2.0", fill(9) + " MIT License " + fill(9)]
+    for _, notice, key in license_scan.TEMPLATES:
+        w = notice.split()
+        rows += [f"{fill(20)} {notice} {fill(5)}", f"{notice.title()}.", " ".join(w[len(w) // 2 :]), f"{fill(3)} {key} {fill(3)}", notice.replace(key, "another text of terms"), " ".join(w[i] if rng.random() < 0.8 else "other" for i in range(len(w)))]
+    rows.append(" ".join([*(t[1] for t in license_scan.TEMPLATES), "license mit software " * 3000]))  # many notices and many proposals in one long text
+    df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(rows)], "doc_id long, text string, found string")
+    got = {r["doc_id"]: r for r in license_scan.scan(df).collect()}
+    for i, (labels, score) in enumerate(notices_by_force(rows)):
+        r = got[i]
+        assert set(filter(None, r["labels"].split(","))) == labels | set(filter(None, r["base_labels"].split(",")))
+        assert abs(r["score"] - score) < 1e-8
+    key_alone, around = 64 + 3, 64 + 4  # of the first template, the GPL's: a key phrase without its notice, a notice without its key phrase
+    assert got[key_alone]["labels"] == "gpl" and got[around]["labels"] == "" and got[64]["labels"] == "gpl,gpl-3.0"
+    assert got[62]["labels"] == "apache" and got[63]["labels"] == "mit" and got[62]["score"] < 1
+    assert len(got) == len(rows)
+
+
 def test_words_of_a_batch():
     from tessera.llm.lexicon import split_words
 
