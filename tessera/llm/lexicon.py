@@ -17,6 +17,8 @@ import pyarrow.compute as pc
 
 #: Texts of at most so many bytes are taken at once; a longer text goes alone.
 SLICE_BYTES = 4_000_000
+#: Length of a word that a memo keeps.
+KEPT = 160
 
 
 def slices(texts: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int, pa.Array]]:
@@ -58,7 +60,10 @@ def split_words(texts: pa.Array, lower: bool = False) -> tuple[list[bytes], np.n
 
 
 class Memo:
-    """A bounded map from words to values in two generations: when the young one is full, it becomes the old one."""
+    """A bounded map from words to values in two generations: when the young one is full, it becomes the old one.
+
+    Words longer than ``KEPT`` are worked out anew each time, so that memory is bounded by words of usual length.
+    """
 
     def __init__(self, most: int = 250_000):
         self.most, self.young, self.old = most, {}, {}
@@ -79,7 +84,7 @@ class Memo:
             found = dict(zip(names, make(names), strict=True))
             for i in unknown:
                 out[i] = found[keys[i]]
-            young.update(found)
+            young.update((k, v) for k, v in found.items() if len(k) <= KEPT)
         if len(young) > self.most:
             self.old, self.young = young, {}
         return out

@@ -1,12 +1,14 @@
 """Operator 1: a quality classifier on supervised subword embeddings.
 
 A document is the mean of learned vectors: one for each word, one for each
-character n-gram of it, and one for each word bigram that repeats its word
-(written with a back reference, so all such bigrams are one feature), hashed
-into a table. A run without white space of more than ``LONG`` characters gives all
-its n-grams too, but counts for no more than one of ``LONG`` characters. A softmax layer on the mean gives
-the class probabilities. Both are trained by numpy stochastic gradient descent
-on a bounded sample of labelled rows (:class:`Settings`).
+character n-gram of it, one for each word bigram (two words that stand side by
+side) and one for each bigram of word shapes (runs of capitals, of small
+letters, of digits and other characters; a word that repeats the one before it
+follows the shape "same"), hashed into a table. A run without white space of more than ``LONG``
+characters gives all its n-grams too, but counts for no more than one of
+``LONG`` characters. A softmax layer on the mean gives the class probabilities.
+Both are trained by numpy stochastic gradient descent on a bounded sample of
+labelled rows (:class:`Settings`).
 
 A mean of vectors followed by a linear layer is the mean of one number for
 each class and hashed feature, so a trained model is folded into one number a
@@ -21,7 +23,8 @@ the input are left out, whatever their names.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -37,7 +40,7 @@ from tessera.llm.lexicon import Memo, slices, split_words, sums
 class Settings:
     """Of the model and its training. ``sample``: labelled rows that are used at most (chosen by hash of the id)."""
 
-    buckets: int = 1 << 16
+    buckets: int = 1 << 17
     dim: int = 8
     grams: tuple[int, ...] = (3, 4)
     sample: int = 3000
@@ -46,11 +49,13 @@ class Settings:
     seed: int = 1
 
 
-#: The feature of a repeated word.
-AGAIN = 0
-#: Characters of a word that counts in full; bytes of a word that a memo keeps; n-grams hashed at once.
-LONG, KEPT, BLOCK = 40, 160, 1 << 16
+#: Characters of a word that counts in full; n-grams hashed at once.
+LONG, BLOCK = 40, 1 << 16
 ONE = np.ones(1)
+#: Capitals, other letters (what is left of them) and digits; runs of one character; the number of the shape "same".
+SHAPE = re.compile(r"[A-ZÀ-ÖØ-ÞΑ-ΩА-Я]"), re.compile(r"[^\W\d_A]"), re.compile(r"\d")
+RUN = re.compile(r"(.)\1+", re.S)
+SAME = 1
 
 
 def word_features(word: bytes, s: Settings) -> tuple[np.ndarray, np.ndarray]:
@@ -70,34 +75,39 @@ def word_features(word: bytes, s: Settings) -> tuple[np.ndarray, np.ndarray]:
     return at.astype(np.int32), counts[at] * (most / counts.sum())
 
 
-def look_up(memo: Memo, words: list[bytes], make: Callable[[list], list]) -> list:
-    """The words' values; those of words over ``KEPT`` bytes pass the memo by, one at a time."""
-    if max(map(len, words), default=0) <= KEPT:
-        return memo.look_up(words, make)
-    kept = iter(memo.look_up([w for w in words if len(w) <= KEPT], make))
-    return [next(kept) if len(w) <= KEPT else make([w])[0] for w in words]
+def word_numbers(word: bytes) -> tuple[int, int]:
+    """32-bit numbers of a word and of its shape, of which the features of bigrams are made."""
+    import xxhash
+
+    shape = SHAPE[2].sub("0", SHAPE[1].sub("a", SHAPE[0].sub("A", word.decode("utf-8", "replace"))))
+    return xxhash.xxh3_64_intdigest(word) >> 32, xxhash.xxh3_64_intdigest("shape " + RUN.sub(r"\1", shape)) >> 32
 
 
-def again(codes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """How often each text has a word right after itself."""
-    same = np.zeros(len(codes), np.int64)
-    same[1:] = codes[1:] == codes[:-1]
-    same[offsets[:-1][offsets[:-1] < len(codes)]] = 0
-    return sums(same, offsets)
+def bigrams(numbers: np.ndarray, codes: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """The word and shape features of each two neighbours in a run of words, given as ``codes`` of rows of :func:`word_numbers`."""
+    out = []
+    for k in (0, 1):
+        of = numbers[:, k].astype(np.uint64)[codes]
+        before = of[:-1] if k == 0 else np.where(codes[:-1] == codes[1:], np.uint64(SAME), of[:-1])
+        x = (before * np.uint64(0x9E3779B97F4A7C15) + of[1:]) * np.uint64(0xBF58476D1CE4E5B9)
+        out.append((((x ^ (x >> np.uint64(29))) >> np.uint64(16)) & np.uint64(buckets - 1)).astype(np.int32))
+    return out[0], out[1]
 
 
 def document_features(texts: pa.Array, s: Settings, memo: Memo) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(features, how often) of each text."""
     words, codes, offsets = split_words(texts)
-    by_word = look_up(memo, words, lambda ws: [word_features(w, s) for w in ws])
-    for a, b, same in zip(offsets[:-1], offsets[1:], again(codes, offsets), strict=True):
+    by_word = memo.look_up(words, lambda ws: [word_features(w, s) for w in ws])
+    numbers = np.array([word_numbers(w) for w in words], np.uint64).reshape(-1, 2)
+    for a, b in zip(offsets[:-1], offsets[1:], strict=True):
         if a == b:
             yield np.zeros(0, np.int32), np.zeros(0)
         else:
             kinds, often = np.unique(codes[a:b], return_counts=True)
             found = [by_word[k] for k in kinds]
             counts = np.bincount(np.concatenate([f for f, _ in found]), np.concatenate([np.full(len(f), n) if w is ONE else n * w for n, (f, w) in zip(often, found, strict=True)]), s.buckets)
-            counts[AGAIN] += same
+            for pairs in bigrams(numbers, codes[a:b], s.buckets):
+                counts += np.bincount(pairs, minlength=s.buckets)
             at = np.flatnonzero(counts)
             yield at.astype(np.int32), counts[at]
 
@@ -170,19 +180,25 @@ def scorer(m: Model):
     """A function from a batch of texts to their scores, with a cache of words."""
     memo = Memo()
 
-    def weigh(words: list[bytes]) -> list[tuple[float, float]]:
+    def weigh(words: list[bytes]) -> list[tuple[float, float, int, int]]:
         found = [word_features(w, m.settings) for w in words]
         sizes = np.array([len(f) for f, _ in found])
         totals = sums(m.weight[np.concatenate([f for f, _ in found])], np.concatenate([[0], np.cumsum(sizes)])).tolist()
-        return [(t, n) if w is ONE else (float(m.weight[f] @ w), float(w.sum())) for t, n, (f, w) in zip(totals, sizes.tolist(), found, strict=True)]
+        parts = [(t, n) if w is ONE else (float(m.weight[f] @ w), float(w.sum())) for t, n, (f, w) in zip(totals, sizes.tolist(), found, strict=True)]
+        return [(t, n, *word_numbers(w)) for (t, n), w in zip(parts, words, strict=True)]
 
     def scores(texts: pa.Array) -> np.ndarray:
         done = [np.zeros(0)]
         for _, part in slices(texts):
             words, codes, offsets = split_words(part)
-            by_word = np.array(look_up(memo, words, weigh), np.float64).reshape(-1, 2)
-            total, same = sums(by_word[codes], offsets), again(codes, offsets)
-            z = (total[:, 0] + same * m.weight[AGAIN]) / np.maximum(total[:, 1] + same, 1) + m.bias
+            by_word = np.array(memo.look_up(words, weigh), np.float64).reshape(-1, 4)
+            total = sums(by_word[:, :2][codes], offsets)
+            pairs = np.zeros(len(codes))  # the weights of each word's bigrams with the one before it
+            if len(codes):
+                pairs[1:] = sum(m.weight[x] for x in bigrams(by_word[:, 2:], codes, m.settings.buckets))
+            pairs[offsets[:-1][offsets[:-1] < len(codes)]] = 0  # a text's first word has none before it
+            more = 2 * np.maximum(np.diff(offsets) - 1, 0)
+            z = (total[:, 0] + sums(pairs, offsets)) / np.maximum(total[:, 1] + more, 1) + m.bias
             done.append(1 / (1 + np.exp(-np.clip(z, -500, 500))))
         return np.concatenate(done)
 
