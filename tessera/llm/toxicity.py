@@ -1,20 +1,22 @@
 """Operator 3: toxicity as a severity grade, by cumulative-link ordinal regression.
 
-The labels say only whether a text is toxic, so severity grades for training
-are 0 for texts that are not, and 1 to 3 for toxic ones by how many of their
-words mark toxicity: features far commoner among toxic than among other
-training texts. Grades split the toxic texts as evenly as ties allow.
+The labels say only whether a text is toxic. Severity grades for training are
+0 for texts that are not, and 1 to 3 for toxic ones by thirds of their log odds
+under a plain two-class model that was fitted on *other* texts: the labelled
+texts are halved by hash of their features, and each half is graded by the
+model of the other half. So a grade says how strongly what was learned
+elsewhere speaks for toxicity, and no text grades itself.
 
 The model has one weight for each sparse text feature, shared by all grades,
 and ordered thresholds: P(grade <= k) = sigmoid(threshold_k - w.x). Features
 are the presence of lower-cased words and of their first 4, 5 and 6
-characters, by 64-bit hash. Only features enter whose link with toxicity chance
+characters, by 64-bit hash of the whole of each. Only features enter whose link with toxicity chance
 does not explain: a likelihood-ratio test at five expected errors among
 all features tried, so words without meaning for the grade weigh nothing, in long
 texts as in short ones. Weights are fitted by gradient steps with a small
-ridge. The output is the expected severity, sum over k of P(grade > k), with the
-likeliest grade, and ``toxic`` where P(grade > 0) reaches the cut that makes
-the fewest errors on the training texts.
+ridge. The output is the expected severity, sum over k of P(grade > k); ``toxic`` where P(grade > 0) reaches the
+cut that makes the fewest errors on the training texts; and the likeliest of
+grades 1 to 3 where toxic, else grade 0.
 
 Defined cases: a null, empty or blank text has no features and gets the
 severity of the thresholds alone; conflicting labels count as rows each,
@@ -48,8 +50,7 @@ class Settings:
     sample: int = 2000
     least_texts: int = 3
     ridge: float = 1e-3
-    steps: int = 200
-    mark: float = 3.0
+    steps: int = 1000
     errors: float = 5.0
 
 
@@ -59,7 +60,7 @@ def word_features(chunk: bytes) -> list[int]:
 
     out = set()
     for w in WORD.findall(chunk.decode("utf-8", "replace").lower()):
-        out.add(xxhash.xxh3_64_intdigest("=" + w[:64]))
+        out.add(xxhash.xxh3_64_intdigest("=" + w))
         out.update(xxhash.xxh3_64_intdigest(w[:n]) for n in (4, 5, 6) if len(w) >= n)
     return sorted(out)
 
@@ -76,17 +77,49 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
-def grades_of(rows: list[np.ndarray], toxic: np.ndarray, s: Settings) -> np.ndarray:
-    """Training grades from toxic flags and marking features."""
-    flat = np.concatenate(rows) if rows else np.zeros(0, np.int64)
-    flag = np.repeat(toxic, [len(r) for r in rows])
-    n1, n0 = max(1, int(toxic.sum())), max(1, int((~toxic).sum()))
-    size = int(flat.max()) + 1 if len(flat) else 0
-    a, b = np.bincount(flat[flag], minlength=size), np.bincount(flat[~flag], minlength=size)
-    marks = (np.log((a + 0.5) / n1) - np.log((b + 0.5) / n0) > s.mark) & (a >= s.least_texts)
-    count = np.array([marks[r].sum() for r in rows], np.int64)
-    cuts = np.quantile(count[toxic], [1 / 3, 2 / 3]) if toxic.any() else [0, 0]
-    return np.where(toxic, 1 + (count > cuts[0]).astype(int) + (count > cuts[1]), 0)
+def likelihood(owner: np.ndarray, flat: np.ndarray, y: np.ndarray, w: np.ndarray, theta: np.ndarray, ridge: float) -> tuple[float, np.ndarray, np.ndarray]:
+    """Mean negative log likelihood with its ridge, and its gradients by weights and thresholds.
+
+    Text ``owner[i]`` has feature ``flat[i]``; ``y`` holds grades from 0 to ``len(theta)``.
+    """
+    n = len(y)
+    z = np.bincount(owner, w[flat], n)
+    ends = np.concatenate([[-np.inf], theta, [np.inf]])
+    upper, lower = sigmoid(ends[y + 1] - z), sigmoid(ends[y] - z)
+    upper, lower = np.where(y == len(theta), 1.0, upper), np.where(y == 0, 0.0, lower)
+    p = np.maximum(upper - lower, 1e-12)
+    du, dl = upper * (1 - upper) / p, lower * (1 - lower) / p
+    by_w = np.bincount(flat, ((du - dl) / n)[owner], len(w)) + ridge * w
+    by_theta = np.array([dl[y == k + 1].sum() - du[y == k].sum() for k in range(len(theta))]) / n
+    return float(-np.log(p).mean() + ridge / 2 * (w @ w)), by_w, by_theta
+
+
+def descend(rows: list[np.ndarray], y: np.ndarray, features: int, grades: int, s: Settings) -> tuple[np.ndarray, np.ndarray]:
+    """Weights and ascending thresholds by gradient steps; rows hold feature numbers."""
+    owner = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+    flat = np.concatenate([np.zeros(0, np.int64), *rows]).astype(np.int64)
+    w, squares = np.zeros(features), np.full(features, 1e-8)
+    share = np.clip([(y <= k).mean() for k in range(grades)], 1e-3, 1 - 1e-3)
+    theta, theta_squares = np.log(share / (1 - share)), np.full(grades, 1e-8)
+    for _ in range(s.steps):
+        _, by_w, by_theta = likelihood(owner, flat, y, w, theta, s.ridge)
+        squares += by_w**2
+        w = w - 0.3 / np.sqrt(squares) * by_w
+        theta_squares += by_theta**2
+        theta = np.maximum.accumulate(theta - 0.3 / np.sqrt(theta_squares) * by_theta)
+    return w, theta
+
+
+def grades_of(rows: list[np.ndarray], half: np.ndarray, toxic: np.ndarray, features: int, s: Settings) -> np.ndarray:
+    """Training grades from toxic flags: thirds of the log odds under the model of the other half."""
+    odds = np.zeros(len(rows))
+    for part in (half, ~half):
+        others = np.flatnonzero(~part)
+        if len(others) and part.any():
+            w, _ = descend([rows[i] for i in others], toxic[others].astype(int), features, 1, s)
+            odds[part] = [w[r].sum() for r, p in zip(rows, part, strict=True) if p]
+    cuts = np.quantile(odds[toxic], [1 / 3, 2 / 3])
+    return np.where(toxic, 1 + (odds > cuts[0]).astype(int) + (odds > cuts[1]), 0)
 
 
 def telling(among: np.ndarray, often: np.ndarray, toxic: int, texts: int, s: Settings) -> np.ndarray:
@@ -126,28 +159,11 @@ def fit_rows(hashes: list[np.ndarray], toxic: np.ndarray, s: Settings) -> Model:
     ends = np.cumsum([len(h) for h in hashes])
     rows = [new[i[keep[i]]] for i in np.split(index, ends[:-1])]
     kinds = kinds[keep]
-    y = grades_of(rows, toxic, s)
-    flat, sizes = np.concatenate(rows).astype(np.int64), np.array([len(r) for r in rows])
-    owner = np.repeat(np.arange(len(rows)), sizes)
-    w, squares = np.zeros(len(kinds)), np.full(len(kinds), 1e-8)
-    share = np.array([(y <= k).mean() for k in range(GRADES)])
-    theta = np.log(np.clip(share, 1e-3, 1 - 1e-3) / (1 - np.clip(share, 1e-3, 1 - 1e-3)))
-    theta_squares = np.full(GRADES, 1e-8)
-    n = len(y)
-    for _ in range(s.steps):
-        z = np.bincount(owner, w[flat], n)
-        last = np.concatenate([[-40.0], theta, [40.0]])
-        upper, lower = sigmoid(last[y + 1] - z), sigmoid(last[y] - z)
-        p = np.maximum(upper - lower, 1e-12)
-        du, dl = upper * (1 - upper), lower * (1 - lower)
-        by_z = (du - dl) / p / n  # of the negative log likelihood
-        g = np.bincount(flat, by_z[owner], len(kinds)) + s.ridge * w
-        squares += g * g
-        w = w - 0.3 / np.sqrt(squares) * g
-        by_theta = np.array([(-(du / p)[y == k]).sum() + ((dl / p)[y == k + 1]).sum() for k in range(GRADES)]) / n
-        theta_squares += by_theta**2
-        theta = np.maximum.accumulate(theta - 0.3 / np.sqrt(theta_squares) * by_theta)
-    return Model(kinds, w, theta, float(sigmoid(best_cut(np.bincount(owner, w[flat], n), toxic) - theta[0])))
+    half = np.array([int(h.sum(dtype=np.uint64) >> np.uint64(40)) % 2 == 1 for h in hashes], bool)
+    y = grades_of(rows, half, toxic, len(kinds), s)
+    w, theta = descend(rows, y, len(kinds), GRADES, s)
+    z = np.array([w[r].sum() for r in rows])
+    return Model(kinds, w, theta, float(sigmoid(best_cut(z, toxic) - theta[0])))
 
 
 def fit(documents: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, settings: Settings | None = None) -> Model:
@@ -213,7 +229,8 @@ def severity(documents: DataFrame, model: Model, id_col: str, text_col: str) ->
             above = grade(text_bytes(b.column(1)))
             edge = np.ones((len(above), 1)), np.zeros((len(above), 1))
             chance = np.concatenate([edge[0], above], 1) - np.concatenate([above, edge[1]], 1)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(above.sum(1)), pa.array(chance.argmax(1).astype(np.int32)), pa.array(above[:, 0] >= shared.value.cut)], names=[id_col, "severity", "grade", "toxic"])
+            toxic = above[:, 0] >= shared.value.cut
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(above.sum(1)), pa.array(np.where(toxic, 1 + chance[:, 1:].argmax(1), 0).astype(np.int32)), pa.array(toxic)], names=[id_col, "severity", "grade", "toxic"])
 
     return documents.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, severity double, grade int, toxic boolean")
 

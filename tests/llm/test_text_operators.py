@@ -243,6 +243,102 @@ def test_licenses(spark):
     assert license_scan.scan(df.where("false")).count() == 0
 
 
+def test_quality_scores_by_force(spark):
+    """The folded, vectorised score against a plain sum over features, one word at a time."""
+    import xxhash
+
+    docs, labels, _ = labelled(spark)
+    s = quality.Settings()
+    model = quality.fit(docs, labels, "doc_id", "text", "quality", s)
+    texts = ["one two two\tTWO!! x" * 3, "", None, "漢字 " * 50, "word", "a" * 70 + " b b", "\n leading  and trailing "]
+
+    def force(t):
+        words = [w for w in re.split("[\x20\x09-\x0d]+", t or "") if w]
+        total, n = 0.0, 0.0
+        for w in words:
+            chars = f"<{w}>"
+            grams = [chars, *(chars[i : i + k] for k in s.grams for i in range(len(chars) - k + 1))]
+            weight = 1.0 if len(chars) <= quality.LONG + 2 else (1 + sum(quality.LONG + 3 - k for k in s.grams)) / len(grams)
+            for g in grams:
+                total += weight * model.weight[xxhash.xxh3_64_intdigest(g) & (s.buckets - 1)]
+                n += weight
+        for a, b in itertools.pairwise(words):
+            pair = np.array([quality.word_numbers(a.encode()), quality.word_numbers(b.encode())], np.uint64)
+            for k in quality.bigrams(pair, np.array([0, 0]) if a == b else np.array([0, 1]), s.buckets):
+                total += model.weight[k[0]]
+                n += 1
+        return 1 / (1 + math.exp(-(total / max(n, 1) + model.bias)))
+
+    got = quality.scorer(model)(pa.array(texts, pa.string()).fill_null(""))
+    assert np.allclose(got, [force(t) for t in texts], atol=1e-9)
+
+
+def test_quality_training_separates():
+    """Training separates two documents, and the folded weights give their probabilities."""
+    s = quality.Settings(buckets=16, dim=3, epochs=40)
+    rows = [(np.array([1, 2], np.int32), np.array([1.0, 3.0]), 1), (np.array([3, 4], np.int32), np.array([2.0, 1.0]), 0), (np.zeros(0, np.int32), np.zeros(0), 1)]
+    m = quality.train(rows, s)
+    p = [1 / (1 + math.exp(-((m.weight[a] @ n / n.sum() if len(a) else 0.0) + m.bias))) for a, n, _ in rows]
+    assert p[0] > 0.8 and p[1] < 0.2
+
+
+def test_whole_words_are_features():
+    s = quality.Settings()
+    long = ["a" * 100 + x + "b" * 100 for x in ("good", "evil")]
+    assert len({tuple(quality.word_features(w.encode(), s)[0].tolist()) for w in long}) == 2
+    assert len({tuple(toxicity.word_features(w.encode())) for w in long}) == 2
+    assert len({quality.word_numbers(w.encode()) for w in long}) == 2
+
+
+def test_cumulative_link_likelihood():
+    rng = np.random.default_rng(5)
+    rows = [np.unique(rng.integers(0, 6, rng.integers(0, 5))) for _ in range(30)]
+    owner, flat = np.repeat(np.arange(30), [len(r) for r in rows]), np.concatenate(rows)
+    y, w, theta = rng.integers(0, 4, 30), rng.normal(size=6), np.array([-0.5, 0.7, 1.9])
+    loss, by_w, by_theta = toxicity.likelihood(owner, flat, y, w, theta, 0.1)
+    force = 0.0
+    for r, k in zip(rows, y, strict=True):
+        below = [0.0, *(1 / (1 + math.exp(-(t - w[r].sum()))) for t in theta), 1.0]
+        force -= math.log(below[k + 1] - below[k]) / 30
+    assert np.isclose(loss, force + 0.05 * (w @ w))
+    for grad, x, which in ((by_w, w, 0), (by_theta, theta, 1)):
+        for i in range(len(x)):
+            up, down = x.copy(), x.copy()
+            up[i], down[i] = up[i] + 1e-5, down[i] - 1e-5
+            args = [(up, theta), (down, theta)] if which == 0 else [(w, up), (w, down)]
+            slope = (toxicity.likelihood(owner, flat, y, *args[0], 0.1)[0] - toxicity.likelihood(owner, flat, y, *args[1], 0.1)[0]) / 2e-5
+            assert np.isclose(grad[i], slope, atol=1e-6)
+    rows = [np.array([0, 1])] * 10 + [np.array([2])] * 10 + [np.array([2, 3])] * 10
+    y = np.array([2] * 10 + [0] * 10 + [1] * 10)
+    w, theta = toxicity.descend(rows, y, 4, 2, toxicity.Settings())
+    z = [w[r].sum() for r in rows]
+    assert (np.diff(theta) >= 0).all() and z[0] > theta[1] > z[20] > theta[0] > z[10]
+
+
+def test_severity_is_the_sum_of_probabilities(spark):
+    m = toxicity.Model(np.array(sorted(toxicity.word_features(b"bad")), np.uint64), np.ones(1), np.array([0.0, 1.0, 3.0]), 0.6)
+    sig = lambda x: 1 / (1 + math.exp(-x))
+    rows = [(0, "a bad thing, bad", "x", "x", "x"), (1, "nothing", "x", "x", "x"), (2, None, "x", "x", "x"), (3, "bad " * 200_000, "x", "x", "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, grade string, severity string, label string")
+    got = {r["doc_id"]: r for r in toxicity.severity(df, m, "doc_id", "text").collect()}
+    for i, z in ((0, 1), (1, 0), (2, 0), (3, 1)):
+        assert np.isclose(got[i]["severity"], sum(sig(z - t) for t in m.thresholds))
+        assert got[i]["toxic"] == (z == 1) and (got[i]["grade"] > 0) == (z == 1)
+
+
+def test_classifiers_on_odd_tables(spark):
+    """Empty tables, columns of clashing names, a very long text, and null ids."""
+    docs, labels, _ = labelled(spark)
+    long = spark.createDataFrame([(None, "Zap!! " * 300_000), (900, "x" * 1_000_000)], "doc_id long, text string").withColumn("score", F.lit("x"))
+    odd = docs.unionByName(long).select("*", *[F.lit("x").alias(c) for c in ("id", "label", "toxic", "grade", "severity", "quality", "features", "at", "often")])
+    for op, fit, apply in ((quality, "quality", lambda m, d: quality.score(d, m, "doc_id", "text")), (toxicity, "toxic", lambda m, d: toxicity.severity(d, m, "doc_id", "text"))):
+        model = op.fit(odd, labels, "doc_id", "text", fit)
+        assert apply(model, odd).count() == odd.count() and apply(model, odd.where("false")).count() == 0
+        assert op.keep(odd, model, "text").columns == odd.columns
+        nothing = op.fit(odd.where("false"), labels.where("false"), "doc_id", "text", fit)
+        assert apply(nothing, docs).count() == docs.count()
+
+
 def notices_by_force(texts):
     """(labels, score) of each text: every template tried at every place."""
     words = [re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")) for t in texts]
