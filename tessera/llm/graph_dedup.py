@@ -1,48 +1,69 @@
-"""Operator 7: near-duplicate vectors by exact tiles over overlapping cells.
-
-Only vectors of one label are compared. Equal vectors are one node.
-
-1. Centres of each label come from a bounded sample; cells hold about half of
-   ``SHARD`` nodes of their own.
-2. A node goes to its nearest centre's cell and, as a guest, to each cell whose
-   bisector with its own is within half the largest distance of a link. Of two
-   linked nodes in different cells one is such a guest of the other's cell, so
-   each link is a pair of one cell, whatever the centres are.
-3. In each cell its own nodes are compared with all nodes, in tiles of bounded
-   blocks; pairs are links if their cosine in double precision reaches the
-   threshold.
-4. Recall is audited: a bounded sample of nodes is compared with all nodes of
-   its label; if fewer than ``AUDIT`` of those links were found, an error is
-   raised.
-
-A search of a robust-pruned flat graph (``pruned``, ``in_range``) finds most
-links of a set of vectors, but not all, so the operator does not rest on it.
+"""Operator 7: near-duplicate vectors by a robust-pruned flat graph.
+
+Only vectors of one label and one length are compared. Equal vectors are one
+node, which counts its copies.
+
+1. *Overlapping cluster shards.* The nodes of a label are cut by k-means on a
+   bounded sample, and again, until a shard holds at most ``SHARD`` nodes. A
+   node goes to its nearest centre's shard, its home, and as a guest to each
+   shard whose bisector with its own is within ``OVERLAP`` of half the largest
+   distance of a link. (At an overlap of 1 no link could be lost; in many
+   dimensions a fraction of it is enough, and the audit tells.)
+2. *Flat graph.* In each shard every node gets robust-pruned neighbours: all
+   nodes within range of a link, pruned with factor 1 and without a limit, and
+   up to ``DEGREE`` more of its nearest others, pruned with factor ``ALPHA``.
+3. *Union.* A node's adjacency lists from all its shards are united.
+4. *Search.* In its home shard each node is searched for: a greedy walk from
+   the shard's medoid, then range expansion over all nodes within twice the
+   angle of a link. That finds every link of the shard: if ``x`` is linked
+   with ``q`` and no neighbour of ``q``, it was pruned for a neighbour that
+   is nearer to ``x``, which is linked with ``x`` in turn, and so on, and all
+   of these lie within twice the angle.
+5. *Verification* by cosine in double precision. What leaves a shard is one
+   row a node, with the number of its links and one edge to a representative
+   of its linked nodes, never the pairs.
+6. *Audit.* A sample of nodes, spread over labels, is compared with all nodes
+   of their labels. If fewer than ``AUDIT`` of the links were found, the
+   labels that miss any are worked out again by exact tiles; if that is not
+   enough, an error is raised.
+
+A shard that k-means can't cut (its nodes are all near each other) is worked
+out by exact tiles of bounded blocks, with the same output; so no task takes
+an unbounded group, whatever its label.
 
 Defined cases: vectors that are null, empty, zero or hold null or non-finite
-components, and rows without a label, link with nothing and stand for
-themselves; vectors of another length than most are compared with none; rows
-of one id are one node's copies only if equal; an empty table gives an empty
-one; other columns of the input are left out, whatever their names.
+components, and rows without a label or id, link with nothing and stand for
+themselves; labels of any type are compared as text; vectors of different
+lengths are compared with none of each other; rows of one id are one node's
+copies only if equal; an empty table gives an empty one; other columns of the
+input are left out, whatever their names.
 """
 
 from __future__ import annotations
 
 import logging
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import ship, written
+from tessera.llm.common import drop_written, ship, written
 from tessera.llm.components import components
 from tessera.llm.nearest import usable
 
-SHARD, CENTRES, SAMPLE = 1500, 1024, 20_000
-DEGREE, POOL, ALPHA = 24, 64, 1.2
-AUDIT, AUDITED = 0.995, 100
-#: Rows on each side of an exact tile, on average at most.
-TILE = 4096
+#: Nodes of a shard at most; shards a cut makes at most; sampled nodes for each; cuts of one node at most.
+SHARD, FANOUT, SAMPLED, DEPTH = 1500, 64, 24, 9
+#: How far shards overlap; a cut that leaves a shard of more than this share of its parent has failed.
+OVERLAP, SHRINKS = 0.4, 0.8
+POOL, DEGREE, ALPHA = 64, 24, 1.2
+#: Least recall; nodes that are audited, at most.
+AUDIT, AUDITED = 0.999, 200
+#: Rows on each side of an exact tile, on average at most; rows dealt to shards at once.
+TILE, DEAL = 2048, 4096
+NODE = "label string, path long, parent long, home boolean, id long, copies long, v array<double>"
+COUNTS = "id long, others long, root long"
 log = logging.getLogger(__name__)
 
 
@@ -51,6 +72,13 @@ def unit(x: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
+def matrix(column: pa.ChunkedArray, rows: int) -> np.ndarray:
+    return column.combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(rows, -1)
+
+
+# --- shards ---
+
+
 def centres(sample: np.ndarray, count: int) -> np.ndarray:
     """A few rounds of spherical k-means from the first rows of a sample in random order."""
     c = sample[:count].copy()
@@ -62,178 +90,317 @@ def centres(sample: np.ndarray, count: int) -> np.ndarray:
     return c
 
 
-def pruned(u: np.ndarray) -> list[np.ndarray]:
-    """Robust-pruned neighbours (row numbers) of each row of unit vectors; in blocks, so memory follows the rows."""
-    n, out = len(u), []
-    pool = min(POOL, n - 1)
-    for begin in range(0, n, 512):
-        near = u[begin : begin + 512] @ u.T
+def guests(near: np.ndarray, c: np.ndarray, least: float, overlap: float = OVERLAP) -> np.ndarray:
+    """Whether each row, given its products with the centres, goes to each centre's shard (its own among them)."""
+    home, squares = near.argmax(1), (c * c).sum(1)
+    apart = np.sqrt(np.maximum(squares[:, None] + squares[None, :] - 2 * c @ c.T, 0))
+    gap = near[np.arange(len(near)), home][:, None] - near
+    return gap <= (overlap * np.sqrt(2 - 2 * least) / 2 + 1e-6) * apart[home] + 1e-6
+
+
+def cut(cells: DataFrame, sizes: DataFrame, least: float) -> DataFrame:
+    """The rows of the cells in ``sizes``, dealt to the shards of the next level."""
+    parts = F.least(F.lit(FANOUT), F.greatest(F.lit(2), F.ceil(F.col("n") * 2.5 / SHARD))).cast("int")
+    sizes = sizes.withColumn("parts", parts).withColumn("salts", F.ceil(F.col("n") / DEAL).cast("int"))
+    rows = cells.join(sizes, ["label", "path"])
+    rank = F.pmod(F.xxhash64("id", F.lit(3), "path"), F.lit(1_000_000)) / 1_000_000
+    sample = rows.where(rank * F.col("n") < F.col("parts") * SAMPLED).select("label", "path", "parts", "id", "v")
+
+    def means(t: pa.Table) -> pa.Table:
+        order = np.argsort(t.column("id").to_numpy(), kind="stable")
+        x = unit(matrix(t.column("v"), len(t)))[order]
+        c = centres(x[np.random.default_rng(7).permutation(len(x))], min(len(x), t.column("parts")[0].as_py()))
+        return pa.table({"label": t.column("label").slice(0, 1).take(pa.array([0] * len(c))), "path": t.column("path").take(pa.array([0] * len(c))), "k": pa.array(np.arange(len(c))), "v": pa.array(list(c), pa.list_(pa.float64()))})
+
+    found = sample.groupBy("label", "path").applyInArrow(means, "label string, path long, k long, v array<double>")
+    found = found.join(sizes.select("label", "path", "salts"), ["label", "path"])
+    each = F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt")
+    theirs = found.select("label", "path", each, F.lit(True).alias("centre"), F.lit(0).cast("long").alias("parent"), F.lit(False).alias("home"), F.col("k").alias("id"), F.lit(0).cast("long").alias("copies"), "v")
+    ours = rows.select("label", "path", F.pmod(F.xxhash64("id", F.lit(11)), "salts").cast("int").alias("salt"), F.lit(False).alias("centre"), F.col("n").alias("parent"), "home", "id", "copies", "v")
+
+    def deal(t: pa.Table) -> pa.Table:
+        is_centre = t.column("centre").to_numpy()
+        c, rows = t.filter(pa.array(is_centre)).sort_by("id"), t.filter(pa.array(~is_centre))
+        names = ["label", "path", "parent", "home", "id", "copies", "v"]
+        if not len(rows) or not len(c):
+            return rows.select(names)
+        c = matrix(c.column("v"), len(c))
+        near = unit(matrix(rows.column("v"), len(rows))) @ c.T
+        i, j = np.nonzero(guests(near, c, least))
+        out = rows.take(pa.array(i))
+        path = out.column("path").to_numpy() * (FANOUT + 1) + j + 1
+        home = out.column("home").to_numpy() & (near.argmax(1)[i] == j)
+        return pa.table([out.column("label"), pa.array(path), out.column("parent"), pa.array(home), out.column("id"), out.column("copies"), out.column("v")], names=names)
+
+    return ours.unionByName(theirs).groupBy("label", "path", "salt").applyInArrow(deal, NODE)
+
+
+def shards(nodes: DataFrame, least: float) -> tuple[DataFrame, DataFrame | None]:
+    """(rows of shards of at most ``SHARD`` nodes, rows of those that can't be cut so small)."""
+    spark = nodes.sparkSession
+    cells = nodes.select("label", F.lit(0).cast("long").alias("path"), F.lit(None).cast("long").alias("parent"), F.lit(True).alias("home"), "id", "copies", "v")
+    small, dense = [], []
+    for depth in range(DEPTH + 1):
+        sizes = cells.groupBy("label", "path").agg(F.count("*").alias("n"), F.count_if("home").alias("own"), F.max("parent").alias("whole"))
+        stuck = (F.col("n") > F.col("whole") * SHRINKS) | F.lit(depth == DEPTH)
+        state = F.when(F.col("own") == 0, "gone").when(F.col("n") <= SHARD, "small").when(F.coalesce(stuck, F.lit(False)), "dense").otherwise("big")
+        sizes = written(spark, sizes.select("label", "path", "n", state.alias("state")), "sizes")
+        states = {r["state"] for r in sizes.select("state").distinct().collect()}  # four at most
+        part = lambda name: cells.join(sizes.where(F.col("state") == name).select("label", "path"), ["label", "path"])  # noqa: B023, E731
+        if "small" in states:
+            small.append(part("small"))
+        if "dense" in states:
+            dense.append(part("dense"))
+        if "big" not in states:
+            break
+        cells = written(spark, cut(cells, sizes.where("state = 'big'").select("label", "path", "n"), least), "cells")
+    union = lambda parts: parts[0] if len(parts) == 1 else parts[0].unionByName(union(parts[1:]))
+    return union(small) if small else cells.where("false"), union(dense) if dense else None
+
+
+# --- graph ---
+
+
+def pruned(s: np.ndarray, least: float) -> list[np.ndarray]:
+    """Robust-pruned neighbours (row numbers) of each row, given all products ``s`` of a shard's unit vectors; in blocks."""
+    n, out = len(s), []
+    for begin in range(0, n, 256):
+        near = s[begin : begin + 256].copy()
         rows = np.arange(len(near))
         near[rows, begin + rows] = -np.inf
-        candidates = np.argpartition(-near, pool - 1, axis=1)[:, :pool] if pool else np.zeros((len(near), 0), int)
+        width = min(n - 1, max(POOL, int((near >= least).sum(1).max())))
+        if not width:
+            out += [np.zeros(0, int)] * len(near)
+            continue
+        candidates = np.argpartition(-near, width - 1, axis=1)[:, :width]
         sims = np.take_along_axis(near, candidates, 1)
         order = np.argsort(-sims, axis=1, kind="stable")
         candidates, sims = np.take_along_axis(candidates, order, 1), np.take_along_axis(sims, order, 1)
-        away, alive, kept = np.sqrt(np.maximum(2 - 2 * sims, 0)), np.ones(sims.shape, bool), np.zeros(sims.shape, bool)
-        vectors = u[candidates]
-        for _ in range(min(DEGREE, pool)):
-            some = alive.any(1)
-            if not some.any():
-                break
+        linked = sims >= least
+        alive, kept = linked | (np.arange(width) < POOL), np.zeros(sims.shape, bool)
+        more = np.full(len(near), DEGREE)  # neighbours out of range that may still be kept
+        while (some := alive.any(1)).any():
             first = alive.argmax(1)
-            kept[rows[some], first[some]] = True
-            between = np.einsum("ijk,ik->ij", vectors, u[candidates[rows, first]])
-            alive &= ALPHA * np.sqrt(np.maximum(2 - 2 * between, 0)) > away
-            alive[rows, first] = False
+            go = rows[some]
+            kept[go, first[some]] = True
+            more[go] -= ~linked[go, first[some]]
+            between = s[candidates[go, first[some]][:, None], candidates[go]]
+            nearer = np.where(linked[go], between > sims[go], ALPHA**2 * (2 - 2 * between) <= 2 - 2 * sims[go])
+            alive[go] &= ~nearer
+            alive[go, first[some]] = False
+            alive &= linked | (more > 0)[:, None]
         out += [candidates[i][kept[i]] for i in range(len(near))]
     return out
 
 
-def in_range(u: np.ndarray, neighbours: list[np.ndarray], queries: np.ndarray, start: int, least: float, steps: int) -> list[np.ndarray]:
-    """Rows found within range of each query row, by greedy search from ``start`` and then expansion of all rows in range."""
+def in_range(s: np.ndarray, neighbours: list[np.ndarray], queries: np.ndarray, least: float) -> Iterator[np.ndarray]:
+    """Rows found within range of each query row: a greedy walk from the medoid, then range expansion."""
     width = max((len(x) for x in neighbours), default=0)
-    table = np.full((len(u), width), -1)
+    table = np.full((len(s), width + 1), -1)
+    table[:, 0] = np.arange(len(s))  # each row itself, so a walk may stay
     for i, x in enumerate(neighbours):
-        table[i, : len(x)] = x
-    u32, out = u.astype(np.float32), []
+        table[i, 1 : len(x) + 1] = x
+    medoid = int(s.sum(1).argmax())
+    reach = 2 * least * least - 1 - 1e-9 if least > 0 else -1.0  # the cosine of twice the angle
     for begin in range(0, len(queries), 256):
         q = queries[begin : begin + 256]
-        seen = np.full((len(q), len(u)), -np.inf, np.float32)
-        open_ = seen.copy()
-        open_[:, start] = seen[:, start] = u32[q] @ u32[start]
-        for step in range(10 * len(u)):
-            best = open_.argmax(1)
-            value = open_[np.arange(len(q)), best]
-            go = np.flatnonzero(value >= (least - 1e-3 if step >= steps else -2))
-            if not len(go):
-                break
-            at = best[go]
-            open_[go, at] = -np.inf
+        at = np.full(len(q), medoid)
+        while True:
             nb = table[at]
-            row, column = np.nonzero((nb >= 0) & (seen[go[:, None], np.maximum(nb, 0)] == -np.inf))
-            who, what = go[row], nb[row, column]
-            found = np.einsum("ij,ij->i", u32[q[who]], u32[what])
-            seen[who, what] = found
-            open_[who, what] = found
+            value = np.where(nb >= 0, s[q[:, None], nb], -np.inf)
+            step = nb[np.arange(len(q)), value.argmax(1)]
+            if (step == at).all():
+                break
+            at = step
+        seen = np.zeros((len(q), len(s)), bool)
+        rows, who = np.arange(len(q)), at
+        close = s[q, at] >= reach
+        rows, who = np.concatenate([rows, rows[close]]), np.concatenate([q, who[close]])  # from where the walk ended, and the query's own node
+        seen[rows, who] = True
+        while len(rows):
+            nb = table[who]
+            r, k = np.nonzero(nb >= 0)
+            r, x = rows[r], nb[r, k]
+            new = ~seen[r, x] & (s[q[r], x] >= reach)
+            pairs = np.unique(r[new] * len(s) + x[new])
+            rows, who = pairs // len(s), pairs % len(s)
+            seen[rows, who] = True
         for i in range(len(q)):
-            near = np.flatnonzero(seen[i] >= least - 1e-3)
-            out.append(near[(u[near] @ u[q[i]] >= least) & (near != q[i])])
-    return out
-
-
-def matrix(column: pa.ChunkedArray, rows: int) -> np.ndarray:
-    return pa.concat_arrays(column.chunks).flatten().to_numpy(zero_copy_only=False).reshape(rows, -1)
-
-
-def guests(near: np.ndarray, c: np.ndarray, least: float) -> np.ndarray:
-    """Whether each row, given its products with the centres, goes to each centre's cell (its own among them) for exact links."""
-    home, squares = near.argmax(1), (c * c).sum(1)
-    apart = np.sqrt(np.maximum(squares[:, None] + squares[None, :] - 2 * c @ c.T, 0))
-    gap = near[np.arange(len(near)), home][:, None] - near
-    return gap <= (np.sqrt(2 - 2 * least) / 2 + 1e-6) * apart[home] + 1e-6
+            near = np.flatnonzero(seen[i])
+            yield near[(s[q[i], near] >= least) & (near != q[i])]
+
+
+def rooted(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The smallest row that each of ``n`` rows reaches over links (a, b)."""
+    root = np.arange(n)
+    while True:
+        old = root.copy()
+        low = np.minimum(root[a], root[b])
+        np.minimum.at(root, a, low)
+        np.minimum.at(root, b, low)
+        root = root[root]
+        if (root == old).all():
+            return root
+
+
+def counted(ids: np.ndarray, own: np.ndarray, others: np.ndarray, a: np.ndarray, b: np.ndarray) -> pa.Table:
+    """Rows of ``COUNTS``: own nodes with their links' copies, and an edge to a representative for each linked node."""
+    order = np.argsort(ids, kind="stable")
+    place = np.empty(len(ids), int)
+    place[order] = np.arange(len(ids))  # so that representatives are the smallest ids
+    root = ids[order][rooted(len(ids), place[a], place[b])[place]]
+    some = own | (root != ids)
+    return pa.table({"id": pa.array(ids[some]), "others": pa.array(np.where(own, others, 0)[some]), "root": pa.array(root[some])})
+
+
+def graph_counts(cells: DataFrame, least: float) -> DataFrame:
+    """``COUNTS`` of the nodes of shards of bounded size, by the graph."""
+    spark = cells.sparkSession
+
+    def build(t: pa.Table) -> pa.Table:
+        ids, u = t.column("id").to_numpy(), unit(matrix(t.column("v"), len(t)))
+        near = pruned(u @ u.T, least)
+        ends = np.concatenate([[0], np.cumsum([len(x) for x in near])]).astype(np.int32)
+        return pa.table({"id": pa.array(ids), "near": pa.ListArray.from_arrays(pa.array(ends), pa.array(ids[np.concatenate([np.zeros(0, int), *near])]))})
+
+    lists = cells.groupBy("label", "path").applyInArrow(build, "id long, near array<long>")
+    graph = written(spark, lists.groupBy("id").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near")), "graph")  # as many lists as a node has shards
+
+    def search(t: pa.Table) -> pa.Table:
+        t = t.sort_by("id")
+        ids, copies, own = t.column("id").to_numpy(), t.column("copies").to_numpy(), t.column("home").to_numpy()
+        u = unit(matrix(t.column("v"), len(t)))
+        near = t.column("near").combine_chunks()
+        flat, ends = near.flatten().to_numpy(), near.offsets.to_numpy() - near.offsets.to_numpy()[0]
+        at = np.minimum(np.searchsorted(ids, flat), len(ids) - 1)
+        here = ids[at] == flat
+        lists = [at[a:b][here[a:b]] for a, b in zip(ends[:-1], ends[1:], strict=True)]
+        queries, others = np.flatnonzero(own), np.zeros(len(ids), np.int64)
+        a, b = [np.zeros(0, int)], [np.zeros(0, int)]
+        for q, found in zip(queries, in_range(u @ u.T, lists, queries, least), strict=True):
+            others[q] = copies[found].sum()
+            a.append(np.full(len(found), q))
+            b.append(found)
+        return counted(ids, own, others, np.concatenate(a), np.concatenate(b))
+
+    return written(spark, cells.join(graph, "id").groupBy("label", "path").applyInArrow(search, COUNTS), "counts")
+
+
+def tile_counts(cells: DataFrame, least: float) -> DataFrame:
+    """``COUNTS`` of the nodes of shards of any size, by exact tiles of bounded blocks; a node's count may be spread over rows."""
+    spark = cells.sparkSession
+    sizes = cells.groupBy("label", "path").agg(F.ceil(F.count_if("home") / TILE).cast("int").alias("asked_blocks"), F.ceil(F.count("*") / TILE).cast("int").alias("blocks"))
+    cells = cells.join(written(spark, sizes, "sizes"), ["label", "path"])
+    block = lambda count, seed: F.pmod(F.xxhash64("id", F.lit(seed)), count).cast("int")
+    each = lambda count: F.explode(F.sequence(F.lit(0), F.col(count) - 1))
+    asked = cells.where("home").select("label", "path", block(F.col("asked_blocks"), 19).alias("r"), each("blocks").alias("c"), "id", "copies", "v", F.lit(True).alias("asked"))
+    others = cells.where("asked_blocks > 0").select("label", "path", each("asked_blocks").alias("r"), block(F.col("blocks"), 23).alias("c"), "id", "copies", "v", F.lit(False).alias("asked"))
 
+    def run(t: pa.Table) -> pa.Table:
+        flags = t.column("asked").to_numpy()
+        q, x = np.flatnonzero(flags), np.flatnonzero(~flags)
+        every, number = np.unique(t.column("id").to_numpy(), return_inverse=True)
+        copies, u = t.column("copies").to_numpy(), unit(matrix(t.column("v"), len(t)))
+        total, own = np.zeros(len(every), np.int64), np.zeros(len(every), bool)
+        own[number[q]] = True
+        root = np.arange(len(every))
+        for part in (q[i : i + 256] for i in range(0, len(q), 256)):
+            i, j = np.nonzero((u[part] @ u[x].T >= least) & (number[part][:, None] != number[x][None, :]))
+            np.add.at(total, number[part[i]], copies[x[j]])
+            # links so far are kept as one edge a row, so memory follows the rows
+            old = np.flatnonzero(root != np.arange(len(root)))
+            root = rooted(len(every), np.concatenate([old, number[part[i]]]), np.concatenate([root[old], number[x[j]]]))
+        linked = np.flatnonzero(root != np.arange(len(root)))
+        return counted(every, own, total, linked, root[linked])
 
-def exact_links(nodes: DataFrame, shared, least: float) -> DataFrame:
-    """All links (a, b) both ways, by exact tiles over the cells of the centres in ``shared`` (a broadcast)."""
+    return written(spark, asked.unionAll(others).groupBy("label", "path", "r", "c").applyInArrow(run, COUNTS), "tiled")
 
-    def deal(batches):
-        for b in batches:
-            labels = b.column(1).to_numpy()
-            for label in np.unique(labels):
-                at = np.flatnonzero(labels == label)
-                for part in (at[i : i + 1024] for i in range(0, len(at), 1024)):
-                    rows = b.take(pa.array(part))
-                    near, to = np.zeros((len(part), 1)), np.ones((len(part), 1), bool)
-                    if label in shared.value:
-                        near = unit(rows.column(2).flatten().to_numpy(zero_copy_only=False).reshape(len(part), -1)) @ shared.value[label].T
-                        to = guests(near, shared.value[label], least)
-                    home = near.argmax(1)
-                    for cell in np.flatnonzero(to.any(0)):
-                        x = np.flatnonzero(to[:, cell])
-                        some = rows.take(pa.array(x))
-                        yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), pa.array(np.full(len(x), cell, np.int32)), pa.array(home[x] == cell), some.column(2)], names=["id", "label", "cell", "home", "v"])
-
-    dealt = nodes.select("id", "label", "v").mapInArrow(deal, "id long, label long, cell int, home boolean, v array<double>")
-    sizes = dealt.groupBy("label", "cell").agg(F.ceil(F.count_if("home") / TILE).cast("int").alias("asked_blocks"), F.ceil(F.count("*") / TILE).cast("int").alias("blocks"))
-    sizes = written(nodes.sparkSession, sizes.where("blocks > 1"), "sizes")
-    dealt = dealt.join(F.broadcast(sizes), ["label", "cell"], "left").na.fill(1, ["asked_blocks", "blocks"])  # broadcast: cells of more than TILE rows, at most the centres and the labels without any
-    block = lambda count, seed: F.pmod(F.xxhash64("id", F.lit(seed)), F.greatest(F.lit(1), count)).cast("int")
-    each = lambda count: F.explode(F.sequence(F.lit(0), F.greatest(F.lit(1), count) - 1))
-    asked = dealt.where("home").select("label", "cell", block(F.col("asked_blocks"), 19).alias("r"), each(F.col("blocks")).alias("c"), "id", "v", "home", F.lit(True).alias("asked"))
-    others = dealt.select("label", "cell", each(F.col("asked_blocks")).alias("r"), block(F.col("blocks"), 23).alias("c"), "id", "v", "home", F.lit(False).alias("asked"))
 
-    def run(t: pa.Table) -> pa.Table:
-        ids, u = t.column("id").to_numpy(), unit(matrix(t.column("v"), len(t)))
-        flags, home = t.column("asked").to_numpy(), t.column("home").to_numpy()
-        q, x = np.flatnonzero(flags), np.flatnonzero(~flags)
-        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for part in (q[i : i + 512] for i in range(0, len(q), 512)):
-            i, j = np.nonzero((u[part] @ u[x].T >= least) & (ids[part][:, None] != ids[x][None, :]))
-            a.append(ids[part[i]])
-            b.append(ids[x[j]])
-            back = ~home[x[j]]  # a guest asks nothing in this cell
-            a.append(ids[x[j[back]]])
-            b.append(ids[part[i[back]]])
-        return pa.table({"a": pa.array(np.concatenate(a)), "b": pa.array(np.concatenate(b))})
+# --- audit ---
 
-    return asked.unionAll(others).groupBy("label", "cell", "r", "c").applyInArrow(run, "a long, b long").distinct()
 
+def audit(nodes: DataFrame, found: DataFrame, least: float) -> dict[str, tuple[int, int]]:
+    """label -> (true links, links found) of a bounded sample of nodes, spread over labels.
 
-def audited_recall(nodes: DataFrame, links: DataFrame, least: float) -> float:
-    """The share of true links of a bounded sample of nodes that were found."""
+    Half of the sample has links already, if there are such nodes.
+    """
     spark = nodes.sparkSession
-    sample = nodes.orderBy(F.xxhash64("id", F.lit(5))).limit(AUDITED).collect()
+    ranked = nodes.join(found, "id").withColumn("some", F.col("others") > 0)
+    ranked = ranked.withColumn("r", F.row_number().over(Window.partitionBy("label", "some").orderBy(F.xxhash64("id", F.lit(5)), "id"))).where(F.col("r") <= AUDITED // 2)
+    sample = ranked.orderBy("r", F.xxhash64("label", "id"), "id").select("id", "label", "others", "v").limit(AUDITED).collect()
     if not sample:
-        return 1.0
+        return {}
     shared = spark.sparkContext.broadcast([(r["id"], r["label"], r["v"]) for r in sample])  # at most AUDITED vectors
 
-    def run(batches):
-        asked = shared.value
-        q, ids, labels = unit(np.array([v for *_, v in asked], float)), np.array([i for i, *_ in asked]), np.array([x for _, x, _ in asked])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, labels = np.array([i for i, *_ in shared.value]), np.array([x for _, x, _ in shared.value])
+        total = np.zeros(len(ids), np.int64)
+        vectors = {x: unit(np.array([v for _, y, v in shared.value if y == x], float)) for x in set(labels.tolist())}
         for b in batches:
-            if b.num_rows:
-                u = unit(b.column(2).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1))
-                own = b.column(0).to_numpy()
-                hit = (u @ q.T >= least) & (b.column(1).to_numpy()[:, None] == labels[None, :]) & (own[:, None] != ids[None, :])
-                i, j = np.nonzero(hit)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[j]), pa.array(own[i])], names=["a", "b"])
+            theirs = np.array(b.column(1).to_pylist(), object)
+            for x, q in vectors.items():
+                if len(at := np.flatnonzero(theirs == x)):
+                    rows = b.take(pa.array(at))
+                    u = unit(rows.column(2).flatten().to_numpy(zero_copy_only=False).reshape(len(at), -1))
+                    mine = np.flatnonzero(labels == x)
+                    hit = (q @ u.T >= least) & (ids[mine][:, None] != rows.column(0).to_numpy()[None, :])
+                    total[mine] += (hit * rows.column(3).to_numpy()[None, :]).sum(1)
+        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(total)], names=["id", "n"])
+
+    true = {r["id"]: r["n"] for r in nodes.select("id", "label", "v", "copies").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()}
+    out: dict[str, tuple[int, int]] = {}
+    for r in sample:
+        a, b = out.get(r["label"], (0, 0))
+        out[r["label"]] = a + true[r["id"]], b + r["others"]
+    return out
+
+
+def recall(audited: dict[str, tuple[int, int]]) -> float:
+    true = sum(a for a, _ in audited.values())
+    return sum(b for _, b in audited.values()) / true if true else 1.0
+
 
-    true = nodes.select("id", "label", "v").mapInArrow(run, "a long, b long")
-    total, good = true.join(links.withColumn("hit", F.lit(1)), ["a", "b"], "left").agg(F.count("*"), F.count("hit")).first()
-    return good / total if total else 1.0
+# --- operator ---
 
 
 def near_duplicate_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", least: float = 0.93) -> DataFrame:
     """(id, n_links, component_id, kept) for each row; ids are whole numbers."""
     spark = df.sparkSession
     ship(spark)
-    rows = df.select(F.col(id_col).cast("long").alias("row_id"), F.col(label_col).cast("long").alias("label"), F.col(vector_col).cast("array<double>").alias("v"))
-    rows = written(spark, rows.withColumn("key", F.when(usable(F.col("v")) & F.col("label").isNotNull() & F.col("row_id").isNotNull(), F.xxhash64("label", "v"))), "vectors")
-    sizes = rows.where("key is not null").groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect()
-    width = sizes[0]["d"] if sizes else 0
-    nodes = rows.where(F.col("key").isNotNull() & (F.size("v") == width)).groupBy("key").agg(F.min("row_id").alias("id"), F.count("*").alias("copies"), F.first("label").alias("label"), F.first("v").alias("v"))
+    rows = df.select(F.col(id_col).cast("long").alias("row_id"), F.col(label_col).cast("string").alias("label"), F.col(vector_col).cast("array<double>").alias("v"))
+    rows = rows.withColumn("label", F.when(usable(F.col("v")) & F.col("label").isNotNull() & F.col("row_id").isNotNull(), F.concat("label", F.lit("/"), F.size("v"))))
+    keys = [F.when(F.col("label").isNotNull(), F.xxhash64(F.lit(i), "label", "v")).alias(f"k{i}") for i in (1, 2)]  # 128 bits tell vectors apart
+    rows = written(spark, rows.select("row_id", *keys, "label", F.when(F.col("label").isNotNull(), F.col("v")).alias("v")), "vectors")
+    nodes = rows.where("k1 is not null").groupBy("k1", "k2").agg(F.min("row_id").alias("id"), F.count("*").alias("copies"), F.first("label").alias("label"), F.first("v").alias("v"))
     nodes = written(spark, nodes, "nodes")
-    counts = {r["label"]: r["count"] for r in nodes.groupBy("label").count().orderBy(F.desc("count"), "label").limit(CENTRES).collect()}
-    total = max(1, sum(counts.values()))
-    picked = nodes.join(F.broadcast(spark.createDataFrame([(k, min(1.0, SAMPLE / total)) for k in counts] or [(0, 0.0)], "label long, share double")), "label")
-    picked = picked.where(F.abs(F.xxhash64("id", F.lit(3)) % 1_000_000) < F.col("share") * 1_000_000).select("label", "v").limit(2 * SAMPLE).collect()
-    by_label: dict[int, list] = {}
-    for r in sorted(picked, key=lambda r: (r["label"], r["v"])):
-        by_label.setdefault(r["label"], []).append(r["v"])
-    rng = np.random.default_rng(7)
-    model = {}
-    for label, vs in by_label.items():
-        x = unit(np.array(vs, float))
-        count = max(1, min(len(x), CENTRES, -(-2 * counts[label] // SHARD)))
-        model[label] = centres(x[rng.permutation(len(x))], count)
-    shared = spark.sparkContext.broadcast(model)  # at most CENTRES centres a label, from at most twice SAMPLE vectors
-    links = written(spark, exact_links(nodes, shared, least), "links")
-    recall = audited_recall(nodes, links, least)
-    log.info("recall of links %.4f", recall)
-    if recall < AUDIT:
-        raise RuntimeError(f"recall of links {recall:.4f} is under {AUDIT}")
-    label = components(links, "a", "b").select(F.col("vertex").alias("id"), F.col("label").alias("component_id"))
-    others = links.join(nodes.select(F.col("id").alias("b"), "copies"), "b").groupBy(F.col("a").alias("id")).agg(F.sum("copies").alias("others"))
-    by_node = nodes.join(others, "id", "left").join(label, "id", "left").select("key", (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component_id", "id").alias("component_id"))
-    out = rows.select("row_id", F.when(F.size("v") == width, F.col("key")).alias("key")).join(by_node, "key", "left")
-    return out.select(F.col("row_id").alias(id_col), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("component_id", "row_id").alias("component_id"), F.coalesce("component_id", "row_id").eqNullSafe(F.col("row_id")).alias("kept"))
+    # rows of one id may be two nodes if their vectors differ; a node's number is its own
+    numbered = written(spark, nodes.select(F.xxhash64("k1", "k2", "id").alias("id"), F.col("id").alias("row_id"), "k1", "k2", "copies", "label", "v"), "numbered")
+    plain = numbered.select("id", "label", "copies", "v")
+    small, dense = shards(plain, least)
+    counts = [graph_counts(small, least), *([tile_counts(dense, least)] if dense is not None else [])]
+    every = counts[0] if len(counts) == 1 else counts[0].unionByName(counts[1])
+    found = every.groupBy("id").agg(F.sum("others").alias("others"))
+    audited = audit(plain, found, least)
+    log.info("recall of links %.4f", recall(audited))
+    if recall(audited) < AUDIT:
+        again = [x for x, (true, got) in audited.items() if got < true]  # at most AUDITED labels
+        log.warning("recall of links %.4f is under %s: %d labels again by exact tiles", recall(audited), AUDIT, len(again))
+        whole = plain.where(F.col("label").isin(again))
+        more = tile_counts(whole.select("label", F.lit(0).cast("long").alias("path"), F.lit(True).alias("home"), "id", "copies", "v"), least)
+        every = every.join(whole.select("id"), "id", "left_anti").unionByName(more)
+        found = every.groupBy("id").agg(F.sum("others").alias("others"))
+        audited = audit(plain, found, least)
+        if recall(audited) < AUDIT:
+            raise RuntimeError(f"recall of links {recall(audited):.4f} is under {AUDIT}")
+    # components go by the smallest row ids of nodes
+    names = numbered.select("id", "row_id")
+    edges = every.where("id != root").select("id", "root").distinct()
+    edges = edges.join(names.withColumnRenamed("row_id", "a"), "id").join(names.select(F.col("id").alias("root"), F.col("row_id").alias("b")), "root")
+    label = components(edges, "a", "b").select(F.col("vertex").alias("row_id"), F.col("label").alias("component_id"))
+    by_node = numbered.select("id", "row_id", "k1", "k2", "copies").join(found, "id", "left").join(label, "row_id", "left")
+    by_node = by_node.select("k1", "k2", (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component_id", "row_id").alias("component_id"))
+    out = written(spark, rows.select("row_id", "k1", "k2").join(by_node, ["k1", "k2"], "left"), "linked")
+    for done in (rows, nodes, numbered, *counts):
+        drop_written(spark, done)
+    component = F.coalesce("component_id", "row_id")
+    return out.select(F.col("row_id").alias(id_col), F.coalesce("n_links", F.lit(0)).alias("n_links"), component.alias("component_id"), component.eqNullSafe(F.col("row_id")).alias("kept"))

@@ -56,43 +56,92 @@ def spanning_group(spark):
     return x, spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
 
 
+def links_by_force(x):
+    u = graph_dedup.unit(x)
+    return dict(enumerate(((u @ u.T >= 0.93).sum(1) - 1).tolist()))
+
+
+def counts_of(df):
+    return {r["vec_id"]: r["n_links"] for r in graph_dedup.near_duplicate_vectors(df).collect()}
+
+
 def test_graph_dedup_group_over_many_shards(spark, monkeypatch):
-    monkeypatch.setattr(graph_dedup, "SHARD", 60)
+    monkeypatch.setattr(graph_dedup, "SHARD", 200)
     x, df = spanning_group(spark)
-    got = {r["vec_id"]: r["n_links"] for r in graph_dedup.near_duplicate_vectors(df).collect()}
-    u = graph_dedup.unit(x)
-    assert got == dict(enumerate(((u @ u.T >= 0.93).sum(1) - 1).tolist()))
+    assert counts_of(df) == links_by_force(x)
+
+
+def test_graph_dedup_over_many_shards(spark, monkeypatch):
+    """Small groups of near copies over many overlapping shards, whose lists are united."""
+    monkeypatch.setattr(graph_dedup, "SHARD", 100)
+    rng = np.random.default_rng(8)
+    x = np.repeat(rng.normal(size=(300, 24)), 4, 0) + rng.normal(size=(1200, 24)) * 0.15
+    df = spark.createDataFrame([(i, v.tolist(), 5) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    nodes = df.select(F.lit("5").alias("label"), F.col("vec_id").alias("id"), F.lit(1).cast("long").alias("copies"), F.col("embedding").alias("v"))
+    small, _ = graph_dedup.shards(nodes, 0.93)
+    sizes = [r["count"] for r in small.groupBy("path").count().collect()]
+    assert len(sizes) > 12 and max(sizes) <= 100 and sum(sizes) > 1500
+    assert small.where("home").count() == small.where("home").select("id").distinct().count()
+    assert counts_of(df) == links_by_force(x)
+
+
+def test_graph_dedup_cluster_of_near_copies(spark, monkeypatch):
+    """2000 near copies, all linked: rows that leave the shards follow the nodes, not the pairs."""
+    monkeypatch.setattr(graph_dedup, "SHARD", 500)
+    rng = np.random.default_rng(12)
+    x = np.concatenate([rng.normal(size=16) + rng.normal(size=(2000, 16)) * 0.01, rng.normal(size=(50, 16))])
+    df = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    got = {r["vec_id"]: r for r in graph_dedup.near_duplicate_vectors(df).collect()}
+    assert {i: r["n_links"] for i, r in got.items()} == links_by_force(x)
+    assert all(got[i]["component_id"] == 0 for i in range(2000)) and sum(r["kept"] for r in got.values()) <= 51
+    u = graph_dedup.unit(x[:300])
+    nodes = spark.createDataFrame([("1", 0, True, i, 1, v.tolist()) for i, v in enumerate(u)], "label string, path long, home boolean, id long, copies long, v array<double>")
+    for counts in (graph_dedup.graph_counts(nodes, 0.93), graph_dedup.tile_counts(nodes, 0.93)):
+        assert counts.count() == 300 and {r["others"] for r in counts.collect()} == {299}
+
+
+def test_graph_dedup_mends_what_the_audit_misses(spark, monkeypatch):
+    """Without any overlap links between shards are lost; the audit sees it and exact tiles give them back."""
+    monkeypatch.setattr(graph_dedup, "SHARD", 200)
+    monkeypatch.setattr(graph_dedup, "guests", lambda near, c, least: near == near.max(1, keepdims=True))
+    tiled, plain = [], graph_dedup.tile_counts
+    monkeypatch.setattr(graph_dedup, "tile_counts", lambda *args: tiled.append(1) or plain(*args))
+    x, df = spanning_group(spark)
+    assert counts_of(df) == links_by_force(x) and tiled
 
 
 def test_graph_dedup_raises_when_the_audit_fails(spark, vectors, monkeypatch):
-    monkeypatch.setattr(graph_dedup, "audited_recall", lambda *args: 0.9)
+    monkeypatch.setattr(graph_dedup, "audit", lambda *args: {"0/8": (10, 9)})
     with pytest.raises(RuntimeError, match="recall"):
         graph_dedup.near_duplicate_vectors(frame(spark, vectors)).collect()
 
 
-def test_exact_links(spark, monkeypatch):
+def test_graph_dedup_of_text_labels_and_lengths(spark):
+    rows = [(1, [1.0, 0.0], "a"), (2, [2.0, 0.0], "a"), (3, [1.0, 0.0], "b"), (4, [1.0, 0.0, 0.0], "a"), (5, [1.0, 0.0], "a"), (5, [0.0, 1.0], "a"), (None, [1.0, 0.0], "a"), (6, [1.0, 0.0, 0.0], "a")]
+    got = sorted((r["vec_id"] or 0, r["n_links"], r["component_id"] or 0) for r in graph_dedup.near_duplicate_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string")).collect())
+    assert got == [(0, 0, 0), (1, 2, 1), (2, 2, 1), (3, 0, 3), (4, 1, 4), (5, 0, 5), (5, 2, 1), (6, 1, 4)]
+
+
+def test_tile_counts(spark, monkeypatch):
     monkeypatch.setattr(graph_dedup, "TILE", 100)
     rng = np.random.default_rng(4)
     x = np.repeat(rng.normal(size=(120, 8)), 5, 0) + rng.normal(size=(600, 8)) * 0.2
-    u, labels = graph_dedup.unit(x), np.arange(600) % 3
-    nodes = spark.createDataFrame([(i, int(k), v.tolist()) for i, (k, v) in enumerate(zip(labels, x, strict=True))], "id long, label long, v array<double>")
-    shared = spark.sparkContext.broadcast({0: graph_dedup.centres(u[labels == 0], 12), 1: graph_dedup.centres(u[labels == 1], 2)})  # label 2 has no centres
-    a, b = np.nonzero((u @ u.T >= 0.93) & (labels[:, None] == labels[None, :]) & ~np.eye(600, dtype=bool))
-    got = [(r["a"], r["b"]) for r in graph_dedup.exact_links(nodes, shared, 0.93).collect()]
-    assert sorted(got) == sorted(zip(a.tolist(), b.tolist(), strict=True))
+    nodes = spark.createDataFrame([("1", 0, True, i, 1, v.tolist()) for i, v in enumerate(x)], "label string, path long, home boolean, id long, copies long, v array<double>")
+    got = {}
+    for r in graph_dedup.tile_counts(nodes, 0.93).collect():
+        got[r["id"]] = got.get(r["id"], 0) + r["others"]
+    assert got == links_by_force(x)
 
 
-def test_graph_search_recall():
+def test_graph_search_finds_every_link():
     rng = np.random.default_rng(9)
-    u = graph_dedup.unit(np.repeat(rng.normal(size=(150, 16)), 4, 0) + rng.normal(size=(600, 16)) * 0.12)
-    near = graph_dedup.pruned(u)
-    both = [set(x.tolist()) for x in near]
-    for i, x in enumerate(near):
-        for j in x:
-            both[j].add(i)
-    hits = graph_dedup.in_range(u, [np.array(sorted(x), int) for x in both], np.arange(len(u)), 0, 0.93, 64)
-    true = (u @ u.T >= 0.93).sum() - len(u)
-    assert sum(map(len, hits)) >= 0.97 * true
+    for noise in (0.02, 0.12, 0.25):
+        u = graph_dedup.unit(np.concatenate([np.repeat(rng.normal(size=(100, 16)), 6, 0), np.repeat(rng.normal(size=(1, 16)), 200, 0)]) + rng.normal(size=(800, 16)) * noise)
+        s = u @ u.T
+        near = graph_dedup.pruned(s, 0.93)
+        assert sum(map(len, near)) < 0.25 * len(u) ** 2
+        for q, found in enumerate(graph_dedup.in_range(s, near, np.arange(len(u)), 0.93)):
+            assert found.tolist() == [i for i in np.flatnonzero(s[q] >= 0.93) if i != q]
 
 
 def test_nearest(spark, vectors):
