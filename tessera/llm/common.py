@@ -6,7 +6,8 @@ import os
 import tempfile
 import uuid
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 import pyarrow as pa
@@ -42,28 +43,56 @@ def ship(spark: SparkSession) -> None:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder in spark.checkpoint.dir; a temporary one only where it is unset, as in tests."""
+    """The shared folder in spark.checkpoint.dir. Only a local session may do without: it gets a temporary one, as in tests."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isDefined():
         return sc._jsc.sc().getCheckpointDir().get()
-    where = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/checkpoints"
+    where = spark.conf.get("spark.checkpoint.dir", None)
+    if not where:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        where = f"file://{tempfile.gettempdir()}/checkpoints"
     sc.setCheckpointDir(where)
     return sc._jsc.sc().getCheckpointDir().get()
 
 
-def written(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder: lineage is cut, and lost executors cost no rerun of what made it."""
-    path = f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+#: Folders of the operators that are at work, the innermost last.
+_folders: list[str] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
+    """A folder in the shared one for the tables that an operator writes; it goes when the block ends.
+
+    Gives a function that writes a result beside that folder, so that it stays.
+    """
+    outer = _folders[-1] if _folders else checkpoint_dir(spark)
+    _folders.append(f"{checkpoint_dir(spark)}/scratch-{uuid.uuid4().hex}")
+    try:
+        yield lambda df, name: _write(spark, df, f"{outer}/{name}-{uuid.uuid4().hex}")
+    finally:
+        _delete(spark, _folders.pop())
+
+
+def _write(spark: SparkSession, df: DataFrame, path: str) -> DataFrame:
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def written(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a Parquet table in the shared folder: lineage is cut, and lost executors cost no rerun of what made it."""
+    return _write(spark, df, f"{_folders[-1] if _folders else checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}")
+
+
 def drop_written(spark: SparkSession, df: DataFrame) -> None:
     """Delete the files of a table made by :func:`written`, when nothing lazy reads it any more."""
-    jvm = spark.sparkContext._jvm
     for f in df.inputFiles()[:1]:
-        folder = jvm.org.apache.hadoop.fs.Path(f).getParent()
-        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+        _delete(spark, f.rpartition("/")[0])
 
 
 def text_bytes(column: pa.Array) -> pa.Array:

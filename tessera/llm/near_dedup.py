@@ -9,13 +9,16 @@
 2. Documents with equal sets are one class; only its smallest id goes on.
 3. Documents that share a band are candidates. In each band's bucket all
    members are compared with the bucket's smallest id, and links found are
-   joined to components.
+   joined to components. Buckets of more than ``HOT`` members get their
+   smallest id by broadcast (while there are at most ``HOT_KEYS`` such buckets),
+   so no task takes a large bucket's members.
 4. Buckets whose members then lie in several components are finished exactly:
-   documents joined by such buckets form groups, and a group is compared in
-   tiles of two bounded blocks, by matrix products of shingle indicators, so
-   that only links become rows. So every candidate pair is compared or lies in
-   one component already; a bucket of near copies of one text costs
-   comparisons in proportion to its size.
+   documents joined by such buckets form groups. A group is dealt into blocks
+   of bounded rows and shingles, a large component's members into blocks of
+   its own, and two blocks are a tile, unless both are of one component. A tile
+   is compared by matrix products of shingle indicators, so that only links
+   become rows. So every candidate pair is compared or lies in one component
+   already, and near copies of one text are not compared with each other.
 5. Comparison is exact Jaccard similarity on the full sets.
 
 With 36 bands of 6 coordinates a pair at the threshold of 0.8 shares a band
@@ -23,9 +26,10 @@ with probability 1 - (1 - 0.8^6)^36 > 0.99998; above 0.85, > 0.9999999.
 
 Defined cases: null or blank texts have an empty set and link with nothing;
 with fewer words than a shingle has, the whole sequence is one shingle; ties
-go to the smallest id; rows with one id are one document in links; a null id
-stands for itself; an empty table gives an empty one; other columns of the
-input are left out, whatever their names.
+go to the smallest id; rows with one id are one document in links, and all of
+them are kept or none; a row without an id links with nothing, has no component
+and is kept; an empty table gives an empty one; other columns of the input are
+left out, whatever their names.
 """
 
 from __future__ import annotations
@@ -38,14 +42,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import ship, text_bytes, written
+from tessera.llm.common import scratch, ship, text_bytes, written
 from tessera.llm.components import components
 from tessera.llm.lexicon import slices, split_words
 
 #: Bands, coordinates in a band, and size of the permuted universe.
 BANDS, ROWS, UNIVERSE = 36, 6, 1 << 20
-#: Ids of candidates are broadcast up to so many, 8 bytes each, so that texts need no shuffle.
-BROADCAST_IDS = 500_000
+#: Ids of candidates are broadcast up to so many bytes, so that texts need no shuffle.
+BROADCAST_BYTES = 4_000_000
+#: Members of a bucket that is joined by broadcast, and how many such buckets may be.
+HOT, HOT_KEYS = 200, 100_000
+#: Documents and shingles of a block of a tile at most, on average.
+BLOCK, BLOCK_SHINGLES = 256, 500_000
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -176,55 +184,85 @@ def links_in_tile(sets: list[np.ndarray], labels: list, left: np.ndarray, right:
             yield left[i], right[j]
 
 
-def links_in_groups(docs: DataFrame, sets: DataFrame, percent: int, most: int = 256) -> DataFrame:
-    """Links (a, b) between documents of one group ``g`` and different components ``c``.
+def tiles(docs: DataFrame) -> DataFrame:
+    """(id, g, c, tile, side): what documents (id, n, c, g) go to which tiles; ``side`` is 0, 1, or 2 for both.
 
-    A group is dealt into blocks of about ``most`` documents, and a task takes
-    two blocks: no pair becomes a row unless it is a link.
+    A component of ``BLOCK`` documents or more has blocks of its own, which are not
+    compared with each other; smaller ones share blocks.
     """
+    count = lambda m, s: F.greatest(F.ceil(m / BLOCK), F.ceil(s / BLOCK_SHINGLES)).cast("int")
+    parts = docs.groupBy("g", "c").agg(F.count("*").alias("m"), F.sum("n").alias("s"))
+    parts = parts.withColumn("own", F.when(F.col("m") >= BLOCK, F.col("c"))).groupBy("g", "own").agg(count(F.sum("m"), F.sum("s")).alias("blocks"), F.collect_list("c").alias("cs"))
+    parts = written(docs.sparkSession, parts.select("g", "own", "blocks", F.explode("cs").alias("c")), "parts")
+    number = lambda own, k: F.xxhash64("g", own.isNull(), own, k)
+    dealt = docs.join(parts, ["g", "c"]).select("id", "c", "g", number(F.col("own"), F.pmod(F.xxhash64("id"), "blocks").cast("int")).alias("block"))
+    blocks = parts.select("g", "own", "blocks").distinct().select("g", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("k"))
+    blocks = blocks.select("g", "own", number(F.col("own"), F.col("k")).alias("block"))
+    left, right = blocks.select("g", F.col("own").alias("x"), F.col("block").alias("lo")), blocks.select("g", F.col("own").alias("y"), F.col("block").alias("hi"))
+    pairs = left.join(right, "g").where((F.col("lo") <= F.col("hi")) & F.coalesce(F.col("x") != F.col("y"), F.lit(True)))
+    pairs = pairs.select("g", "lo", "hi", F.xxhash64("g", "lo", "hi").alias("tile"))
+    sides = pairs.select("g", "tile", F.when(F.col("lo") == F.col("hi"), 2).otherwise(0).alias("side"), F.col("lo").alias("block"))
+    sides = sides.unionAll(pairs.where("lo != hi").select("g", "tile", F.lit(1).alias("side"), F.col("hi").alias("block")))
+    return dealt.join(sides, ["g", "block"]).select("id", "g", "c", "tile", "side")
+
+
+def links_in_groups(docs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between documents (id, n, c, g) of one group ``g`` and different components ``c``; no pair becomes a row unless it is a link."""
     kind = docs.schema["id"].dataType.simpleString()
-    blocks = docs.groupBy("g").agg(F.ceil(F.count("*") / most).cast("int").alias("blocks"))
-    dealt = docs.join(blocks, "g").withColumn("i", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("id", "c", "g", F.least("i", "j").alias("lo"), F.greatest("i", "j").alias("hi"), "i").join(sets, "id")
 
     def run(t: pa.Table) -> pa.Table:
         found = [x.values.to_numpy() for x in t.column("shingles")]
-        ids, labels, i = t.column("id"), t.column("c").to_pylist(), t.column("i").to_numpy()
-        lo, hi = t.column("lo")[0].as_py(), t.column("hi")[0].as_py()
-        pairs = [p for p in links_in_tile(found, labels, np.flatnonzero(i == lo), np.flatnonzero(i == hi), percent) if lo != hi or p[0] < p[1]]
+        ids, labels, side = t.column("id"), t.column("c").to_pylist(), t.column("side").to_numpy()
+        left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
+        pairs = [p for p in links_in_tile(found, labels, left, right, percent) if side[p[0]] != 2 or p[0] < p[1]] if len(left) and len(right) else []
         a, b = ([p[k] for p in pairs] for k in (0, 1))
         return pa.table({"a": ids.take(pa.array(a, pa.int64())), "b": ids.take(pa.array(b, pa.int64()))})
 
-    return dealt.groupBy("g", "lo", "hi").applyInArrow(run, f"a {kind}, b {kind}")
+    return tiles(docs).join(sets, "id").groupBy("g", "tile").applyInArrow(run, f"a {kind}, b {kind}")
+
+
+def by_bucket(rows: DataFrame, table: DataFrame, hot: DataFrame | None) -> DataFrame:
+    """``rows`` joined with a table of one row a bucket ``h``, where a bucket may hold any share of the rows: hot ones by broadcast."""
+    if hot is None:
+        return rows.join(table, "h")  # adaptive skew joins split large buckets
+    large = F.broadcast(table.join(F.broadcast(hot), "h", "left_semi"))
+    return rows.join(large, "h").unionByName(rows.join(F.broadcast(hot), "h", "left_anti").join(table, "h"))
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
     """(id, n_shingles, component_id, kept) for each row."""
     spark = df.sparkSession
     ship(spark)
-    sketched = written(spark, sketches(df, id_col, text_col, width), "sketches")
-    classes = sketched.where("n_shingles > 0").groupBy("k1", "k2").agg(F.min("id").alias("rep"))
-    reps = sketched.join(classes.select(F.col("rep").alias("id"), F.col("k1").alias("_k1"), F.col("k2").alias("_k2")), "id", "left_semi").where("n_shingles > 0").select("id", F.col("n_shingles").alias("n"), F.explode("bands").alias("h"))
-    sizes = reps.groupBy("h").agg(F.min("id").alias("leader"), F.max("id").alias("last")).where("leader != last").select("h", "leader")
-    members = written(spark, reps.join(sizes, "h"), "members")
-    # the leader's set size comes from its own row in the bucket
-    leaders = members.where("id = leader").select("h", F.col("n").alias("leader_n")).distinct()
-    fits = lambda x, y: F.least(x, y) * 100 >= F.greatest(x, y) * percent
-    first = members.where("id != leader").join(leaders, "h").where(fits(F.col("n"), F.col("leader_n"))).select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct()
-    wanted = members.select("id").distinct()
-    if wanted.count() <= BROADCAST_IDS:  # else by shuffle
-        wanted = F.broadcast(wanted)
-    texts = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(wanted, "id", "left_semi")
-    sets = written(spark, full_sets(texts, "id", "text", width), "sets")
-    links = written(spark, similar(first, sets, percent), "links")
-    label = components(links, "a", "b")
-    placed = written(spark, members.select("h", "id", "n").join(label.withColumnRenamed("vertex", "id"), "id", "left").select("h", "id", "n", F.coalesce("label", "id").alias("c")), "placed")
-    open_buckets = placed.groupBy("h", "c").agg(F.count("*").alias("m")).groupBy("h").agg(F.max_by("c", F.struct("m", "c")).alias("main"), F.count("*").alias("parts")).where("parts > 1").select("h", "main")
-    involved = written(spark, placed.join(open_buckets, "h").select("h", "id", "c"), "open")
-    hubs = involved.groupBy("h").agg(F.min("id").alias("hub"))
-    groups = components(involved.join(hubs, "h").select("hub", "id"), "hub", "id")
-    more = links_in_groups(involved.select("id", "c").distinct().join(groups.select(F.col("vertex").alias("id"), F.col("label").alias("g")), "id"), sets, percent)
-    label = components(links.unionByName(more), "a", "b")
-    by_class = classes.join(label.withColumnRenamed("vertex", "rep"), "rep", "left").select("k1", "k2", F.coalesce("label", "rep").alias("component_id"))
-    out = sketched.select("id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("k1")).alias("k1"), "k2").join(by_class, ["k1", "k2"], "left")
-    return out.select(F.col("id").alias(id_col), "n_shingles", F.coalesce("component_id", "id").alias("component_id")).withColumn("kept", F.col(id_col).eqNullSafe(F.col("component_id")))
+    with scratch(spark) as result:
+        sketched = written(spark, sketches(df, id_col, text_col, width), "sketches")
+        usable = sketched.where("n_shingles > 0 AND id IS NOT NULL")
+        classes = usable.groupBy("k1", "k2").agg(F.min("id").alias("rep"))
+        reps = usable.join(classes.select(F.col("rep").alias("id"), "k1", "k2"), ["id", "k1", "k2"], "left_semi").select("id", F.col("n_shingles").alias("n"), F.explode("bands").alias("h"))
+        buckets = reps.groupBy("h").agg(F.min(F.struct("id", "n")).alias("first"), F.max("id").alias("last"), F.count("*").alias("m")).where("first.id != last")
+        buckets = written(spark, buckets.select("h", F.col("first.id").alias("leader"), F.col("first.n").alias("leader_n"), "m"), "buckets")
+        hot = buckets.where(F.col("m") > HOT).select("h")
+        many = hot.limit(HOT_KEYS + 1).count()
+        hot = hot if 0 < many <= HOT_KEYS else None
+        members = written(spark, by_bucket(reps, buckets.drop("m"), hot), "members")
+        fits = F.least("n", "leader_n") * 100 >= F.greatest("n", "leader_n") * percent
+        first = members.where(F.col("id") != F.col("leader")).where(fits).select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct()
+        wanted = written(spark, members.select("id").distinct(), "wanted")
+        size = wanted.agg(F.sum(F.octet_length(F.col("id").cast("string")) + 8)).first()[0] or 0
+        if size <= BROADCAST_BYTES:  # else by shuffle
+            wanted = F.broadcast(wanted)
+        texts = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(wanted, "id", "left_semi")
+        sets = written(spark, full_sets(texts, "id", "text", width), "sets")
+        links = written(spark, similar(first, sets, percent), "links")
+        label = components(links, "a", "b")
+        placed = written(spark, members.select("h", "id", "n").join(label.withColumnRenamed("vertex", "id"), "id", "left").select("h", "id", "n", F.coalesce("label", "id").alias("c")), "placed")
+        open_buckets = placed.groupBy("h").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.min("id").alias("hub")).where("low != high").select("h", "hub")
+        involved = written(spark, by_bucket(placed, open_buckets, hot), "open")
+        groups = components(involved.select("hub", "id").distinct(), "hub", "id")
+        inside = involved.select("id", "n", "c").distinct().join(groups.select(F.col("vertex").alias("id"), F.col("label").alias("g")), "id")
+        more = links_in_groups(inside, sets, percent)
+        label = components(links.unionByName(more), "a", "b")
+        by_class = classes.join(label.withColumnRenamed("vertex", "rep"), "rep", "left").select("k1", "k2", F.coalesce("label", "rep").alias("component_id"))
+        known = sketched.select("id", "n_shingles", F.when((F.col("n_shingles") > 0) & F.col("id").isNotNull(), F.col("k1")).alias("k1"), "k2")
+        out = known.where("k1 IS NOT NULL").join(by_class, ["k1", "k2"]).select("id", "n_shingles", "component_id").unionByName(known.where("k1 IS NULL").select("id", "n_shingles", F.col("id").alias("component_id")))
+        out = result(out, "near-duplicates")
+    return out.select(F.col("id").alias(id_col), "n_shingles", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))

@@ -25,6 +25,7 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.common import scratch
 from tessera.llm.components import components
 
 #: (verdict, host, path), fixed by the contract of the query.
@@ -94,15 +95,18 @@ def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_
     edges = page_edges(pages, url_col, html_col)
     if redirects is not None:
         edges = edges.unionByName(redirects.select(key_of(F.col("source")).alias("source"), key_of(F.col("target")).alias("target")).where("source is not null and target is not null"))
-    classes = components(edges, "source", "target")
-    part = F.concat(F.lit("x://"), F.col("vertex"))
-    _, said = rule_of(host_of(part), path_of(part), rules)
-    judged = classes.withColumn("said", said)
-    by_class = judged.groupBy("label").agg(F.max(F.col("said") == "allow").alias("a"), F.max(F.col("said") == "block").alias("b"))
-    by_class = by_class.select("label", F.when(F.col("a"), "allow").when(F.col("b"), "block").alias("class_verdict")).where("class_verdict is not null")
-    aliases = classes.join(by_class, "label").select(F.col("vertex").alias("key"), "class_verdict")
+    with scratch(pages.sparkSession) as result:
+        classes = components(edges, "source", "target")
+        part = F.concat(F.lit("x://"), F.col("vertex"))
+        _, said = rule_of(host_of(part), path_of(part), rules)
+        judged = classes.withColumn("said", said)
+        by_class = judged.groupBy("label").agg(F.max(F.col("said") == "allow").alias("a"), F.max(F.col("said") == "block").alias("b"))
+        by_class = by_class.select("label", F.when(F.col("a"), "allow").when(F.col("b"), "block").alias("class_verdict")).where("class_verdict is not null")
+        aliases = result(classes.join(by_class, "label").select(F.col("vertex").alias("key"), "class_verdict"), "aliases")
     url = F.col(url_col)
     own = pages.select(F.col(id_col), host_of(url).alias("host"), path_of(url).alias("path"), key_of(url).alias("key"))
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
     own = own.withColumns({"rule": rule, "said": verdict})
-    return own.join(aliases, "key", "left").select(id_col, "host", "path", "rule", F.coalesce("said", "class_verdict", F.lit(default)).alias("verdict"), "class_verdict")
+    # pages without a key are no alias of any, and must not meet in one task
+    joined = own.where("key IS NOT NULL").join(aliases, "key", "left").unionByName(own.where("key IS NULL").withColumn("class_verdict", F.lit(None).cast("string")))
+    return joined.select(id_col, "host", "path", "rule", F.coalesce("said", "class_verdict", F.lit(default)).alias("verdict"), "class_verdict")

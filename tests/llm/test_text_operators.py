@@ -152,6 +152,62 @@ def test_near_duplicates(docs, texts, width):
     assert all(r["kept"] == (i == want[i]) for i, r in got.items())
 
 
+def families(seed):
+    """Texts that drift apart: copies of copies with edits, so links chain and buckets hold several components."""
+    rng = random.Random(seed)
+    out = []
+    for f in range(3):
+        w = [f"f{f}w{rng.randrange(60)}" for _ in range(50)]
+        for _ in range(45):
+            v = list(w)
+            for _ in range(rng.choice([0, 1, 1, 2, 3])):
+                v[rng.randrange(len(v))] = f"e{rng.randrange(30)}"
+            out.append(" ".join(v))
+            if rng.random() < 0.5:
+                w = v
+    return out
+
+
+@pytest.mark.parametrize("settings", [{}, {"BROADCAST_BYTES": -1, "HOT": 2, "BLOCK": 4}, {"HOT": 2, "HOT_KEYS": 0, "BLOCK_SHINGLES": 60}])
+def test_near_duplicates_that_drift(spark, monkeypatch, settings):
+    """Small bounds, so hot buckets, tiles of several blocks and the shuffle of texts are all in use."""
+    for k, v in settings.items():
+        monkeypatch.setattr(near_dedup, k, v)
+    rows = families(3)
+    sets = {i: (lambda w: {tuple(w[k : k + 4]) for k in range(len(w) - 3)})(t.split()) for i, t in enumerate(rows)}
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in near_dedup.near_duplicates(df, width=4).collect()}
+    want = components_by_force(sets, 80)
+    assert got == want and len(set(want.values())) > 6
+
+
+def test_tiles_leave_out_only_pairs_of_a_component(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "BLOCK", 5)
+    rows = [(i, 10, "big" if i < 23 else f"c{i // 2}", "g") for i in range(40)]
+    got = near_dedup.tiles(spark.createDataFrame(rows, "id long, n long, c string, g string")).collect()
+    by_tile = {}
+    for r in got:
+        by_tile.setdefault(r["tile"], []).append(r)
+    pairs = set()
+    for rs in by_tile.values():
+        for x in rs:
+            for y in rs:
+                if x["side"] != 1 and y["side"] != 0 and x["id"] != y["id"]:
+                    pairs.add(frozenset((x["id"], y["id"])))
+    component = {i: c for i, _, c, _ in rows}
+    want = {frozenset((i, j)) for i in range(40) for j in range(i) if component[i] != component[j]}
+    assert want <= pairs and not any(component[i] == component[j] == "big" for i, j in map(tuple, pairs))
+
+
+def test_near_duplicates_of_odd_ids(spark):
+    text = "one two three four five six seven eight nine ten"
+    rows = [(None, text), (None, text), (5, text), (5, text), (7, text + " eleven"), (7, "quite another text of nothing much in common at all"), (9, "quite another text of nothing much in common at all"), (11, None)]
+    got = sorted((r["doc_id"] or 0, r["component_id"], r["kept"]) for r in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect() if r["doc_id"])
+    assert got == [(5, 5, True), (5, 5, True), (7, 5, False), (7, 5, False), (9, 5, False), (11, 11, True)]
+    named = near_dedup.near_duplicates(spark.createDataFrame([(f"n{i}", t) for i, t in rows], "doc_id string, text string"))
+    assert named.where("kept").count() == 2 + 1
+
+
 def test_tiles_find_all_links():
     rng = np.random.default_rng(2)
     sets = [np.unique(rng.integers(0, 40, 30)) for _ in range(60)]
