@@ -4,8 +4,12 @@ A text is cut into units, each a run of space marks with what follows up to
 the next; no piece crosses from other characters into a space mark, so units
 are encoded one by one and kept in a cache. Units of one length advance
 together: at each place, hashes of the substrings that end there probe the
-sorted keys of the pieces, and vectorised maxima over the lengths store the
-back pointers.
+sorted keys of the pieces, hits are verified by their characters, and
+vectorised maxima over the lengths store the back pointers. A unit of more than
+``LONG`` characters (text without spaces) is first cut at all places that no
+occurrence of a piece crosses, so its parts join the batches; lengths of fewer
+than ``FEW`` units, which a batch would not speed up, take the same steps one
+by one.
 
 What a path may hold depends on the kind of model:
 
@@ -16,7 +20,10 @@ What a path may hold depends on the kind of model:
   the last piece of the best path before it if the two are compatible (worked
   out once a pair and kept); among those that may, the longest wins.
 
-Characters without a piece become byte pieces where the model has them.
+Characters without a piece become byte pieces where the model has them. The kind
+of the model and how it normalises texts are read from its file; one that maps
+characters, drops white space, puts no mark before a text or has user-defined
+symbols is refused.
 
 Defined cases: a null or empty text has no pieces and decodes to an empty one;
 repeated rows are encoded each; an empty table gives an empty one; columns
@@ -39,6 +46,48 @@ from tessera.llm.lexicon import Memo, slices
 MARK = "▁"
 UNIT = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 BASE = 0x9E3779B97F4A7C15
+#: Characters of a unit that is cut before it is encoded; units of one length that are encoded one by one.
+LONG, FEW = 48, 24
+
+
+def fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
+    """(number, value) of the fields of an encoded protocol buffer message."""
+    at = 0
+
+    def number() -> int:
+        nonlocal at
+        value = shift = 0
+        while True:
+            byte = data[at]
+            at += 1
+            value |= (byte & 127) << shift
+            shift += 7
+            if byte < 128:
+                return value
+
+    while at < len(data):
+        key = number()
+        if key & 7 == 0:
+            yield key >> 3, number()
+        else:
+            size = {1: 8, 5: 4}.get(key & 7) or number()
+            yield key >> 3, data[at : at + size]
+            at += size
+
+
+def checked_kind(data: bytes) -> str:
+    """``bpe`` or ``unigram``, from a model file's content; other models are refused."""
+    trainer, normaliser, user = {}, {}, False
+    for field, value in fields(data):
+        if field == 1:
+            user |= dict(fields(value)).get(3) == 4
+        elif field == 2:
+            trainer = dict(fields(value))
+        elif field == 3:
+            normaliser = dict(fields(value))
+    if user or normaliser.get(2) or not normaliser.get(3, 1) or normaliser.get(4, 1) or not normaliser.get(5, 1) or trainer.get(24) or trainer.get(3, 1) not in (1, 2):
+        raise ValueError("a model with user-defined symbols, a normaliser of its own or of another kind is not supported")
+    return {1: "unigram", 2: "bpe"}[trainer.get(3, 1)]
 
 
 class Pieces:
@@ -47,6 +96,8 @@ class Pieces:
     def __init__(self, path: str, kind: str | None = None):
         import sentencepiece
 
+        with open(path, "rb") as f:
+            self.kind = kind or checked_kind(f.read())
         self.library = sentencepiece.SentencePieceProcessor(model_file=path)
         n = self.library.get_piece_size()
         self.size = n
@@ -54,18 +105,21 @@ class Pieces:
         self.text = [self.library.id_to_piece(i) for i in range(n)]
         self.score = np.array([self.library.get_score(i) for i in range(n)])
         self.id = {self.text[i]: i for i in range(n) if not special[i]}
+        self.ranks = {t: float(self.score[i]) for t, i in self.id.items()}
         self.byte = {int(self.text[i][3:5], 16): i for i in range(n) if self.library.is_byte(i)}
         self.unknown = self.library.unk_id()
         self.longest = max(map(len, self.id))
-        # BPE scores are minus the merge's rank, whole numbers; a unigram model's are log probabilities
-        ranks = self.score[[i for i in range(n) if not special[i]]]
-        self.kind = kind or ("bpe" if (ranks == np.rint(ranks)).all() and (ranks <= 0).all() else "unigram")
         names = list(self.id)
         keys = np.array([self._key(s) for s in names], np.uint64)
         order = np.argsort(keys)
         self.keys, self.key_ids = keys[order], np.array([self.id[s] for s in names])[order]
         if (np.diff(self.keys) == 0).any():
             raise ValueError("two pieces have one hash")
+        self.first_bits = np.zeros(1 << 20, bool)
+        self.first_bits[self.keys >> np.uint64(44)] = True
+        self.chars = np.zeros((n, self.longest), np.uint32)
+        for s, i in self.id.items():
+            self.chars[i, : len(s)] = list(map(ord, s))
         self.memo, self.pairs = Memo(), {}
         bytes_of = {v: bytes([k]) for k, v in self.byte.items()}
         self.raw = [bytes_of.get(i, b"" if self.library.is_control(i) else self.text[i].encode()) for i in range(n)]
@@ -79,30 +133,85 @@ class Pieces:
 
     def merged(self, s: str) -> list[str]:
         """Pieces by merging neighbours, the best score first, from the left on ties."""
-        parts = list(s)
+        parts, ranks = list(s), self.ranks
         while len(parts) > 1:
-            best = max(((self.score[i], -k) for k in range(len(parts) - 1) if (i := self.id.get(parts[k] + parts[k + 1])) is not None), default=None)
-            if best is None:
+            best, at = -np.inf, -1
+            for k in range(len(parts) - 1):
+                rank = ranks.get(parts[k] + parts[k + 1])
+                if rank is not None and rank > best:
+                    best, at = rank, k
+            if at < 0:
                 break
-            k = -best[1]
-            parts[k : k + 2] = [parts[k] + parts[k + 1]]
+            parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
+    def _fits(self, left: int, right: int) -> bool:
+        """Whether two ids stand side by side after merging their joint text; ids of ``size`` (no piece) go with all."""
+        pair = left * (self.size + 1) + right
+        if (ok := self.pairs.get(pair)) is None:
+            ok = left == self.size or right == self.size or self.merged(self.text[left] + self.text[right]) == [self.text[left], self.text[right]]
+            if len(self.pairs) < 1_000_000:
+                self.pairs[pair] = ok
+        return ok
+
     def _compatible(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        """Whether each two ids stand side by side after merging their joint text; ids of ``size`` (no piece) go with all."""
         kinds, back = np.unique(left * (self.size + 1) + right, return_inverse=True)
-        out = []
-        for pair in kinds.tolist():
-            if (ok := self.pairs.get(pair)) is None:
-                a, b = divmod(pair, self.size + 1)
-                ok = a == self.size or b == self.size or self.merged(self.text[a] + self.text[b]) == [self.text[a], self.text[b]]
-                if len(self.pairs) < 1_000_000:
-                    self.pairs[pair] = ok
-            out.append(ok)
-        return np.array(out, bool)[back]
-
-    def _viterbi(self, chars: np.ndarray) -> list[np.ndarray]:
-        """Ids of units of one length, given as rows of code points; ``size`` stands for a character without a piece."""
+        known = list(map(self.pairs.get, kinds.tolist()))
+        return np.array([self._fits(*divmod(int(pair), self.size + 1)) if ok is None else ok for pair, ok in zip(kinds, known, strict=True)], bool)[back]
+
+    def _found(self, key: np.ndarray, chars: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(whether the substrings with these hashes and characters are pieces, their ids or ``size``)."""
+        ids = np.full(len(key), self.size)
+        some = np.flatnonzero(self.first_bits[key >> np.uint64(44)])  # rules most out before the search
+        at = np.minimum(np.searchsorted(self.keys, key[some]), len(self.keys) - 1)
+        same = self.keys[at] == key[some]
+        rows, who = some[same], self.key_ids[at[same]]
+        good = (self.chars[who, : chars.shape[1]] == chars[rows]).all(1)
+        ids[rows[good]] = who[good]
+        return ids < self.size, ids
+
+    def parts(self, unit: str) -> list[str]:
+        """A long unit, cut wherever no occurrence of a piece crosses."""
+        chars = np.frombuffer(unit.encode("utf-32-le", "surrogatepass"), np.uint32)
+        step = np.zeros(len(chars) + 1, np.int64)
+        key = chars.astype(np.uint64) + np.uint64(1)
+        for size in range(2, min(self.longest, len(chars)) + 1):
+            key = key[:-1] * np.uint64(BASE) + chars[size - 1 :] + np.uint64(1)
+            found, _ = self._found(key, np.lib.stride_tricks.sliding_window_view(chars, size))
+            begin = np.flatnonzero(found)
+            step[begin + 1] += 1  # each begins at a place of its own for a given size
+            step[begin + size] -= 1
+        cuts = [0, *(np.flatnonzero(np.cumsum(step)[1:-1] == 0) + 1).tolist(), len(unit)]
+        return [unit[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+
+    def _single(self, unit: str) -> list[int]:
+        """The path of :meth:`_viterbi` for one unit, one place at a time."""
+        worst, bpe = float(self.score.min()) - 10, self.kind == "bpe"
+        best, last, step = [0.0], [-1], [0]
+        for j in range(1, len(unit) + 1):
+            top, who, size = -np.inf, -1, 0
+            for k in range(1, min(j, self.longest) + 1):
+                i = self.id.get(unit[j - k : j])
+                if i is None:
+                    if k > 1:
+                        continue
+                    i = self.size
+                if best[j - k] == -np.inf or bpe and j > k and not self._fits(last[j - k], i):
+                    continue
+                value = float(k) if bpe else best[j - k] + (worst if i == self.size else self.score[i])
+                if value > top:
+                    top, who, size = value, i, k
+            best.append(top)
+            last.append(who)
+            step.append(size)
+        out, at = [], len(unit)
+        while at > 0:
+            out.append(last[at])
+            at -= step[at]
+        return out[::-1]
+
+    def _viterbi(self, chars: np.ndarray) -> np.ndarray:
+        """Ids of units of one length, given as rows of code points: a row each, back to front, then -1; ``size`` stands for a character without a piece."""
         n, length = chars.shape
         prefix = np.zeros((n, length + 1), np.uint64)
         power = np.cumprod(np.array([1, *[BASE] * length], np.uint64))
@@ -115,10 +224,7 @@ class Pieces:
         unknown = self.score.min() - 10
         for j in range(1, length + 1):
             for size in range(1, min(j, self.longest) + 1):
-                key = prefix[:, j] - prefix[:, j - size] * power[size]
-                at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-                found = self.keys[at] == key
-                ids = np.where(found, self.key_ids[at], self.size)
+                found, ids = self._found(prefix[:, j] - prefix[:, j - size] * power[size], chars[:, j - size : j])
                 if size == 1:
                     found = np.ones(n, bool)
                 rows = np.flatnonzero(found & (best[:, j - size] > -np.inf))
@@ -143,21 +249,29 @@ class Pieces:
                 break
             path[go, k] = last[rows[go], at[go]]
             at[go] -= step[rows[go], at[go]]
-        return [p[p >= 0][::-1] for p in path]
+        return path
 
     def units(self, units: list[str]) -> list[bytes]:
         """Ids of each unit as little-endian int32."""
-        by_length: dict[int, list[int]] = {}
-        for i, u in enumerate(units):
-            by_length.setdefault(len(u), []).append(i)
-        out = [b""] * len(units)
-        for length, rows in by_length.items():
-            chars = np.frombuffer("".join(units[i] for i in rows).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(-1, length).astype(np.uint64)
-            for i, ids in zip(rows, self._viterbi(chars), strict=True):
-                if (ids == self.size).any():
-                    ids = np.array(self._with_bytes(units[i], ids.tolist()))
-                out[i] = ids.astype("<i4").tobytes()
-        return out
+        cut = {u: self.parts(u) for u in units if len(u) > LONG}
+        kinds = [u for u in units if len(u) <= LONG]
+        if cut:
+            kinds = list(dict.fromkeys([*kinds, *(p for parts in cut.values() for p in parts)]))
+        by_length: dict[int, list[str]] = {}
+        for p in kinds:
+            by_length.setdefault(len(p), []).append(p)
+        done: dict[str, bytes] = {}
+        for length, same in by_length.items():
+            if len(same) < FEW:
+                for p in same:
+                    done[p] = np.array(self._with_bytes(p, self._single(p)), "<i4").tobytes()
+                continue
+            chars = np.frombuffer("".join(same).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(-1, length)
+            path = self._viterbi(chars)[:, ::-1]
+            blob, ends = path[path >= 0].astype("<i4").tobytes(), np.cumsum((path >= 0).sum(1) * 4).tolist()
+            for p, begin, end, odd in zip(same, [0, *ends[:-1]], ends, (path == self.size).any(1).tolist(), strict=True):
+                done[p] = np.array(self._with_bytes(p, np.frombuffer(blob[begin:end], "<i4").tolist()), "<i4").tobytes() if odd else blob[begin:end]
+        return [done[u] if u in done else b"".join([done[p] for p in cut[u]]) for u in units]
 
     def _with_bytes(self, unit: str, ids: list[int]) -> list[int]:
         out, at = [], 0

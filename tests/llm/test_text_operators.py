@@ -6,6 +6,7 @@ import itertools
 import math
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -118,9 +119,32 @@ def test_unigram_path_is_the_best(texts):
                 k = m.id.get(unit[i:j])
                 value = m.score[k] if k is not None else worst if j - i == 1 else -np.inf
                 best[j] = max(best[j], best[i] + value)
-        chars = np.frombuffer(unit.encode("utf-32-le"), np.uint32)[None].astype(np.uint64)
-        path = m._viterbi(chars)[0]
-        assert np.isclose(sum(m.score[i] if i < m.size else worst for i in path), best[-1])
+        path = m._viterbi(np.frombuffer(unit.encode("utf-32-le"), np.uint32)[None])[0]
+        for ids in (path[path >= 0], m._single(unit)):
+            assert np.isclose(sum(m.score[i] if i < m.size else worst for i in ids), best[-1])
+
+
+def test_long_units(library):
+    """Texts without spaces: cut where no piece crosses, and where pieces cross everywhere; within bounded time."""
+    m = pieces.model(tokenizer_path("piece_bpe_32k.model"))
+    rng = random.Random(2)
+    texts = ["".join(chr(0x4E00 + rng.randrange(3000)) for _ in range(30_000)), "x" * 5000, "ab" * 2000, "".join(rng.choice("abcdefgh0123+/") for _ in range(5000)), "漢" * 60 + "word" * 40 + "😀" * 50, "日本語のテキスト" * 300]
+    for t in texts:
+        assert "".join(m.parts(t)) == t
+        assert np.frombuffer(m.encode([t])[0], "<i4").tolist() == m.library.encode(t)
+    began = time.process_time()
+    m.units(["".join(chr(0x4E00 + rng.randrange(3000)) for _ in range(100_000)), "ab" * 25_000])
+    assert time.process_time() - began < 5
+
+
+def test_models_that_are_refused():
+    piece = lambda text, kind: b"\x0a" + bytes([len(text) + 4]) + b"\x0a" + bytes([len(text)]) + text + b"\x18" + bytes([kind])
+    plain = b"\x1a\x02\x20\x00"  # a normaliser that keeps white space
+    assert pieces.checked_kind(piece(b"a", 1) + plain) == "unigram"
+    assert pieces.checked_kind(piece(b"a", 1) + b"\x12\x02\x18\x02" + plain) == "bpe"
+    for bad in (piece(b"a", 4) + plain, piece(b"a", 1), b"\x1a\x04\x20\x00\x18\x00", b"\x1a\x05\x12\x01x\x20\x00", b"\x12\x02\x18\x03" + plain):
+        with pytest.raises(ValueError):
+            pieces.checked_kind(bad)
 
 
 def components_by_force(sets, percent):
