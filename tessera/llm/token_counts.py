@@ -1,8 +1,10 @@
 """Operator 5: token counts of whole texts.
 
-Texts of usual length are counted word by word (:mod:`tessera.llm.word_bpe`).
-Huge texts are encoded by the library in overlapping chunks with offsets, and
-neighbouring chunks are spliced by *overlap resynchronisation*:
+Texts of more than ``huge`` bytes, four chunks by default, are encoded by the
+library in overlapping chunks with offsets, and neighbouring chunks are spliced
+by *overlap resynchronisation*; shorter ones, which no chunk would cut, are
+counted word by word (:mod:`tessera.llm.word_bpe`). Both give the library's
+counts, so ``huge`` changes memory and time, not results.
 
 * A place is a proven stable boundary if the character before it is white
   space of a kind that the tokenizer drops, and both chunks have a token that
@@ -34,7 +36,7 @@ from tessera.llm.lexicon import slices
 from tessera.llm.word_bpe import encoder
 
 #: Texts over so many bytes count as huge; characters in a chunk and in the first overlap.
-HUGE, CHUNK, OVERLAP = 32_768, 16_384, 512
+HUGE, CHUNK, OVERLAP = 16_384, 4_096, 256
 WHITE = " \t\n\r\x0b\x0c"
 
 
@@ -85,20 +87,23 @@ def spliced_ids(library, text: str, chunk: int = CHUNK, overlap: int = OVERLAP)
     yield here[0][skip:]
 
 
-def count_batch(path: str, texts: pa.Array) -> np.ndarray:
+def count_batch(path: str, texts: pa.Array, huge: int = HUGE, chunk: int = CHUNK, overlap: int = OVERLAP) -> np.ndarray:
     """Tokens of each text of a batch."""
     enc = encoder(path)
     out = np.zeros(len(texts), np.int64)
     for start, part in slices(texts):
-        huge = pc.greater(pc.binary_length(part), HUGE).to_numpy(zero_copy_only=False)
-        out[start : start + len(part)] = enc.count(pc.if_else(pa.array(~huge), part, pa.scalar("")))
-        for i in np.flatnonzero(huge):
-            out[start + i] = sum(len(x) for x in spliced_ids(enc.library, part[i].as_py()))
+        long = pc.greater(pc.binary_length(part), huge).to_numpy(zero_copy_only=False)
+        out[start : start + len(part)] = enc.count(pc.if_else(pa.array(~long), part, pa.scalar("")))
+        for i in np.flatnonzero(long):
+            out[start + i] = sum(len(x) for x in spliced_ids(enc.library, part[i].as_py(), chunk, overlap))
     return out
 
 
-def count_tokens(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = "word_bpe_49k.json", limit: int = 2048) -> DataFrame:
-    """(id, n_bytes, n_tokens, over_limit) for each row; no shuffle, one pass over the id and the text."""
+def count_tokens(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = "word_bpe_49k.json", limit: int = 2048, huge: int = HUGE, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
+    """(id, n_bytes, n_tokens, over_limit) for each row; no shuffle, one pass over the id and the text.
+
+    ``huge``: bytes beyond which a text is cut into chunks of ``chunk`` characters with overlaps of ``overlap`` at first.
+    """
     ship(df.sparkSession)
     kind = df.schema[id_col].dataType.simpleString()
 
@@ -106,7 +111,7 @@ def count_tokens(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         path = tokenizer_path(tokenizer)
         for b in batches:
             texts = text_bytes(b.column(1))
-            n = count_batch(path, texts)
+            n = count_batch(path, texts, huge, chunk, overlap)
             yield pa.RecordBatch.from_arrays([b.column(0), pc.binary_length(texts).cast(pa.int64()), pa.array(n), pa.array(n > limit)], names=[id_col, "n_bytes", "n_tokens", "over_limit"])
 
     return df.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, n_bytes long, n_tokens long, over_limit boolean")

@@ -64,6 +64,17 @@ def test_token_counts(spark, docs, texts, library):
     assert token_counts.count_tokens(empty(spark)).count() == 0
 
 
+def test_token_counts_of_huge_texts(spark, texts, library):
+    """Many texts over the threshold, by the parameters; null, repeated and clashing ids; counts equal the library's whatever the threshold."""
+    rng = random.Random(9)
+    many = [" ".join(rng.choice(texts[6:18]) for _ in range(rng.randrange(5, 60))) + "".join(rng.choice(ODD) for _ in range(200)) for _ in range(40)]
+    rows = [(i, t, "x") for i, t in enumerate(many)] + [(None, many[0], "x"), (3, many[3], "x"), (3, None, "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, n_bytes string")
+    want = sorted((r[0] or -1, len(library.encode(r[1] or "", add_special_tokens=False).ids)) for r in rows)
+    for settings in ({}, {"huge": 500, "chunk": 128, "overlap": 16}, {"huge": 10**9}):
+        assert sorted((r["doc_id"] or -1, r["n_tokens"]) for r in token_counts.count_tokens(df, **settings).collect()) == want
+
+
 def test_splicing_equals_the_whole(library, texts):
     rng = random.Random(8)
     for text in (texts[-2], "x" * 5000 + " y" * 40, " " * 3000 + "a b", "".join(rng.choice(ODD) for _ in range(4000)), "<|endoftext|> don't " * 200):
