@@ -6,16 +6,18 @@ Each worker packs the documents of its partition alone, in one pass:
 * A document (or rest) of ``n`` tokens is of class ``k = capacity // n``, that
   is, its length lies between ``capacity / (k + 1)`` and ``capacity / k``. The
   bins of class ``k`` take ``k`` documents each, so any ``k`` of the class fit.
-* What a closed bin has left over is a gap. When the open gaps together can
-  hold the next document, that document is cut over them in order, so harmonic
-  classes keep most documents whole and gaps cost no padding. Gaps under
+* What a closed bin has left over is a gap. A document goes whole into the
+  smallest open gap that holds it; only where none does and the open gaps
+  together hold two sequences (eight, if it would be cut often) is it cut over
+  the largest of them, so harmonic classes keep most documents whole and gaps
+  cost hardly any padding. Gaps under
   ``least`` tokens stay padding, to avoid tiny pieces.
 * At the end, documents of bins that are still open are cut over the open gaps
   and then over full sequences; the last, partial one is cut at powers of two,
   which need no padding.
 
-A worker holds one open bin a class and the open gaps (under the longest
-document's length together). Sequence numbers carry the partition's number in
+A worker holds one open bin a class and the open gaps (nine sequences
+together at most). Sequence numbers carry the partition's number in
 their upper bits, so workers need not agree on anything; a task that is run
 again for a lost executor packs the same rows in the same way.
 
@@ -26,6 +28,7 @@ columns of the input are left out, whatever their names.
 
 from __future__ import annotations
 
+from bisect import bisect_left, insort
 from collections import deque
 from collections.abc import Iterator
 
@@ -45,7 +48,7 @@ class HarmonicPacker:
     def __init__(self, capacity: int = 4096, classes: int = 64, least: int = 16):
         self.capacity, self.classes, self.least = capacity, classes, least
         self.bins: dict[int, list] = {}  # class -> [(doc, start, length, doc_tokens)]
-        self.gaps: deque[tuple[int, int, int]] = deque()  # (sequence, offset, free tokens)
+        self.gaps: list[tuple[int, int, int]] = []  # (free tokens, sequence, offset), ascending
         self.free = 0
         self.sequences = 0
 
@@ -63,7 +66,14 @@ class HarmonicPacker:
             yield from self._rest(doc, start, n)
 
     def _rest(self, doc, start: int, n: int) -> Iterator[tuple]:
-        if self.free >= n - start:
+        at = bisect_left(self.gaps, (n - start,))
+        if at < len(self.gaps):
+            left, sequence, offset = self._take(at)
+            yield doc, start, n - start, n, sequence, offset
+            self._gap(left - (n - start), sequence, offset + n - start)
+            return
+        few = self.gaps and n - start <= 4 * self.gaps[-1][0]
+        if self.free >= max(n - start, (2 if few else 8) * self.capacity):
             yield from self._fill(doc, start, n)
             return
         k = min(self.capacity // (n - start), self.classes)
@@ -77,28 +87,34 @@ class HarmonicPacker:
         for doc, start, length, n in held:
             yield doc, start, length, n, sequence, offset
             offset += length
-        if (left := self.capacity - offset) >= self.least:
-            self.gaps.append((sequence, offset, left))
+        self._gap(self.capacity - offset, sequence, offset)
+
+    def _gap(self, left: int, sequence: int, offset: int) -> None:
+        if left >= self.least:
+            insort(self.gaps, (left, sequence, offset))
             self.free += left
 
+    def _take(self, at: int) -> tuple[int, int, int]:
+        gap = self.gaps.pop(at)
+        self.free -= gap[0]
+        return gap
+
     def _fill(self, doc, start: int, n: int) -> Iterator[tuple]:
         """Cut ``doc[start:n]`` over the gaps."""
         while start < n:
-            sequence, offset, left = self.gaps.popleft()
+            left, sequence, offset = self._take(-1)
             take = min(left, n - start)
             yield doc, start, take, n, sequence, offset
-            start, self.free = start + take, self.free - take
-            if take < left:
-                self.gaps.appendleft((sequence, offset + take, left - take))
+            start += take
+            self._gap(left - take, sequence, offset + take)
 
     def finish(self) -> Iterator[tuple]:
         """Place what the open bins hold: gaps first, then full sequences, then powers of two."""
         rest = deque((doc, start, start + length, n) for _, held in sorted(self.bins.items()) for doc, start, length, n in held)
         self.bins = {}
         total = sum(stop - start for _, start, stop, _ in rest)
-        sizes = [left for _, _, left in self.gaps]
-        places = [(s, o, left) for s, o, left in self.gaps]
-        total -= sum(sizes)
+        places = [(s, o, left) for left, s, o in reversed(self.gaps)]
+        total -= self.free
         while total >= self.capacity:
             places.append((self._new(), 0, self.capacity))
             total -= self.capacity
@@ -116,7 +132,7 @@ class HarmonicPacker:
                 left, offset = left - take, offset + take
                 if start + take < stop:
                     rest.appendleft((doc, start + take, stop, n))
-        self.gaps, self.free = deque(), 0
+        self.gaps, self.free = [], 0
 
 
 SCHEMA = "start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
