@@ -11,7 +11,7 @@ from contextlib import contextmanager
 from pathlib import Path
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
 
@@ -106,10 +106,30 @@ def null_as_empty(name: str):
     return F.coalesce(F.col(name), F.lit(""))
 
 
-def keep_rows(df: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
-    """The rows of ``df`` whose id is in ``ids``, null matching null; columns as they were."""
-    wanted = ids.select(F.col(id_col).alias("_wanted"))
-    return df.join(wanted, df[id_col].eqNullSafe(wanted["_wanted"]), "left_semi")
+#: Ids are broadcast up to so many bytes.
+BROADCAST_BYTES = 4_000_000
+
+
+def few(ids: DataFrame) -> DataFrame:
+    """One column of ids, to be broadcast if it is small; joins with larger ones shuffle."""
+    size = ids.agg(F.sum(F.octet_length(F.col(ids.columns[0]).cast("string")) + 8)).first()[0] or 0
+    return F.broadcast(ids) if size <= BROADCAST_BYTES else ids
+
+
+def without_copies(df: DataFrame, marked: DataFrame, id_col: str) -> DataFrame:
+    """The rows of ``df`` that ``marked`` (id, kept, ...; a row each) keeps, one row of each id; columns as they were.
+
+    Of rows with one id one stays, chosen by hash of the row; rows without an id stay all.
+    """
+    rest = df.join(few(marked.where("NOT kept").select(id_col).distinct()), id_col, "left_anti")
+    repeated = marked.where(F.col("kept") & F.col(id_col).isNotNull()).groupBy(id_col).count().where("count > 1").select(id_col)
+    if repeated.isEmpty():
+        return rest.select(df.columns)
+    repeated = few(repeated)
+    order = Window.partitionBy(id_col).orderBy(F.xxhash64(*df.columns), *[c for c in df.columns if c != id_col])
+    name = "_" * (1 + max(map(len, df.columns)))  # clashes with no column
+    once = rest.join(repeated, id_col, "left_semi").withColumn(name, F.row_number().over(order)).where(F.col(name) == 1)
+    return rest.join(repeated, id_col, "left_anti").select(df.columns).unionByName(once.select(df.columns))
 
 
 def filtered_by(df: DataFrame, text_col: str, judge) -> DataFrame:

@@ -42,14 +42,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import scratch, ship, text_bytes, written
+from tessera.llm.common import few, scratch, ship, text_bytes, written
 from tessera.llm.components import components
 from tessera.llm.lexicon import slices, split_words
 
 #: Bands, coordinates in a band, and size of the permuted universe.
 BANDS, ROWS, UNIVERSE = 36, 6, 1 << 20
-#: Ids of candidates are broadcast up to so many bytes, so that texts need no shuffle.
-BROADCAST_BYTES = 4_000_000
 #: Members of a bucket that is joined by broadcast, and how many such buckets may be.
 HOT, HOT_KEYS = 200, 100_000
 #: Documents and shingles of a block of a tile at most, on average.
@@ -247,10 +245,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         fits = F.least("n", "leader_n") * 100 >= F.greatest("n", "leader_n") * percent
         first = members.where(F.col("id") != F.col("leader")).where(fits).select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct()
         wanted = written(spark, members.select("id").distinct(), "wanted")
-        size = wanted.agg(F.sum(F.octet_length(F.col("id").cast("string")) + 8)).first()[0] or 0
-        if size <= BROADCAST_BYTES:  # else by shuffle
-            wanted = F.broadcast(wanted)
-        texts = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(wanted, "id", "left_semi")
+        texts = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(few(wanted), "id", "left_semi")
         sets = written(spark, full_sets(texts, "id", "text", width), "sets")
         links = written(spark, similar(first, sets, percent), "links")
         label = components(links, "a", "b")

@@ -135,8 +135,12 @@ def telling(among: np.ndarray, often: np.ndarray, toxic: int, texts: int, s: Set
 
 
 def best_cut(z: np.ndarray, toxic: np.ndarray) -> float:
-    """The middle of the widest gap among the cuts with the fewest errors on the training texts."""
+    """Within the widest gap among the cuts with the fewest errors on the training texts, in proportion to the spreads of both classes.
+
+    Texts without a telling word lie close together and toxic ones far apart, so the cut is nearer to the former.
+    """
     order = np.argsort(z, kind="stable")
+    spread = [max(1e-9, float(z[toxic == flag].std())) if (toxic == flag).any() else 1.0 for flag in (False, True)]
     z, toxic = z[order], toxic[order]
     errors = np.cumsum(toxic)[:-1] + np.cumsum(~toxic[::-1])[::-1][1:]  # toxic ones below, others above
     gaps = np.diff(z)
@@ -145,7 +149,7 @@ def best_cut(z: np.ndarray, toxic: np.ndarray) -> float:
     errors = np.where(gaps > 0, errors, len(z) + 1)
     at = np.flatnonzero(errors == errors.min())
     i = at[gaps[at].argmax()]
-    return float((z[i] + z[i + 1]) / 2)
+    return float(z[i] + gaps[i] * spread[0] / sum(spread))
 
 
 def fit_rows(hashes: list[np.ndarray], toxic: np.ndarray, s: Settings) -> Model:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import random
+import re
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -215,11 +218,8 @@ def test_urls(spark):
     assert url_filter.judge(df.where("false")).count() == 0
 
 
-def test_pipeline(spark, tmp_path):
-    import random
-
-    import corpus_pipeline
-
+def corpus(spark, folder, odd=()):
+    """documents and labels of a folder; ``odd``: more rows of documents."""
     rng = random.Random(1)
     words = [f"{a}{b}" for a in ("ba", "lo", "ti", "mu", "se") for b in ("ra", "no", "ke", "du", "pi", "sa")]
     docs, labels = [], []
@@ -234,13 +234,133 @@ def test_pipeline(spark, tmp_path):
         docs.append((i, " ".join(w), "en", "s", 1))
         labels.append((i, int(not bad), int(toxic)))
     docs += [(300, docs[0][1], "en", "s", 1), (301, docs[3][1].upper().lower(), "en", "s", 1)]
-    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
-    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    docs += [(302 + k, " ".join(["edit"] * (k % 2) + docs[8][1].split()[k % 3 :]), "en", "s", 1) for k in range(6)]
+    docs += odd
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    return docs, labels
+
+
+def dedup_by_force(rows, width=5):
+    """The smallest id of each group of rows (id, text), by all pairs."""
+    sets = {}
+    for i, t in rows:
+        w = re.findall("[^\x20\x09-\x0d]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+        sets.setdefault(i, []).append({tuple(w[k : k + width]) for k in range(len(w) - width + 1)} if len(w) >= width else {tuple(w)} if w else set())
+    up = {i: i for i in sets}
+
+    def top(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for i in sets:
+        for j in sets:
+            if i < j and any(x and y and 100 * len(x & y) >= 80 * len(x | y) for x in sets[i] for y in sets[j]):
+                x, y = sorted((top(i), top(j)))
+                up[y] = x
+    return {i for i in sets if top(i) == i}
+
+
+def test_pipeline_by_force(spark, tmp_path):
+    """Every stage on its predecessor's rows; the last one's pieces are the library's ids of what stays."""
+    import zlib
+
+    import corpus_pipeline
+    from tessera.llm import quality, toxicity
+    from tessera.llm.common import tokenizer_path
+    from tessera.llm.word_bpe import encoder
+
+    long = "mura seno " * 4000 + "tail"
+    odd = [(400, None, "en", "s", 1), (401, "", "en", "s", 1), (402, long, "en", "s", 1), (403, long, None, None, None), (404, "bara lono", "en", "s", 1), (404, "bara lono", "en", "s", 1), (None, "seno dura", "en", "s", 1), (None, "seno dura", "en", "s", 1)]
+    docs, labels = corpus(spark, tmp_path, odd)
+    table, label = spark.read.parquet(f"{tmp_path}/documents.parquet"), spark.read.parquet(f"{tmp_path}/labels.parquet").where(~quality.held_out("doc_id"))
+    good = quality.fit(table, label, "doc_id", "text", "quality")
+    bad = toxicity.fit(table, label, "doc_id", "text", "toxic")
+    scored = quality.score(table, good, "doc_id", "text").collect()
+    graded = toxicity.severity(table, bad, "doc_id", "text").collect()
+    texts = {(d[0], d[1]) for d in docs}
+    by_id = {r["doc_id"]: r["score"] for r in scored}
+    toxic = {r["doc_id"]: r["toxic"] for r in graded}
+    passed = [(i, t) for i, t in texts if by_id[i] >= 0.5 and not toxic[i]]
+    want = dedup_by_force([(i, t) for i, t in passed if i is not None])
+    docs_now = table
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs_now = stage(spark, docs_now, str(tmp_path))
+        assert docs_now.columns == table.columns, name
+    left = sorted((r["doc_id"] is None, r["doc_id"] or 0, r["text"]) for r in docs_now.collect())
+    nulls = 2 if by_id[None] >= 0.5 and not toxic[None] else 0
+    assert [i for n, i, _ in left if not n] == sorted(want) and sum(n for n, *_ in left) == nulls
+    library = encoder(tokenizer_path("word_bpe_49k.json")).library
+    pieces = {}
+    for r in corpus_pipeline.run(spark, str(tmp_path)).collect():
+        if r["doc_id"] is not None:
+            pieces.setdefault(r["doc_id"], []).append(r)
+    assert set(pieces) == want
+    text = dict(passed)
+    for i, rs in pieces.items():
+        ids, at = np.array([*library.encode(text[i] or "", add_special_tokens=False).ids, 2], "<u4"), 0
+        for r in sorted(rs, key=lambda r: r["start"]):
+            assert r["start"] == at and r["doc_tokens"] == len(ids) and r["ids_crc32"] == zlib.crc32(ids[at : at + r["length"]].tobytes())
+            at += r["length"]
+        assert at == len(ids)
+
+
+def test_pipeline_without_rows(spark, tmp_path):
+    import corpus_pipeline
+
+    for name, schema in (("documents", "doc_id long, text string, lang string, source string, n_chars long"), ("labels", "doc_id long, quality int, toxic int")):
+        spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_one_row_of_each_id_stays(spark, monkeypatch):
+    from tessera.llm import common
+
+    rows = [(1, "a", 0), (1, "a", 0), (1, "b", 0), (2, "c", 1), (None, "d", 1), (None, "d", 1), (3, "e", 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, kept int")
+    marked = spark.createDataFrame([(1, True)] * 3 + [(2, False), (None, True), (None, True), (3, True)], "doc_id long, kept boolean")
+    for size in (4_000_000, -1):
+        monkeypatch.setattr(common, "BROADCAST_BYTES", size)
+        got = common.without_copies(df, marked, "doc_id")
+        assert got.columns == df.columns
+        assert sorted((r["doc_id"] or 0) for r in got.collect()) == [0, 0, 1, 3]
+
+
+def test_the_shared_folder(spark, tmp_path):
+    """Intermediate tables go with the operator, its result stays; a cluster must name the folder."""
+    import os
+
+    from tessera.llm import common
+
+    here = spark.sparkContext._jsc.sc().getCheckpointDir().get() if spark.sparkContext._jsc.sc().getCheckpointDir().isDefined() else common.checkpoint_dir(spark)
+    before = set(os.listdir(here.removeprefix("file:")))
+    near = graph_dedup.near_duplicate_vectors(spark.createDataFrame([(1, [1.0, 0.0], 1), (2, [1.0, 0.1], 1)], "vec_id long, embedding array<double>, label int"))
+    new = set(os.listdir(here.removeprefix("file:"))) - before
+    assert len([x for x in new if not x.startswith(".")]) == 1 and near.count() == 2
+
+
+def test_entry_without_the_subpackage(tmp_path):
+    """With the folders deleted, or only a cache of byte code left, the entry imports and has the other queries."""
+    import shutil
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    top = Path(__file__).resolve().parents[2]
+    shutil.copytree(top / "tessera", tmp_path / "tessera", ignore=shutil.ignore_patterns("llm"))
+    shutil.copy(top / "__spark_entry__.py", tmp_path)
+    code = "import __spark_entry__ as e; q = e.queries(); assert len(q) > 50 and not any(n.startswith('op') or n == 'pipeline' for n in q); e.oracle_sql()"
+    subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True)
+    (tmp_path / "tessera" / "llm" / "__pycache__").mkdir(parents=True)
+    subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True)
+
+
+def test_pipeline(spark, tmp_path):
+    import corpus_pipeline
+
+    _, labels = corpus(spark, tmp_path)
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality", "toxicity", "near_dedup", "packing"]
-    table = spark.read.parquet(str(tmp_path / "documents.parquet"))
-    for _, stage in corpus_pipeline.STAGES[:-1]:
-        assert stage(spark, table, str(tmp_path)).columns == table.columns
     out = {r["doc_id"] for r in corpus_pipeline.run(spark, str(tmp_path)).select("doc_id").distinct().collect()}
     clean = {i for i, q, t in labels if q and not t}
-    assert out <= clean and len(out) >= 0.9 * len(clean) and not out & {300, 301}
-    assert corpus_pipeline.run(spark, str(tmp_path)).agg(F.sum("length")).first()[0] > 0
+    assert out <= clean and len(out) >= 0.9 * len(clean) and not out & set(range(300, 308))

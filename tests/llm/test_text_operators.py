@@ -14,7 +14,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.llm import license_scan, near_dedup, packing, pieces, quality, token_counts, toxicity
+from tessera.llm import common, license_scan, near_dedup, packing, pieces, quality, token_counts, toxicity
 from tessera.llm.common import tokenizer_path
 from tessera.llm.word_bpe import encoder
 
@@ -207,7 +207,7 @@ def families(seed):
 def test_near_duplicates_that_drift(spark, monkeypatch, settings):
     """Small bounds, so hot buckets, tiles of several blocks and the shuffle of texts are all in use."""
     for k, v in settings.items():
-        monkeypatch.setattr(near_dedup, k, v)
+        monkeypatch.setattr(common if k == "BROADCAST_BYTES" else near_dedup, k, v)
     rows = families(3)
     sets = {i: (lambda w: {tuple(w[k : k + 4]) for k in range(len(w) - 3)})(t.split()) for i, t in enumerate(rows)}
     df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
