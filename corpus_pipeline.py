@@ -4,17 +4,20 @@ Stages, in order: the quality classifier drops what it rejects, the toxicity
 grader drops what it rejects, circulant MinHash keeps one document of each
 group of near duplicates, and harmonic packing cuts the rest into sequences.
 Every stage but the last returns the columns of documents.
+
+Defined cases: a null or empty text has the score of the classifier's bias and
+no toxic word, and is no near copy of any; rows without an id are kept as they
+are; of rows with one id one stays; an empty table gives an empty one; without
+labels the classifiers reject nothing that their bias does not.
 """
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import near_dedup, packing, quality, toxicity
-from tessera.llm.common import checkpoint_dir, keep_rows, table
+from tessera.llm.common import drop_written, scratch, table, written, without_copies
 
 #: Documents with a quality score below this are rejected.
 LEAST_QUALITY = 0.5
@@ -38,9 +41,9 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 4 at five words and a similarity of 0.8: the document of the smallest id of each group stays."""
+    """Operator 4 at five words and a similarity of 0.8: one row stays of the smallest id of each group."""
     marked = near_dedup.near_duplicates(docs, "doc_id", "text", width=5, percent=80)
-    return keep_rows(docs, marked.where("kept").select("doc_id"), "doc_id")
+    return without_copies(docs, marked.select("doc_id", "kept"), "doc_id")
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,10 +56,17 @@ STAGES = [("quality", quality_stage), ("toxicity", toxicity_stage), ("near_dedup
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each stage's rows are written to the shared folder and read again."""
+    """All stages over ``documents``.
+
+    Each stage's rows are written to the shared folder and read again; they are
+    deleted when the next stage is done, and those of the last one stay.
+    """
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        path = f"{checkpoint_dir(spark)}/pipeline-{uuid.uuid4().hex}/{name}"
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
-    return docs
+    with scratch(spark) as result:
+        for name, stage in STAGES:
+            before, rows = docs, stage(spark, docs, sf_dir)
+            if name == STAGES[-1][0]:
+                return result(rows, f"pipeline-{name}")
+            docs = written(spark, rows, name)
+            if name != STAGES[0][0]:
+                drop_written(spark, before)
