@@ -41,6 +41,7 @@ input are left out, whatever their names.
 
 from __future__ import annotations
 
+import itertools
 import logging
 from collections.abc import Iterator
 
@@ -62,6 +63,8 @@ POOL, DEGREE, ALPHA = 64, 24, 1.2
 AUDIT, AUDITED = 0.999, 200
 #: Rows on each side of an exact tile, on average at most; rows dealt to shards at once.
 TILE, DEAL = 2048, 4096
+#: Neighbours that are looked up at once.
+STEP = 1 << 18
 NODE = "label string, path long, parent long, home boolean, id long, copies long, v array<double>"
 COUNTS = "id long, others long, root long"
 log = logging.getLogger(__name__)
@@ -195,36 +198,47 @@ def pruned(s: np.ndarray, least: float) -> list[np.ndarray]:
 
 def in_range(s: np.ndarray, neighbours: list[np.ndarray], queries: np.ndarray, least: float) -> Iterator[np.ndarray]:
     """Rows found within range of each query row: a greedy walk from the medoid, then range expansion."""
-    width = max((len(x) for x in neighbours), default=0)
-    table = np.full((len(s), width + 1), -1)
-    table[:, 0] = np.arange(len(s))  # each row itself, so a walk may stay
-    for i, x in enumerate(neighbours):
-        table[i, 1 : len(x) + 1] = x
+    n = len(s)
+    degree = np.array([len(x) for x in neighbours], np.int64)
+    flat = np.concatenate([np.zeros(0, np.int64), *neighbours]).astype(np.int64)
+    starts = np.cumsum(degree) - degree
+
+    def spread(who: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(which of ``who``, neighbour) for all neighbours of some rows; hubs have many, so lists are not padded."""
+        sizes = degree[who]
+        of = np.repeat(np.arange(len(who)), sizes)
+        return of, flat[np.arange(len(of)) + np.repeat(starts[who] - (np.cumsum(sizes) - sizes), sizes)]
+
     medoid = int(s.sum(1).argmax())
     reach = 2 * least * least - 1 - 1e-9 if least > 0 else -1.0  # the cosine of twice the angle
-    for begin in range(0, len(queries), 256):
-        q = queries[begin : begin + 256]
-        at = np.full(len(q), medoid)
-        while True:
-            nb = table[at]
-            value = np.where(nb >= 0, s[q[:, None], nb], -np.inf)
-            step = nb[np.arange(len(q)), value.argmax(1)]
-            if (step == at).all():
-                break
-            at = step
-        seen = np.zeros((len(q), len(s)), bool)
-        rows, who = np.arange(len(q)), at
-        close = s[q, at] >= reach
-        rows, who = np.concatenate([rows, rows[close]]), np.concatenate([q, who[close]])  # from where the walk ended, and the query's own node
+    for begin in range(0, len(queries), 128):
+        q = queries[begin : begin + 128]
+        at, walking = np.full(len(q), medoid), np.arange(len(q))
+        while len(walking):
+            of, nb = spread(at[walking])
+            order = np.lexsort((s[q[walking[of]], nb], of))  # each one's best neighbour is its last
+            last = order[np.flatnonzero(np.diff(np.append(of[order], -1)))] if len(order) else order
+            one, to = walking[of[last]], nb[last]
+            better = s[q[one], to] > s[q[one], at[one]]
+            walking = one[better]
+            at[walking] = to[better]
+        seen = np.zeros((len(q), n), bool)
+        close = np.flatnonzero(s[q, at] >= reach)
+        rows, who = np.concatenate([np.arange(len(q)), close]), np.concatenate([q, at[close]])  # the query's own node, and where the walk ended
         seen[rows, who] = True
         while len(rows):
-            nb = table[who]
-            r, k = np.nonzero(nb >= 0)
-            r, x = rows[r], nb[r, k]
-            new = ~seen[r, x] & (s[q[r], x] >= reach)
-            pairs = np.unique(r[new] * len(s) + x[new])
-            rows, who = pairs // len(s), pairs % len(s)
-            seen[rows, who] = True
+            found = [np.zeros(0, np.int64)]
+            ends = np.cumsum(degree[who])
+            parts = np.unique([0, *(np.searchsorted(ends, np.arange(STEP, int(ends[-1]), STEP)) + 1), len(who)])
+            for x, y in itertools.pairwise(parts):  # memory follows the step, however many rows are in range
+                of, nb = spread(who[x:y])
+                r = rows[x:y][of]
+                new = ~seen[r, nb] & (s[q[r], nb] >= reach)
+                pairs = np.unique(r[new] * n + nb[new])
+                seen[pairs // n, pairs % n] = True
+                found.append(pairs)
+            pairs = np.concatenate(found)
+            rows, who = pairs // n, pairs % n
         for i in range(len(q)):
             near = np.flatnonzero(seen[i])
             yield near[(s[q[i], near] >= least) & (near != q[i])]
