@@ -224,7 +224,8 @@ def by_bucket(rows: DataFrame, table: DataFrame, hot: DataFrame | None) -> DataF
     if hot is None:
         return rows.join(table, "h")  # adaptive skew joins split large buckets
     large = F.broadcast(table.join(F.broadcast(hot), "h", "left_semi"))
-    return rows.join(large, "h").unionByName(rows.join(F.broadcast(hot), "h", "left_anti").join(table, "h"))
+    joined = rows.join(large, "h").unionByName(rows.join(F.broadcast(hot), "h", "left_anti").join(table, "h"))
+    return joined.hint("rebalance")  # the first part has as many partitions as texts were read in, each with few rows
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
