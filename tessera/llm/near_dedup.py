@@ -219,12 +219,18 @@ def links_in_groups(docs: DataFrame, sets: DataFrame, percent: int) -> DataFrame
     return tiles(docs).join(sets, "id").groupBy("g", "tile").applyInArrow(run, f"a {kind}, b {kind}")
 
 
-def by_bucket(rows: DataFrame, table: DataFrame, hot: DataFrame | None) -> DataFrame:
-    """``rows`` joined with a table of one row a bucket ``h``, where a bucket may hold any share of the rows: hot ones by broadcast."""
+def hot_keys(table: DataFrame, keys: list[str]) -> DataFrame | None:
+    """The keys of more than ``HOT`` rows in a table of counts ``m``, or None if there are none or too many to broadcast."""
+    hot = table.where(F.col("m") > HOT).select(keys)
+    return hot if 0 < hot.limit(HOT_KEYS + 1).count() <= HOT_KEYS else None
+
+
+def join_hot(rows: DataFrame, table: DataFrame, keys: list[str], hot: DataFrame | None) -> DataFrame:
+    """``rows`` joined with a table of one row a key, where a key may hold any share of the rows: hot ones by broadcast."""
     if hot is None:
-        return rows.join(table, "h")  # adaptive skew joins split large buckets
-    large = F.broadcast(table.join(F.broadcast(hot), "h", "left_semi"))
-    joined = rows.join(large, "h").unionByName(rows.join(F.broadcast(hot), "h", "left_anti").join(table, "h"))
+        return rows.join(table, keys)  # adaptive skew joins split large keys
+    large = F.broadcast(table.join(F.broadcast(hot), keys, "left_semi"))
+    joined = rows.join(large, keys).unionByName(rows.join(F.broadcast(hot), keys, "left_anti").join(table, keys))
     return joined.hint("rebalance")  # the first part has as many partitions as texts were read in, each with few rows
 
 
@@ -235,14 +241,13 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     with scratch(spark) as result:
         sketched = written(spark, sketches(df, id_col, text_col, width), "sketches")
         usable = sketched.where("n_shingles > 0 AND id IS NOT NULL")
-        classes = usable.groupBy("k1", "k2").agg(F.min("id").alias("rep"))
+        classes = written(spark, usable.groupBy("k1", "k2").agg(F.min("id").alias("rep"), F.count("*").alias("m")), "classes")
+        copied = hot_keys(classes, ["k1", "k2"])
         reps = usable.join(classes.select(F.col("rep").alias("id"), "k1", "k2"), ["id", "k1", "k2"], "left_semi").select("id", F.col("n_shingles").alias("n"), F.explode("bands").alias("h"))
         buckets = reps.groupBy("h").agg(F.min(F.struct("id", "n")).alias("first"), F.max("id").alias("last"), F.count("*").alias("m")).where("first.id != last")
         buckets = written(spark, buckets.select("h", F.col("first.id").alias("leader"), F.col("first.n").alias("leader_n"), "m"), "buckets")
-        hot = buckets.where(F.col("m") > HOT).select("h")
-        many = hot.limit(HOT_KEYS + 1).count()
-        hot = hot if 0 < many <= HOT_KEYS else None
-        members = written(spark, by_bucket(reps, buckets.drop("m"), hot), "members")
+        hot = hot_keys(buckets, ["h"])
+        members = written(spark, join_hot(reps, buckets.drop("m"), ["h"], hot), "members")
         fits = F.least("n", "leader_n") * 100 >= F.greatest("n", "leader_n") * percent
         first = members.where(F.col("id") != F.col("leader")).where(fits).select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct()
         wanted = written(spark, members.select("id").distinct(), "wanted")
@@ -252,13 +257,13 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         label = components(links, "a", "b")
         placed = written(spark, members.select("h", "id", "n").join(label.withColumnRenamed("vertex", "id"), "id", "left").select("h", "id", "n", F.coalesce("label", "id").alias("c")), "placed")
         open_buckets = placed.groupBy("h").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.min("id").alias("hub")).where("low != high").select("h", "hub")
-        involved = written(spark, by_bucket(placed, open_buckets, hot), "open")
+        involved = written(spark, join_hot(placed, open_buckets, ["h"], hot), "open")
         groups = components(involved.select("hub", "id").distinct(), "hub", "id")
         inside = involved.select("id", "n", "c").distinct().join(groups.select(F.col("vertex").alias("id"), F.col("label").alias("g")), "id")
         more = links_in_groups(inside, sets, percent)
         label = components(links.unionByName(more), "a", "b")
         by_class = classes.join(label.withColumnRenamed("vertex", "rep"), "rep", "left").select("k1", "k2", F.coalesce("label", "rep").alias("component_id"))
         known = sketched.select("id", "n_shingles", F.when((F.col("n_shingles") > 0) & F.col("id").isNotNull(), F.col("k1")).alias("k1"), "k2")
-        out = known.where("k1 IS NOT NULL").join(by_class, ["k1", "k2"]).select("id", "n_shingles", "component_id").unionByName(known.where("k1 IS NULL").select("id", "n_shingles", F.col("id").alias("component_id")))
+        out = join_hot(known.where("k1 IS NOT NULL"), by_class, ["k1", "k2"], copied).select("id", "n_shingles", "component_id").unionByName(known.where("k1 IS NULL").select("id", "n_shingles", F.col("id").alias("component_id")))
         out = result(out, "near-duplicates")
     return out.select(F.col("id").alias(id_col), "n_shingles", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
