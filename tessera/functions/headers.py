@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 #: Fixed format of a header, anchored at its start; text may follow.
 HEADER = r"^(\([^)]*\)|S)\s(\([^)]*\)|T)\sD\s(\d+|G)\s(\([^)]*\)|M)"
-#: A line that starts a record.
+SEPARATOR = "\x1f"
+#: A line that starts a record; the narrower form has both subject and type in brackets.
+NARROW = r"^\([^\n]*?\) \([^\n]*?\)"
 RECORD = r"^(\([^\n]*?\) \([^\n]*?\)|\([^\n]*?\) T D \d)"
 
 
@@ -20,19 +22,20 @@ def not_blank(x: Column) -> Column:
     return x.rlike(r"\S")
 
 
-def part(header: Column, i: int) -> Column:
-    """The i-th part (1 to 4) without brackets; null if the header does not parse."""
-    return F.when(header.rlike(HEADER), F.translate(F.regexp_extract(header, HEADER, i), "()", ""))
-
-
 def parse(df: DataFrame, header: str = "header") -> DataFrame:
-    """``df`` with s, t, g, m, the grade as a number, and whether text follows the header."""
-    h = F.col(header)
-    whole = F.regexp_extract(h, HEADER, 0)
-    return df.withColumns({name: part(h, i) for i, name in enumerate(("s", "t", "g", "m"), 1)}).withColumns({
-        "grade": F.when(F.col("g") != "G", F.col("g").cast("int")),
-        "trailing": F.when(h.rlike(HEADER), F.length(whole) != F.length(h)),
-    })
+    """``df`` with s, t, g, m, the grade as a number, and whether text follows the header; nulls if it does not parse.
+
+    One match writes the parts of a header between separators (which a header
+    itself is freed of), so its pattern is not tried once a part.
+    """
+    h = F.translate(F.col(header), SEPARATOR, "")
+    marked = F.regexp_replace(h, f"(?s){HEADER}(.*)$", SEPARATOR.join(f"${i}" for i in range(1, 6)))
+    name = "_" * (1 + max(map(len, df.columns)))  # clashes with no column
+    parts = F.split(marked, SEPARATOR)
+    cut = df.withColumn(name, F.when(F.size(parts) == 5, parts))
+    part = lambda i: F.translate(F.get(F.col(name), F.lit(i)), "()", "")
+    cut = cut.withColumns({"s": part(0), "t": part(1), "g": part(2), "m": part(3), "trailing": F.get(F.col(name), F.lit(4)) != ""})
+    return cut.withColumn("grade", F.when(F.col("g") != "G", F.col("g").cast("int"))).drop(name)
 
 
 def labels(x: Column) -> Column:

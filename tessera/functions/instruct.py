@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tessera.functions.headers import labels
+from tessera.functions.headers import labels, strip
 
 #: Subjects written with a capital, modifiers that ask for a subsection, and the sentences of others.
 LANGUAGES = ("French", "English", "Dutch", "Spanish", "German")
@@ -47,10 +47,19 @@ def grade_and_subject(g: Column, s: Column) -> Column:
     return F.concat(who, F.when(s.isNull() | (s == "S"), ".").otherwise(F.concat(F.lit(" learning "), subject, F.lit("."))))
 
 
-def modifier(m: Column) -> Column:
-    """Sentences for a comma list of modifiers; empty for the placeholder ``M``."""
+def modifier(m: Column, compat: bool = False) -> Column:
+    """Sentences for a comma list of modifiers; empty for the placeholder ``M``.
+
+    ``compat``: a modifier is a subsection if it is part of their names joined by
+    blanks, as it stands between commas, so the first name is none after a comma.
+    """
     each = labels(m)
-    sections = F.transform(F.filter(each, lambda x: x.isin(*SECTIONS)), lambda x: F.lower(F.replace(x, F.lit("With "), F.lit(""))))
+    if compat:
+        raw, joined = F.split(m, ","), F.lit(" ".join(SECTIONS))
+        member = lambda x: F.exists(raw, lambda y: (strip(y) == x) & (F.instr(joined, y) > 0))
+    else:
+        member = lambda x: x.isin(*SECTIONS)
+    sections = F.transform(F.filter(each, member), lambda x: F.lower(F.replace(x, F.lit("With "), F.lit(""))))
     plural = F.transform(sections, lambda x: F.when((x == "context") | x.endswith("s"), x).otherwise(F.concat(x, F.lit("s"))))
     n = F.size(plural)
     first = F.array_join(F.slice(plural, 1, F.greatest(n - 1, F.lit(1))), ", ")
@@ -65,7 +74,7 @@ def modifier(m: Column) -> Column:
             out = F.when(x == name, text).otherwise(out)
         return out
 
-    others = F.array_join(F.transform(F.filter(each, lambda x: ~x.isin(*SECTIONS)), sentence), "")
+    others = F.array_join(F.transform(F.filter(each, lambda x: ~member(x)), sentence), "")
     return F.when(m.isNull() | (m == "M"), "").otherwise(F.concat(listed, others))
 
 

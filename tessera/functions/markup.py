@@ -23,10 +23,38 @@ def first_number(s: Column) -> Column:
 def to_latex_words(s: Column) -> Column:
     """``**w**``, ``*w*`` and ``_w_`` around single words between white space become bold, emphasis and underline."""
     for mark, name in ((r"\*\*", "textbf"), (r"\*", "emph"), ("_", "underline")):
-        s = F.regexp_replace(s, rf"(?<=\s){mark}([^\s*_]+){mark}(?=\s)", rf"\\{name}{{$1}}")
+        s = F.regexp_replace(s, rf"(?U)(?<=\s){mark}(\w+){mark}(?=\s)", rf"\\{name}{{$1}}")
     return s
 
 
+def replaced_all(s: Column, old: str, new: str) -> Column:
+    """Every occurrence of a literal text replaced, from the left; an empty one changes nothing."""
+    return F.replace(s, F.lit(old), F.lit(new)) if old else s
+
+
+def to_latex(text: Column) -> Column:
+    """A section (header line and body) as LaTeX: blank lines emptied, lists, sections and marked words rewritten, the header rebuilt.
+
+    A header of five parts (bracketed or words) gets the modifier tags that the
+    body's sections call for, and brackets around each part of more than one
+    character; any other header stays as it is.
+    """
+    at = F.instr(text, "\n")
+    head = F.when(at > 0, F.substring_index(text, "\n", 1)).otherwise(text)
+    body = F.when(at > 0, F.substr(text, at)).otherwise(F.lit(""))
+    parts = F.transform(F.regexp_extract_all(head, F.lit(r"(?U)\(.*?\)|\w+"), F.lit(0)), lambda p: F.regexp_replace(p, r"^[()]+|[()]+$", ""))
+    tags = section_tags(body)
+    own = F.filter(F.split(F.get(parts, F.lit(4)), ", "), lambda x: x != "")
+    new = F.filter(tags, lambda tag: ~F.array_contains(own, tag) & ~F.array_contains(own, F.concat(tag, F.lit("s"))))
+    # the placeholder gives way to a tag
+    modifier = F.array_join(F.concat(F.when((F.size(new) > 0) & (F.array_join(own, ",") == "M"), F.array().cast("array<string>")).otherwise(own), new), ", ")
+    every = F.concat(F.slice(parts, 1, 4), F.array(modifier))
+    rebuilt = F.array_join(F.transform(every, lambda p: F.when(F.length(p) > 1, F.concat(F.lit("("), p, F.lit(")"))).otherwise(p)), " ")
+    emptied = F.array_join(F.transform(F.split(body, "\n"), lambda x: F.when(x.rlike(r"\S"), x).otherwise("")), "\n")
+    done = to_latex_words(sections_to_latex(lists_to_latex(emptied)))
+    return F.concat(F.when(F.size(parts) == 5, rebuilt).otherwise(head), done)
+
+
 def sections_to_latex(body: Column, compat: bool = False) -> Column:
     """Lines that begin with Answers, Hints or Solution become sections. ``compat``: Solution stays."""
     for name in ("Answers", "Hints") if compat else ("Answers", "Hints", "Solution"):
@@ -103,9 +131,16 @@ def _tag_changed(part: Column, tag: str, shown: Column, placeholder: str) -> Col
     return F.when(has & ~shown, removed).when(~has & shown, added).otherwise(part)
 
 
-def reconciled(header: Column, body: Column) -> Column:
-    """The header with its modifiers set right for answers and figures in the body; headers of other than five parts stay."""
+def reconciled(header: Column, body: Column, compat: bool = False) -> Column:
+    """The header with its modifiers set right for answers and figures in the body; headers of other than five parts stay.
+
+    A type that holds the illustration tag is edited in place of the modifiers;
+    if it was its only name, ``T`` stays (``compat``: ``E``).
+    """
     parts = F.split(header, TOP_LEVEL_BLANK)
+    shown = F.instr(body, F.lit(FIGURE)) > 0
+    typed = F.instr(parts[1], "With Illustration") > 0
+    t = F.when(typed, _tag_changed(parts[1], "With Illustration", shown, "E" if compat else "T")).otherwise(parts[1])
     m = _tag_changed(parts[4], "With Answer", F.instr(body, F.lit(ANSWERS)) > 0, "M")
-    m = _tag_changed(m, "With Illustration", F.instr(body, F.lit(FIGURE)) > 0, "M")
-    return F.when(F.size(parts) == 5, F.concat_ws(" ", F.slice(parts, 1, 4), m)).otherwise(header)
+    m = F.when(typed, m).otherwise(_tag_changed(m, "With Illustration", shown, "M"))
+    return F.when(F.size(parts) == 5, F.concat_ws(" ", parts[0], t, parts[2], parts[3], m)).otherwise(header)

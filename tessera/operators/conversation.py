@@ -9,9 +9,35 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BooleanType, StringType, StructField, StructType
 
 PARAMS = "array<struct<S:string,T:string,G:string,M:string,R:boolean>>"
 TOOL = "generate_exercise"
+#: The arguments of a tool call, all of them required.
+ARGUMENTS = StructType([*(StructField(x, ArrayType(StringType())) for x in ("subjects", "exercise_types", "grade_levels", "modifications")), StructField("ready", BooleanType())])
+NESTED = "array<struct<`from`:string,value:string>>"
+
+
+def tool_schema(description: str = "") -> dict:
+    """The tool as models are told of it, from :data:`ARGUMENTS`."""
+    kinds = {"array": {"type": "array", "items": {"type": "string"}}, "boolean": {"type": "boolean"}}
+    properties = {f.name: kinds[f.dataType.typeName()] for f in ARGUMENTS.fields}
+    return {"type": "function", "function": {"name": TOOL, "description": description, "parameters": {"type": "object", "properties": properties, "required": list(properties)}}}
+
+
+def exploded(df: DataFrame, conv: str = "conv_id", nested: str = "conversations") -> DataFrame:
+    """Nested conversations (arrays of (from, value)) as a row a turn: other columns, turn from 0, sender, message. Empty ones give none."""
+    others = [c for c in df.columns if c != nested]
+    return df.select(*others, F.posexplode(nested).alias("turn", "_turn")).select(*others, "turn", F.col("_turn")["from"].alias("sender"), F.col("_turn")["value"].alias("message"))
+
+
+def corpora(df: DataFrame, file: str, single: list[int], multi: list[int], conv: str = "conv_id", turn: str = "turn") -> DataFrame:
+    """(kind, conv, messages): conversations with single parameter sets of some files, and those with several of others, cleaned."""
+    parts = []
+    for kind, files in (("single", single), ("multi", multi)):
+        some = clean(df.where(F.col(file).isin(files)), conv, turn, only=kind)
+        parts.append(tool_conversations(some, conv, turn).select(F.lit(kind).alias("kind"), conv, "messages"))
+    return parts[0].unionByName(parts[1])
 
 
 def expert_parts(message: Column) -> Column:
@@ -96,6 +122,17 @@ def tool_call_of(reply: Column) -> Column:
     return F.when(reply.contains(f'"name": "{TOOL}"'), F.regexp_extract(reply, r"\{.*\}", 0))
 
 
+def call_parameters(reply: Column) -> Column:
+    """The parameters of a tool call in a reply, as :data:`ARGUMENTS`; null if there is none or it is no JSON. Never evaluated."""
+    return F.from_json(tool_call_of(reply), StructType([StructField("name", StringType()), StructField("parameters", ARGUMENTS)]))["parameters"]
+
+
+def balanced(arguments: Column) -> Column:
+    """Whether the four lists of a call have equal length."""
+    sizes = [F.size(arguments[f.name]) for f in ARGUMENTS.fields[:4]]
+    return F.greatest(*sizes) == F.least(*sizes)
+
+
 def mock_exercise(subjects: Column, sizes: list[Column], ready: Column, items: dict[str, str]) -> Column:
     """The stand-in generator: the item of the first subject that occurs, once for each of the longest list's elements."""
     out = F.lit(None).cast("array<string>")
@@ -114,4 +151,15 @@ def mixed(*parts: DataFrame, seed: int = 0) -> DataFrame:
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    return out.orderBy(F.xxhash64(F.lit(seed), *[F.col(c) for c in out.columns]), *out.columns)
+    return out.orderBy(F.xxhash64(F.lit(seed), F.to_json(F.struct(*out.columns))), F.to_json(F.struct(*out.columns)))
+
+
+def draw(key: Column, seed: int = 0) -> Column:
+    """A whole number under 2^32 that depends on the seed and the key alone, for shuffles and samples that any engine can repeat."""
+    return F.conv(F.substr(F.md5(F.concat(F.lit(f"{seed}:"), key.cast("string"))), F.lit(1), F.lit(8)), 16, 10).cast("long")
+
+
+def sampled(df: DataFrame, key: str, share: float, seed: int = 0) -> tuple[DataFrame, DataFrame]:
+    """(the rest, about ``share`` of the rows): the same rows on any cluster; rows without a key are not drawn."""
+    chosen = F.coalesce(draw(F.col(key), seed) < int(share * (1 << 32)), F.lit(False))
+    return df.where(~chosen), df.where(chosen)

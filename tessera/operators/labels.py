@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType
 
 from tessera.functions.headers import labels
+from tessera.operators.lineage import cut_lineage
 
 #: Words that are left out before labels are compared, by kind; labels within the generic string never match.
 DROPPED = {"t": (" Exercise", " Activity"), "m": ("Exercise ", "Activity ")}
@@ -30,20 +32,28 @@ def normalised(label: Column, kind: str) -> Column:
     return out
 
 
-def lcs(a: Column, b: Column) -> Column:
-    """Length of the longest common subsequence, by nested folds over characters (labels are short)."""
-    chars = F.filter(F.split(b, ""), lambda c: c != "")
-    empty = F.array_repeat(F.lit(0), F.size(chars) + 1)
+@F.pandas_udf(IntegerType())
+def lcs(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Length of the longest common subsequence: a bit for each character of ``a``, a step for each of ``b``.
 
-    def row(above: Column, c: Column) -> Column:
-        def cell(done: Column, j: Column) -> Column:
-            value = F.when(F.get(chars, j) == c, F.get(above, j) + 1).otherwise(F.greatest(F.get(above, j + 1), F.element_at(done, -1)))
-            return F.array_append(done, value)
+    Folds of built-in functions say the same, but copy a row of the table a
+    cell, which took a millisecond and a half a pair of labels.
+    """
 
-        places = F.when(F.size(chars) > 0, F.sequence(F.lit(0), F.size(chars) - 1)).otherwise(F.array().cast("array<int>"))
-        return F.aggregate(places, F.array(F.lit(0)), cell)
+    def one(x: str | None, y: str | None) -> int | None:
+        if x is None or y is None:
+            return None
+        places: dict[str, int] = {}
+        for i, c in enumerate(x):
+            places[c] = places.get(c, 0) | 1 << i
+        full = (1 << len(x)) - 1
+        free = full
+        for c in y:
+            hit = free & places.get(c, 0)
+            free = ((free + hit) | (free - hit)) & full
+        return len(x) - free.bit_count()
 
-    return F.element_at(F.aggregate(F.filter(F.split(a, ""), lambda c: c != ""), empty, row), -1)
+    return pd.Series([one(x, y) for x, y in zip(a, b, strict=True)], dtype="Int32")
 
 
 def token_sort_ratio(a: Column, b: Column) -> Column:
@@ -83,14 +93,13 @@ def aliases(found: DataFrame, kind: str, least: float = 90) -> DataFrame:
     all: a label is kept once all its earlier partners are aliases, and an alias
     once one of them is kept and the rest are settled.
     """
-    pairs = fuzzy_pairs(found, kind, least).join(found.select(F.col("label").alias("other"), "first_pos"), "other").persist()
-    state = found.select("label", F.lit(None).cast("boolean").alias("kept"))
-    while True:
+    pairs = cut_lineage(fuzzy_pairs(found, kind, least).join(found.select(F.col("label").alias("other"), "first_pos"), "other"))
+    # labels without an earlier partner are kept; only the others have to wait
+    state = cut_lineage(pairs.select(F.col("other").alias("label")).join(pairs.select("label"), "label", "left_anti").distinct().select("label", F.lit(True).alias("kept")).unionByName(pairs.select("label", F.lit(None).cast("boolean").alias("kept")).distinct()))
+    while not state.where("kept is null").isEmpty():
         seen = pairs.join(state.select(F.col("label").alias("other"), "kept"), "other").groupBy("label").agg(F.max("kept").alias("some"), F.count_if(F.col("kept").isNull()).alias("open"))
-        new = state.join(seen, "label", "left").select("label", F.when(F.coalesce("some", F.lit(False)) , F.lit(False)).when(F.coalesce("open", F.lit(0)) == 0, F.lit(True)).otherwise(F.col("kept")).alias("kept"))
-        state = found.sparkSession.createDataFrame(new.collect(), new.schema)  # distinct labels only, one row each
-        if state.where("kept is null").isEmpty():
-            break
+        kept = F.when(F.coalesce("some", F.lit(False)), F.lit(False)).when(F.coalesce("open", F.lit(0)) == 0, F.lit(True)).otherwise(F.col("kept"))
+        state = cut_lineage(state.join(seen, "label", "left").select("label", kept.alias("kept")))
     best = pairs.join(state.where("kept").select(F.col("label").alias("other")), "other", "left_semi")
     best = best.join(state.where("not kept"), "label", "left_semi").groupBy("label").agg(F.min_by("other", F.struct(-F.col("score"), "first_pos", "other")).alias("canonical"))
     return best.select(F.col("label").alias("alias"), "canonical")
@@ -108,17 +117,45 @@ def combination_counts(parsed: DataFrame) -> DataFrame:
     return parsed.groupBy(combo.alias("combo")).agg(F.count("*").alias("cnt"), F.min("doc_id").alias("first_pos"))
 
 
+def canonical_records(parsed: DataFrame, alias: dict[str, DataFrame], order: str = "doc_id") -> DataFrame:
+    """``parsed`` with the lists of the kinds in ``alias`` (kind -> aliases) rewritten to canonical labels, in their order, commas between."""
+    for kind, table in alias.items():
+        rows = canonical(exploded(parsed, kind, order), table).groupBy(order).agg(F.array_sort(F.collect_list(F.struct("place", "label"))).alias("_listed"))
+        text = F.array_join(F.transform("_listed", lambda x: x["label"]), ",")
+        parsed = parsed.join(rows.select(order, text.alias("_canonical")), order, "left").withColumn(kind, F.coalesce("_canonical", kind)).drop("_canonical")
+    return parsed
+
+
+def statistics(parsed: DataFrame, order: str = "doc_id") -> dict[str, DataFrame]:
+    """All statistics of a corpus on canonical labels.
+
+    ``s t g m combo``: counts (label or combo, cnt, first_pos); ``alias``: (kind,
+    alias, canonical); ``unique``: (kind, n); ``share``: (kind, n, share) of
+    labels that occur more than twice, for types and modifiers.
+    """
+    alias = {kind: aliases(counts(parsed, kind, order), kind) for kind in "tm"}
+    merged = cut_lineage(canonical_records(parsed.select(order, *"stgm"), alias, order))
+    out = {kind: counts(merged, kind, order) for kind in "stgm"} | {"combo": combination_counts(merged)}
+    union = lambda parts: parts[0] if len(parts) == 1 else parts[0].unionByName(union(parts[1:]))
+    out["alias"] = union([alias[kind].select(F.lit(kind).alias("kind"), "alias", "canonical") for kind in "tm"])
+    out["unique"] = union([out[k].agg(F.count("*").alias("n")).select(F.lit(k).alias("kind"), "n") for k in (*"stgm", "combo")])
+    out["share"] = union([frequent_share(out[k]).select(F.lit(k).alias("kind"), "n", "share") for k in "tm"])
+    return out
+
+
 def top(counted: DataFrame, n: int) -> DataFrame:
     """The n commonest, ties by first place."""
     return counted.orderBy(F.desc("cnt"), "first_pos").limit(n)
 
 
-def rarest(parsed: DataFrame, counted: DataFrame, kind: str, compat: bool = False, order: str = "doc_id") -> DataFrame:
+def rarest(parsed: DataFrame, counted: DataFrame, kind: str, compat: bool = False, order: str = "doc_id", alias: DataFrame | None = None) -> DataFrame:
     """(order, label, single): the rarest label of each record's list, the last of ties.
 
-    ``compat``: the last label whose count is not over the first label's.
+    ``alias``: labels are replaced by what they are aliases of, and ``counted``
+    holds counts of those. ``compat``: the last label whose count is not over the first label's.
     """
-    rows = exploded(parsed, kind, order).join(counted.select("label", "cnt"), "label", "left").withColumn("cnt", F.coalesce("cnt", F.lit(0)))
+    rows = exploded(parsed, kind, order)
+    rows = (rows if alias is None else canonical(rows, alias)).join(counted.select("label", "cnt"), "label", "left").withColumn("cnt", F.coalesce("cnt", F.lit(0)))
     if compat:
         first = F.min_by("cnt", "place")
         every = F.collect_list(F.struct("place", "label", "cnt"))

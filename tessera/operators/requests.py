@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
@@ -48,33 +50,73 @@ def count_tokens(text: Column) -> Column:
     return F.size(parts).cast("long")
 
 
-def message_tokens(messages: Column, count=count_tokens) -> Column:
-    """3 a message, the tokens of its values, and 3 at the end; ``count`` may be any column function, such as a Pandas UDF."""
-    each = F.transform(messages, lambda m: F.lit(3) + count(m["role"]) + count(m["content"]))
-    return F.aggregate(each, F.lit(3).cast("long"), lambda a, x: a + x)
+def counted_by(encode_all: Callable[[list[str]], list[int]]) -> Callable[[Column], Column]:
+    """A column function (array of strings -> tokens of all of them) from a tokenizer: a function of many texts to their token counts."""
+
+    @F.pandas_udf(LongType())
+    def count(lists: pd.Series) -> pd.Series:
+        sizes = [0 if x is None else len(x) for x in lists]
+        flat = [t or "" for x in lists if x is not None for t in x]
+        tokens = iter(encode_all(flat))
+        return pd.Series([sum(next(tokens) for _ in range(n)) for n in sizes], dtype="int64")
+
+    return count
+
+
+def message_tokens(messages: Column, count=count_tokens, named: bool = False, parts: bool = False, all_tokens: Callable[[Column], Column] | None = None) -> Column:
+    """3 a message, the tokens of its values (role, content, name), 1 a name, and 3 at the end; null values count nothing.
+
+    ``count`` is a column function of one text. A tokenizer in Python can't run
+    within an array function; it goes in as ``all_tokens`` (see :func:`counted_by`).
+    ``named``: messages have a ``name``. ``parts``: content is an array of typed
+    parts, of which texts count and images do not.
+    """
+    content = (lambda m: F.transform(m["content"], lambda p: p["text"])) if parts else (lambda m: F.array(m["content"]))
+    values = lambda m: F.array_compact(F.concat(F.array(m["role"]), F.array(m["name"]) if named else F.array().cast("array<string>"), F.coalesce(content(m), F.array().cast("array<string>"))))
+    names = F.size(F.filter(messages, lambda m: m["name"].isNotNull())) if named else F.lit(0)
+    fixed = (F.lit(3) + 3 * F.size(messages) + names).cast("long")
+    every = F.flatten(F.transform(messages, values))
+    return fixed + (all_tokens(every) if all_tokens else F.aggregate(F.transform(every, count), F.lit(0).cast("long"), lambda a, x: a + x))
 
 
 def pack(df: DataFrame, group: str, order: str, tokens: str, budget: int = BUDGET, compat: bool = False) -> DataFrame:
     """``df`` with ``batch_id`` (from 1 in each group): a batch closes before the item that would make it reach the budget.
 
     The running total starts anew with each batch, which no window can say, so
-    each group's items stream through ``applyInPandas`` sorted; groups are
-    independent. ``compat``: a first item at or over the budget leaves batch 1 empty.
+    each group's items stream in order through a task, Arrow batch by Arrow
+    batch: what is held is one batch and the total, however large the group is.
+    A null count is 0; rows without a group are a group. ``compat``: a first
+    item at or over the budget leaves batch 1 empty.
     """
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order, kind="stable")
-        batch, total, out = 1, 0, []
-        for i, n in enumerate(pdf[tokens]):
-            if total + n >= budget and (i or compat):
-                batch, total = batch + 1, n
-            else:
-                total += n
-            out.append(batch)
-        return pdf.assign(batch_id=out)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        present, batch, total = object(), 1, 0
+        for b in batches:
+            out = []
+            for g, n in zip(b.column(b.schema.get_field_index(group)).to_pylist(), b.column(b.schema.get_field_index(tokens)).to_pylist(), strict=True):
+                first, n = g != present, n or 0
+                if first:
+                    present, batch, total = g, 1, 0
+                if total + n >= budget and (compat or not first):
+                    batch, total = batch + 1, n
+                else:
+                    total += n
+                out.append(batch)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.int64())], names=[*b.schema.names, "batch_id"])
 
     schema = StructType([*df.schema.fields, StructField("batch_id", LongType())])
-    return df.groupBy(group).applyInPandas(one, schema)
+    return df.repartition(group).sortWithinPartitions(group, order).mapInArrow(run, schema)
+
+
+def request_lines(requests: DataFrame, prompt: str, custom_id: str = "custom_id", content: str = "content", model: str = "gpt-4o") -> DataFrame:
+    """(custom_id, value): each row's request as a JSON line, ready to be written."""
+    return requests.select(custom_id, F.to_json(request(F.col(custom_id), prompt, F.col(content), model)).alias("value"))
+
+
+def results_of(jobs: DataFrame, results: DataFrame, job: str = "job_id") -> DataFrame:
+    """(job, custom_id, content) of the result lines (job, raw) of listed jobs; lines that are no response have null content."""
+    known = results.join(jobs.select(job).distinct(), job, "left_semi")
+    return known.select(job, F.get_json_object("raw", "$.custom_id").alias("custom_id"), response_content(F.col("raw")).alias("content"))
 
 
 def batch_summary(packed: DataFrame, group: str, tokens: str) -> DataFrame:
@@ -86,8 +128,10 @@ def response_content(raw: Column) -> Column:
     return F.from_json(raw, RESPONSE)["response"]["body"]["choices"][0]["message"]["content"]
 
 
-def without_fence(content: Column) -> Column:
-    return F.replace(F.replace(content, F.lit("```json\n"), F.lit("")), F.lit("\n```"), F.lit(""))
+def without_fence(content: Column, compat: bool = False) -> Column:
+    """JSON out of its code fence. ``compat``: its nulls become Python's."""
+    bare = F.replace(F.replace(content, F.lit("```json\n"), F.lit("")), F.lit("\n```"), F.lit(""))
+    return F.replace(bare, F.lit("null"), F.lit("None")) if compat else bare
 
 
 def id_parts(custom_id: Column, n: int) -> Column:

@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.headers import RECORD, not_blank
+from tessera.functions.headers import NARROW, RECORD, not_blank, parse, split_record, strip
+from tessera.functions.instruct import instruction
 
 
 def lines(df: DataFrame, text: str, file: str) -> DataFrame:
@@ -23,11 +24,15 @@ def _joined(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.array_join(F.transform(listed, lambda x: x.line), "\n").alias("text"), F.count("*").alias("n_lines"))
 
 
-def records(lined: DataFrame, file: str) -> DataFrame:
-    """(file, record from 0, text, n_lines): a line that looks like a header's start begins a record."""
+def records(lined: DataFrame, file: str, narrow: bool = False) -> DataFrame:
+    """(file, record from 0, text, n_lines): a line that looks like a header's start begins a record.
+
+    ``narrow``: only lines with subject and type in brackets do; texts are stripped and blank records left out.
+    """
     w = Window.partitionBy(file).orderBy("line_no")
-    starts = F.sum(F.when((F.col("line_no") > 1) & F.col("line").rlike(RECORD), 1).otherwise(0)).over(w)
-    return _joined(lined.withColumn("record", starts), [file, "record"])
+    starts = F.sum(F.when((F.col("line_no") > 1) & F.col("line").rlike(NARROW if narrow else RECORD), 1).otherwise(0)).over(w)
+    out = _joined(lined.withColumn("record", starts), [file, "record"])
+    return out.withColumn("text", strip(F.col("text"))).where(not_blank(F.col("text"))) if narrow else out
 
 
 def raw_segments(lined: DataFrame, file: str, header: str, compat: bool = False) -> DataFrame:
@@ -46,13 +51,20 @@ def chunks(lined: DataFrame, file: str, size: int = 100, compat: bool = False) -
 
 
 def sections(lined: DataFrame, file: str, subjects: tuple[str, ...], size: int = 100) -> DataFrame:
-    """(file, section from 1, subject, chunk, text, n_lines): sections begin with lines that start with a subject in brackets."""
-    pattern = r"^\((" + "|".join(subjects) + r")\)"
-    w = Window.partitionBy(file).orderBy("line_no")
-    cut = lined.withColumn("section", F.sum(F.col("line").rlike(pattern).cast("int")).over(w)).where("section > 0")
-    heads = cut.groupBy(file, "section").agg(F.min_by("line", "line_no").alias("head"), F.floor((F.min("line_no") - 1) / size).alias("chunk"))
-    text = _joined(cut, [file, "section"])
-    return text.join(heads.select(file, "section", F.regexp_extract("head", pattern, 1).alias("subject"), "chunk"), [file, "section"])
+    """(file, section from 1, subject, chunk, text, n_lines): a section begins wherever a subject stands in brackets, also within a line.
+
+    A line is cut before each subject in it, so a piece holds one at its start at most.
+    """
+    pattern = r"\((" + "|".join(subjects) + r")\)"
+    # a line's part before its first subject belongs to the section before
+    pieces = lined.select(file, "line_no", F.posexplode(F.split("line", f"(?={pattern})")).alias("piece", "line"))
+    w = Window.partitionBy(file).orderBy("line_no", "piece")
+    cut = pieces.withColumn("section", F.sum(F.col("line").rlike("^" + pattern).cast("int")).over(w)).where("section > 0")
+    # pieces of one line follow each other without a break, so only a line's first piece begins a new line
+    listed = F.array_sort(F.collect_list(F.struct("line_no", "piece", "line")))
+    text = F.array_join(F.transform(listed, lambda x, i: F.concat(F.when((i > 0) & (x["piece"] == 0), "\n").otherwise(""), x["line"])), "")
+    head = F.min_by("line", F.struct("line_no", "piece"))
+    return cut.groupBy(file, "section").agg(F.regexp_extract(head, "^" + pattern, 1).alias("subject"), F.floor((F.min("line_no") - 1) / size).alias("chunk"), text.alias("text"), F.count_distinct("line_no").alias("n_lines"))
 
 
 def saved(sectioned: DataFrame, last: int) -> DataFrame:
@@ -60,6 +72,15 @@ def saved(sectioned: DataFrame, last: int) -> DataFrame:
     return sectioned.where(F.col("section") <= last).withColumn("text", F.concat(F.regexp_replace("text", r"\n+$", ""), F.lit("\n\n\n")))
 
 
+def pairs(files: DataFrame, text: str, file: str) -> tuple[DataFrame, DataFrame]:
+    """Files to records to training pairs: ((file, record, instruction, response, trailing), (file, record, header) of those that do not parse)."""
+    found = records(lines(files, text, file), file).where(not_blank(F.col("text")))
+    head, body = split_record(strip(F.col("text")))
+    parsed = parse(found.select(file, "record", head.alias("header"), body.alias("response")))
+    good = parsed.where("s IS NOT NULL").select(file, "record", instruction(*map(F.col, "stgm")).alias("instruction"), "response", "trailing")
+    return good, parsed.where("s IS NULL").select(file, "record", "header")
+
+
 def containing(df: DataFrame, text: str, subject: str) -> DataFrame:
     """Records that are not blank and hold the subject anywhere."""
     return df.where(not_blank(F.col(text)) & F.col(text).contains(subject))

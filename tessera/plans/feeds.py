@@ -23,20 +23,23 @@ FROM (SELECT doc_id, text,
 """
 
 #: Tagged conversations: expert parameters on every 5th turn of an assistant, some broken ones.
-ALL_CONVERSATIONS = """
+CONVERSATIONS = """
 SELECT conv_id, turn, CASE WHEN role = 'user' THEN 'human' WHEN role = 'assistant' THEN 'gpt' ELSE 'human' END AS sender,
   CASE WHEN conv_id % 29 = 7 AND turn = 1 THEN text
-       WHEN role <> 'assistant' AND turn % 4 = 3 THEN concat('<E>', text, '</E>')
-       WHEN role <> 'assistant' THEN concat('<U>', text, '</U>')
-       WHEN conv_id % 31 = 5 THEN concat('<U>', text, '</U> <E>{{''S'' None}}</E>')
-       WHEN turn % 5 = 1 THEN concat('<U>', text, '</U> <E>{{''S'': ''Math'', ''T'': ''Essay'', ''G'': ', CAST(conv_id % 12 + 1 AS VARCHAR(10)), ', ''M'': None, ''R'': ', CASE WHEN turn % 2 = 1 THEN 'True' ELSE 'False' END, '}}</E>')
-       WHEN turn % 5 = 3 AND conv_id % 3 = 0 THEN concat('<U>', text, '</U> <E>({{''S'': ''Math'', ''T'': ''Essay'', ''G'': 4, ''M'': None, ''R'': True}}, {{''S'': ''Biology'', ''T'': ''Quiz'', ''G'': 5, ''M'': ''Hint'', ''R'': True}})</E>')
-       WHEN turn % 7 = 5 THEN concat('<E>', text)
-       ELSE concat('<U>', text, '<', chr(92), '/U>') END AS message
+       WHEN role <> 'assistant' AND turn % 4 = 3 THEN '<E>' || text || '</E>'
+       WHEN role <> 'assistant' THEN '<U>' || text || '</U>'
+       WHEN conv_id % 31 = 5 THEN '<U>' || text || '</U> <E>{{''S'' None}}</E>'
+       WHEN turn % 5 = 1 THEN '<U>' || text || '</U> <E>{{''S'': ''Math'', ''T'': ''Essay'', ''G'': ' || CAST(conv_id % 12 + 1 AS VARCHAR(10)) || ', ''M'': None, ''R'': ' || CASE WHEN turn % 2 = 1 THEN 'True' ELSE 'False' END || '}}</E>'
+       WHEN turn % 5 = 3 AND conv_id % 3 = 0 THEN '<U>' || text || '</U> <E>({{''S'': ''Math'', ''T'': ''Essay'', ''G'': 4, ''M'': None, ''R'': True}}, {{''S'': ''Biology'', ''T'': ''Quiz'', ''G'': 5, ''M'': ''Hint'', ''R'': True}})</E>'
+       WHEN turn % 7 = 5 THEN '<E>' || text
+       ELSE '<U>' || text || '<' || chr(92) || '/U>' END AS message
 FROM {conversations}"""
 
-#: The same for the DuckDB SQL, which leaves out null texts and texts with '<'; the queries run over all turns.
-CONVERSATIONS = ALL_CONVERSATIONS + """ WHERE text IS NOT NULL AND NOT contains(text, '<')
+#: Questions with some hundred modifier labels, many of them a letter or two apart, so that aliases chain.
+MANY_LABELS = """
+SELECT doc_id, '(Science)' AS s, CASE doc_id % 5 WHEN 0 THEN '(Essay, Essays)' WHEN 1 THEN '(Reading Exercise)' WHEN 2 THEN '(Reading Exercises, Short Answer)' WHEN 3 THEN '(Short Answers)' ELSE 'T' END AS t, CAST(doc_id % 12 + 1 AS VARCHAR(10)) AS g,
+  '(Topic ' || substr('badofugilekoranimuposetivaxy', CAST(1 + 2 * (doc_id % 11) AS INTEGER), 6) || substr('cuhemiroqazy', CAST(1 + 2 * (doc_id % 3) AS INTEGER), 4) || repeat('s', CAST((doc_id * 7) % 5 AS INTEGER)) || CASE WHEN doc_id % 3 = 0 THEN ', With Hint' ELSE '' END || ')' AS m
+FROM {documents}
 """
 
 #: Layout blocks: a page an order, a block a line item.

@@ -158,14 +158,74 @@ def unique_counts(spark, d):
 # fuzzy labels
 
 SORTED = "list_aggregate(list_sort(list_filter(string_split_regex({x}, '\\s+'), lambda w: w <> '')), 'string_agg', ' ')"
+MANY = f"q0 AS ({feeds.MANY_LABELS.format(documents='documents')}), v AS (SELECT doc_id, translate(s, '()', '') AS s, translate(t, '()', '') AS t, g, translate(m, '()', '') AS m FROM q0)"
 
 
-def _fuzzy_sql() -> str:
-    """Common subsequences by the dynamic programme over all prefixes, one row of it a step of a recursion."""
-    return Q + _count_sql("m") + f""", z AS (SELECT label, first_pos, coalesce({SORTED.format(x="replace(replace(label, 'Exercise ', ''), 'Activity ', '')")}, '') AS x FROM n),
- pr AS (SELECT a.label, b.label AS other, b.first_pos AS op, a.x AS x, b.x AS y FROM z a JOIN z b ON (a.first_pos, a.label) > (b.first_pos, b.label) AND NOT (contains(a.label, 'Exercise') AND contains(b.label, 'Activity')) AND NOT (contains(b.label, 'Exercise') AND contains(a.label, 'Activity'))),
- sc AS (SELECT label, other, op, CASE WHEN length(x) + length(y) = 0 THEN 100.0::DOUBLE ELSE 200.0::DOUBLE * list_extract(list_reduce(string_split(x, ''), lambda above, c: list_reduce(range(length(y)), lambda done, j: list_append(done, CASE WHEN substr(y, j::INTEGER + 1, 1) = c THEN above[j + 1] + 1 ELSE greatest(above[j + 2], done[len(done)]) END), [0::BIGINT]), list_transform(range(length(y) + 1), lambda i: 0::BIGINT)), -1) / (length(x) + length(y)) END AS score FROM pr),
- f AS (SELECT label, other, op, score FROM sc WHERE score > 90)"""
+def _alias_sql(k: str) -> str:
+    """Aliases of a kind's labels in ``v``: common subsequences by the dynamic programme over all prefixes, then label by label."""
+    first, second = labels.DROPPED[k]
+    generic = f"WHERE NOT contains('{labels.GENERIC}', label)" if k == "t" else ""
+    return f"""e{k} AS (SELECT doc_id, unnest({SPLIT.format(c=k)}) AS label, generate_subscripts({SPLIT.format(c=k)}, 1) AS place FROM v), n{k} AS (SELECT label, count(*) AS cnt, min(doc_id) AS first_pos FROM e{k} GROUP BY label),
+ z{k} AS (SELECT label, first_pos, coalesce({SORTED.format(x=f"replace(replace(label, '{first}', ''), '{second}', '')")}, '') AS x FROM n{k} {generic}),
+ pr{k} AS (SELECT a.label, b.label AS other, b.first_pos AS op, a.x AS x, b.x AS y FROM z{k} a JOIN z{k} b ON (a.first_pos, a.label) > (b.first_pos, b.label) AND NOT (contains(a.label, 'Exercise') AND contains(b.label, 'Activity')) AND NOT (contains(b.label, 'Exercise') AND contains(a.label, 'Activity'))),
+ sc{k} AS (SELECT label, other, op, CASE WHEN length(x) + length(y) = 0 THEN 100.0::DOUBLE ELSE 200.0::DOUBLE * list_extract(list_reduce(string_split(x, ''), lambda above, c: list_reduce(range(length(y)), lambda done, j: list_append(done, CASE WHEN substr(y, j::INTEGER + 1, 1) = c THEN above[j + 1] + 1 ELSE greatest(above[j + 2], done[len(done)]) END), [0::BIGINT]), list_transform(range(length(y) + 1), lambda i: 0::BIGINT)), -1) / (length(x) + length(y)) END AS score FROM pr{k}),
+ f{k} AS (SELECT label, other, op, score FROM sc{k} WHERE score > 90),
+ o{k} AS (SELECT n{k}.label, row_number() OVER (ORDER BY first_pos, n{k}.label) AS i, coalesce(others, []) AS others FROM n{k} LEFT JOIN (SELECT label, list(other) AS others FROM f{k} GROUP BY label) x ON n{k}.label = x.label),
+ ks{k} AS (SELECT 0::BIGINT AS i, []::VARCHAR[] AS kept UNION ALL SELECT o.i, CASE WHEN list_has_any(kept, others) THEN kept ELSE list_append(kept, label) END FROM ks{k} JOIN o{k} o ON o.i = ks{k}.i + 1),
+ last{k} AS (SELECT arg_max(kept, i) AS kept FROM ks{k}),
+ al{k} AS (SELECT f{k}.label AS alias, first(other ORDER BY score DESC, op, other) AS canonical FROM f{k}, last{k} WHERE list_contains(kept, other) AND NOT list_contains(kept, f{k}.label) GROUP BY f{k}.label),
+ c{k} AS (SELECT doc_id, place, coalesce(canonical, label) AS label FROM e{k} LEFT JOIN al{k} ON label = alias), nc{k} AS (SELECT label, count(*) AS cnt, min(doc_id) AS first_pos FROM c{k} GROUP BY label)"""
+
+
+def _many(spark, d):
+    q = feeds.feed(spark, feeds.MANY_LABELS, documents=t(spark, d, "documents").select("doc_id"))
+    return q.select("doc_id", *[F.translate(c, "()", "").alias(c) for c in "stgm"])
+
+
+_CANON = f"WITH RECURSIVE {MANY}, {_alias_sql('t')}, {_alias_sql('m')}"
+_CCOMBO = ", kc AS (SELECT v.doc_id, trim(s) || '|' || ct.x || '|' || g || '|' || cm.x AS combo FROM v JOIN (SELECT doc_id, string_agg(label, '' ORDER BY place) AS x FROM ct GROUP BY doc_id) ct ON ct.doc_id = v.doc_id JOIN (SELECT doc_id, string_agg(label, '' ORDER BY place) AS x FROM cm GROUP BY doc_id) cm ON cm.doc_id = v.doc_id)"
+
+
+@query("canonical_alias", _CANON + " SELECT 't' AS kind, * FROM alt UNION ALL SELECT 'm', * FROM alm")
+def canonical_alias(spark, d):
+    return labels.statistics(_many(spark, d))["alias"]
+
+
+@query("canonical_types", _CANON + " SELECT * FROM nct")
+def canonical_types(spark, d):
+    return labels.statistics(_many(spark, d))["t"]
+
+
+@query("canonical_modifiers", _CANON + " SELECT * FROM ncm")
+def canonical_modifiers(spark, d):
+    return labels.statistics(_many(spark, d))["m"]
+
+
+@query("canonical_combos", _CANON + _CCOMBO + " SELECT combo, count(*) AS cnt, min(doc_id) AS first_pos FROM kc GROUP BY combo")
+def canonical_combos(spark, d):
+    return labels.statistics(_many(spark, d))["combo"]
+
+
+@query("canonical_unique", _CANON + _CCOMBO + " SELECT 's' AS kind, count(DISTINCT s) AS n FROM v UNION ALL SELECT 't', count(*) FROM nct UNION ALL SELECT 'g', count(DISTINCT g) FROM v UNION ALL SELECT 'm', count(*) FROM ncm UNION ALL SELECT 'combo', count(DISTINCT combo) FROM kc")
+def canonical_unique(spark, d):
+    return labels.statistics(_many(spark, d))["unique"]
+
+
+_SHARE = "SELECT '{k}' AS kind, count(*) FILTER (cnt > 2) AS n, round(100.0 * sum(CASE WHEN cnt > 2 THEN cnt ELSE 0 END) / sum(cnt), 6) AS share FROM nc{k}"
+
+
+@query("canonical_share", _CANON + " " + _SHARE.format(k="t") + " UNION ALL " + _SHARE.format(k="m"))
+def canonical_share(spark, d):
+    return labels.statistics(_many(spark, d))["share"]
+
+
+@query("rarest_canonical", _CANON + " SELECT cm.doc_id, arg_max(cm.label, (-ncm.cnt) * 1000 + place) AS label, count(*) = 1 AS single FROM cm JOIN ncm ON cm.label = ncm.label GROUP BY cm.doc_id")
+def rarest_canonical(spark, d):
+    p = _many(spark, d)
+    found = labels.counts(p, "m")
+    alias = labels.aliases(found, "m")
+    merged = labels.canonical(labels.exploded(p, "m"), alias).groupBy("label").agg(F.count("*").alias("cnt"))
+    return labels.rarest(p, merged, "m", alias=alias)
 
 
 @query("fuzzy_pairs")
@@ -267,6 +327,33 @@ def line_chunks(spark, d):
     return _digest(segments.chunks(file_lines(spark, d), "file", 20), "file", "chunk")
 
 
+NARROW_SQL = "^\\([^\\n]*?\\) \\([^\\n]*?\\)"
+_SEG = ", s AS (SELECT *, sum(CASE WHEN line_no > 1 AND regexp_matches(line, '{p}') THEN 1 ELSE 0 END) OVER (PARTITION BY file ORDER BY line_no) AS record FROM l), r AS (SELECT file, record::BIGINT AS record, regexp_replace(string_agg(line, chr(10) ORDER BY line_no), '^\\s+|\\s+$', '', 'g') AS text, count(*) AS n_lines FROM s GROUP BY file, record)"
+
+
+@query("narrow_segments", FILES + _SEG.format(p=NARROW_SQL) + " SELECT file, record, n_lines, md5(text) AS text_md5, contains(text, 'Mathematics') AS wanted FROM r WHERE text <> ''")
+def narrow_segments(spark, d):
+    return segments.records(file_lines(spark, d), "file", narrow=True).select("file", "record", "n_lines", F.md5("text").alias("text_md5"), F.col("text").contains("Mathematics").alias("wanted"))
+
+
+def _files(spark, d):
+    lined = file_lines(spark, d)
+    return lined.groupBy("file").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x.line), "\n").alias("text"))
+
+
+_PAIRS = FILES + _SEG.format(p=RECORD_SQL) + f", hb AS (SELECT file, record, string_split(text, chr(10))[1] AS header, CASE WHEN contains(text, chr(10)) THEN substr(text, instr(text, chr(10)) + 1) ELSE '' END AS body FROM r WHERE text <> ''), ph AS (SELECT *, regexp_matches(header, '{headers.HEADER}') AS fits FROM hb)"
+
+
+@query("corpus_pairs", _PAIRS + f" SELECT file, record, {TYPE} || ' ' || {GRADE} || {MODIFIER} AS instruction, md5(body) AS response_md5, whole <> header AS trailing FROM (SELECT file, record, body, header, regexp_extract(header, h, 0) AS whole, translate(regexp_extract(header, h, 1), '()', '') AS s, translate(regexp_extract(header, h, 2), '()', '') AS t, regexp_extract(header, h, 3) AS g, translate(regexp_extract(header, h, 4), '()', '') AS m FROM ph, (SELECT '{headers.HEADER}' AS h) WHERE fits) v")
+def corpus_pairs(spark, d):
+    return segments.pairs(_files(spark, d), "text", "file")[0].select("file", "record", "instruction", F.md5("response").alias("response_md5"), "trailing")
+
+
+@query("corpus_pairs_rejected", _PAIRS + " SELECT file, record, header FROM ph WHERE NOT fits")
+def corpus_pairs_rejected(spark, d):
+    return segments.pairs(_files(spark, d), "text", "file")[1]
+
+
 _SUBJ = "|".join(feeds.SUBJECTS)
 
 
@@ -342,6 +429,52 @@ def pack_summary(spark, d):
     return requests.batch_summary(_packed(spark, d), "source", "tokens")
 
 
+NAMED = "9 + 1 + " + " + ".join(PARTS.format(x=x) for x in ("'system'", "'Extract the exercise.'", "'user'", "source", "coalesce(text, '')")).replace("{{", "{").replace("}}", "}")
+
+
+@query("token_count_named", f"SELECT doc_id, {NAMED} AS tokens FROM documents WHERE source IS NOT NULL")
+def token_count_named(spark, d):
+    m = lambda role, content, name: F.struct(F.lit(role).alias("role"), content.alias("content"), name.alias("name"))
+    messages = F.array(m("system", F.lit("Extract the exercise."), F.lit(None).cast("string")), m("user", F.col("text"), F.col("source")))
+    return t(spark, d, "documents").where("source is not null").select("doc_id", requests.message_tokens(messages, named=True).alias("tokens"))
+
+
+@query("token_count_parts", f"SELECT item_id, 3 + 3 + {PARTS.format(x=chr(39) + 'user' + chr(39))} + {PARTS.format(x='text')} AS tokens FROM benchmark")
+def token_count_parts(spark, d):
+    """Parts with an image and a text: the text counts."""
+    part = lambda kind, text: F.struct(F.lit(kind).alias("type"), text.alias("text"))
+    message = F.struct(F.lit("user").alias("role"), F.array(part("image_url", F.lit(None).cast("string")), part("text", F.col("text"))).alias("content"))
+    return t(spark, d, "benchmark").select("item_id", requests.message_tokens(F.array(message), parts=True).alias("tokens"))
+
+
+@query("image_request", "SELECT item_id, 'image_url' AS kind, 'http://h/' || item_id AS url FROM benchmark")
+def image_request(spark, d):
+    body = requests.request(F.col("item_id").cast("string"), "Read it.", F.to_json(requests.image_part(F.concat(F.lit("http://h/"), F.col("item_id").cast("string")))))
+    content = body["body"]["messages"][1]["content"]
+    return t(spark, d, "benchmark").select("item_id", F.get_json_object(content, "$[0].type").alias("kind"), F.get_json_object(content, "$[0].image_url.url").alias("url"))
+
+
+@query("request_lines", "SELECT 'synthetic2_from_example' || item_id AS custom_id, count(*) AS n, md5('Write one like this: ' || text) AS content_md5 FROM benchmark, range(100) GROUP BY item_id, text")
+def request_lines(spark, d):
+    made = requests.fan_out(t(spark, d, "benchmark"), 100, 2, "Write one like this: ", "item_id", "text")
+    lines = requests.request_lines(made, "Be brief.").select("custom_id", F.md5(F.get_json_object("value", "$.body.messages[1].content")).alias("content_md5"))
+    return lines.groupBy("custom_id", "content_md5").agg(F.count("*").alias("n"))
+
+
+@query("job_results", "SELECT 'job' || doc_id % 7 AS job_id, 'a_' || doc_id AS custom_id, md5(text) AS content_md5 FROM documents WHERE doc_id % 7 IN (2, 5) AND text IS NOT NULL")
+def job_results(spark, d):
+    body = F.struct(F.struct(F.array(F.struct(F.struct(F.col("text").alias("content")).alias("message"))).alias("choices")).alias("body"))
+    raw = F.to_json(F.struct(F.concat(F.lit("a_"), F.col("doc_id").cast("string")).alias("custom_id"), body.alias("response")))
+    results = t(spark, d, "documents").where("text is not null").select(F.concat(F.lit("job"), (F.col("doc_id") % 7).cast("string")).alias("job_id"), raw.alias("raw"))
+    jobs = spark.createDataFrame([("job2",), ("job5",), ("job5",), ("job99",)], "job_id string")
+    return requests.results_of(jobs, results).select("job_id", "custom_id", F.md5("content").alias("content_md5"))
+
+
+@query("without_fence", "SELECT item_id, '{\"a\": ' || text || '}' AS text FROM benchmark")
+def without_fence(spark, d):
+    return t(spark, d, "benchmark").select("item_id", requests.without_fence(F.concat(F.lit('```json\n{"a": '), "text", F.lit("}\n```"))).alias("text"))
+
+
 OCR = "SELECT doc_id, 'Science_' || (doc_id % 12 + 1) || CASE WHEN doc_id % 10 = 3 THEN '' ELSE '_0' END AS custom_id, 'x*NEW*' || coalesce(text, '') || CASE WHEN doc_id % 3 = 0 THEN '*NEW*again' ELSE '' END AS content FROM documents"
 
 
@@ -377,7 +510,7 @@ CT = C + f""", u AS (SELECT *, {U} AS txt, {E} AS ex FROM c),
 
 
 def _conv(spark, d):
-    return feeds.feed(spark, feeds.ALL_CONVERSATIONS, conversations=t(spark, d, "conversations"))
+    return feeds.feed(spark, feeds.CONVERSATIONS, conversations=t(spark, d, "conversations"))
 
 
 def _cleaned(spark, d, only=None):
@@ -433,6 +566,53 @@ def tool_conversations(spark, d):
     return m.select("conv_id", F.size("messages").cast("long").alias("n"), F.size(F.filter("messages", lambda x: x["tool_calls"].isNotNull())).cast("long").alias("n_calls"))
 
 
+NESTED = CT + """, fin AS (SELECT conv_id, turn, CASE WHEN anymulti THEN 'multi' ELSE 'single' END AS kind, coalesce(role, '') || ':' || coalesce(content, '-') || ':' || CASE WHEN NOT calls OR calls IS NULL THEN 0 WHEN multi THEN 2 ELSE 1 END AS said FROM ok WHERE anymulti OR conv_id % 13 + 1 = 13 OR conv_id % 2 = 0)"""
+
+
+@query("conv_corpora", NESTED + " SELECT kind, conv_id, count(*) AS n, md5(string_agg(said, chr(10) ORDER BY turn)) AS messages_md5 FROM fin GROUP BY kind, conv_id")
+def conv_corpora(spark, d):
+    """Nested conversations to clean training data: single parameter sets of some files, several sets of all."""
+    nested = _conv(spark, d).groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "sender", "message"))), lambda x: F.struct(x["sender"].alias("from"), x["message"].alias("value"))).alias("conversations"))
+    turns = conversation.exploded(nested.withColumn("file", F.col("conv_id") % 13 + 1 + F.when(F.col("conv_id") % 2 == 0, 100).otherwise(0)))
+    found = conversation.corpora(turns, "file", [13, *range(101, 114)], [*range(1, 14), *range(101, 114)])
+    said = F.transform("messages", lambda m: F.concat(F.coalesce(m["role"], F.lit("")), F.lit(":"), F.coalesce(m["content"], F.lit("-")), F.lit(":"), F.coalesce(F.size(m["tool_calls"][0]["function"]["arguments"]["subjects"]), F.lit(0)).cast("string")))
+    return found.select("kind", "conv_id", F.size("messages").cast("long").alias("n"), F.md5(F.array_join(said, "\n")).alias("messages_md5"))
+
+
+@query("conv_turns", C + " SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS turn, sender, md5(message) AS message_md5 FROM c")
+def conv_turns(spark, d):
+    nested = _conv(spark, d).groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "sender", "message"))), lambda x: F.struct(x["sender"].alias("from"), x["message"].alias("value"))).alias("conversations"))
+    return conversation.exploded(nested).select("conv_id", F.col("turn").cast("long").alias("turn"), "sender", F.md5("message").alias("message_md5"))
+
+
+REPLY = "'Sure. {\"name\": \"generate_exercise\", \"parameters\": {\"subjects\": [\"Math\", \"S' || item_id || '\"], \"exercise_types\": [\"Quiz\"], \"grade_levels\": [], \"modifications\": null, \"ready\": ' || CASE WHEN item_id % 2 = 0 THEN 'true' ELSE 'false' END || '}}'"
+
+
+@query("tool_call_parsed", "SELECT item_id, CASE WHEN item_id % 5 = 0 THEN NULL ELSE 'Math,S' || item_id END AS subjects, CASE WHEN item_id % 5 = 0 THEN NULL ELSE item_id % 2 = 0 END AS ready FROM benchmark")
+def tool_call_parsed(spark, d):
+    reply = F.when(F.col("item_id") % 5 == 0, F.col("text")).otherwise(F.expr(REPLY.replace("\\", "\\\\")))
+    return t(spark, d, "benchmark").select("item_id", conversation.call_parameters(reply).alias("p")).select("item_id", F.array_join("p.subjects", ",").alias("subjects"), "p.ready")
+
+
+@query("mock_exercises", "SELECT p_partkey, CASE WHEN p_size % 3 = 0 THEN 'More parameters are needed.' WHEN p_size % 2 = 0 THEN 'one,one,one' END AS items FROM part")
+def mock_exercises(spark, d):
+    subjects = F.when(F.col("p_size") % 2 == 0, F.array(F.lit("Math"))).otherwise(F.array(F.lit("Art")))
+    items = conversation.mock_exercise(subjects, [F.lit(1), F.lit(3)], F.col("p_size") % 3 != 0, {"Math": "one", "English": "two"})
+    return t(spark, d, "part").select("p_partkey", F.array_join(items, ",").alias("items"))
+
+
+@query("grades_tidied", "SELECT p_partkey, '{' || chr(39) || 'G' || chr(39) || ': ' || CASE WHEN p_size % 14 BETWEEN 1 AND 11 THEN (p_size % 14)::VARCHAR ELSE chr(39) || (p_size % 14) || chr(39) END || '} ' AS text FROM part")
+def grades_tidied(spark, d):
+    text = F.concat(F.lit("{'G': '"), (F.col("p_size") % 14).cast("string"), F.lit("'} <U> "))
+    return t(spark, d, "part").select("p_partkey", conversation.tidy_grades(text).alias("text"))
+
+
+@query("chat_render_system", "SELECT conv_id, md5('<|system|>' || chr(10) || 'Be brief.' || chr(10) || string_agg('<|' || role || '|>' || chr(10) || text || chr(10), '' ORDER BY turn, '<|' || role || '|>' || chr(10) || text || chr(10))) AS text_md5 FROM conversations WHERE role IS NOT NULL AND text IS NOT NULL GROUP BY conv_id")
+def chat_render_system(spark, d):
+    c = t(spark, d, "conversations").where("role is not null and text is not null")
+    return conversation.rendered(c, "conv_id", "turn", F.col("role"), F.col("text"), system="Be brief.").select("conv_id", F.md5("text").alias("text_md5"))
+
+
 # layout
 
 NEAR = "(abs({eb} - {ea}) <= 15 AND {lb} BETWEEN {la} - 15 AND {ha} + 15 AND {hb} BETWEEN {la} - 15 AND {ha} + 15)"
@@ -467,6 +647,21 @@ def page_ranges(spark, d):
     return layout.pages_in_ranges(t(spark, d, "orders").select(F.col("o_orderkey").alias("page")), ranges, "page", 2).select("page", "range_id", "start", "stop")
 
 
+@query("images_stacked", "SELECT l_orderkey, arg_min(l_linenumber * 10, l_linenumber)::BIGINT AS width, arg_min(l_linenumber + 20, l_linenumber)::BIGINT * count(*) AS height, count(*) AS n FROM lineitem GROUP BY l_orderkey")
+def images_stacked(spark, d):
+    images = t(spark, d, "lineitem").select("l_orderkey", F.col("l_linenumber").alias("image_no"), (F.col("l_linenumber") * 10).cast("long").alias("width"), (F.col("l_linenumber") + 20).cast("long").alias("height"))
+    return layout.stacked(images, "l_orderkey")
+
+
+@query("pages_by_range", "WITH r AS (SELECT p_partkey AS range_id, p_partkey * 7 AS start, p_partkey * 7 + p_size % 5 AS stop FROM part) SELECT range_id, count(*) AS n, min(o_orderkey) AS first_page, max(o_orderkey) AS last_page FROM orders JOIN r ON o_orderkey BETWEEN start + 2 AND stop + 2 GROUP BY range_id")
+def pages_by_range(spark, d):
+    """One row a range: the pages that make up its image."""
+    k = F.col("p_partkey")
+    ranges = t(spark, d, "part").select(k.alias("range_id"), (k * 7).alias("start"), (k * 7 + F.col("p_size") % 5).alias("stop"))
+    found = layout.pages_in_ranges(t(spark, d, "orders").select(F.col("o_orderkey").alias("page")), ranges, "page", 2)
+    return found.groupBy("range_id").agg(F.count("*").alias("n"), F.min("page").alias("first_page"), F.max("page").alias("last_page"))
+
+
 @query("page_image_names", "SELECT p_partkey, 'Science_' || (p_size % 12) || '_' || ((power(10, p_size % 4)::BIGINT + 1) * p_partkey + 1) AS name FROM part")
 def page_image_names(spark, d):
     return t(spark, d, "part").select("p_partkey", layout.page_image_name(F.lit("Science"), (F.col("p_size") % 12).cast("string"), F.col("p_size") % 4, F.col("p_partkey")).alias("name"))
@@ -474,13 +669,13 @@ def page_image_names(spark, d):
 
 # mark-up
 
-MARKED = "concat('_', {w}, '_ x *', {w}, '* and **', {w}, '** y _', {w}, '_ z')"
+MARKED = "concat('_', {w}, '_ x *', {w}, '* and **', {w}, '** y _', {w}, '_ z *', {w}, '-a* .')"
 
 
-@query("latex_format", "SELECT p_partkey, '_' || p_brand || '_ x \\emph{' || p_brand || '} and \\textbf{' || p_brand || '} y \\underline{' || p_brand || '} z' AS text FROM part WHERE regexp_matches(p_brand, '^[^\\s*_]+$')")
+@query("latex_format", "SELECT p_partkey, '_w' || p_partkey || '_ x \\emph{w' || p_partkey || '} and \\textbf{w' || p_partkey || '} y \\underline{w' || p_partkey || '} z *w' || p_partkey || '-a* .' AS text FROM part")
 def latex_format(spark, d):
-    p = t(spark, d, "part").where(F.col("p_brand").rlike(r"^[^\s*_]+$"))
-    return p.select("p_partkey", markup.to_latex_words(F.expr(MARKED.format(w="p_brand"))).alias("text"))
+    """Marks at the text's start and around more than a word stay."""
+    return t(spark, d, "part").select("p_partkey", markup.to_latex_words(F.expr(MARKED.format(w="concat('w', p_partkey)"))).alias("text"))
 
 
 @query("latex_sections", "SELECT p_partkey, p_name || chr(10) || '\\section{Answers}' || chr(10) || '\\section{Solution} ' || p_type AS text, 'With Answer,With Solution' AS tags FROM part")
@@ -506,9 +701,33 @@ def list_formatted(spark, d):
     return t(spark, d, "part").select("p_partkey", markup.formatted_list(x).alias("text"))
 
 
-@query("lists_to_latex")
+_LIST = "'\\begin{enumerate}' || chr(10) || '\\item ' || trim(regexp_replace(p_name, '[0-9]', '', 'g')) || chr(10) || '\\item ' || trim(regexp_replace(p_type, '[0-9]', '', 'g')) || chr(10) || '\\end{enumerate}' || chr(10)"
+
+
+def _listed() -> F.Column:
+    return F.concat(F.lit("1. "), F.regexp_replace("p_name", r"\d", ""), F.lit("\n2. "), F.regexp_replace("p_type", r"\d", ""), F.lit("\n"))
+
+
+@query("lists_to_latex", f"SELECT p_partkey, {_LIST} AS text FROM part")
 def lists_to_latex(spark, d):
-    return t(spark, d, "part").select("p_partkey", markup.lists_to_latex(F.concat(F.lit("1. "), F.regexp_replace("p_name", r"\d", ""), F.lit("\n2. "), F.regexp_replace("p_type", r"\d", ""), F.lit("\n"))).alias("text"))
+    return t(spark, d, "part").select("p_partkey", markup.lists_to_latex(_listed()).alias("text"))
+
+
+@query("latex_document", f"SELECT p_partkey, '(Science) (Essay) D ' || CASE WHEN p_size % 12 + 1 > 9 THEN '(' || (p_size % 12 + 1) || ')' ELSE (p_size % 12 + 1)::VARCHAR END || CASE WHEN p_size % 2 = 0 THEN ' (With Hint, With Answer)' ELSE ' (With Answer)' END || chr(10) || {_LIST} || chr(10) || '\\section{{Answers}}' || chr(10) || chr(10) || 'x \\emph{{y}} z' AS text FROM part")
+def latex_document(spark, d):
+    head = F.concat(F.lit("(Science) (Essay) D "), (F.col("p_size") % 12 + 1).cast("string"), F.when(F.col("p_size") % 2 == 0, " (With Hint)").otherwise(" M"), F.lit("\n"))
+    return t(spark, d, "part").select("p_partkey", markup.to_latex(F.concat(head, _listed(), F.lit("\nAnswers\n  \nx *y* z"))).alias("text"))
+
+
+@query("replaced_all", "SELECT p_partkey, replace(p_name || p_name, 'a', 'aa') AS text FROM part")
+def replaced_all(spark, d):
+    return t(spark, d, "part").select("p_partkey", markup.replaced_all(F.concat("p_name", "p_name"), "a", "aa").alias("text"))
+
+
+@query("text_wrapped", "SELECT p_partkey, '\\textbf{' || p_name || '}\\textit{' || p_type || '}\\underline{' || p_brand || '}' AS text FROM part")
+def text_wrapped(spark, d):
+    parts = [markup.wrapped(F.col(c), k) for c, k in (("p_name", "textbf"), ("p_type", "textit"), ("p_brand", "underline"))]
+    return t(spark, d, "part").select("p_partkey", F.concat(*parts).alias("text"))
 
 
 _NAMES = SPLIT.format(c="translate({m}, '()', '')")
@@ -557,10 +776,19 @@ def union_sources(spark, d):
     return both.groupBy("source").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"))
 
 
-@query("seeded_sample")
+DRAW = "('0x' || substr(md5('7:' || {k}), 1, 8))::BIGINT"
+
+
+@query("seeded_sample", f"SELECT doc_id FROM documents WHERE {DRAW.format(k='doc_id')} < {int(0.1 * (1 << 32))}")
 def seeded_sample(spark, d):
     """A tenth of the documents for evaluation, by a hash of seed and id: the same rows on any cluster."""
-    return t(spark, d, "documents").where(F.pmod(F.xxhash64(F.lit(7), "doc_id"), F.lit(10)) == 0).select("doc_id")
+    return conversation.sampled(t(spark, d, "documents"), "doc_id", 0.1, 7)[1].select("doc_id")
+
+
+@query("shuffle_order", f"SELECT item_id, row_number() OVER (ORDER BY {DRAW.format(k='item_id')}, item_id) AS place FROM benchmark")
+def shuffle_order(spark, d):
+    """The place of each item in a seeded shuffle."""
+    return t(spark, d, "benchmark").select("item_id", F.row_number().over(Window.orderBy(conversation.draw(F.col("item_id"), 7), "item_id")).cast("long").alias("place"))
 
 
 @query("next_subject", Q + ", o AS (SELECT doc_id, s, lead(s) OVER (PARTITION BY doc_id // 100 ORDER BY doc_id) AS nx FROM v) SELECT doc_id, nx AS next_subject FROM o WHERE nx IS NOT NULL AND nx <> s")
@@ -569,9 +797,7 @@ def next_subject(spark, d):
     return parsed(spark, d).select("doc_id", "s", F.lead("s").over(w).alias("next_subject")).where("next_subject <> s").select("doc_id", "next_subject")
 
 
-_F = _fuzzy_sql()
-SQL["fuzzy_pairs"] = _F + " SELECT label, other, round(score, 6) AS score FROM f"
-# A label is an alias if one of its partners is kept; with the feed's labels no partner is itself an alias.
-_ALIAS = ", al AS (SELECT label AS alias, first(other ORDER BY score DESC, op, other) AS canonical FROM f WHERE other NOT IN (SELECT label FROM f) GROUP BY label)"
-SQL["fuzzy_alias"] = _F + _ALIAS + " SELECT * FROM al"
-SQL["counts_after_alias"] = _F + _ALIAS + " SELECT coalesce(canonical, label) AS label, count(*) AS cnt FROM e LEFT JOIN al ON e.label = al.alias GROUP BY 1"
+_F = Q.replace("WITH", "WITH RECURSIVE", 1) + ", " + _alias_sql("m")
+SQL["fuzzy_pairs"] = _F + " SELECT label, other, round(score, 6) AS score FROM fm"
+SQL["fuzzy_alias"] = _F + " SELECT * FROM alm"
+SQL["counts_after_alias"] = _F + " SELECT label, cnt FROM ncm"

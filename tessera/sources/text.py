@@ -35,6 +35,22 @@ def read_images(spark: SparkSession, path: str, glob: str = "*.png") -> DataFram
     return files.select("path", "content", F.get(name, F.lit(0)).alias("subject"), F.get(name, F.lit(1)).alias("grade"))
 
 
+def read_conversations(spark: SparkSession, path: str) -> DataFrame:
+    """(file, conv_id, conversations): JSON documents or lines that hold ``{conversations: [{from, value}]}``; ids follow file and place."""
+    rows = spark.read.option("multiLine", not path.endswith("l")).schema("conversations array<struct<`from`:string,value:string>>").json(path)
+    return rows.select(F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("conv_id"), "conversations")
+
+
+def read_results(spark: SparkSession, path: str) -> DataFrame:
+    """(job_id, raw): lines of result files that are named after their jobs."""
+    return spark.read.text(path).select(F.regexp_extract(F.input_file_name(), r"([^/]+?)(\.[^./]*)?$", 1).alias("job_id"), F.col("value").alias("raw"))
+
+
+def write_conversations(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
+    """Conversations (messages) as JSON lines ``{messages: [...]}``; nulls are left out."""
+    df.select(F.to_json(F.struct("messages"), {"ignoreNullFields": "true"}).alias("value")).write.mode(mode).text(path)
+
+
 def write_pairs(df: DataFrame, path: str, kind: str = "csv", mode: str = "errorifexists") -> None:
     """Pairs (instruction, response) as csv with a heading, as json lines, or as txt records."""
     w = df.select("instruction", "response")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -10,11 +12,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
+from tessera.operators.conversation import TOOL
+
 OUTPUT = StructType([StructField("session_id", StringType()), StructField("seq", LongType()), StructField("role", StringType()), StructField("content", StringType())])
 
 
 def history(df: DataFrame, session: str, order: list[str], message: str) -> DataFrame:
-    """(session, n, messages): messages in order."""
+    """(session, n, messages): messages in order. A session is one row, so one session must fit in a task."""
     listed = F.array_sort(F.collect_list(F.struct(*order, message)))
     return df.groupBy(session).agg(F.count("*").alias("n"), F.transform(listed, lambda x: x[message]).alias("messages"))
 
@@ -29,32 +33,70 @@ def latency(df: DataFrame, session: str, value: str) -> DataFrame:
     return df.groupBy(session).agg(F.count("*").alias("n"), F.round(F.avg(value), 6).alias("mean"))
 
 
+#: The input that ends a session.
+REMOVE = "\x04"
+CALL = re.compile(r"\{.*\}", re.S)
+
+
+def parameters_of(reply: str) -> dict | None:
+    """The parameters of a tool call in a reply, None if there is none or it can't be read; never evaluated."""
+    found = CALL.search(reply) if f'"name": "{TOOL}"' in reply else None
+    try:
+        return json.loads(found[0])["parameters"] if found else None
+    except (ValueError, KeyError, TypeError):
+        return None
+
+
 class SessionProcessor(StatefulProcessor):
-    """Keeps each session's messages and answers new ones by ``respond(history) -> reply``."""
+    """Keeps each session's messages and answers new ones by ``respond(history) -> reply``.
+
+    A reply that calls the tool is kept, ``tool(**parameters)`` is run, and
+    ``respond`` is asked again with its result. An input of :data:`REMOVE` ends
+    the session; with ``ttl`` (milliseconds) so does silence.
+    """
 
-    def __init__(self, respond: Callable[[list[tuple[str, str]]], str], system: str = ""):
-        self.respond, self.system = respond, system
+    def __init__(self, respond: Callable[[list[tuple[str, str]]], str], system: str = "", tool: Callable[..., str] | None = None, ttl: int | None = None):
+        self.respond, self.system, self.tool, self.ttl = respond, system, tool, ttl
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.messages = handle.getListState("messages", StructType([StructField("role", StringType()), StructField("content", StringType())]))
+        kind = StructType([StructField("role", StringType()), StructField("content", StringType())])
+        self.messages = handle.getListState("messages", kind, ttlDurationMs=self.ttl) if self.ttl else handle.getListState("messages", kind)
+
+    def answer(self, held: list[tuple[str, str]]) -> list[tuple[str, str]]:
+        """The messages that answer a history: a reply, or a call, its result and a reply."""
+        reply = self.respond(held)
+        call = parameters_of(reply) if self.tool else None
+        if call is None:
+            return [("assistant", reply)]
+        made = [("assistant", reply), ("tool", self.tool(**call))]
+        return [*made, ("assistant", self.respond([*held, *made]))]
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         held = [(r[0], r[1]) for r in self.messages.get()]
-        if not held and self.system:
-            held.append(("system", self.system))
-        new, first = [], len(held)
-        for pdf in rows:
-            for text in pdf.sort_values("seq", kind="stable")["user_input"]:
-                held.append(("user", text))
-                held.append(("assistant", self.respond(held)))
-        new = held[first:]
-        self.messages.put(held)
-        yield pd.DataFrame({"session_id": key[0], "seq": range(first, first + len(new)), "role": [r for r, _ in new], "content": [c for _, c in new]})
+        out, gone = [], False
+        for text in pd.concat(list(rows)).sort_values("seq", kind="stable")["user_input"]:
+            if text == REMOVE:
+                held, gone = [], True
+                continue
+            if not held and self.system:
+                held.append(("system", self.system))
+            gone, first = False, len(held)
+            held.append(("user", text))
+            held += self.answer(held)
+            out += [(first + i, *m) for i, m in enumerate(held[first:])]
+        if gone:
+            self.messages.clear()
+        else:
+            self.messages.put(held)
+        yield pd.DataFrame({"session_id": key[0], "seq": [s for s, _, _ in out], "role": [r for _, r, _ in out], "content": [c for _, _, c in out]}).astype({"seq": "int64"})
 
     def close(self) -> None:
         pass
 
 
-def answered(stream: DataFrame, respond: Callable[[list[tuple[str, str]]], str], system: str = "") -> DataFrame:
-    """A stream (session_id, seq, user_input) answered with state by session; needs the RocksDB state store."""
-    return stream.groupBy("session_id").transformWithStateInPandas(statefulProcessor=SessionProcessor(respond, system), outputStructType=OUTPUT, outputMode="Append", timeMode="None")
+def answered(stream: DataFrame, respond: Callable[[list[tuple[str, str]]], str], system: str = "", tool: Callable[..., str] | None = None, ttl: int | None = None) -> DataFrame:
+    """A stream (session_id, seq, user_input) answered with state by session; needs the RocksDB state store.
+
+    ``ttl`` needs a trigger by processing time: such a query does not end by itself when all is read.
+    """
+    return stream.groupBy("session_id").transformWithStateInPandas(statefulProcessor=SessionProcessor(respond, system, tool, ttl), outputStructType=OUTPUT, outputMode="Append", timeMode="ProcessingTime" if ttl else "None")
