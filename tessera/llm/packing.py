@@ -171,6 +171,7 @@ def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenize
                     yield batch(pieces)
                 waiting = {held[0] for group in packer.bins.values() for held in group}
                 kept = {d: x for d, x in kept.items() if d in waiting}
+        enc.forget()
         if pieces := list(packer.finish()):
             yield batch(pieces)
 

@@ -321,6 +321,7 @@ def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokeni
                 ends = np.concatenate([[0], np.cumsum([len(x) // 4 for x in ids])]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(ids), "<i4")))
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(start, len(part)), *[part] * keep_text, lists], names=names)
+        m.memo = Memo()  # workers are kept for other stages, which need the memory
 
     schema = f"`{id_col}` {kind}, " + f"`{text_col}` string, " * keep_text + "ids array<int>"
     return df.select(id_col, text_col).mapInArrow(run, schema)

@@ -56,6 +56,7 @@ ONE = np.ones(1)
 SHAPE = re.compile(r"[A-ZÀ-ÖØ-ÞΑ-ΩА-Я]"), re.compile(r"[^\W\d_A]"), re.compile(r"\d")
 RUN = re.compile(r"(.)\1+", re.S)
 SAME = 1
+PACKED = np.dtype([("total", "f8"), ("n", "f8"), ("numbers", "u4", 2)])
 
 
 def word_features(word: bytes, s: Settings) -> tuple[np.ndarray, np.ndarray]:
@@ -180,22 +181,29 @@ def scorer(m: Model):
     """A function from a batch of texts to their scores, with a cache of words."""
     memo = Memo()
 
-    def weigh(words: list[bytes]) -> list[tuple[float, float, int, int]]:
+    def weigh(words: list[bytes]) -> list[bytes]:
+        """Of each word the sum of its features' weights, their number and its :func:`word_numbers`, packed: a memo holds many."""
         found = [word_features(w, m.settings) for w in words]
         sizes = np.array([len(f) for f, _ in found])
-        totals = sums(m.weight[np.concatenate([f for f, _ in found])], np.concatenate([[0], np.cumsum(sizes)])).tolist()
-        parts = [(t, n) if w is ONE else (float(m.weight[f] @ w), float(w.sum())) for t, n, (f, w) in zip(totals, sizes.tolist(), found, strict=True)]
-        return [(t, n, *word_numbers(w)) for (t, n), w in zip(parts, words, strict=True)]
+        totals = sums(m.weight[np.concatenate([f for f, _ in found])], np.concatenate([[0], np.cumsum(sizes)]))
+        rows = np.zeros(len(words), PACKED)
+        rows["total"], rows["n"] = totals, sizes
+        for i, (f, w) in enumerate(found):
+            if w is not ONE:
+                rows[i]["total"], rows[i]["n"] = m.weight[f] @ w, w.sum()
+        rows["numbers"] = np.array([word_numbers(w) for w in words], np.uint32)
+        packed, size = rows.tobytes(), PACKED.itemsize
+        return [packed[i : i + size] for i in range(0, len(packed), size)]
 
     def scores(texts: pa.Array) -> np.ndarray:
         done = [np.zeros(0)]
         for _, part in slices(texts):
             words, codes, offsets = split_words(part)
-            by_word = np.array(memo.look_up(words, weigh), np.float64).reshape(-1, 4)
-            total = sums(by_word[:, :2][codes], offsets)
+            by_word = np.frombuffer(b"".join(memo.look_up(words, weigh)), PACKED)
+            total = np.stack([sums(by_word[c][codes], offsets) for c in ("total", "n")], axis=1)
             pairs = np.zeros(len(codes))  # the weights of each word's bigrams with the one before it
             if len(codes):
-                pairs[1:] = sum(m.weight[x] for x in bigrams(by_word[:, 2:], codes, m.settings.buckets))
+                pairs[1:] = sum(m.weight[x] for x in bigrams(by_word["numbers"], codes, m.settings.buckets))
             pairs[offsets[:-1][offsets[:-1] < len(codes)]] = 0  # a text's first word has none before it
             more = 2 * np.maximum(np.diff(offsets) - 1, 0)
             z = (total[:, 0] + sums(pairs, offsets)) / np.maximum(total[:, 1] + more, 1) + m.bias

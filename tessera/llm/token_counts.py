@@ -109,9 +109,12 @@ def count_tokens(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         path = tokenizer_path(tokenizer)
-        for b in batches:
-            texts = text_bytes(b.column(1))
-            n = count_batch(path, texts, huge, chunk, overlap)
-            yield pa.RecordBatch.from_arrays([b.column(0), pc.binary_length(texts).cast(pa.int64()), pa.array(n), pa.array(n > limit)], names=[id_col, "n_bytes", "n_tokens", "over_limit"])
+        try:
+            for b in batches:
+                texts = text_bytes(b.column(1))
+                n = count_batch(path, texts, huge, chunk, overlap)
+                yield pa.RecordBatch.from_arrays([b.column(0), pc.binary_length(texts).cast(pa.int64()), pa.array(n), pa.array(n > limit)], names=[id_col, "n_bytes", "n_tokens", "over_limit"])
+        finally:
+            encoder(path).forget()
 
     return df.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, n_bytes long, n_tokens long, over_limit boolean")

@@ -37,7 +37,7 @@ class WordBPE:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.memo, self.words = Memo(), Memo()
+        self.forget()
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.numpy = self._is_known_kind(spec)
@@ -54,6 +54,10 @@ class WordBPE:
         if self.library.encode("a b", add_special_tokens=False).offsets != [(0, 1), (2, 3)]:
             raise ValueError(f"{path}: this tokenizer keeps white space; words can't be encoded one by one")
 
+    def forget(self) -> None:
+        """Empty the caches. Tasks do so at their end: workers are kept for other stages, which need the memory."""
+        self.memo, self.words = Memo(), Memo(60_000)
+
     @staticmethod
     def _is_known_kind(spec: dict) -> bool:
         """Whether normaliser, splitter and model are those that :data:`PLAIN` and :data:`WORD` were written for."""
@@ -182,7 +186,7 @@ _made: dict[str, WordBPE] = {}
 
 
 def encoder(path: str) -> WordBPE:
-    """The encoder of a file, made once in a process and kept with its cache for later tasks of a reused worker."""
+    """The encoder of a file, made once in a process and kept for later tasks of a reused worker."""
     if path not in _made:
         _made[path] = WordBPE(path)
     return _made[path]
