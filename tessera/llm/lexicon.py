@@ -84,7 +84,7 @@ class Memo:
             found = dict(zip(names, make(names), strict=True))
             for i in unknown:
                 out[i] = found[keys[i]]
-            young.update((k, v) for k, v in found.items() if len(k) <= KEPT)
+            young.update(found if max(map(len, names)) <= KEPT else {k: v for k, v in found.items() if len(k) <= KEPT})
         if len(young) > self.most:
             self.old, self.young = young, {}
         return out

@@ -20,6 +20,8 @@ from tessera.llm.lexicon import Memo, ragged_take, split_words
 PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]+")
 #: The word pattern of the tokenizer, for plain characters.
 WORD = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\\sa-zß-öø-ÿ0-9]+")
+#: Single bytes that stand alone after letters.
+MARKS = frozenset(b".,;:!?")
 SPECIAL = re.compile(r"<\|.*\|>")
 
 
@@ -56,7 +58,7 @@ class WordBPE:
 
     def forget(self) -> None:
         """Empty the caches. Tasks do so at their end: workers are kept for other stages, which need the memory."""
-        self.memo, self.words = Memo(), Memo(60_000)
+        self.memo, self.words = Memo(), Memo()
 
     @staticmethod
     def _is_known_kind(spec: dict) -> bool:
@@ -154,8 +156,17 @@ class WordBPE:
         at: list[int] = []
         other: list[int] = []
         for i, c in enumerate(chunks):
+            if self.numpy and len(c) <= 64:  # most are letters, maybe with a mark after them: no pattern needs to be tried
+                if c.isalpha():
+                    parts.append([c.lower()])
+                    at.append(i)
+                    continue
+                if c[:-1].isalpha() and c[-1] in MARKS:
+                    parts.append([c[:-1].lower(), c[-1:]])
+                    at.append(i)
+                    continue
             s = c.decode("utf-8", "replace")
-            if self.numpy and len(s) <= 64 and PLAIN.fullmatch(s) and not SPECIAL.search(s):
+            if self.numpy and len(s) <= 64 and PLAIN.fullmatch(s) and not ("<|" in s and SPECIAL.search(s)):
                 parts.append([w.encode() for w in WORD.findall(s.lower())])
                 at.append(i)
             else:
