@@ -284,15 +284,23 @@ class Pieces:
                 at += len(self.text[i])
         return out
 
+    @staticmethod
+    def _units(t: str) -> list[str]:
+        if not t:
+            return []
+        if t[0] == " " or "  " in t or MARK in t:
+            return UNIT.findall(MARK + t.replace(" ", MARK))
+        return [MARK + w for w in t.split(" ")]  # the same, where single blanks part the words
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of texts, as little-endian int32."""
-        units = [UNIT.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
+        units = [self._units(t) for t in texts]
         kinds = list({u for x in units for u in x})
         known = dict(zip(kinds, self.memo.look_up(kinds, self.units), strict=True))
         return [b"".join(map(known.__getitem__, x)) for x in units]
 
     def decode(self, ids: np.ndarray) -> str:
-        text = b"".join([self.raw[i] for i in ids.tolist()]).decode("utf-8", "replace").replace(MARK, " ")
+        text = b"".join(map(self.raw.__getitem__, ids.tolist())).decode("utf-8", "replace").replace(MARK, " ")
         return text.removeprefix(" ")
 
 
@@ -321,7 +329,6 @@ def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokeni
                 ends = np.concatenate([[0], np.cumsum([len(x) // 4 for x in ids])]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(ids), "<i4")))
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(start, len(part)), *[part] * keep_text, lists], names=names)
-        m.memo = Memo()  # workers are kept for other stages, which need the memory
 
     schema = f"`{id_col}` {kind}, " + f"`{text_col}` string, " * keep_text + "ids array<int>"
     return df.select(id_col, text_col).mapInArrow(run, schema)
