@@ -120,7 +120,7 @@ class Pieces:
         self.chars = np.zeros((n, self.longest), np.uint32)
         for s, i in self.id.items():
             self.chars[i, : len(s)] = list(map(ord, s))
-        self.memo, self.pairs = Memo(), {}
+        self.memo, self.pairs = Memo(400_000), {}
         bytes_of = {v: bytes([k]) for k, v in self.byte.items()}
         self.raw = [bytes_of.get(i, b"" if self.library.is_control(i) else self.text[i].encode()) for i in range(n)]
 
