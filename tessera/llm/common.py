@@ -116,6 +116,12 @@ def few(ids: DataFrame) -> DataFrame:
     return F.broadcast(ids) if size <= BROADCAST_BYTES else ids
 
 
+def few_keys(keys: DataFrame) -> DataFrame:
+    """As :func:`few`, for keys of several columns."""
+    size = keys.agg(F.sum(sum((F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)) + 8 for c in keys.columns), F.lit(0)))).first()[0] or 0
+    return F.broadcast(keys) if size <= BROADCAST_BYTES else keys
+
+
 def without_copies(df: DataFrame, marked: DataFrame, id_col: str) -> DataFrame:
     """The rows of ``df`` that ``marked`` (id, kept, ...; a row each) keeps, one row of each id; columns as they were.
 

@@ -106,3 +106,37 @@ def ragged_take(blocks: list[bytes], codes: np.ndarray, offsets: np.ndarray, dty
     total = int(ends[-1]) if len(ends) else 0
     index = np.arange(total) + np.repeat(starts[codes] - (ends - lengths), lengths)
     return pool[index], np.concatenate([[0], ends])[offsets]
+
+
+#: Byte classes for :func:`runs`.
+ASCII_LETTERS = np.isin(np.arange(256), np.frombuffer(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", np.uint8))
+LETTERS_DIGITS_OTHERS = ASCII_LETTERS | np.isin(np.arange(256), np.frombuffer(b"0123456789", np.uint8)) | (np.arange(256) >= 128)
+_LOWER = np.arange(256, dtype=np.uint8) + np.where((np.arange(256) >= 65) & (np.arange(256) <= 90), 32, 0).astype(np.uint8)
+
+
+def runs(texts: pa.Array, inside: np.ndarray, latin: bool = False) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """(distinct words, codes, offsets) as :func:`split_words`: maximal runs of bytes that ``inside`` marks, A-Z lower-cased.
+
+    ``latin`` adds the code points U+00C0 to U+00FF, which are the byte 0xC3 and one more.
+    """
+    texts = pc.fill_null(texts.cast(pa.string()), "")
+    bounds = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+    data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[bounds[0] : bounds[-1]]
+    bounds -= bounds[0]
+    mask = inside[data]
+    if latin:
+        lead = data == 0xC3
+        mask |= lead
+        mask[1:] |= lead[:-1]
+    first = mask.copy()
+    first[1:] &= ~mask[:-1]
+    at = bounds[:-1][bounds[:-1] < len(data)]
+    first[at] = mask[at]
+    last = mask.copy()
+    last[:-1] &= ~mask[1:]
+    at = bounds[1:][bounds[1:] > 0] - 1
+    last[at] = mask[at]
+    starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
+    cuts = np.concatenate([[0], np.cumsum(ends - starts)]).astype(np.int32)
+    words = pa.StringArray.from_buffers(len(starts), pa.py_buffer(cuts), pa.py_buffer(_LOWER[data[mask]])).dictionary_encode()
+    return words.dictionary, words.indices.to_numpy(zero_copy_only=False), np.searchsorted(starts, bounds)

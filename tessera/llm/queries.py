@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import graph_dedup, license_scan, near_dedup, nearest, packing, pieces, quality, token_counts, toxicity, url_filter
+from tessera.llm import exact_dedup, graph_dedup, lexical_search, license_scan, near_dedup, nearest, packing, pieces, quality, spelling, token_counts, toxicity, url_filter
 from tessera.llm.common import table
 
 
@@ -62,6 +62,19 @@ def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest.search(vectors, vectors.where("vec_id % 20 = 0"), k=20)
 
 
+def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lexical_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("item_id", "rank", "doc_id", "score")
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality": op1_quality,
@@ -74,6 +87,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_license_scan": op8_license_scan,
         "op9_packing": op9_packing,
         "op10_nearest": op10_nearest,
+        "op11_exact_dedup": op11_exact_dedup,
+        "op12_ranked_search": op12_ranked_search,
+        "op13_spelling_variants": op13_spelling_variants,
     }
 
 
@@ -199,6 +215,33 @@ FROM embeddings LEFT JOIN n ON vec_id = n.a LEFT JOIN c ON vec_id = c.a
 """
 
 
+#: Groups of normalised texts.
+EXACT_SQL = """
+WITH t AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]+', ' ', 'g') AS s FROM documents)
+SELECT doc_id, min(doc_id) OVER (PARTITION BY s) AS keep_id, count(*) OVER (PARTITION BY s) AS group_size,
+  doc_id IS NOT DISTINCT FROM min(doc_id) OVER (PARTITION BY s) AS kept, sha256(s) AS text_sha256 FROM t
+"""
+
+
+#: Every posting of every item's terms, whole numbers throughout.
+RANKED_SQL = """
+WITH w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS words FROM documents
+), d AS (SELECT row_number() OVER () AS rid, doc_id, words, len(words)::BIGINT AS n FROM w WHERE len(words) > 0),
+g AS (SELECT count(*)::BIGINT AS every_doc, sum(n)::BIGINT AS every_term FROM d),
+p AS (SELECT rid, term, count(*)::BIGINT AS tf FROM (SELECT rid, unnest(words) AS term FROM d) GROUP BY ALL),
+f AS (SELECT term, floor(1000 * ln((2 * every_doc + 2)::DOUBLE / (2 * df + 1)::DOUBLE))::BIGINT AS weight FROM (SELECT term, count(*)::BIGINT AS df FROM p GROUP BY term), g),
+i AS (
+  SELECT item_id, term, count(*)::BIGINT AS times FROM (
+    SELECT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term FROM benchmark) GROUP BY ALL
+), s AS (
+  SELECT item_id, doc_id, sum(times * weight * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * every_doc) // every_term))))::BIGINT AS score
+  FROM i JOIN f USING (term) JOIN p USING (term) JOIN d USING (rid), g GROUP BY item_id, rid, doc_id
+), r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM r WHERE rank <= 10
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op4_near_dedup": NEAR_DEDUP_SQL,
@@ -206,4 +249,6 @@ def oracle_sql() -> dict[str, str]:
         "op7_graph_dedup": GRAPH_SQL,
         "op8_license_scan": _license_sql(),
         "op10_nearest": NEAREST_SQL,
+        "op11_exact_dedup": EXACT_SQL,
+        "op12_ranked_search": RANKED_SQL,
     }
