@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tessera.functions.articles import vowel_sound, with_article
 from tessera.functions.headers import labels, strip
 
 #: Subjects written with a capital, modifiers that ask for a subsection, and the sentences of others.
@@ -16,24 +17,16 @@ SENTENCES = {
     "With Instruction": " The exercise should have a top sentence that serve as instructions.",
     "Multi-part": " It should have multiple steps.",
 }
-#: Words that begin with a vowel's letter but not its sound, and the other way round.
-CONSONANT_SOUND = "^(uni|use|usu|eu|one|once)"
-SILENT = "^(hour|honest|honou?r|heir)"
 
 
 def ordinal_suffix(n: Column) -> Column:
     return F.when((n % 100).between(11, 13), "th").when(n % 10 == 1, "st").when(n % 10 == 2, "nd").when(n % 10 == 3, "rd").otherwise("th")
 
 
-def with_article(x: Column) -> Column:
-    low = F.lower(x)
-    an = low.rlike(SILENT) | (low.rlike("^[aeiou]") & ~low.rlike(CONSONANT_SOUND))
-    return F.concat(F.when(an, "an ").otherwise("a "), x)
-
-
 def exercise_type(t: Column) -> Column:
     """What kind of exercise is asked for; ``t`` is a comma list or the placeholder ``T``."""
-    named = F.transform(labels(F.lower(t)), with_article)
+    # articles go by the labels as they are written, so that initialisms count as such
+    named = F.transform(labels(t), lambda x: F.concat(F.when(vowel_sound(x), "an ").otherwise("a "), F.lower(x)))
     n = F.size(named)
     init = F.array_join(F.slice(named, 1, F.greatest(n - 1, F.lit(1))), ", ")
     several = F.concat(F.lit("Give me a combination of "), init, F.when(n > 2, ",").otherwise(""), F.lit(" and "), F.element_at(named, -1))

@@ -1,17 +1,24 @@
 """Tagged conversations to clean tool-call training data.
 
 Turns carry ``<U>`` text for the user and ``<E>`` parameters for the expert.
-Parameters are Python literals; they are read as JSON after their constants are
-rewritten, never evaluated.
+Parameters are Python literals; they are read token by token
+(:mod:`tessera.functions.literals`), never evaluated.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, StringType, StructField, StructType
 
-PARAMS = "array<struct<S:string,T:string,G:string,M:string,R:boolean>>"
+from tessera.functions import literals
+
+#: The keys of a parameter set, the tool's name, and what JSON shows of values that Python takes as false.
+KEYS = ("S", "T", "G", "M", "R")
+EMPTY = ("false", "0", "0.0", "-0.0", "", "[]", "{}")
 TOOL = "generate_exercise"
 #: The arguments of a tool call, all of them required.
 ARGUMENTS = StructType([*(StructField(x, ArrayType(StringType())) for x in ("subjects", "exercise_types", "grade_levels", "modifications")), StructField("ready", BooleanType())])
@@ -54,21 +61,29 @@ def user_text(message: Column) -> Column:
 
 
 def parameters(literal: Column) -> Column:
-    """Parameter sets of a dict or tuple of dicts; null if it is none or lacks a key."""
-    s = F.trim(literal)
-    s = F.when(s.startswith("(") & s.endswith(")"), F.substr(s, F.lit(2), F.length(s) - 2)).otherwise(s)
-    for old, new in ((r"\bNone\b", "null"), (r"\bTrue\b", "true"), (r"\bFalse\b", "false")):
-        s = F.regexp_replace(s, old, new)
-    listed = F.from_json(F.concat(F.lit("["), F.regexp_replace(s, r",\s*$", ""), F.lit("]")), PARAMS, {"allowSingleQuotes": "true", "mode": "PERMISSIVE"})
-    keys = F.size(F.regexp_extract_all(s, F.lit("""['"][STGMR]['"]\\s*:"""), F.lit(0)))
-    return F.when((F.size(listed) > 0) & (keys == 5 * F.size(listed)) & F.forall(listed, lambda p: p["R"].isNotNull()), listed)
+    """Parameter sets of a dict or tuple of dicts, as texts and whether they are ready; null if it is none or lacks a key.
+
+    Values that are no text are what JSON shows of them; a set is ready unless
+    its ``R`` is what Python takes as false.
+    """
+    return parameter_sets(literals.literal(literal))
+
+
+def parameter_sets(value: Column) -> Column:
+    """:func:`parameters` of a literal that is read already."""
+    listed = F.when(value["kind"] == literals.DICT, F.concat(F.lit("["), value["json"], F.lit("]"))).when(value["kind"] == literals.TUPLE, value["json"])
+    sets = F.from_json(listed, "array<map<string,string>>")
+    whole = F.forall(sets, lambda p: F.coalesce(reduce(and_, [F.map_contains_key(p, k) for k in KEYS]), F.lit(False)))
+    ready = lambda p: F.coalesce(~F.trim(p["R"]).isin(*EMPTY), F.lit(False))
+    return F.when((F.size(sets) > 0) & whole, F.transform(sets, lambda p: F.struct(*[p[k].alias(k) for k in KEYS[:4]], ready(p).alias("R"))))
 
 
 def turns(df: DataFrame, conv: str = "conv_id", turn: str = "turn", sender: str = "sender", message: str = "message") -> DataFrame:
     """One row a turn: role, content, tool parameters, and why its conversation must go (null if it need not)."""
     text, expert = user_text(F.col(message)), expert_parts(F.col(message))
     first = F.get(expert, F.lit(0))
-    base = df.select(conv, turn, F.col(sender).alias("sender"), text.alias("text"), first.alias("expert"), parameters(first).alias("params"), F.trim(first).startswith("(").alias("tuple"))
+    base = df.select(conv, turn, F.col(sender).alias("sender"), text.alias("text"), first.alias("expert"), literals.literal(first).alias("literal"))
+    base = base.withColumns({"params": parameter_sets(F.col("literal")), "tuple": F.col("literal.kind") == literals.TUPLE})
     gpt, human = F.col("sender") == "gpt", F.col("sender") == "human"
     called = gpt & F.col("text").isNotNull() & F.col("expert").isNotNull()
     ready = called & F.element_at("params", -1)["R"]
@@ -119,7 +134,7 @@ def rendered(df: DataFrame, conv: str, turn: str, role: Column, content: Column,
 
 def tool_call_of(reply: Column) -> Column:
     """The JSON of a tool call in a reply, null if there is none."""
-    return F.when(reply.contains(f'"name": "{TOOL}"'), F.regexp_extract(reply, r"\{.*\}", 0))
+    return F.when(reply.contains(f'"name": "{TOOL}"'), F.regexp_extract(reply, r"(?s)\{.*\}", 0))
 
 
 def call_parameters(reply: Column) -> Column:

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.operators.graph import components
+from tessera.operators.lineage import cut_lineage
+
 
 def within_bounds(v: Column, low: Column, high: Column, slack: float) -> Column:
     return v.between(low - slack, high + slack)
@@ -32,16 +35,63 @@ def close(a: str, b: str, most: float = 15) -> Column:
     )
 
 
+def _gridded(blocks: DataFrame, cell: tuple[float, float], slack: float, *names: str) -> DataFrame:
+    """A row for each cell of the page that a block, ``slack`` larger on all sides, touches."""
+    for axis, size in zip("xy", cell, strict=True):
+        at = lambda c, s, size=size: F.floor((F.col(c) + s) / size)
+        blocks = blocks.withColumn(f"_c{axis}", F.explode(F.sequence(at(f"{axis}0", -slack), at(f"{axis}1", slack))))
+    return blocks.select(*names, "_cx", "_cy")
+
+
 def close_pairs(blocks: DataFrame, most: float = 15) -> DataFrame:
-    """(page_id, block_no, near_no) of blocks on one page."""
-    pairs = blocks.alias("a").join(blocks.alias("b"), (F.col("a.page_id") == F.col("b.page_id")) & (F.col("a.block_no") != F.col("b.block_no")) & close("a", "b", most))
-    return pairs.select(F.col("a.page_id").alias("page_id"), F.col("a.block_no").alias("block_no"), F.col("b.block_no").alias("near_no"))
+    """(page_id, block_no, near_no) of blocks on one page.
+
+    A block that is near another one touches its box, made ``most`` larger. Boxes
+    are entered in the cells of a grid of about a block's size, and only blocks
+    that share a cell meet; a pair counts in the cell where its common area begins.
+    Blocks with a side that is null or no number, or with sides the wrong way round, are near nothing.
+    """
+    sides = ["x0", "y0", "x1", "y1"]
+    good = F.lit(True)
+    for c in sides:
+        good = good & (F.abs(F.col(c)) < float("inf"))
+    boxes = blocks.where(good & (F.col("x0") <= F.col("x1")) & (F.col("y0") <= F.col("y1")))
+    mean = boxes.agg(F.avg(F.col("x1") - F.col("x0")), F.avg(F.col("y1") - F.col("y0"))).first()
+    cell = tuple(max((m or 0.0) + most, 1e-9) for m in mean)
+    names = ["page_id", "block_no", *sides]
+    a = _gridded(boxes, cell, most, *names).select("page_id", "_cx", "_cy", F.struct(*names).alias("a"))
+    b = _gridded(boxes, cell, 0.0, *names).select("page_id", "_cx", "_cy", F.struct(*names).alias("b"))
+    corner = [F.floor(F.greatest(F.col(f"a.{x}0") - most, F.col(f"b.{x}0")) / size) == F.col(f"_c{x}") for x, size in zip("xy", cell, strict=True)]
+    pairs = a.join(b, ["page_id", "_cx", "_cy"]).where((F.col("a.block_no") != F.col("b.block_no")) & corner[0] & corner[1] & close("a", "b", most))
+    return pairs.select("page_id", F.col("a.block_no").alias("block_no"), F.col("b.block_no").alias("near_no"))
+
+
+def groups(blocks: DataFrame, most: float = 15) -> DataFrame:
+    """(page_id, group_no, n_blocks, text, x0, y0, x1, y1): blocks that are near each other, directly or over others, put together.
+
+    ``group_no`` is the smallest block number; nearness counts if it holds one
+    way. Blocks of equal sides are one for the search, so a pile of them makes no pairs.
+    """
+    sides = ["x0", "y0", "x1", "y1"]
+    boxes = cut_lineage(blocks.groupBy("page_id", *sides).agg(F.min("block_no").alias("block_no")))
+    vertex = lambda c: F.struct("page_id", F.col(c).alias("block_no"))
+    found = components(close_pairs(boxes, most).select(vertex("block_no").alias("a"), vertex("near_no").alias("b")), "a", "b")
+    label = found.select("vertex.page_id", "vertex.block_no", F.col("label.block_no").alias("group_no"))
+    placed = boxes.join(label, ["page_id", "block_no"], "left").select("page_id", *sides, F.coalesce("group_no", "block_no").alias("group_no"))
+    names = {c: f"_{c}" for c in ("page_id", *sides)}
+    same = [F.col(c).eqNullSafe(F.col(n)) for c, n in names.items()]
+    rows = blocks.join(placed.withColumnsRenamed(names), same).drop(*names.values())
+    return _combined(rows, ["page_id", "group_no"], F.count("*").alias("n_blocks"))
+
+
+def _combined(blocks: DataFrame, keys: list[str], *more: Column) -> DataFrame:
+    listed = F.array_sort(F.collect_list(F.struct("block_no", "text")))
+    return blocks.groupBy(*keys).agg(*more, F.array_join(F.transform(listed, lambda x: x.text), "\n").alias("text"), F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"))
 
 
 def combined(blocks: DataFrame) -> DataFrame:
     """One block a page: texts in order, one a line, and the box around all."""
-    listed = F.array_sort(F.collect_list(F.struct("block_no", "text")))
-    return blocks.groupBy("page_id").agg(F.array_join(F.transform(listed, lambda x: x.text), "\n").alias("text"), F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"))
+    return _combined(blocks, ["page_id"])
 
 
 def near_edges(blocks: DataFrame, most: float = 200) -> DataFrame:

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import LongType
+
+from tessera.operators.packs import packed
 
 #: Fixed values of a request.
 TEMPERATURE, MAX_TOKENS, BUDGET = 0.3, 3000, 420_000
@@ -82,30 +83,9 @@ def message_tokens(messages: Column, count=count_tokens, named: bool = False, pa
 def pack(df: DataFrame, group: str, order: str, tokens: str, budget: int = BUDGET, compat: bool = False) -> DataFrame:
     """``df`` with ``batch_id`` (from 1 in each group): a batch closes before the item that would make it reach the budget.
 
-    The running total starts anew with each batch, which no window can say, so
-    each group's items stream in order through a task, Arrow batch by Arrow
-    batch: what is held is one batch and the total, however large the group is.
-    A null count is 0; rows without a group are a group. ``compat``: a first
-    item at or over the budget leaves batch 1 empty.
+    See :func:`tessera.operators.packs.packed`; one group of any size is packed by many tasks.
     """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        present, batch, total = object(), 1, 0
-        for b in batches:
-            out = []
-            for g, n in zip(b.column(b.schema.get_field_index(group)).to_pylist(), b.column(b.schema.get_field_index(tokens)).to_pylist(), strict=True):
-                first, n = g != present, n or 0
-                if first:
-                    present, batch, total = g, 1, 0
-                if total + n >= budget and (compat or not first):
-                    batch, total = batch + 1, n
-                else:
-                    total += n
-                out.append(batch)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.int64())], names=[*b.schema.names, "batch_id"])
-
-    schema = StructType([*df.schema.fields, StructField("batch_id", LongType())])
-    return df.repartition(group).sortWithinPartitions(group, order).mapInArrow(run, schema)
+    return packed(df, group, order, tokens, budget, compat)
 
 
 def request_lines(requests: DataFrame, prompt: str, custom_id: str = "custom_id", content: str = "content", model: str = "gpt-4o") -> DataFrame:

@@ -300,9 +300,9 @@ FILES = Q + ", fl AS (SELECT doc_id // 10 AS file, string_agg(header || chr(10)
 
 
 def file_lines(spark, d):
+    """Lines of files whose parts are documents."""
     q = questions(spark, d).select(F.floor(F.col("doc_id") / 10).alias("file"), "doc_id", F.concat("header", F.lit("\n"), F.coalesce("body", F.lit("")), F.lit("\n\n")).alias("r"))
-    files = q.groupBy("file").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "r"))), lambda x: x.r), "\n").alias("text"))
-    return segments.lines(files, "text", "file")
+    return segments.lines(q, "r", "file", part="doc_id")
 
 
 def _digest(df: DataFrame, *keys: str) -> DataFrame:
@@ -336,22 +336,17 @@ def narrow_segments(spark, d):
     return segments.records(file_lines(spark, d), "file", narrow=True).select("file", "record", "n_lines", F.md5("text").alias("text_md5"), F.col("text").contains("Mathematics").alias("wanted"))
 
 
-def _files(spark, d):
-    lined = file_lines(spark, d)
-    return lined.groupBy("file").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x.line), "\n").alias("text"))
-
-
 _PAIRS = FILES + _SEG.format(p=RECORD_SQL) + f", hb AS (SELECT file, record, string_split(text, chr(10))[1] AS header, CASE WHEN contains(text, chr(10)) THEN substr(text, instr(text, chr(10)) + 1) ELSE '' END AS body FROM r WHERE text <> ''), ph AS (SELECT *, regexp_matches(header, '{headers.HEADER}') AS fits FROM hb)"
 
 
 @query("corpus_pairs", _PAIRS + f" SELECT file, record, {TYPE} || ' ' || {GRADE} || {MODIFIER} AS instruction, md5(body) AS response_md5, whole <> header AS trailing FROM (SELECT file, record, body, header, regexp_extract(header, h, 0) AS whole, translate(regexp_extract(header, h, 1), '()', '') AS s, translate(regexp_extract(header, h, 2), '()', '') AS t, regexp_extract(header, h, 3) AS g, translate(regexp_extract(header, h, 4), '()', '') AS m FROM ph, (SELECT '{headers.HEADER}' AS h) WHERE fits) v")
 def corpus_pairs(spark, d):
-    return segments.pairs(_files(spark, d), "text", "file")[0].select("file", "record", "instruction", F.md5("response").alias("response_md5"), "trailing")
+    return segments.pairs(file_lines(spark, d), "file")[0].select("file", "record", "instruction", F.md5("response").alias("response_md5"), "trailing")
 
 
 @query("corpus_pairs_rejected", _PAIRS + " SELECT file, record, header FROM ph WHERE NOT fits")
 def corpus_pairs_rejected(spark, d):
-    return segments.pairs(_files(spark, d), "text", "file")[1]
+    return segments.pairs(file_lines(spark, d), "file")[1]
 
 
 _SUBJ = "|".join(feeds.SUBJECTS)

@@ -13,6 +13,14 @@ def read_corpus(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.col("value").alias("text"))
 
 
+def read_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, part, line) of files read in splits: ``part`` is where a split begins, and its lines follow each other in one task.
+
+    Line ends of all kinds; what stands after the last one is a line only if it is not empty. See :mod:`tessera.operators.segments`.
+    """
+    return spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("part"), F.col("value").alias("line"))
+
+
 def read_records(spark: SparkSession, path: str) -> DataFrame:
     """(file, value): records parted by two blank lines, read in splits, so one large file is no one task."""
     return spark.read.option("lineSep", BREAK).text(path).select(F.input_file_name().alias("file"), "value")

@@ -67,7 +67,7 @@ def test_narrow_records_and_pairs(spark):
     files = spark.createDataFrame([(1, body), (2, "")], "f int, t string")
     narrow = {(r["f"], r["record"]): r["text"] for r in segments.records(segments.lines(files, "t", "f"), "f", narrow=True).collect()}
     assert narrow == {(1, 1): "(Science) (Essay) D 4 M\nx\n\n(S) T D 4 M\ny", (1, 2): "(bad) (header)\nz"}
-    good, bad = segments.pairs(files, "t", "f")
+    good, bad = segments.pairs(segments.lines(files, "t", "f"), "f")
     assert [(r["instruction"], r["response"]) for r in good.orderBy("record").collect()] == [("Give me an essay for a 4th grade student learning science.", "x"), ("Give me an exercise for a 4th grade student.", "y")][: good.count()]
     assert [r["header"] for r in bad.collect()] == ["(bad) (header)"]
 
