@@ -35,6 +35,21 @@ SELECT conv_id, turn, CASE WHEN role = 'user' THEN 'human' WHEN role = 'assistan
        ELSE '<U>' || text || '<' || chr(92) || '/U>' END AS message
 FROM {conversations}"""
 
+#: Parameter sets as Python literals, one or two a turn, whose values look like constants, keys and brackets, and hold quotes and line breaks.
+LITERALS = """
+SELECT conv_id, turn, CASE WHEN turn % 3 = 0 THEN '(' || one || ', ' || two || ')' ELSE one END AS literal
+FROM (SELECT conv_id, turn,
+  '{{''S'': ''None of ' || replace(replace(replace(text, chr(92), chr(92) || chr(92)), chr(39), chr(92) || chr(39)), chr(10), chr(92) || 'n') || ''', "T": "''R'': False, None", ''G'': ' || CAST(turn + 1 AS VARCHAR(10)) || ', ''M'': None, ''R'': ' || CASE WHEN turn % 2 = 1 THEN 'True' ELSE 'False' END || '}}' AS one,
+  '{{"S": "' || replace(replace(replace(text, chr(92), chr(92) || chr(92)), '"', chr(92) || '"'), chr(10), chr(92) || 'n') || '", ''T'': ''True: {{(),'', ''G'': ''4'', ''M'': "it''s ' || chr(92) || 'u00e9", ''R'': true, }}' AS two
+  FROM {conversations}) x"""
+
+#: Words whose article goes by sound, with it.
+ARTICLES = {
+    "unimportant": "an", "uninteresting": "an", "unit": "a", "university": "a", "unidentified": "an", "unidirectional": "a", "umbrella": "an", "usual": "a", "unusual": "an", "usher": "an", "urine": "a", "urgent": "an",
+    "one-day": "a", "onerous": "an", "onion": "an", "once": "a", "hour": "an", "hotel": "a", "honest": "an", "history": "a", "heir": "an", "hero": "a", "euro": "a", "eel": "an", "ewe": "a", "year": "a", "yttrium": "an",
+    "X-ray": "an", "T-shirt": "a", "U-turn": "a", "8": "an", "80": "an", "11th": "an", "18,000": "an", "100": "a", "1": "a", "180": "a", "MCQ": "an", "FAQ": "an", "USB": "a", "PDF": "a", "SQL": "an", "NASA": "a", "EU": "an", "essay": "an", "quiz": "a", "école": "an", "word": "a",
+}
+
 #: Questions with some hundred modifier labels, many of them a letter or two apart, so that aliases chain.
 MANY_LABELS = """
 SELECT doc_id, '(Science)' AS s, CASE doc_id % 5 WHEN 0 THEN '(Essay, Essays)' WHEN 1 THEN '(Reading Exercise)' WHEN 2 THEN '(Reading Exercises, Short Answer)' WHEN 3 THEN '(Short Answers)' ELSE 'T' END AS t, CAST(doc_id % 12 + 1 AS VARCHAR(10)) AS g,

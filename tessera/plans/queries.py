@@ -11,8 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.functions import headers, instruct, markup
-from tessera.operators import conversation, labels, layout, requests, segments, split
+from tessera.functions import headers, instruct, markup, templates
+from tessera.operators import conversation, labels, layout, ranks, requests, segments, split
 from tessera.plans import feeds
 from tessera.streaming import sessions
 
@@ -259,22 +259,23 @@ def spell_unknown(spark, d):
 
 # splits
 
-_DRAWS = split.draws((7, 2, 1))
-_TRAIN = [k + 1 for k, i in enumerate(_DRAWS) if i == 0]
-_REST = [k + 1 for k, i in enumerate(_DRAWS) if i]
-
-
 def _level(i: int, cls: str, multi: str) -> str:
-    """One level as SQL on ``l{i-1}`` (doc_id, s, t, g, m, split, pos)."""
-    a = f"""a{i} AS (SELECT *, count(*) OVER g AS n, min(pos) OVER g AS first, row_number() OVER (PARTITION BY split, {cls} ORDER BY pos) AS rn, {multi} AS multi FROM l{i - 1} WINDOW g AS (PARTITION BY split, {cls})),
+    """One level as SQL on ``l{i-1}`` (doc_id, s, t, g, m, split, pos): every block is drawn from one record at a time.
+
+    The next draw is for the split with the least count by ratio (7, 2, 1: counts times 2, 7, 14), the lower one on ties.
+    """
+    return f"""a{i} AS (SELECT *, count(*) OVER g AS n, min(pos) OVER g AS first, row_number() OVER (PARTITION BY split, {cls} ORDER BY pos) AS rn, {multi} AS multi FROM l{i - 1} WINDOW g AS (PARTITION BY split, {cls})),
  b{i} AS (SELECT *, rn <= n - n % 10 AS main FROM a{i}),
- c{i} AS (SELECT *, row_number() OVER (PARTITION BY split, {cls}, main, multi ORDER BY pos DESC) AS j, count(*) OVER (PARTITION BY split, {cls}, main) - count(*) OVER (PARTITION BY split, {cls}, main, multi) AS others FROM b{i}),
- d{i} AS (SELECT *, least(CASE WHEN multi THEN ((j - 1) // {len(_REST)}) * 10 + ({_REST})[(j - 1) % {len(_REST)} + 1] ELSE ((j - 1) // {len(_TRAIN)}) * 10 + ({_TRAIN})[(j - 1) % {len(_TRAIN)} + 1] END, others + j) AS k FROM c{i}),
- l{i} AS (SELECT doc_id, s, t, g, m, ({_DRAWS})[(k - 1) % 10 + 1] AS split, row_number() OVER (ORDER BY split, n, first, NOT main, k) AS pos FROM d{i})"""
-    return a
+ c{i} AS (SELECT *, row_number() OVER (PARTITION BY split, {cls}, main, multi ORDER BY pos DESC) AS j FROM b{i}),
+ t{i} AS (SELECT split AS s0, {cls} AS k0, main AS m0, count(*) FILTER (NOT multi) AS n0, count(*) FILTER (multi) AS n1 FROM c{i} GROUP BY ALL),
+ w{i} AS (SELECT *, 0::BIGINT AS k, 0::BIGINT AS u0, 0::BIGINT AS u1, 0::BIGINT AS c0, 0::BIGINT AS c1, 0::BIGINT AS c2, -1 AS drawn, false AS took, 0::BIGINT AS j FROM t{i}
+  UNION ALL SELECT s0, k0, m0, n0, n1, k + 1, u0 + (NOT took)::INT, u1 + took::INT, c0 + (drawn = 0)::INT, c1 + (drawn = 1)::INT, c2 + (drawn = 2)::INT, drawn, took, CASE WHEN took THEN u1 + 1 ELSE u0 + 1 END FROM (
+   SELECT *, CASE WHEN drawn = 0 THEN u0 >= n0 ELSE u1 < n1 END AS took FROM (
+    SELECT s0, k0, m0, n0, n1, k, u0, u1, c0, c1, c2, CASE WHEN c0 * 2 <= c1 * 7 AND c0 * 2 <= c2 * 14 THEN 0 WHEN c1 * 7 <= c2 * 14 THEN 1 ELSE 2 END AS drawn FROM w{i} WHERE k < n0 + n1))),
+ l{i} AS (SELECT doc_id, s, t, g, m, drawn AS split, row_number() OVER (ORDER BY s0, n, first, NOT main, k) AS pos FROM c{i} JOIN w{i} ON s0 = split AND k0 = {cls} AND m0 = main AND took = multi AND c{i}.j = w{i}.j)"""
 
 
-_L0 = Q + ", l0 AS (SELECT doc_id, s, t, g, m, 0 AS split, doc_id AS pos FROM v), "
+_L0 = Q.replace("WITH", "WITH RECURSIVE", 1) + ", l0 AS (SELECT doc_id, s, t, g, m, 0 AS split, doc_id AS pos FROM v), "
 _FOUR = _L0 + ", ".join(_level(i, c, x) for i, (c, x) in enumerate((("s", "false"), ("g", "contains(t, ',')"), ("t", "contains(m, ',')"), ("m", "contains(m, ',')")), 1))
 
 
@@ -783,7 +784,8 @@ def seeded_sample(spark, d):
 @query("shuffle_order", f"SELECT item_id, row_number() OVER (ORDER BY {DRAW.format(k='item_id')}, item_id) AS place FROM benchmark")
 def shuffle_order(spark, d):
     """The place of each item in a seeded shuffle."""
-    return t(spark, d, "benchmark").select("item_id", F.row_number().over(Window.orderBy(conversation.draw(F.col("item_id"), 7), "item_id")).cast("long").alias("place"))
+    drawn = t(spark, d, "benchmark").select("item_id", conversation.draw(F.col("item_id"), 7).alias("draw"))
+    return ranks.ranked(drawn, [], ["draw", "item_id"], "place").select("item_id", "place")
 
 
 @query("next_subject", Q + ", o AS (SELECT doc_id, s, lead(s) OVER (PARTITION BY doc_id // 100 ORDER BY doc_id) AS nx FROM v) SELECT doc_id, nx AS next_subject FROM o WHERE nx IS NOT NULL AND nx <> s")
@@ -796,3 +798,108 @@ _F = Q.replace("WITH", "WITH RECURSIVE", 1) + ", " + _alias_sql("m")
 SQL["fuzzy_pairs"] = _F + " SELECT label, other, round(score, 6) AS score FROM fm"
 SQL["fuzzy_alias"] = _F + " SELECT * FROM alm"
 SQL["counts_after_alias"] = _F + " SELECT label, cnt FROM ncm"
+
+# labels as arrays, articles, large files, one group, literals, templates, groups of blocks
+
+
+@query("combo_arrays", Q + f" SELECT s, types, g, modifiers, count(*) AS cnt, min(doc_id) AS first_pos FROM (SELECT doc_id, trim(s) AS s, list_aggregate({SPLIT.format(c='t')}, 'string_agg', '|') AS types, trim(g) AS g, list_aggregate({SPLIT.format(c='m')}, 'string_agg', '|') AS modifiers FROM v) GROUP BY ALL")
+def combo_arrays(spark, d):
+    return labels.combinations(parsed(spark, d)).withColumns({"types": F.array_join("types", "|"), "modifiers": F.array_join("modifiers", "|")})
+
+
+_WORDS = ", ".join(f"({i}, '{w}', '{a}')" for i, (w, a) in enumerate(feeds.ARTICLES.items()))
+
+
+@query("articles", f"WITH w(i, word, article) AS (VALUES {_WORDS}) SELECT p_partkey, article || ' ' || word || ' ' || p_name AS text FROM part JOIN w ON p_partkey % {len(feeds.ARTICLES)} = i")
+def articles(spark, d):
+    words = F.array(*map(F.lit, feeds.ARTICLES))
+    phrase = F.concat_ws(" ", F.element_at(words, (F.col("p_partkey") % len(feeds.ARTICLES) + 1).cast("int")), "p_name")
+    return t(spark, d, "part").select("p_partkey", instruct.with_article(phrase).alias("text"))
+
+
+SOURCES = Q + ", sl AS (SELECT source, doc_id, unnest(string_split(r, chr(10))) AS line, generate_subscripts(string_split(r, chr(10)), 1) AS i FROM (SELECT source, q.doc_id, header || chr(10) || coalesce(body, '') || chr(10) AS r FROM q JOIN documents ON q.doc_id = documents.doc_id)), l AS (SELECT source, line, row_number() OVER (PARTITION BY source ORDER BY doc_id, i) AS line_no FROM sl)"
+
+
+def source_lines(spark, d):
+    """Lines of one large file a source, whose parts are documents."""
+    documents = t(spark, d, "documents").select("source", "doc_id", "text")
+    q = feeds.feed(spark, feeds.QUESTIONS.replace("SELECT doc_id,", "SELECT source, doc_id,"), documents=documents)
+    return segments.lines(q.select("source", "doc_id", F.concat("header", F.lit("\n"), F.coalesce("body", F.lit("")), F.lit("\n")).alias("r")), "r", "source", part="doc_id")
+
+
+@query("source_segments", SOURCES + f", s AS (SELECT *, sum(CASE WHEN line_no > 1 AND regexp_matches(line, '{RECORD_SQL}') THEN 1 ELSE 0 END) OVER (PARTITION BY source ORDER BY line_no) AS record FROM l) SELECT source, record::BIGINT AS record, count(*) AS n_lines, md5(string_agg(line, chr(10) ORDER BY line_no)) AS text_md5 FROM s GROUP BY source, record")
+def source_segments(spark, d):
+    return _digest(segments.records(source_lines(spark, d), "source"), "source", "record")
+
+
+@query("source_chunks", SOURCES + " SELECT source, (line_no - 1) // 100 AS chunk, count(*) AS n_lines, md5(string_agg(line, chr(10) ORDER BY line_no)) AS text_md5 FROM l GROUP BY source, chunk")
+def source_chunks(spark, d):
+    return _digest(segments.chunks(source_lines(spark, d), "source", 100), "source", "chunk")
+
+
+@query("token_pack_one", PACK.replace("PARTITION BY source ORDER BY doc_id", "ORDER BY doc_id").replace("x.source = r.source AND ", "") + " SELECT doc_id, tokens, batch_id FROM r")
+def token_pack_one(spark, d):
+    """All requests are one group."""
+    return requests.pack(_tokens(spark, d).withColumn("every", F.lit(1)), "every", "doc_id", "tokens", 5000).select("doc_id", "tokens", "batch_id")
+
+
+_TWO = "turn % 3 = 0"
+_READ = f"""SELECT conv_id, turn, CASE WHEN {_TWO} THEN 2 ELSE 1 END AS n, md5('None of ' || text || CASE WHEN {_TWO} THEN '|' || text ELSE '' END) AS subjects_md5, '''R'': False, None' || CASE WHEN {_TWO} THEN '|True: {{(),' ELSE '' END AS types,
+ (turn + 1)::VARCHAR || CASE WHEN {_TWO} THEN '|4' ELSE '' END AS grades, CASE WHEN {_TWO} THEN 'it''s é' ELSE '' END AS modifiers, {_TWO} OR turn % 2 = 1 AS ready FROM conversations WHERE text IS NOT NULL"""
+
+
+@query("conv_literals", _READ)
+def conv_literals(spark, d):
+    """Parameter sets from literals with quotes, constants and keys inside their values."""
+    read = feeds.feed(spark, feeds.LITERALS, conversations=t(spark, d, "conversations")).where("literal IS NOT NULL")
+    sets = read.select("conv_id", "turn", conversation.parameters(F.col("literal")).alias("p"))
+    joined = lambda k: F.array_join(F.transform("p", lambda x: x[k]), "|")
+    return sets.select("conv_id", "turn", F.size("p").alias("n"), F.md5(joined("S")).alias("subjects_md5"), joined("T").alias("types"), joined("G").alias("grades"), joined("M").alias("modifiers"), F.element_at("p", -1)["R"].alias("ready"))
+
+
+_ROLE, _SAID, _ORDERED = "coalesce(role, '')", "coalesce(text, '')", "ORDER BY turn, role, text"
+
+
+def _messages(spark, d, *more):
+    listed = F.array_sort(F.collect_list(F.struct("turn", "role", "text", "conv_id")))
+    message = lambda x: F.struct(x["role"].alias("role"), x["text"].alias("content"), *[m(x) for m in more])
+    return t(spark, d, "conversations").groupBy("conv_id").agg(F.transform(listed, message).alias("messages"))
+
+
+@query("chat_template_tagged", f"SELECT conv_id, md5(string_agg('<|' || {_ROLE} || '|>' || chr(10) || {_SAID} || chr(10), '' {_ORDERED})) AS text_md5 FROM conversations GROUP BY conv_id")
+def chat_template_tagged(spark, d):
+    return _messages(spark, d).select("conv_id", F.md5(templates.compiled(templates.TAGGED)(messages=F.col("messages"))).alias("text_md5"))
+
+
+_TRIMMED = "regexp_replace(coalesce(text, ''), '^\\s+|\\s+$', '', 'g')"
+
+
+@query("chat_template_instruct", f"WITH n AS (SELECT *, row_number() OVER (PARTITION BY conv_id {_ORDERED}) AS i FROM conversations) SELECT conv_id, md5(string_agg(CASE WHEN role = 'system' THEN '<<SYS>>' || {_TRIMMED} || '<</SYS>>' WHEN role = 'user' THEN CASE WHEN i > 1 THEN ' ' ELSE '' END || '[INST] ' || {_TRIMMED} || ' [/INST]' ELSE ' ' || {_TRIMMED} || '</s>' END, '' ORDER BY i)) AS text_md5 FROM n GROUP BY conv_id")
+def chat_template_instruct(spark, d):
+    return _messages(spark, d).select("conv_id", F.md5(templates.compiled(templates.INSTRUCT)(messages=F.col("messages"))).alias("text_md5"))
+
+
+_CALL = """'generate_exercise {"subjects":["Math","S' || conv_id || '"],"ready":' || CASE WHEN turn % 4 = 1 THEN 'true' ELSE 'false' END || '}'"""
+
+
+@query("chat_template_tools", f"SELECT conv_id, md5('<begin>' || string_agg('[' || upper({_ROLE}) || ']' || chr(10) || CASE WHEN role = 'assistant' AND turn % 4 = 1 THEN {_CALL} || '; ' || {_CALL} WHEN role = 'assistant' AND turn % 4 = 3 THEN {_CALL} ELSE coalesce(text, '-') END || '<end>' || chr(10), '' {_ORDERED}) || '[ASSISTANT]' || chr(10)) AS text_md5 FROM conversations GROUP BY conv_id")
+def chat_template_tools(spark, d):
+    """Tool calls of assistants, one or two a message, and a prompt for the next one."""
+
+    def calls(x):
+        subjects = F.array(F.lit("Math"), F.concat(F.lit("S"), x["conv_id"].cast("string")))
+        call = F.struct(F.struct(F.lit("generate_exercise").alias("name"), F.struct(subjects.alias("subjects"), (x["turn"] % 4 == 1).alias("ready")).alias("arguments")).alias("function"))
+        return F.when(x["role"] == "assistant", F.when(x["turn"] % 4 == 1, F.array(call, call)).when(x["turn"] % 4 == 3, F.array(call))).alias("tool_calls")
+
+    return _messages(spark, d, calls).select("conv_id", F.md5(templates.compiled(templates.HEADERS)(messages=F.col("messages"), prompt=F.lit(True))).alias("text_md5"))
+
+
+_REACH = f""", e AS (SELECT b1.page_id, b1.block_no AS a, b2.block_no AS b FROM b b1 JOIN b b2 ON b1.page_id = b2.page_id AND b1.block_no <> b2.block_no WHERE {CLOSE}),
+ both_ways AS (SELECT page_id, a, b FROM e UNION SELECT page_id, b, a FROM e), reach AS (SELECT page_id, block_no AS a, block_no AS b FROM b UNION SELECT r.page_id, r.a, x.b FROM reach r JOIN both_ways x ON r.page_id = x.page_id AND r.b = x.a),
+ low AS (SELECT page_id, a, min(b) AS group_no FROM reach GROUP BY ALL)
+ SELECT b.page_id, group_no, count(*) AS n_blocks, string_agg(text, chr(10) ORDER BY block_no, text) AS text, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1 FROM b JOIN low ON b.page_id = low.page_id AND block_no = a GROUP BY b.page_id, group_no"""
+
+
+@query("blocks_grouped", B.replace("WITH", "WITH RECURSIVE", 1) + _REACH)
+def blocks_grouped(spark, d):
+    return layout.groups(_blocks(spark, d))
