@@ -10,19 +10,24 @@
 3. Documents that share a band are candidates. In each band's bucket all
    members are compared with the bucket's smallest id, and links found are
    joined to components. Buckets of more than ``HOT`` members get their
-   smallest id by broadcast (while there are at most ``HOT_KEYS`` such buckets),
-   so no task takes a large bucket's members.
-4. Buckets whose members then lie in several components are finished exactly:
-   documents joined by such buckets form groups. A group is dealt into blocks
-   of bounded rows and shingles, a large component's members into blocks of
-   its own, and two blocks are a tile, unless both are of one component. A tile
-   is compared by matrix products of shingle indicators, so that only links
-   become rows. So every candidate pair is compared or lies in one component
-   already, and near copies of one text are not compared with each other.
-5. Comparison is exact Jaccard similarity on the full sets.
-
-With 36 bands of 6 coordinates a pair at the threshold of 0.8 shares a band
-with probability 1 - (1 - 0.8^6)^36 > 0.99998; above 0.85, > 0.9999999.
+   smallest id by broadcast (while there are at most ``HOT_KEYS`` such buckets;
+   beyond, by joins that split large keys), so no task takes a large bucket.
+4. Buckets whose members then lie in several components are finished exactly,
+   each on its own, so texts that only chain through others never meet: a large
+   bucket is dealt into blocks, a large component's members into blocks of their
+   own, and two blocks are a tile, unless both are of one component; small
+   buckets share tiles. A tile holds signatures, a byte a coordinate, not sets,
+   and passes on pairs of different components whose sizes allow a link and
+   whose signatures agree in at least ``AGREE`` of their places.
+5. Pairs that pass (those of step 3 go through the same filter) are compared on
+   their full sets by exact Jaccard similarity.
+
+With 60 bands of 8 coordinates a pair at the threshold of 0.8 shares a band
+with probability 1 - (1 - 0.8^8)^60 > 0.99998, above 0.85 > 0.9999999, and its
+480 coordinates agree in less than ``AGREE`` of 480 places (7 standard
+deviations off) with a probability under 10^-11. Of texts at 0.5, such as share
+their boilerplate, about one pair in five shares a bucket and none is compared
+on full sets.
 
 Defined cases: null or blank texts have an empty set and link with nothing;
 with fewer words than a shingle has, the whole sequence is one shingle; ties
@@ -47,11 +52,15 @@ from tessera.llm.components import components
 from tessera.llm.lexicon import slices, split_words
 
 #: Bands, coordinates in a band, and size of the permuted universe.
-BANDS, ROWS, UNIVERSE = 36, 6, 1 << 20
+BANDS, ROWS, UNIVERSE = 60, 8, 1 << 20
 #: Members of a bucket that is joined by broadcast, and how many such buckets may be.
 HOT, HOT_KEYS = 200, 100_000
-#: Documents and shingles of a block of a tile at most, on average.
-BLOCK, BLOCK_SHINGLES = 256, 500_000
+#: Documents of a block of a tile, on average, and of the small buckets that share a tile.
+BLOCK, SHARED = 1024, 8192
+#: Share of coordinates that must agree before full sets are compared, for the threshold of 80 %; it moves with other ones.
+AGREE = 0.67
+#: Pairs of one document that are compared in one group.
+GROUP = 200
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -111,7 +120,7 @@ def band_keys(signatures: np.ndarray) -> np.ndarray:
 
 
 def sketches(df: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
-    """(id, n_shingles, k1, k2, bands): the set's size, 128-bit key and band keys; no bands for an empty set."""
+    """(id, n_shingles, k1, k2, bands, signature): the set's size, 128-bit key, band keys, and a byte of each coordinate; no bands for an empty set."""
     kind = df.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -123,11 +132,12 @@ def sketches(df: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame
                 sizes = np.array([len(s) for s in sets], np.int64)
                 keys = np.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], "S16")
                 keys = np.frombuffer(b"".join(x.ljust(16, b"\0") for x in keys.tolist()), np.int64).reshape(-1, 2)
-                bands = band_keys(np.array([signature(s) for s in sets if len(s)], np.uint32).reshape(-1, BANDS * ROWS))
+                signatures = np.array([signature(s) for s in sets if len(s)], np.uint32).reshape(-1, BANDS * ROWS)
+                bands, low = band_keys(signatures), iter((mixed(signatures.astype(np.uint64)) & np.uint64(255)).astype(np.uint8))
                 ends = np.concatenate([[0], np.cumsum((sizes > 0) * BANDS)]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(start, len(part)), pa.array(sizes), pa.array(keys[:, 0]), pa.array(keys[:, 1]), pa.ListArray.from_arrays(pa.array(ends), pa.array(bands.ravel()))], names=["id", "n_shingles", "k1", "k2", "bands"])
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(start, len(part)), pa.array(sizes), pa.array(keys[:, 0]), pa.array(keys[:, 1]), pa.ListArray.from_arrays(pa.array(ends), pa.array(bands.ravel())), pa.array([next(low).tobytes() if len(s) else None for s in sets], pa.binary())], names=["id", "n_shingles", "k1", "k2", "bands", "signature"])
 
-    return df.select(id_col, text_col).mapInArrow(run, f"id {kind}, n_shingles long, k1 long, k2 long, bands array<long>")
+    return df.select(id_col, text_col).mapInArrow(run, f"id {kind}, n_shingles long, k1 long, k2 long, bands array<long>, signature binary")
 
 
 def full_sets(df: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
@@ -144,79 +154,125 @@ def full_sets(df: DataFrame, id_col: str, text_col: str, width: int) -> DataFram
     return df.select(id_col, text_col).mapInArrow(run, f"id {kind}, shingles array<long>")
 
 
-def similar(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) with 100 * intersection >= percent * union, on full sets."""
-    kind = pairs.schema["a"].dataType.simpleString()
-    joined = pairs.select("a", "b").join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b").select("a", "b", "x", "y")
+def beside(pairs: DataFrame, table: DataFrame, value: str) -> DataFrame:
+    """(a, b, x, y): the values of a and b beside each pair. A document of many pairs is dealt out: one copy of its value for ``GROUP`` of them."""
+    spark = pairs.sparkSession
+    out = pairs.select("a", "b")
+    for end, name, other in (("a", "x", "b"), ("b", "y", "a")):
+        named = table.select(F.col("id").alias(end), F.col(value).alias(name))
+        many = written(spark, out.groupBy(end).count().where(F.col("count") > GROUP).select(end, F.ceil(F.col("count") / GROUP).cast("int").alias("parts")), "many")
+        if many.isEmpty():
+            out = out.join(named, end)
+            continue
+        salt = F.pmod(F.xxhash64(other), F.col("parts")).cast("int")
+        dealt = out.join(many, end, "left").withColumn("part", F.coalesce(salt, F.lit(0))).drop("parts")  # adaptive joins split large keys; rows are narrow here
+        copies = named.join(many, end, "left").select(end, name, F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("part"))
+        out = dealt.join(copies, [end, "part"]).drop("part")
+    return out.select("a", "b", "x", "y")
+
+
+def _kept(joined: DataFrame, good) -> DataFrame:
+    kind = joined.schema["a"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            good = []
-            for x, y in zip(b.column(2), b.column(3), strict=True):
-                x, y = x.values.to_numpy(), y.values.to_numpy()
-                at = np.searchsorted(y, x)
-                both = int((y[np.minimum(at, len(y) - 1)] == x).sum())
-                good.append(100 * both >= percent * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
+            keep = [good(x, y) for x, y in zip(b.column(2), b.column(3), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return joined.mapInArrow(run, f"a {kind}, b {kind}")
 
 
-def links_in_tile(sets: list[np.ndarray], labels: list, left: np.ndarray, right: np.ndarray, percent: int) -> Iterator[tuple[int, int]]:
-    """Pairs of rows (one of ``left``, one of ``right``) of different labels that reach the threshold, by a matrix product over shingles."""
-    sizes = np.array([len(s) for s in sets], np.int64)
-    row = np.repeat(np.arange(len(sets)), sizes)
-    _, column, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    row, column = row[often[column] > 1], column[often[column] > 1]
-    order = np.argsort(column, kind="stable")
-    row, column = row[order], np.unique(column[order], return_inverse=True)[1]
-    both = np.zeros((len(left), len(right)))
-    for begin in range(0, int(column[-1]) + 1 if len(column) else 0, 2048):
-        lo, hi = np.searchsorted(column, [begin, begin + 2048])
-        block = np.zeros((len(sets), 2048), np.float32)
-        block[row[lo:hi], column[lo:hi] - begin] = 1
-        both += block[left] @ block[right].T
-    union = sizes[left][:, None] + sizes[right][None, :] - both
-    for i, j in zip(*np.nonzero(100 * both >= percent * union), strict=True):
-        if labels[left[i]] != labels[right[j]]:
-            yield left[i], right[j]
+def similar(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) with 100 * intersection >= percent * union, on full sets."""
+
+    def good(x: pa.Scalar, y: pa.Scalar) -> bool:
+        x, y = x.values.to_numpy(), y.values.to_numpy()
+        at = np.searchsorted(y, x)
+        both = int((y[np.minimum(at, len(y) - 1)] == x).sum())
+        return 100 * both >= percent * (len(x) + len(y) - both)
+
+    return _kept(beside(pairs, sets, "shingles"), good)
+
+
+def least_agreeing(percent: int) -> int:
+    """How many coordinates of a pair must agree: ``0.8 - AGREE`` of them fewer than the threshold lets expect, over five standard deviations for any threshold."""
+    return int(BANDS * ROWS * (percent / 100 - (0.8 - AGREE)))
+
+
+def agreeing(pairs: DataFrame, signatures: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose signatures agree well enough to be compared on full sets."""
+    least = least_agreeing(percent)
+
+    def good(x: pa.Scalar, y: pa.Scalar) -> bool:
+        return int((np.frombuffer(x.as_buffer(), np.uint8) == np.frombuffer(y.as_buffer(), np.uint8)).sum()) >= least
+
+    return _kept(beside(pairs, signatures, "signature"), good)
+
+
+def pairs_in_tile(signatures: np.ndarray, sizes: np.ndarray, labels: np.ndarray, left: np.ndarray, right: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows (one of ``left``, one of ``right``) of different labels that sizes and signatures let through."""
+    least = least_agreeing(percent)
+    for k in range(len(left)):
+        i = left[k]
+        near = right[(labels[right] != labels[i]) & (np.minimum(sizes[right], sizes[i]) * 100 >= np.maximum(sizes[right], sizes[i]) * percent)]
+        for part in (near[n : n + 4096] for n in range(0, len(near), 4096)):
+            found = part[(signatures[part] == signatures[i]).sum(1) >= least]
+            if len(found):
+                yield np.full(len(found), i), found
 
 
 def tiles(docs: DataFrame) -> DataFrame:
-    """(id, g, c, tile, side): what documents (id, n, c, g) go to which tiles; ``side`` is 0, 1, or 2 for both.
+    """(id, n, c, h, tile, side): what members (h, id, n, c) of buckets go to which tiles; ``side`` is 0, 1, or 2 for both.
 
-    A component of ``BLOCK`` documents or more has blocks of its own, which are not
-    compared with each other; smaller ones share blocks.
+    A component with ``BLOCK`` members or more in a bucket has blocks of its own, which are not compared with each other; smaller ones share blocks.
     """
-    count = lambda m, s: F.greatest(F.ceil(m / BLOCK), F.ceil(s / BLOCK_SHINGLES)).cast("int")
-    parts = docs.groupBy("g", "c").agg(F.count("*").alias("m"), F.sum("n").alias("s"))
-    parts = parts.withColumn("own", F.when(F.col("m") >= BLOCK, F.col("c"))).groupBy("g", "own").agg(count(F.sum("m"), F.sum("s")).alias("blocks"), F.collect_list("c").alias("cs"))
-    parts = written(docs.sparkSession, parts.select("g", "own", "blocks", F.explode("cs").alias("c")), "parts")
-    number = lambda own, k: F.xxhash64("g", own.isNull(), own, k)
-    dealt = docs.join(parts, ["g", "c"]).select("id", "c", "g", number(F.col("own"), F.pmod(F.xxhash64("id"), "blocks").cast("int")).alias("block"))
-    blocks = parts.select("g", "own", "blocks").distinct().select("g", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("k"))
-    blocks = blocks.select("g", "own", number(F.col("own"), F.col("k")).alias("block"))
-    left, right = blocks.select("g", F.col("own").alias("x"), F.col("block").alias("lo")), blocks.select("g", F.col("own").alias("y"), F.col("block").alias("hi"))
-    pairs = left.join(right, "g").where((F.col("lo") <= F.col("hi")) & F.coalesce(F.col("x") != F.col("y"), F.lit(True)))
-    pairs = pairs.select("g", "lo", "hi", F.xxhash64("g", "lo", "hi").alias("tile"))
-    sides = pairs.select("g", "tile", F.when(F.col("lo") == F.col("hi"), 2).otherwise(0).alias("side"), F.col("lo").alias("block"))
-    sides = sides.unionAll(pairs.where("lo != hi").select("g", "tile", F.lit(1).alias("side"), F.col("hi").alias("block")))
-    return dealt.join(sides, ["g", "block"]).select("id", "g", "c", "tile", "side")
-
-
-def links_in_groups(docs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) between documents (id, n, c, g) of one group ``g`` and different components ``c``; no pair becomes a row unless it is a link."""
+    spark = docs.sparkSession
+    parts = docs.groupBy("h", "c").agg(F.count("*").alias("m"))
+    parts = parts.withColumn("own", F.when(F.col("m") >= BLOCK, F.col("c")))
+    blocks = written(spark, parts.groupBy("h", "own").agg(F.sum("m").alias("m"), F.ceil(F.sum("m") / BLOCK).cast("int").alias("blocks")), "blocks")
+    buckets = blocks.groupBy("h").agg(F.sum("blocks").alias("all_blocks"), F.sum("m").alias("m"))
+    small, large = (written(spark, buckets.where(c), "buckets") for c in ("all_blocks = 1", "all_blocks > 1"))
+    packs = max(64, (small.agg(F.sum("m")).first()[0] or 0) // SHARED)
+    out = docs.join(small.select("h"), "h", "left_semi").select("id", "n", "c", "h", F.pmod(F.xxhash64("h", F.lit(7)), F.lit(packs)).alias("tile"), F.lit(2).alias("side"))
+    if large.isEmpty():
+        return out
+    number = lambda own, k: F.xxhash64("h", own.isNull(), own, k)
+    own = parts.where("own IS NOT NULL").select("h", "c", "own")
+    dealt = docs.join(large.select("h"), "h", "left_semi").join(own, ["h", "c"], "left")
+    count = blocks.select("h", F.coalesce(F.col("own").cast("string"), F.lit("")).alias("o"), "blocks")
+    dealt = dealt.withColumn("o", F.coalesce(F.col("own").cast("string"), F.lit(""))).join(count, ["h", "o"])
+    dealt = dealt.select("id", "n", "c", "h", number(F.col("own"), F.pmod(F.xxhash64("id"), "blocks").cast("int")).alias("block"))
+    each = blocks.join(large.select("h"), "h", "left_semi").select("h", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("k"))
+    each = each.select("h", "own", number(F.col("own"), F.col("k")).alias("block"))
+    left, right = each.select("h", F.col("own").alias("x"), F.col("block").alias("lo")), each.select("h", F.col("own").alias("y"), F.col("block").alias("hi"))
+    pairs = left.join(right, "h").where((F.col("lo") <= F.col("hi")) & F.coalesce(F.col("x") != F.col("y"), F.lit(True)))
+    pairs = pairs.select("h", "lo", "hi", F.xxhash64("h", "lo", "hi").alias("tile"))
+    sides = pairs.select("h", "tile", F.when(F.col("lo") == F.col("hi"), 2).otherwise(0).alias("side"), F.col("lo").alias("block"))
+    sides = sides.unionAll(pairs.where("lo != hi").select("h", "tile", F.lit(1).alias("side"), F.col("hi").alias("block")))
+    return out.unionByName(dealt.join(sides, ["h", "block"]).select("id", "n", "c", "h", "tile", "side"))
+
+
+def pairs_in_buckets(docs: DataFrame, signatures: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of members (h, id, n, c) of one bucket and different components that may be links."""
     kind = docs.schema["id"].dataType.simpleString()
 
     def run(t: pa.Table) -> pa.Table:
-        found = [x.values.to_numpy() for x in t.column("shingles")]
-        ids, labels, side = t.column("id"), t.column("c").to_pylist(), t.column("side").to_numpy()
-        left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
-        pairs = [p for p in links_in_tile(found, labels, left, right, percent) if side[p[0]] != 2 or p[0] < p[1]] if len(left) and len(right) else []
-        a, b = ([p[k] for p in pairs] for k in (0, 1))
-        return pa.table({"a": ids.take(pa.array(a, pa.int64())), "b": ids.take(pa.array(b, pa.int64()))})
-
-    return tiles(docs).join(sets, "id").groupBy("g", "tile").applyInArrow(run, f"a {kind}, b {kind}")
+        t = t.take(pa.array(np.argsort(t.column("h").to_numpy(), kind="stable")))
+        ids, h, side, sizes = t.column("id"), t.column("h").to_numpy(), t.column("side").to_numpy(), t.column("n").to_numpy()
+        labels = t.column("c").combine_chunks().dictionary_encode().indices.to_numpy()
+        signed = np.frombuffer(b"".join(t.column("signature").to_pylist()), np.uint8).reshape(len(t), -1)
+        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        starts = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+        for lo, hi in zip(starts, [*starts[1:], len(h)], strict=True):
+            left, right = lo + np.flatnonzero(side[lo:hi] != 1), lo + np.flatnonzero(side[lo:hi] != 0)
+            for i, j in pairs_in_tile(signed, sizes, labels, left, right, percent):
+                keep = (side[i] != 2) | (i < j)
+                a.append(i[keep])
+                b.append(j[keep])
+        return pa.table({"a": ids.take(pa.array(np.concatenate(a))), "b": ids.take(pa.array(np.concatenate(b)))})
+
+    found = tiles(docs).join(signatures, "id").groupBy("tile").applyInArrow(run, f"a {kind}, b {kind}")
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def hot_keys(table: DataFrame, keys: list[str]) -> DataFrame | None:
@@ -251,16 +307,22 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         fits = F.least("n", "leader_n") * 100 >= F.greatest("n", "leader_n") * percent
         first = members.where(F.col("id") != F.col("leader")).where(fits).select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct()
         wanted = written(spark, members.select("id").distinct(), "wanted")
-        texts = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(few(wanted), "id", "left_semi")
-        sets = written(spark, full_sets(texts, "id", "text", width), "sets")
-        links = written(spark, similar(first, sets, percent), "links")
+        signatures = written(spark, usable.join(few(wanted), "id", "left_semi").join(classes.select(F.col("rep").alias("id"), "k1", "k2"), ["id", "k1", "k2"], "left_semi").dropDuplicates(["id", "k1", "k2"]).select("id", "signature"), "signatures")
+        texts = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+
+        def confirmed(pairs: DataFrame) -> DataFrame:
+            """Links among pairs that their signatures let through; sets are made of the texts that take part."""
+            pairs = written(spark, pairs, "pairs")
+            part = written(spark, pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "part")
+            sets = written(spark, full_sets(texts.join(few(part), "id", "left_semi"), "id", "text", width), "sets")
+            return written(spark, similar(pairs, sets, percent), "links")
+
+        links = confirmed(agreeing(first, signatures, percent))
         label = components(links, "a", "b")
         placed = written(spark, members.select("h", "id", "n").join(label.withColumnRenamed("vertex", "id"), "id", "left").select("h", "id", "n", F.coalesce("label", "id").alias("c")), "placed")
-        open_buckets = placed.groupBy("h").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.min("id").alias("hub")).where("low != high").select("h", "hub")
-        involved = written(spark, join_hot(placed, open_buckets, ["h"], hot), "open")
-        groups = components(involved.select("hub", "id").distinct(), "hub", "id")
-        inside = involved.select("id", "n", "c").distinct().join(groups.select(F.col("vertex").alias("id"), F.col("label").alias("g")), "id")
-        more = links_in_groups(inside, sets, percent)
+        open_buckets = placed.groupBy("h").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low != high").select("h", F.lit(1).alias("open"))
+        involved = written(spark, join_hot(placed, open_buckets, ["h"], hot).select("h", "id", "n", "c").distinct(), "open")
+        more = confirmed(pairs_in_buckets(involved, signatures, percent))
         label = components(links.unionByName(more), "a", "b")
         by_class = classes.join(label.withColumnRenamed("vertex", "rep"), "rep", "left").select("k1", "k2", F.coalesce("label", "rep").alias("component_id"))
         known = sketched.select("id", "n_shingles", F.when((F.col("n_shingles") > 0) & F.col("id").isNotNull(), F.col("k1")).alias("k1"), "k2")

@@ -203,7 +203,7 @@ def families(seed):
     return out
 
 
-@pytest.mark.parametrize("settings", [{}, {"BROADCAST_BYTES": -1, "HOT": 2, "BLOCK": 4}, {"HOT": 2, "HOT_KEYS": 0, "BLOCK_SHINGLES": 60}])
+@pytest.mark.parametrize("settings", [{}, {"BROADCAST_BYTES": -1, "HOT": 2, "BLOCK": 4}, {"HOT": 2, "HOT_KEYS": 0, "GROUP": 3}])
 def test_near_duplicates_that_drift(spark, monkeypatch, settings):
     """Small bounds, so hot buckets, tiles of several blocks and the shuffle of texts are all in use."""
     for k, v in settings.items():
@@ -218,8 +218,10 @@ def test_near_duplicates_that_drift(spark, monkeypatch, settings):
 
 def test_tiles_leave_out_only_pairs_of_a_component(spark, monkeypatch):
     monkeypatch.setattr(near_dedup, "BLOCK", 5)
-    rows = [(i, 10, "big" if i < 23 else f"c{i // 2}", "g") for i in range(40)]
-    got = near_dedup.tiles(spark.createDataFrame(rows, "id long, n long, c string, g string")).collect()
+    rows = [(i, 10, "big" if i < 23 else f"c{i // 2}", 1) for i in range(40)]
+    more = [(i, 10, f"c{i}", 100 + i // 2) for i in range(40, 60)]  # small buckets share tiles
+    got = near_dedup.tiles(spark.createDataFrame(rows + more, "id long, n long, c string, h long")).collect()
+    assert all(r["side"] == 2 for r in got if r["h"] > 1) and sum(r["h"] > 1 for r in got) == 20
     by_tile = {}
     for r in got:
         by_tile.setdefault(r["tile"], []).append(r)
@@ -227,7 +229,7 @@ def test_tiles_leave_out_only_pairs_of_a_component(spark, monkeypatch):
     for rs in by_tile.values():
         for x in rs:
             for y in rs:
-                if x["side"] != 1 and y["side"] != 0 and x["id"] != y["id"]:
+                if x["h"] == y["h"] == 1 and x["side"] != 1 and y["side"] != 0 and x["id"] != y["id"]:
                     pairs.add(frozenset((x["id"], y["id"])))
     component = {i: c for i, _, c, _ in rows}
     want = {frozenset((i, j)) for i in range(40) for j in range(i) if component[i] != component[j]}
@@ -243,14 +245,36 @@ def test_near_duplicates_of_odd_ids(spark):
     assert named.where("kept").count() == 2 + 1
 
 
-def test_tiles_find_all_links():
+def test_signatures_agree_as_sets_do():
+    """Pairs at the threshold pass, those that share boilerplate do not, and sizes decide alone where they can."""
     rng = np.random.default_rng(2)
-    sets = [np.unique(rng.integers(0, 40, 30)) for _ in range(60)]
-    labels = list(range(59)) + [0]
-    a, b = np.arange(0, 40), np.arange(20, 60)
-    got = set(near_dedup.links_in_tile(sets, labels, a, b, 60))
-    want = {(i, j) for i in a for j in b if labels[i] != labels[j] and 100 * len(np.intersect1d(sets[i], sets[j])) >= 60 * len(np.union1d(sets[i], sets[j]))}
-    assert got == want and want
+
+    def pair(n, share):
+        x = rng.integers(-(1 << 62), 1 << 62, 2 * n)
+        both = round(share * 2 * n / (1 + share))
+        return np.unique(x[:n]), np.unique(np.concatenate([x[n - both : n], x[n : 2 * n - both]]))
+
+    for share, passes in ((0.8, True), (0.9, True), (0.5, False)):
+        for n in (20, 200, 2000):
+            pairs = [pair(n, share) for _ in range(12)]
+            signed = np.array([near_dedup.signature(x) for p in pairs for x in p]).astype(np.uint8)
+            sizes, labels = np.full(24, n), np.arange(24)
+            got = {(int(i[0]), int(k)) for k_ in range(12) for i, j in near_dedup.pairs_in_tile(signed, sizes, labels, np.array([2 * k_]), np.array([2 * k_ + 1]), 80) for k in j}
+            assert len(got) == (12 if passes else 0)
+    assert not list(near_dedup.pairs_in_tile(signed, np.array([100, 79] * 12), labels, np.array([0]), np.array([1]), 80))
+    assert not list(near_dedup.pairs_in_tile(np.repeat(signed[:1], 2, 0), np.array([5, 5]), np.array([1, 1]), np.array([0]), np.array([1]), 80))
+
+
+def test_boilerplate_is_not_compared_on_full_sets(spark, monkeypatch):
+    """Texts that share two thirds of their words link nowhere, and none of them is looked up in full, however many they are."""
+    looked_up = []
+    full = near_dedup.full_sets
+    monkeypatch.setattr(near_dedup, "full_sets", lambda df, *a: looked_up.append(df.count()) or full(df, *a))
+    rng = random.Random(9)
+    common_words = " ".join(f"b{i}" for i in range(60))
+    rows = [(i, common_words + " " + " ".join(f"x{rng.randrange(10**6)}" for _ in range(30))) for i in range(1500)]
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert got.where("kept").count() == 1500 and sum(looked_up) == 0
 
 
 def test_near_duplicates_without_rows(spark):
