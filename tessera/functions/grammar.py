@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column
@@ -21,7 +21,7 @@ def has_imperative(make_tagger: Callable[[], Callable[[str], list[Word]]]) -> Ca
     """
 
     @F.pandas_udf(BooleanType())
-    def run(texts: pd.Series) -> pd.Series:
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         tag = make_tagger()
 
         def imperative(text: str | None) -> bool:
@@ -29,6 +29,7 @@ def has_imperative(make_tagger: Callable[[], Callable[[str], list[Word]]]) -> Ca
             roots = [i for i, (_, relation, _) in enumerate(words) if relation == "ROOT" and words[i][0] == "VB"]
             return any(not any(relation == "nsubj" and head == i for _, relation, head in words) for i in roots)
 
-        return texts.map(imperative)
+        for texts in batches:
+            yield texts.map(imperative)
 
     return run

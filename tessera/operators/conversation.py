@@ -124,8 +124,9 @@ def role_mapped(role: Column) -> Column:
 
 
 def rendered(df: DataFrame, conv: str, turn: str, role: Column, content: Column, system: str | None = None) -> DataFrame:
-    """(conv, text): turns in a plain chat template, after a system message if given."""
-    piece = F.concat(F.lit("<|"), role, F.lit("|>\n"), content, F.lit("\n"))
+    """(conv, text): turns in a plain chat template, after a system message if given; nulls show as nothing."""
+    shown = lambda x: F.coalesce(x, F.lit(""))
+    piece = F.concat(F.lit("<|"), shown(role), F.lit("|>\n"), shown(content), F.lit("\n"))
     rows = df.select(conv, F.struct(F.col(turn).alias("t"), piece.alias("p")).alias("x"))
     body = F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["p"]), "")
     head = F.lit(f"<|system|>\n{system}\n" if system else "")

@@ -372,11 +372,11 @@ def subject_contains(spark, d):
 # requests
 
 PARTS = "len(regexp_extract_all({x}, '[A-Za-z0-9]{{1,6}}|[^\\sA-Za-z0-9]'))"
-TOKENS = f"(SELECT doc_id, source, 3 + 3 + 3 + {PARTS.format(x=chr(39) + 'system' + chr(39))} + {PARTS.format(x=chr(39) + 'Extract the exercise.' + chr(39))} + {PARTS.format(x=chr(39) + 'user' + chr(39))} + {PARTS.format(x=chr(34) + 'text' + chr(34))} AS tokens FROM documents WHERE text IS NOT NULL)"
+TOKENS = f"(SELECT doc_id, source, 3 + 3 + 3 + {PARTS.format(x=chr(39) + 'system' + chr(39))} + {PARTS.format(x=chr(39) + 'Extract the exercise.' + chr(39))} + {PARTS.format(x=chr(39) + 'user' + chr(39))} + {PARTS.format(x='coalesce(text, ' + 2 * chr(39) + ')')} AS tokens FROM documents)"
 
 
 def _requests(spark, d):
-    return t(spark, d, "documents").where("text is not null").select("doc_id", "source", requests.request(F.concat(F.col("source"), F.lit("_"), F.col("doc_id").cast("string")), "Extract the exercise.", F.col("text")).alias("r"))
+    return t(spark, d, "documents").select("doc_id", "source", requests.request(F.concat(F.col("source"), F.lit("_"), F.col("doc_id").cast("string")), "Extract the exercise.", F.col("text")).alias("r"))
 
 
 def _tokens(spark, d):
@@ -388,14 +388,14 @@ def request_fanout(spark, d):
     return requests.fan_out(t(spark, d, "benchmark"), 100, 2, "Write one like this: ", "item_id", "text").select("custom_id", F.col("repeat").cast("long").alias("repeat"), F.md5("content").alias("content_md5"))
 
 
-@query("request_json", "SELECT doc_id, source || '_' || doc_id AS custom_id, 'POST' AS method, '/v1/chat/completions' AS url, 'gpt-4o' AS model, 0.3::DOUBLE AS temperature, 3000 AS max_tokens, 'system' AS role0, 'Extract the exercise.' AS content0, 'user' AS role1, md5(text) AS content1_md5 FROM documents WHERE text IS NOT NULL")
+@query("request_json", "SELECT doc_id, source || '_' || doc_id AS custom_id, 'POST' AS method, '/v1/chat/completions' AS url, 'gpt-4o' AS model, 0.3::DOUBLE AS temperature, 3000 AS max_tokens, 'system' AS role0, 'Extract the exercise.' AS content0, 'user' AS role1, md5(text) AS content1_md5 FROM documents")
 def request_json(spark, d):
     raw = _requests(spark, d).select("doc_id", F.to_json("r").alias("j"))
     g = lambda p: F.get_json_object("j", f"$.{p}")
     return raw.select("doc_id", g("custom_id").alias("custom_id"), g("method").alias("method"), g("url").alias("url"), g("body.model").alias("model"), g("body.temperature").cast("double").alias("temperature"), g("body.max_tokens").cast("int").alias("max_tokens"), g("body.messages[0].role").alias("role0"), g("body.messages[0].content").alias("content0"), g("body.messages[1].role").alias("role1"), F.md5(g("body.messages[1].content")).alias("content1_md5"))
 
 
-@query("request_patch", "SELECT doc_id, 'system' AS role0, 'A new prompt.' AS content0, md5(text) AS content1_md5 FROM documents WHERE text IS NOT NULL")
+@query("request_patch", "SELECT doc_id, 'system' AS role0, 'A new prompt.' AS content0, md5(text) AS content1_md5 FROM documents")
 def request_patch(spark, d):
     m = _requests(spark, d).select("doc_id", requests.patched(F.col("r"), "A new prompt.")["body"]["messages"].alias("m"))
     return m.select("doc_id", F.col("m")[0]["role"].alias("role0"), F.col("m")[0]["content"].alias("content0"), F.md5(F.col("m")[1]["content"]).alias("content1_md5"))
@@ -425,14 +425,14 @@ def pack_summary(spark, d):
     return requests.batch_summary(_packed(spark, d), "source", "tokens")
 
 
-NAMED = "9 + 1 + " + " + ".join(PARTS.format(x=x) for x in ("'system'", "'Extract the exercise.'", "'user'", "source", "coalesce(text, '')")).replace("{{", "{").replace("}}", "}")
+NAMED = "9 + CASE WHEN source IS NULL THEN 0 ELSE 1 END + " + " + ".join(PARTS.format(x=x) for x in ("'system'", "'Extract the exercise.'", "'user'", "coalesce(source, '')", "coalesce(text, '')")).replace("{{", "{").replace("}}", "}")
 
 
-@query("token_count_named", f"SELECT doc_id, {NAMED} AS tokens FROM documents WHERE source IS NOT NULL")
+@query("token_count_named", f"SELECT doc_id, {NAMED} AS tokens FROM documents")
 def token_count_named(spark, d):
     m = lambda role, content, name: F.struct(F.lit(role).alias("role"), content.alias("content"), name.alias("name"))
     messages = F.array(m("system", F.lit("Extract the exercise."), F.lit(None).cast("string")), m("user", F.col("text"), F.col("source")))
-    return t(spark, d, "documents").where("source is not null").select("doc_id", requests.message_tokens(messages, named=True).alias("tokens"))
+    return t(spark, d, "documents").select("doc_id", requests.message_tokens(messages, named=True).alias("tokens"))
 
 
 @query("token_count_parts", f"SELECT item_id, 3 + 3 + {PARTS.format(x=chr(39) + 'user' + chr(39))} + {PARTS.format(x='text')} AS tokens FROM benchmark")
@@ -457,11 +457,11 @@ def request_lines(spark, d):
     return lines.groupBy("custom_id", "content_md5").agg(F.count("*").alias("n"))
 
 
-@query("job_results", "SELECT 'job' || doc_id % 7 AS job_id, 'a_' || doc_id AS custom_id, md5(text) AS content_md5 FROM documents WHERE doc_id % 7 IN (2, 5) AND text IS NOT NULL")
+@query("job_results", "SELECT 'job' || doc_id % 7 AS job_id, 'a_' || doc_id AS custom_id, md5(text) AS content_md5 FROM documents WHERE doc_id % 7 IN (2, 5)")
 def job_results(spark, d):
     body = F.struct(F.struct(F.array(F.struct(F.struct(F.col("text").alias("content")).alias("message"))).alias("choices")).alias("body"))
     raw = F.to_json(F.struct(F.concat(F.lit("a_"), F.col("doc_id").cast("string")).alias("custom_id"), body.alias("response")))
-    results = t(spark, d, "documents").where("text is not null").select(F.concat(F.lit("job"), (F.col("doc_id") % 7).cast("string")).alias("job_id"), raw.alias("raw"))
+    results = t(spark, d, "documents").select(F.concat(F.lit("job"), (F.col("doc_id") % 7).cast("string")).alias("job_id"), raw.alias("raw"))
     jobs = spark.createDataFrame([("job2",), ("job5",), ("job5",), ("job99",)], "job_id string")
     return requests.results_of(jobs, results).select("job_id", "custom_id", F.md5("content").alias("content_md5"))
 
@@ -523,9 +523,9 @@ def role_map(spark, d):
     return wire.select("conv_id", "turn", conversation.role_mapped(F.col("from")).alias("role"))
 
 
-@query("chat_render", "SELECT conv_id, md5(string_agg('<|' || role || '|>' || chr(10) || text || chr(10), '' ORDER BY turn, '<|' || role || '|>' || chr(10) || text || chr(10))) AS text_md5 FROM conversations WHERE role IS NOT NULL AND text IS NOT NULL GROUP BY conv_id")
+@query("chat_render", "SELECT conv_id, md5(string_agg('<|' || coalesce(role, '') || '|>' || chr(10) || coalesce(text, '') || chr(10), '' ORDER BY turn, '<|' || coalesce(role, '') || '|>' || chr(10) || coalesce(text, '') || chr(10))) AS text_md5 FROM conversations GROUP BY conv_id")
 def chat_render(spark, d):
-    c = t(spark, d, "conversations").where("role is not null and text is not null")
+    c = t(spark, d, "conversations")
     return conversation.rendered(c, "conv_id", "turn", F.col("role"), F.col("text")).select("conv_id", F.md5("text").alias("text_md5"))
 
 
@@ -603,9 +603,9 @@ def grades_tidied(spark, d):
     return t(spark, d, "part").select("p_partkey", conversation.tidy_grades(text).alias("text"))
 
 
-@query("chat_render_system", "SELECT conv_id, md5('<|system|>' || chr(10) || 'Be brief.' || chr(10) || string_agg('<|' || role || '|>' || chr(10) || text || chr(10), '' ORDER BY turn, '<|' || role || '|>' || chr(10) || text || chr(10))) AS text_md5 FROM conversations WHERE role IS NOT NULL AND text IS NOT NULL GROUP BY conv_id")
+@query("chat_render_system", "SELECT conv_id, md5('<|system|>' || chr(10) || 'Be brief.' || chr(10) || string_agg('<|' || coalesce(role, '') || '|>' || chr(10) || coalesce(text, '') || chr(10), '' ORDER BY turn, '<|' || coalesce(role, '') || '|>' || chr(10) || coalesce(text, '') || chr(10))) AS text_md5 FROM conversations GROUP BY conv_id")
 def chat_render_system(spark, d):
-    c = t(spark, d, "conversations").where("role is not null and text is not null")
+    c = t(spark, d, "conversations")
     return conversation.rendered(c, "conv_id", "turn", F.col("role"), F.col("text"), system="Be brief.").select("conv_id", F.md5("text").alias("text_md5"))
 
 
@@ -734,11 +734,11 @@ def _tag_sql(m: str, tag: str, shown: str) -> str:
     return f"(CASE WHEN list_has_any({names}, ['{tag}', '{tag}s']) AND NOT {shown} THEN CASE WHEN len(list_filter({names}, lambda z: z NOT IN ('{tag}', '{tag}s'))) = 0 THEN 'M' ELSE '(' || list_aggregate(list_filter({names}, lambda z: z NOT IN ('{tag}', '{tag}s')), 'string_agg', ', ') || ')' END WHEN NOT list_has_any({names}, ['{tag}', '{tag}s']) AND {shown} THEN CASE WHEN {m} = 'M' THEN '({tag})' ELSE '(' || list_aggregate({names}, 'string_agg', ', ') || ', {tag})' END ELSE {m} END)"
 
 
-@query("tags_reconciled", Q + ", w AS (SELECT doc_id, whole, header, regexp_extract(header, h, 4) AS m0, doc_id % 4 = 0 AS ans, doc_id % 6 = 0 AS fig FROM v WHERE length(whole) = length(header)), x AS (SELECT *, " + _tag_sql("m0", "With Answer", "ans") + " AS m1 FROM w), y AS (SELECT *, " + _tag_sql("m1", "With Illustration", "fig") + " AS m2 FROM x) SELECT doc_id, left(header, length(header) - length(m0)) || m2 AS header FROM y")
+@query("tags_reconciled", Q + ", w AS (SELECT doc_id, whole, header, regexp_extract(header, h, 4) AS m0, doc_id % 4 = 0 AS ans, doc_id % 6 = 0 AS fig FROM v), x AS (SELECT *, " + _tag_sql("m0", "With Answer", "ans") + " AS m1 FROM w), y AS (SELECT *, " + _tag_sql("m1", "With Illustration", "fig") + " AS m2 FROM x) SELECT doc_id, CASE WHEN length(whole) = length(header) THEN left(header, length(header) - length(m0)) || m2 ELSE header END AS header FROM y")
 def tags_reconciled(spark, d):
     i = F.col("doc_id")
     body = F.concat(F.lit("x"), F.when(i % 4 == 0, markup.ANSWERS).otherwise(""), F.when(i % 6 == 0, markup.FIGURE).otherwise(""))
-    return parsed(spark, d).where("not trailing").select("doc_id", markup.reconciled(F.col("header"), body).alias("header"))
+    return parsed(spark, d).select("doc_id", markup.reconciled(F.col("header"), body).alias("header"))
 
 
 @query("first_number", "SELECT p_partkey, nullif(regexp_extract(p_brand || p_name, '[0-9]+', 0), '') AS number FROM part")
