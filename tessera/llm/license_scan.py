@@ -40,32 +40,64 @@ from pyspark.sql import functions as F
 #: Phrase -> label, fixed by the contract of the query.
 BASE = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
 
-#: Label, words of the notice, mandatory key phrase in it: fixed values from the licences' own public notices.
-TEMPLATES = [
+#: Label, words of the text, mandatory key phrase in it: fixed values, from the licences' own notices and heads.
+NOTICES = [
+    ("gpl-3.0", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version", "version 3 of the license"),
+    ("gpl-2.0", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version", "version 2 of the license"),
+    ("gpl", "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation", "gnu general public license"),
+    ("gpl", "distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose see the gnu general public license for more details", "gnu general public license"),
+    ("lgpl", "you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation", "gnu lesser general public license"),
+    ("agpl", "you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation", "gnu affero general public license"),
+    ("apache-2.0", "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license", "apache license version 2 0"),
+    ("apache-2.0", "you may not use this file except in compliance with the license you may obtain a copy of the license at http www apache org licenses license 2 0", "apache org licenses license 2 0"),
+    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software", "permission is hereby granted free of charge"),
+    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", "redistribution and use in source and binary forms"),
+    ("bsd-3-clause", "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission", "endorse or promote products derived from this software"),
+    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies", "with or without fee is hereby granted"),
+    ("zlib", "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software", "in no event will the authors be held liable"),
+    ("mpl-2.0", "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at", "mozilla public license v 2 0"),
+    ("epl-2.0", "this program and the accompanying materials are made available under the terms of the eclipse public license 2 0", "eclipse public license 2 0"),
+    ("bsl-1.0", "distributed under the boost software license version 1 0 see accompanying file license 1 0 txt or copy at", "boost software license version 1 0"),
+    ("cc-by-4.0", "this work is licensed under a creative commons attribution 4 0 international license", "creative commons attribution 4 0 international license"),
+    ("cc-by-4.0", "this work is licensed under the creative commons attribution 4 0 international license to view a copy of this license visit http creativecommons org licenses by 4 0", "creativecommons org licenses by 4 0"),
+    ("cc-by-sa-4.0", "this work is licensed under the creative commons attribution sharealike 4 0 international license to view a copy of this license visit http creativecommons org licenses by sa 4 0", "creativecommons org licenses by sa 4 0"),
+    ("cc-by-nc-4.0", "this work is licensed under the creative commons attribution noncommercial 4 0 international license to view a copy of this license visit http creativecommons org licenses by nc 4 0", "creativecommons org licenses by nc 4 0"),
+    ("cc-by", "this work is licensed under a creative commons attribution license", "creative commons attribution license"),
+    ("cc0", "to the extent possible under law the author has waived all copyright and related or neighboring rights to this work", "waived all copyright and related or neighboring rights"),
+    ("unlicense", "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software", "free and unencumbered software"),
+    ("all-rights-reserved", "all rights reserved no part of this publication may be reproduced distributed or transmitted in any form or by any means", "all rights reserved"),
+]
+HEADS = [
+    ("gpl-3.0", "gnu general public license version 3 29 june 2007", "gnu general public license version 3"),
+    ("gpl-2.0", "gnu general public license version 2 june 1991", "gnu general public license version 2"),
+    ("lgpl", "gnu lesser general public license version 3 29 june 2007", "gnu lesser general public license version 3"),
+    ("agpl", "gnu affero general public license version 3 19 november 2007", "gnu affero general public license version 3"),
+    ("apache-2.0", "apache license version 2 0 january 2004 http www apache org licenses", "apache license version 2 0"),
+    ("mpl-2.0", "mozilla public license version 2 0 1 definitions", "mozilla public license version 2 0"),
+    ("epl-2.0", "eclipse public license v 2 0 the accompanying program is provided", "eclipse public license v 2 0"),
+    ("bsl-1.0", "boost software license version 1 0 august 17th 2003", "boost software license version 1 0"),
+    ("cc-by-4.0", "creative commons attribution 4 0 international public license", "attribution 4 0 international"),
+    ("cc-by-sa-4.0", "creative commons attribution sharealike 4 0 international public license", "attribution sharealike 4 0 international"),
+    ("cc-by-nc-4.0", "creative commons attribution noncommercial 4 0 international public license", "attribution noncommercial 4 0 international"),
+    ("cc0", "creative commons cc0 1 0 universal", "cc0 1 0 universal"),
+]
+#: One-line statements as authors write them about a work: not the licences' own words.
+STATEMENTS = [
     ("gpl-3.0", "this work is licensed under the gnu general public license version 3", "gnu general public license version 3"),
     ("gpl-2.0", "this work is licensed under the gnu general public license version 2", "gnu general public license version 2"),
-    ("gpl-3.0", "under the terms of the gnu general public license as published by the free software foundation either version 3 of the license", "version 3 of the license"),
-    ("gpl-2.0", "under the terms of the gnu general public license as published by the free software foundation either version 2 of the license", "version 2 of the license"),
-    ("gpl", "you can redistribute it and or modify it under the terms of the gnu general public license", "gnu general public license"),
-    ("lgpl", "you can redistribute it and or modify it under the terms of the gnu lesser general public license", "gnu lesser general public license"),
-    ("agpl", "you can redistribute it and or modify it under the terms of the gnu affero general public license", "gnu affero general public license"),
     ("apache-2.0", "licensed under the apache license version 2 0", "apache license version 2 0"),
-    ("apache-2.0", "you may not use this file except in compliance with the license you may obtain a copy of the license at http www apache org licenses license 2 0", "apache org licenses license 2 0"),
     ("mit", "released under the mit license", "mit license"),
     ("mit", "licensed under the mit license", "mit license"),
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction", "permission is hereby granted free of charge"),
-    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", "redistribution and use in source and binary forms"),
-    ("mpl-2.0", "this source code form is subject to the terms of the mozilla public license v 2 0", "mozilla public license v 2 0"),
-    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", "with or without fee is hereby granted"),
     ("cc-by-4.0", "licensed under cc by 4 0", "cc by 4 0"),
     ("cc-by-sa-4.0", "licensed under cc by sa 4 0", "cc by sa 4 0"),
     ("cc-by-nc-4.0", "licensed under cc by nc 4 0", "cc by nc 4 0"),
-    ("cc-by", "this work is licensed under a creative commons attribution license", "creative commons attribution license"),
-    ("cc-by", "this work is licensed under a creative commons attribution 4 0 international license", "creative commons attribution 4 0 international license"),
     ("cc0", "dedicated to the public domain under cc0 1 0 universal", "cc0 1 0"),
-    ("unlicense", "this is free and unencumbered software released into the public domain", "free and unencumbered software"),
-    ("all-rights-reserved", "all rights reserved", "all rights reserved"),
 ]
+#: Words of identifiers after ``SPDX-License-Identifier:``, with the label.
+IDENTIFIERS = {"gpl 3 0": "gpl-3.0", "gpl 2 0": "gpl-2.0", "lgpl": "lgpl", "agpl": "agpl", "apache 2 0": "apache-2.0", "mit": "mit", "bsd 2 clause": "bsd", "bsd 3 clause": "bsd-3-clause", "mpl 2 0": "mpl-2.0", "isc": "isc", "cc by 4 0": "cc-by-4.0", "cc by sa 4 0": "cc-by-sa-4.0", "cc0 1 0": "cc0", "unlicense": "unlicense"}
+TEMPLATES = [*NOTICES, *HEADS, *STATEMENTS, *[(label, f"spdx license identifier {words}", words) for words, label in IDENTIFIERS.items()]]
+#: Bits of a template's number in a proposal.
+BITS = 7
 #: Indexed words a template; how many of them and what share of their IDF must agree at a place.
 INDEXED, AGREE, SHARE = 8, 3, 0.5
 
@@ -116,7 +148,10 @@ def indexed(idf: dict[str, float]) -> list[list[tuple[int, str, float]]]:
 def notices(w: Column, index: list[list[tuple[int, str, float]]]) -> Column:
     """The templates found in an array of words: an array of (label, share)."""
     rare = sorted({word for postings in index for _, word, _ in postings})
-    listed = F.array(*[F.struct(F.lit(word).alias("w"), F.lit(i).alias("i"), F.lit(t).alias("t")) for t, postings in enumerate(index) for i, word, _ in postings])
+    # one row a word, with all its postings: a text's word looks up one of them
+    by_word = {word: [(i, t) for t, postings in enumerate(index) for i, x, _ in postings if x == word] for word in rare}
+    listed = F.array(*[F.array(*[F.struct(F.lit(i).alias("i"), F.lit(t).alias("t")) for i, t in by_word[word]]) for word in rare])
+    number = F.array(*map(F.lit, rare))
     table = []
     for (label, words, key), postings in zip(TEMPLATES, index, strict=True):
         begin, size = key_at(words, key), len(key.split())
@@ -126,9 +161,9 @@ def notices(w: Column, index: list[list[tuple[int, str, float]]]) -> Column:
         table.append(F.struct(F.lit(label).alias("label"), checks.alias("checks"), phrase.alias("key"), F.lit(min(AGREE, len(postings))).alias("least"), F.lit(sum(x for _, _, x in postings)).alias("every")))
     templates = F.array(*table)
     own = F.filter(F.transform(w, lambda x, at: F.when(x.isin(rare), F.struct(x.alias("w"), at.alias("at")))), lambda x: x.isNotNull())
-    # a proposal is one number, so that equal ones are found by hashing: place * 64 + template
-    proposed = F.transform(own, lambda x: F.transform(F.filter(listed, lambda p: p["w"] == x["w"]), lambda p: (x["at"] - p["i"]).cast("long") * 64 + p["t"]))
-    place, template = lambda k: F.shiftright(k, 6).cast("int"), lambda k: F.element_at(templates, (F.pmod(k, F.lit(64)) + 1).cast("int"))
+    # a proposal is one number, so that equal ones are found by hashing: place * 2^BITS + template
+    proposed = F.transform(own, lambda x: F.transform(F.get(listed, F.array_position(number, x["w"]).cast("int") - 1), lambda p: (x["at"] - p["i"]).cast("long") * (1 << BITS) + p["t"]))
+    place, template = lambda k: F.shiftright(k, BITS).cast("int"), lambda k: F.element_at(templates, (F.pmod(k, F.lit(1 << BITS)) + 1).cast("int"))
     stands = lambda k: lambda x: F.coalesce(F.get(w, place(k) + x["i"]) == x["w"], F.lit(False))
     keyed = F.filter(F.array_distinct(F.flatten(proposed)), lambda k: F.forall(template(k)["key"], stands(k)))
     agreeing = F.transform(keyed, lambda k: F.struct(template(k).alias("t"), F.filter(template(k)["checks"], stands(k)).alias("agree")))
