@@ -8,6 +8,7 @@ import uuid
 import zipfile
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 from pathlib import Path
 
 import pyarrow as pa
@@ -56,8 +57,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return sc._jsc.sc().getCheckpointDir().get()
 
 
-#: Folders of the operators that are at work, the innermost last.
-_folders: list[str] = []
+#: Folders of the operators that are at work, the innermost last; threads have their own.
+_folders: ContextVar[tuple[str, ...]] = ContextVar("folders", default=())
 
 
 @contextmanager
@@ -66,12 +67,14 @@ def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFram
 
     Gives a function that writes a result beside that folder, so that it stays.
     """
-    outer = _folders[-1] if _folders else checkpoint_dir(spark)
-    _folders.append(f"{checkpoint_dir(spark)}/scratch-{uuid.uuid4().hex}")
+    outer = _folders.get()[-1] if _folders.get() else checkpoint_dir(spark)
+    own = f"{checkpoint_dir(spark)}/scratch-{uuid.uuid4().hex}"
+    token = _folders.set((*_folders.get(), own))
     try:
         yield lambda df, name: _write(spark, df, f"{outer}/{name}-{uuid.uuid4().hex}")
     finally:
-        _delete(spark, _folders.pop())
+        _folders.reset(token)
+        _delete(spark, own)
 
 
 def _write(spark: SparkSession, df: DataFrame, path: str) -> DataFrame:
@@ -86,7 +89,7 @@ def _delete(spark: SparkSession, path: str) -> None:
 
 def written(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     """``df`` as a Parquet table in the shared folder: lineage is cut, and lost executors cost no rerun of what made it."""
-    return _write(spark, df, f"{_folders[-1] if _folders else checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}")
+    return _write(spark, df, f"{_folders.get()[-1] if _folders.get() else checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}")
 
 
 def drop_written(spark: SparkSession, df: DataFrame) -> None:

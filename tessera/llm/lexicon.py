@@ -59,14 +59,20 @@ def split_words(texts: pa.Array, lower: bool = False) -> tuple[list[bytes], np.n
     return words, codes, offsets
 
 
+def _bytes(x: Any) -> int:
+    """About how many bytes a key or value of a memo takes."""
+    return 56 + (x.nbytes if isinstance(x, np.ndarray) else len(x) if isinstance(x, (bytes, str)) else 8 * len(x) if isinstance(x, (tuple, list)) else 0)
+
+
 class Memo:
     """A bounded map from words to values in two generations: when the young one is full, it becomes the old one.
 
-    Words longer than ``KEPT`` are worked out anew each time, so that memory is bounded by words of usual length.
+    It is full at ``most`` words or ``size`` bytes of keys and values. Words longer than
+    ``KEPT`` are worked out anew each time, so that memory is bounded by words of usual length.
     """
 
-    def __init__(self, most: int = 250_000):
-        self.most, self.young, self.old = most, {}, {}
+    def __init__(self, most: int = 250_000, size: int = 48_000_000):
+        self.most, self.size, self.young, self.old, self.held = most, size, {}, {}, 0
 
     def look_up(self, keys: list, make: Callable[[list], list]) -> list[Any]:
         """The keys' values; ``make`` gets those not known, once each."""
@@ -84,9 +90,11 @@ class Memo:
             found = dict(zip(names, make(names), strict=True))
             for i in unknown:
                 out[i] = found[keys[i]]
-            young.update(found if max(map(len, names)) <= KEPT else {k: v for k, v in found.items() if len(k) <= KEPT})
-        if len(young) > self.most:
-            self.old, self.young = young, {}
+            kept = found if max(map(len, names)) <= KEPT else {k: v for k, v in found.items() if len(k) <= KEPT}
+            young.update(kept)
+            self.held += sum(map(_bytes, kept)) + sum(map(_bytes, kept.values()))
+        if len(young) > self.most or self.held > self.size:
+            self.old, self.young, self.held = young, {}, 0
         return out
 
 

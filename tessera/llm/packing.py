@@ -7,17 +7,19 @@ Each worker packs the documents of its partition alone, in one pass:
   is, its length lies between ``capacity / (k + 1)`` and ``capacity / k``. The
   bins of class ``k`` take ``k`` documents each, so any ``k`` of the class fit.
 * What a closed bin has left over is a gap. A document goes whole into the
-  smallest open gap that holds it; only where none does and the open gaps
-  together hold two sequences (eight, if it would be cut often) is it cut over
-  the largest of them, so harmonic classes keep most documents whole and gaps
-  cost hardly any padding. Gaps under
-  ``least`` tokens stay padding, to avoid tiny pieces.
-* At the end, documents of bins that are still open are cut over the open gaps
-  and then over full sequences; the last, partial one is cut at powers of two,
-  which need no padding.
-
-A worker holds one open bin a class and the open gaps (nine sequences
-together at most). Sequence numbers carry the partition's number in
+  smallest open gap that holds it; only where none does and the open gaps of
+  ``useful`` tokens or more together hold two sequences (eight, if it would be
+  cut often) is it cut over the largest of them, so harmonic classes keep most
+  documents whole and gaps cost hardly any padding. Smaller gaps take whole
+  documents only, and those under ``least`` tokens stay padding.
+* At the end, documents of bins that are still open go whole into gaps that
+  hold them, the longest first; the others are cut over the open gaps of
+  ``useful`` tokens or more and then over full sequences; the last, partial one
+  is cut at powers of two, which need no padding. So what is placed at the end
+  lies in no more pieces than one for each ``useful`` tokens and a dozen more.
+
+A worker holds one open bin a class and the open gaps (of useful size: nine
+sequences together at most; in all, 2048 gaps). Sequence numbers carry the partition's number in
 their upper bits, so workers need not agree on anything; a task that is run
 again for a lost executor packs the same rows in the same way.
 
@@ -45,11 +47,12 @@ from tessera.llm.word_bpe import encoder
 class HarmonicPacker:
     """Pieces (doc, start, length, doc_tokens, sequence, offset) of documents given one by one; ``doc`` is any key."""
 
-    def __init__(self, capacity: int = 4096, classes: int = 64, least: int = 16):
-        self.capacity, self.classes, self.least = capacity, classes, least
+    def __init__(self, capacity: int = 4096, classes: int = 64, least: int = 16, useful: int = 256):
+        self.capacity, self.classes, self.least, self.useful = capacity, classes, least, useful
         self.bins: dict[int, list] = {}  # class -> [(doc, start, length, doc_tokens)]
         self.gaps: list[tuple[int, int, int]] = []  # (free tokens, sequence, offset), ascending
-        self.free = 0
+        self.free = 0  # tokens of the gaps of useful size
+        self.most = 2048  # gaps
         self.sequences = 0
 
     def _new(self) -> int:
@@ -92,11 +95,13 @@ class HarmonicPacker:
     def _gap(self, left: int, sequence: int, offset: int) -> None:
         if left >= self.least:
             insort(self.gaps, (left, sequence, offset))
-            self.free += left
+            self.free += left * (left >= self.useful)
+            if len(self.gaps) > self.most:
+                self._take(0)  # the smallest one stays padding
 
     def _take(self, at: int) -> tuple[int, int, int]:
         gap = self.gaps.pop(at)
-        self.free -= gap[0]
+        self.free -= gap[0] * (gap[0] >= self.useful)
         return gap
 
     def _fill(self, doc, start: int, n: int) -> Iterator[tuple]:
@@ -109,12 +114,21 @@ class HarmonicPacker:
             self._gap(left - take, sequence, offset + take)
 
     def finish(self) -> Iterator[tuple]:
-        """Place what the open bins hold: gaps first, then full sequences, then powers of two."""
-        rest = deque((doc, start, start + length, n) for _, held in sorted(self.bins.items()) for doc, start, length, n in held)
+        """Place what the open bins hold: whole into gaps, then over gaps, then over full sequences, then over powers of two."""
+        rest = deque()
+        for _, held in sorted(self.bins.items()):
+            for doc, start, length, n in sorted(held, key=lambda x: -x[2]):
+                at = bisect_left(self.gaps, (length,))
+                if at == len(self.gaps):
+                    rest.append((doc, start, start + length, n))
+                    continue
+                left, sequence, offset = self._take(at)
+                yield doc, start, length, n, sequence, offset
+                self._gap(left - length, sequence, offset + length)
         self.bins = {}
         total = sum(stop - start for _, start, stop, _ in rest)
-        places = [(s, o, left) for left, s, o in reversed(self.gaps)]
-        total -= self.free
+        places = [(s, o, left) for left, s, o in reversed(self.gaps) if left >= self.useful]
+        total -= sum(left for _, _, left in places)
         while total >= self.capacity:
             places.append((self._new(), 0, self.capacity))
             total -= self.capacity

@@ -335,8 +335,12 @@ def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokeni
 
 
 def decode(df: DataFrame, ids_col: str = "ids", out: str = "decoded", tokenizer: str = "piece_bpe_32k.model") -> DataFrame:
-    """``df`` with the text of its ids as one more column; one pass, no shuffle."""
+    """``df`` with the text of its ids as one more column; one pass, no shuffle.
+
+    A null list is decoded as an empty text; a column of the name ``out`` is replaced.
+    """
     ship(df.sparkSession)
+    df = df.drop(out)
     schema = StructType([*df.schema.fields, StructField(out, StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
