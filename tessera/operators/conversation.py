@@ -10,7 +10,7 @@ from __future__ import annotations
 from functools import reduce
 from operator import and_
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, StringType, StructField, StructType
 
@@ -157,6 +157,30 @@ def mock_exercise(subjects: Column, sizes: list[Column], ready: Column, items: d
     return F.when(~ready, F.array(F.lit("More parameters are needed."))).otherwise(out)
 
 
+#: Numbers in words, and what follows them where a user asks for more of something.
+NUMBERS = {"one": 1, "two": 2, "three": 3, "four": 4, "five": 5, "six": 6, "seven": 7, "eight": 8, "nine": 9, "ten": 10}
+MORE = r"(?i)\b(" + "|".join([*NUMBERS, "some", "a few", "[0-9]{1,2}"]) + r")\s+(?:more|additional|extra|further|other)\b"
+
+
+def asked_more(text: Column) -> Column:
+    """How many more a text asks for ("two more", "3 additional"); 0 for an unnamed number ("some more"), null if it asks for none."""
+    word = F.lower(F.regexp_extract(text, MORE, 1))
+    known = F.create_map(*[F.lit(x) for pair in NUMBERS.items() for x in pair])
+    return F.when(text.rlike(MORE), F.when(word.rlike("^[0-9]+$"), word.cast("int")).otherwise(F.coalesce(F.try_element_at(known, word), F.lit(0))))
+
+
+def more_checked(cleaned: DataFrame, conv: str = "conv_id", turn: str = "turn") -> DataFrame:
+    """(conv, turn, asked, given, fits) for each turn of a user that asks for more: whether the next call of the conversation has as many parameter sets.
+
+    An unnamed number fits two or more; where no call follows, nothing was given.
+    """
+    called = F.when(F.col("params").isNotNull(), F.size("params"))
+    after = Window.partitionBy(conv).orderBy(turn).rowsBetween(1, Window.unboundedFollowing)
+    rows = cleaned.select(conv, turn, F.when(F.col("role") == "user", asked_more(F.col("content"))).alias("asked"), F.first(called, ignorenulls=True).over(after).alias("given"))
+    given = F.coalesce("given", F.lit(0))
+    return rows.where("asked IS NOT NULL").select(conv, turn, "asked", given.alias("given"), F.when(F.col("asked") > 0, given == F.col("asked")).otherwise(given >= 2).alias("fits"))
+
+
 def tidy_grades(message: Column) -> Column:
     """Grades in quotes from 1 to 11 become numbers, and a user tag without text goes."""
     return F.regexp_replace(F.regexp_replace(message, """(['"]G['"]\\s*:\\s*)['"](1[01]|[1-9])['"]""", "$1$2"), r"<U>\s*$", "")

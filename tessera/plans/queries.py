@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.functions import headers, instruct, markup, templates
+from tessera.functions import headers, instruct, markup, pixels, templates
 from tessera.operators import conversation, labels, layout, ranks, requests, segments, split
 from tessera.plans import feeds
 from tessera.streaming import sessions
@@ -903,3 +903,27 @@ _REACH = f""", e AS (SELECT b1.page_id, b1.block_no AS a, b2.block_no AS b FROM
 @query("blocks_grouped", B.replace("WITH", "WITH RECURSIVE", 1) + _REACH)
 def blocks_grouped(spark, d):
     return layout.groups(_blocks(spark, d))
+
+
+_MORE_TURNS = """WITH c AS (SELECT conv_id, turn, CASE WHEN role = 'assistant' THEN 'assistant' ELSE 'user' END AS role,
+ CASE WHEN role = 'assistant' THEN NULL ELSE text || CASE conv_id % 4 WHEN 0 THEN ' Two more, please.' WHEN 1 THEN ' and 3  additional ones' WHEN 2 THEN ' some MORE' ELSE ' no moretwo' END END AS content,
+ CASE WHEN role = 'assistant' AND turn % 4 = 1 THEN conv_id % 3 + 1 END AS n FROM {conversations})"""
+
+
+@query("more_checked", _MORE_TURNS.format(conversations="conversations") + ", a AS (SELECT *, CASE WHEN role = 'user' AND content IS NOT NULL THEN CASE conv_id % 4 WHEN 0 THEN 2 WHEN 1 THEN 3 WHEN 2 THEN 0 END END AS asked, coalesce(first_value(n IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), 0) AS given FROM c) SELECT conv_id, turn, asked, given, CASE WHEN asked > 0 THEN given = asked ELSE given >= 2 END AS fits FROM a WHERE asked IS NOT NULL")
+def more_checked(spark, d):
+    """Turns that ask for more, against the parameter sets of the next call."""
+    t(spark, d, "conversations").createOrReplaceTempView("feed_conversations")
+    turns = spark.sql(_MORE_TURNS.format(conversations="feed_conversations") + " SELECT conv_id, turn, role, content, n FROM c")
+    return conversation.more_checked(turns.withColumn("params", F.when(F.col("n").isNotNull(), F.array_repeat(F.lit("x"), F.col("n").cast("int")))))
+
+
+@query("pixels_stacked", "SELECT l_suppkey, count(*) AS n, 2 AS width, 2 * count(*) AS height, md5(string_agg(repeat(printf('%02X%02X%02X', (l_partkey % 256)::INTEGER, (l_orderkey % 256)::INTEGER, l_linenumber::INTEGER), 4), '' ORDER BY l_orderkey, l_linenumber, l_partkey)) AS pixels_md5 FROM lineitem GROUP BY l_suppkey")
+def pixels_stacked(spark, d):
+    """An image of two by two pixels an item, those of a supplier below each other."""
+    pair = lambda c: F.lpad(F.hex((F.col(c) % 256).cast("long")), 2, "0")
+    content = F.concat(F.encode(F.lit("P6\n2 2\n255\n"), "us-ascii"), F.unhex(F.repeat(F.concat(pair("l_partkey"), pair("l_orderkey"), pair("l_linenumber")), 4)))
+    place = (F.col("l_orderkey").cast("decimal(38,0)") * 1000 + F.col("l_linenumber")) * 1_000_000_000 + F.col("l_partkey")
+    images = t(spark, d, "lineitem").select("l_suppkey", F.lpad(place.cast("string"), 38, "0").alias("place"), content.alias("content"))
+    stacked = pixels.stacked(images, "l_suppkey", "place", "content").withColumn("x", pixels.decoded(F.col("png")))
+    return stacked.select("l_suppkey", "n", "width", "height", F.md5(F.hex("x.pixels")).alias("pixels_md5"))

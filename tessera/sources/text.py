@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.operators.ranks import ranked
+
 BREAK = "\n\n\n"
 
 
@@ -44,9 +46,14 @@ def read_images(spark: SparkSession, path: str, glob: str = "*.png") -> DataFram
 
 
 def read_conversations(spark: SparkSession, path: str) -> DataFrame:
-    """(file, conv_id, conversations): JSON documents or lines that hold ``{conversations: [{from, value}]}``; ids follow file and place."""
+    """(file, conv_id, conversations): JSON documents or lines that hold ``{conversations: [{from, value}]}``.
+
+    An id is the file's name and the place (from 1) in it, however the file is read.
+    """
     rows = spark.read.option("multiLine", not path.endswith("l")).schema("conversations array<struct<`from`:string,value:string>>").json(path)
-    return rows.select(F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("conv_id"), "conversations")
+    rows = rows.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_part"), F.monotonically_increasing_id().alias("_at"), "conversations")
+    name = F.regexp_extract("file", r"([^/]+)$", 1)
+    return ranked(rows, ["file"], ["_part", "_at"], "_place").select("file", F.concat_ws("#", name, F.col("_place").cast("string")).alias("conv_id"), "conversations")
 
 
 def read_results(spark: SparkSession, path: str) -> DataFrame:

@@ -68,15 +68,19 @@ class SessionProcessor(StatefulProcessor):
         call = parameters_of(reply) if self.tool else None
         if call is None:
             return [("assistant", reply)]
-        made = [("assistant", reply), ("tool", self.tool(**call))]
+        try:
+            result = self.tool(**call)
+        except Exception as e:  # a call with wrong names or values is told to the model and does not end the stream
+            result = f"error: {type(e).__name__}: {e}"
+        made = [("assistant", reply), ("tool", result)]
         return [*made, ("assistant", self.respond([*held, *made]))]
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         held = [(r[0], r[1]) for r in self.messages.get()]
-        out, gone = [], False
+        out, gone, kept = [], False, len(held)
         for text in pd.concat(list(rows)).sort_values("seq", kind="stable")["user_input"]:
             if text == REMOVE:
-                held, gone = [], True
+                held, gone, kept = [], True, -1
                 continue
             if not held and self.system:
                 held.append(("system", self.system))
@@ -86,8 +90,10 @@ class SessionProcessor(StatefulProcessor):
             out += [(first + i, *m) for i, m in enumerate(held[first:])]
         if gone:
             self.messages.clear()
-        else:
+        elif self.ttl or kept < 0:  # silence is counted for the whole history
             self.messages.put(held)
+        elif held[kept:]:
+            self.messages.appendList(held[kept:])
         yield pd.DataFrame({"session_id": key[0], "seq": [s for s, _, _ in out], "role": [r for _, r, _ in out], "content": [c for _, _, c in out]}).astype({"seq": "int64"})
 
     def close(self) -> None:
@@ -100,3 +106,105 @@ def answered(stream: DataFrame, respond: Callable[[list[tuple[str, str]]], str],
     ``ttl`` needs a trigger by processing time: such a query does not end by itself when all is read.
     """
     return stream.groupBy("session_id").transformWithStateInPandas(statefulProcessor=SessionProcessor(respond, system, tool, ttl), outputStructType=OUTPUT, outputMode="Append", timeMode="ProcessingTime" if ttl else "None")
+
+
+class OrderedSessions(SessionProcessor):
+    """Sessions in event time: messages are answered in the order of their numbers, and a silent session expires.
+
+    A message whose predecessor is missing waits, for ``patience`` milliseconds
+    of event time; then the gap is passed over. A session whose last message is
+    ``ttl`` milliseconds old begins anew. Only new messages are added to the
+    history. Numbers of what is said go on after removal and expiry, so that
+    (session_id, seq) never repeats: a number is all that stays of a session.
+    """
+
+    def __init__(self, respond: Callable[[list[tuple[str, str]]], str], system: str, tool: Callable[..., str] | None, ttl: int, patience: int, first: int):
+        super().__init__(respond, system, tool)
+        self.expires_after, self.patience, self.first = ttl, patience, first
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.handle = handle
+        # the next number to answer, how many messages were said, when the session expires, when a gap is passed over (-1: none)
+        self.progress = handle.getValueState("progress", StructType([StructField(n, LongType()) for n in ("next", "said", "expiry", "gap")]))
+        self.waiting = handle.getMapState("waiting", StructType([StructField("seq", LongType())]), StructType([StructField("user_input", StringType()), StructField("at", LongType())]))
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        due, said, expiry, gap = self.progress.get() or (self.first, 0, -1, -1)
+        latest, earliest = -1, None
+        for part in rows:
+            for seq, text, at in zip(part["seq"].tolist(), part["user_input"].tolist(), part["at"].astype("datetime64[ms]").astype("int64").tolist(), strict=True):
+                latest = max(latest, at)
+                if seq >= due:  # one that was answered or passed over comes too late
+                    earliest = at if earliest is None else min(at, earliest)
+                    self.waiting.updateValue((seq,), (text, at))
+        if earliest is not None and 0 <= expiry <= earliest:  # the watermark has not told yet
+            self.messages.clear()
+        if latest >= 0:
+            expiry = self._timer(expiry, max(expiry, latest + self.expires_after))
+        due, said, out = self._answer(due, said)
+        gap = self._timer(gap, self._gap())
+        self.progress.update((due, said, expiry, gap))
+        yield self._frame(key, out)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        due, said, expiry, gap = self.progress.get() or (self.first, 0, -1, -1)
+        now, out = expiredTimerInfo.getExpiryTimeInMs(), []
+        if gap >= 0 and now >= gap:
+            due, said, out = self._answer(min(s for (s,) in self.waiting.keys()), said)
+            gap = self._timer(-1, self._gap())
+        if expiry >= 0 and now >= expiry:
+            self.messages.clear()
+            expiry = -1
+        self.progress.update((due, said, expiry, gap))
+        yield self._frame(key, out)
+
+    def _gap(self) -> int:
+        """When the longest waiting message has waited enough; -1 if none waits."""
+        return min((at for _, at in self.waiting.values()), default=-1 - self.patience) + self.patience
+
+    def _timer(self, old: int, new: int) -> int:
+        if old != new:
+            if old >= 0:
+                self.handle.deleteTimer(old)
+            if new >= 0:
+                self.handle.registerTimer(new)
+        return new
+
+    def _answer(self, due: int, said: int) -> tuple[int, int, list[tuple[int, str, str]]]:
+        """Answer what waits, from number ``due`` on without a gap."""
+        held, out, kept = None, [], 0
+        while self.waiting.containsKey((due,)):
+            text = self.waiting.getValue((due,))[0]
+            self.waiting.removeKey((due,))
+            due += 1
+            if held is None:
+                held = [(r[0], r[1]) for r in self.messages.get()]
+                kept = len(held)
+            if text == REMOVE:
+                self.messages.clear()
+                held, kept = [], 0
+                continue
+            if not held and self.system:
+                held.append(("system", self.system))
+            start = len(held)
+            held.append(("user", text))
+            held += self.answer(held)
+            for role, content in held[start:]:
+                out.append((said, role, content))
+                said += 1
+        if held is not None and held[kept:]:
+            self.messages.appendList(held[kept:])
+        return due, said, out
+
+    def _frame(self, key, out: list[tuple[int, str, str]]) -> pd.DataFrame:
+        return pd.DataFrame({"session_id": [key[0]] * len(out), "seq": [s for s, _, _ in out], "role": [r for _, r, _ in out], "content": [c for _, _, c in out]}).astype({"seq": "int64"})
+
+
+def answered_in_order(stream: DataFrame, respond: Callable[[list[tuple[str, str]]], str], system: str = "", tool: Callable[..., str] | None = None, late: str = "1 minute", ttl: int = 3_600_000, patience: int = 60_000, first: int = 1) -> DataFrame:
+    """A stream (session_id, seq, user_input, at) answered in the order of ``seq``, from ``first`` on; needs the RocksDB state store.
+
+    ``late``: how far behind the latest message's time one may come; ``ttl`` and ``patience``: see :class:`OrderedSessions`.
+    """
+    processor = OrderedSessions(respond, system, tool, ttl, patience, first)
+    return stream.withWatermark("at", late).groupBy("session_id").transformWithStateInPandas(statefulProcessor=processor, outputStructType=OUTPUT, outputMode="Append", timeMode="EventTime")

@@ -62,3 +62,34 @@ def test_responses(spark):
     raw = '{"custom_id": "a_0", "response": {"body": {"choices": [{"message": {"content": "x"}}]}}}'
     df = spark.createDataFrame([(raw,), ("{",), (None,)], "raw string")
     assert [r["x"] for r in df.select(requests.response_content(F.col("raw")).alias("x")).collect()] == ["x", None, None]
+
+
+def test_ids_do_not_depend_on_splits(spark, tmp_path):
+    lines = [json.dumps({"conversations": [{"from": "human", "value": f"<U>{i}</U>"}]}) for i in range(40)]
+    (tmp_path / "a.jsonl").write_text("\n".join(lines))
+    (tmp_path / "b.jsonl").write_text("\n".join(lines[:3]))
+    read = lambda: {r["conv_id"]: r["conversations"][0]["value"] for r in text.read_conversations(spark, str(tmp_path / "*.jsonl")).collect()}
+    whole = read()
+    assert whole == {f"a.jsonl#{i + 1}": f"<U>{i}</U>" for i in range(40)} | {f"b.jsonl#{i + 1}": f"<U>{i}</U>" for i in range(3)}
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "300b")
+    try:
+        assert read() == whole
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+def test_asked_and_given(spark):
+    texts = [("two more, please", 2), ("Give me 3 additional ones", 3), ("some more", 0), ("a few other", 0), ("twomore", None), ("no more", None), (None, None), ("Ten  EXTRA", 10)]
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(texts)], "i int, t string")
+    assert [r["n"] for r in df.select("i", conversation.asked_more(F.col("t")).alias("n")).orderBy("i").collect()] == [n for _, n in texts]
+    two = f"({GOOD}, {GOOD})"
+    rows = [(1, 1, "human", "<U>two more</U>"), (1, 2, "gpt", f"<U>a</U><E>{two}</E>"), (1, 3, "human", "<U>three more</U>"), (1, 4, "gpt", f"<U>a</U><E>{two}</E>"), (1, 5, "human", "<U>some more</U>"), (1, 6, "gpt", f"<U>a</U><E>{two}</E>"), (2, 1, "human", "<U>2 more</U>"), (2, 2, "gpt", "<U>no</U>")]
+    checked = conversation.more_checked(conversation.clean(spark.createDataFrame(rows, "conv_id int, turn int, sender string, message string"))).collect()
+    assert sorted((r["conv_id"], r["turn"], r["asked"], r["given"], r["fits"]) for r in checked) == [(1, 1, 2, 2, True), (1, 3, 3, 2, False), (1, 5, 0, 2, True), (2, 1, 2, 0, False)]
+
+
+def test_a_call_over_several_lines(spark):
+    call = 'Sure:\n{"name": "generate_exercise",\n "parameters": {"subjects": ["Math"],\n "ready": true}}'
+    got = spark.createDataFrame([(call,)], "x string").select(conversation.call_parameters(F.col("x")).alias("p")).first()["p"]
+    assert got["subjects"] == ["Math"] and got["ready"] is True
