@@ -170,12 +170,12 @@ def stacked(images: DataFrame, group: str, order: str, content: str) -> DataFram
                     found.append(read(data))
             except ValueError:
                 continue
+        schema = pa.schema([t.schema.field(group), ("n", pa.int64()), ("width", pa.int32()), ("height", pa.int32()), ("png", pa.binary())])
         if not found:
             return schema.empty_table()
         whole = stack(found)
-        return pa.table([t.column(group).slice(0, 1), [len(found)], [whole.shape[1]], [whole.shape[0]], [to_png(whole)]], schema=schema.with_metadata(None).set(0, schema.field(0).with_type(t.schema.field(group).type)))
+        return pa.table([t.column(group).slice(0, 1), [len(found)], [whole.shape[1]], [whole.shape[0]], [to_png(whole)]], schema=schema)
 
-    schema = pa.schema([(group, pa.null()), ("n", pa.int64()), ("width", pa.int32()), ("height", pa.int32()), ("png", pa.binary())])
     kind = images.schema[group].dataType.simpleString()
     return images.select(group, order, content).groupBy(group).applyInArrow(run, f"`{group}` {kind}, n long, width int, height int, png binary")
 

@@ -3,9 +3,8 @@
 ``register(spark)``, then ``spark.read.format("pages").load(folder)`` gives
 (file, file_no, page, content), a row a page, pages from 0. A partition is a
 range of pages of one file; ranges that a filter on ``page``, ``file`` or
-``file_no`` rules out are never opened, where
-spark.sql.python.filterPushdown.enabled is set. Options: ``glob`` (``*.ppm``)
-and ``pagesPerPartition`` (16).
+``file_no`` rules out are never opened. Options: ``glob`` (``*.ppm``) and
+``pagesPerPartition`` (16).
 
 The folder must be one that the driver and all executors can open by its path.
 """
@@ -72,7 +71,9 @@ class PageReader(DataSourceReader):
                     out.append(PageRange(name, i, first, part))
         return out
 
-    def read(self, partition: PageRange) -> Iterator[tuple]:
+    def read(self, partition: PageRange | None) -> Iterator[tuple]:
+        if partition is None:  # what Spark asks for where there are none
+            return
         with open(partition.path, "rb") as f:
             for k, (at, size) in enumerate(partition.places):
                 if self.fits(page=partition.first + k):
@@ -93,5 +94,6 @@ class PageSource(DataSource):
 
 
 def register(spark: SparkSession) -> None:
-    """Let a session read the format ``pages``."""
+    """Let a session read the format ``pages``, and push filters to Python sources, which this one asks for."""
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(PageSource)

@@ -145,7 +145,8 @@ class OrderedSessions(SessionProcessor):
         due, said, out = self._answer(due, said)
         gap = self._timer(gap, self._gap())
         self.progress.update((due, said, expiry, gap))
-        yield self._frame(key, out)
+        if out:
+            yield self._frame(key, out)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         due, said, expiry, gap = self.progress.get() or (self.first, 0, -1, -1)
@@ -157,7 +158,8 @@ class OrderedSessions(SessionProcessor):
             self.messages.clear()
             expiry = -1
         self.progress.update((due, said, expiry, gap))
-        yield self._frame(key, out)
+        if out:
+            yield self._frame(key, out)
 
     def _gap(self) -> int:
         """When the longest waiting message has waited enough; -1 if none waits."""
