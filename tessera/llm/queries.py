@@ -242,6 +242,37 @@ SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM r WHERE rank <= 10
 """
 
 
+#: Words, misspelled by their checksums (a table of remainders and a fold over bytes), their near words by deletions, and forms to the last.
+SPELLING_SQL = """
+WITH RECURSIVE crc AS (
+  SELECT list_transform(range(256), lambda i: list_reduce(range(8), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END, i)) AS remainders
+), found AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\\x{00C0}-\\x{00FF}]+')) AS run FROM documents
+), counted AS (SELECT doc_id, run, count(*) AS times FROM found GROUP BY doc_id, run), bytes AS (
+  SELECT run, times, flatten(list_transform(string_split(coalesce(doc_id::VARCHAR, '') || ':' || run, ''), lambda c: CASE WHEN unicode(c) < 128 THEN [unicode(c)::BIGINT] ELSE [192 + unicode(c) // 64, 128 + unicode(c) % 64]::BIGINT[] END)) AS b FROM counted
+), summed AS (
+  SELECT run, times, xor(list_reduce(b, lambda c, x: xor(c // 256, remainders[xor(c % 256, x) + 1]), 4294967295::BIGINT), 4294967295::BIGINT) AS h FROM bytes, crc
+), spelled AS (
+  SELECT CASE WHEN h % 199 = 0 THEN substr(run, 1, (h % length(run))::INTEGER) || substr(run, (h % length(run))::INTEGER + 2) ELSE run END AS word, times FROM summed
+), w AS (
+  SELECT word, sum(times)::BIGINT AS n FROM spelled WHERE length(word) >= 6 GROUP BY word HAVING sum(times) >= 5
+), d AS (
+  SELECT DISTINCT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest FROM (SELECT word, n, unnest(range(1, length(word) + 1))::INTEGER AS i FROM w)
+), near AS (
+  SELECT a.word, b.word AS other, b.n AS other_n FROM d a JOIN d b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+  UNION SELECT d.word, w.word, w.n FROM d JOIN w ON d.rest = w.word
+  UNION SELECT w.word, d.word, d.n FROM d JOIN w ON d.rest = w.word
+), best AS (
+  SELECT word, other, other_n, count(*) OVER (PARTITION BY word) AS n_near, row_number() OVER (PARTITION BY word ORDER BY other_n DESC, other) AS place FROM near
+), f AS (
+  SELECT w.word, n, coalesce(n_near, 0) AS n_near, CASE WHEN other_n >= 5 * n THEN other END AS form, CASE WHEN other_n >= 5 * n THEN other_n END AS form_n FROM w LEFT JOIN best ON w.word = best.word AND place = 1
+), r AS (
+  SELECT word, word AS root FROM w UNION ALL SELECT r.word, f.form FROM r JOIN f ON r.root = f.word WHERE f.form IS NOT NULL
+)
+SELECT f.word, f.form, r.root, f.n, f.n_near, f.form_n FROM f JOIN r ON f.word = r.word JOIN f last ON r.root = last.word WHERE last.form IS NULL
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op4_near_dedup": NEAR_DEDUP_SQL,
@@ -251,4 +282,5 @@ def oracle_sql() -> dict[str, str]:
         "op10_nearest": NEAREST_SQL,
         "op11_exact_dedup": EXACT_SQL,
         "op12_ranked_search": RANKED_SQL,
+        "op13_spelling_variants": SPELLING_SQL,
     }
