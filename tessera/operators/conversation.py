@@ -20,7 +20,7 @@ from tessera.functions import literals
 KEYS = ("S", "T", "G", "M", "R")
 EMPTY = ("false", "0", "0.0", "-0.0", "", "[]", "{}")
 TOOL = "generate_exercise"
-#: The arguments of a tool call, all of them required.
+#: The arguments of a tool call, all of them required.
 ARGUMENTS = StructType([*(StructField(x, ArrayType(StringType())) for x in ("subjects", "exercise_types", "grade_levels", "modifications")), StructField("ready", BooleanType())])
 NESTED = "array<struct<`from`:string,value:string>>"
 

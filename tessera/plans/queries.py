@@ -6,20 +6,15 @@ after them is written twice: as DataFrame operations here, as SQL below.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import headers, instruct, markup, pixels, templates
 from tessera.operators import conversation, labels, layout, ranks, requests, segments, split
 from tessera.plans import feeds
+from tessera.plans.registry import QUERIES, SQL, query, t
 from tessera.streaming import sessions
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-SQL: dict[str, str] = {}
-
 Q = f"WITH q AS ({feeds.QUESTIONS.format(documents='documents')}), p AS (SELECT *, regexp_matches(header, h) AS ok, translate(regexp_extract(header, h, 1), '()', '') AS s, translate(regexp_extract(header, h, 2), '()', '') AS t, regexp_extract(header, h, 3) AS g, translate(regexp_extract(header, h, 4), '()', '') AS m, regexp_extract(header, h, 0) AS whole FROM q, (SELECT '{headers.HEADER}' AS h)), v AS (SELECT * FROM p WHERE ok)"
 STRIPPED = "regexp_replace(x, '^\\s+|\\s+$', '', 'g')"
 SPLIT = "list_transform(string_split({c}, ','), lambda x: " + STRIPPED + ")"
@@ -27,20 +22,6 @@ C = f"WITH c AS ({feeds.CONVERSATIONS.format(conversations='conversations')})"
 B = f"WITH b AS ({feeds.BLOCKS.format(lineitem='lineitem')})"
 
 
-def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
-    def add(f: Query) -> Query:
-        QUERIES[name] = f
-        if sql is not None:
-            SQL[name] = sql
-        return f
-
-    return add
-
-
-def t(spark: SparkSession, d: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/{name}.parquet")
-
-
 def questions(spark: SparkSession, d: str) -> DataFrame:
     return headers.parse(feeds.feed(spark, feeds.QUESTIONS, documents=t(spark, d, "documents").select("doc_id", "text")))
 
