@@ -17,10 +17,12 @@
    bucket is dealt into blocks, a large component's members into blocks of their
    own, and two blocks are a tile, unless both are of one component; small
    buckets share tiles. A tile holds signatures, a byte a coordinate, not sets,
-   and passes on pairs of different components whose sizes allow a link and
-   whose signatures agree in at least ``AGREE`` of their places.
-5. Pairs that pass (those of step 3 go through the same filter) are compared on
-   their full sets by exact Jaccard similarity.
+   and passes on the members that have a partner of another component whose
+   size allows a link and whose signature agrees in at least ``AGREE`` of its
+   places. Their tiles are then made again, with the full sets.
+5. Pairs that pass that filter (those of step 3 go through it, too) are compared
+   on their full sets by exact Jaccard similarity. What leaves a tile are links
+   that join two components, one for each two, never all pairs.
 
 With 60 bands of 8 coordinates a pair at the threshold of 0.8 shares a band
 with probability 1 - (1 - 0.8^8)^60 > 0.99998, above 0.85 > 0.9999999, and its
@@ -55,8 +57,8 @@ from tessera.llm.lexicon import slices, split_words
 BANDS, ROWS, UNIVERSE = 60, 8, 1 << 20
 #: Members of a bucket that is joined by broadcast, and how many such buckets may be.
 HOT, HOT_KEYS = 200, 100_000
-#: Documents of a block of a tile, on average, and of the small buckets that share a tile.
-BLOCK, SHARED = 1024, 8192
+#: Documents and shingles of a block of a tile, and of the small buckets that share a tile, on average at most.
+BLOCK, BLOCK_SHINGLES, SHARED, SHARED_SHINGLES = 1024, 500_000, 8192, 1_000_000
 #: Share of coordinates that must agree before full sets are compared, for the threshold of 80 %; it moves with other ones.
 AGREE = 0.67
 #: Pairs of one document that are compared in one group.
@@ -182,16 +184,17 @@ def _kept(joined: DataFrame, good) -> DataFrame:
     return joined.mapInArrow(run, f"a {kind}, b {kind}")
 
 
+def same_enough(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """Whether 100 * intersection >= percent * union, of sorted sets."""
+    at = np.searchsorted(y, x)
+    both = int((y[np.minimum(at, len(y) - 1)] == x).sum())
+    return 100 * both >= percent * (len(x) + len(y) - both)
+
+
 def similar(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) with 100 * intersection >= percent * union, on full sets."""
 
-    def good(x: pa.Scalar, y: pa.Scalar) -> bool:
-        x, y = x.values.to_numpy(), y.values.to_numpy()
-        at = np.searchsorted(y, x)
-        both = int((y[np.minimum(at, len(y) - 1)] == x).sum())
-        return 100 * both >= percent * (len(x) + len(y) - both)
-
-    return _kept(beside(pairs, sets, "shingles"), good)
+    return _kept(beside(pairs, sets, "shingles"), lambda x, y: same_enough(x.values.to_numpy(), y.values.to_numpy(), percent))
 
 
 def least_agreeing(percent: int) -> int:
@@ -209,16 +212,23 @@ def agreeing(pairs: DataFrame, signatures: DataFrame, percent: int) -> DataFrame
     return _kept(beside(pairs, signatures, "signature"), good)
 
 
-def pairs_in_tile(signatures: np.ndarray, sizes: np.ndarray, labels: np.ndarray, left: np.ndarray, right: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of rows (one of ``left``, one of ``right``) of different labels that sizes and signatures let through."""
-    least = least_agreeing(percent)
-    for k in range(len(left)):
-        i = left[k]
-        near = right[(labels[right] != labels[i]) & (np.minimum(sizes[right], sizes[i]) * 100 >= np.maximum(sizes[right], sizes[i]) * percent)]
-        for part in (near[n : n + 4096] for n in range(0, len(near), 4096)):
-            found = part[(signatures[part] == signatures[i]).sum(1) >= least]
-            if len(found):
-                yield np.full(len(found), i), found
+def partners(i: int, signatures: np.ndarray, sizes: np.ndarray, labels: np.ndarray, right: np.ndarray, percent: int) -> np.ndarray:
+    """Rows of ``right`` of another label than row ``i`` that its size and signature let through."""
+    near = right[(labels[right] != labels[i]) & (np.minimum(sizes[right], sizes[i]) * 100 >= np.maximum(sizes[right], sizes[i]) * percent)]
+    least, out = least_agreeing(percent), [np.zeros(0, np.int64)]
+    for part in (near[n : n + 4096] for n in range(0, len(near), 4096)):
+        out.append(part[(signatures[part] == signatures[i]).sum(1) >= least])
+    return np.concatenate(out)
+
+
+def links_in_tile(sets: list[np.ndarray], signatures: np.ndarray, sizes: np.ndarray, labels: np.ndarray, left: np.ndarray, right: np.ndarray, percent: int) -> Iterator[tuple[int, int]]:
+    """Links between rows (one of ``left``, one of ``right``) of different labels, one for each two labels that are not joined by earlier ones."""
+    labels = labels.copy()
+    for i in left:
+        for j in partners(i, signatures, sizes, labels, right, percent):
+            if labels[i] != labels[j] and same_enough(sets[i], sets[j], percent):
+                yield i, j
+                labels[labels == labels[j]] = labels[i]
 
 
 def tiles(docs: DataFrame) -> DataFrame:
@@ -227,12 +237,14 @@ def tiles(docs: DataFrame) -> DataFrame:
     A component with ``BLOCK`` members or more in a bucket has blocks of its own, which are not compared with each other; smaller ones share blocks.
     """
     spark = docs.sparkSession
-    parts = docs.groupBy("h", "c").agg(F.count("*").alias("m"))
+    parts = docs.groupBy("h", "c").agg(F.count("*").alias("m"), F.sum("n").alias("s"))
     parts = parts.withColumn("own", F.when(F.col("m") >= BLOCK, F.col("c")))
-    blocks = written(spark, parts.groupBy("h", "own").agg(F.sum("m").alias("m"), F.ceil(F.sum("m") / BLOCK).cast("int").alias("blocks")), "blocks")
-    buckets = blocks.groupBy("h").agg(F.sum("blocks").alias("all_blocks"), F.sum("m").alias("m"))
+    size = F.greatest(F.ceil(F.sum("m") / BLOCK), F.ceil(F.sum("s") / BLOCK_SHINGLES)).cast("int")
+    blocks = written(spark, parts.groupBy("h", "own").agg(F.sum("m").alias("m"), F.sum("s").alias("s"), size.alias("blocks")), "blocks")
+    buckets = blocks.groupBy("h").agg(F.sum("blocks").alias("all_blocks"), F.sum("m").alias("m"), F.sum("s").alias("s"))
     small, large = (written(spark, buckets.where(c), "buckets") for c in ("all_blocks = 1", "all_blocks > 1"))
-    packs = max(64, (small.agg(F.sum("m")).first()[0] or 0) // SHARED)
+    rows, shingles = small.agg(F.sum("m"), F.sum("s")).first()
+    packs = max(64, (rows or 0) // SHARED, (shingles or 0) // SHARED_SHINGLES)
     out = docs.join(small.select("h"), "h", "left_semi").select("id", "n", "c", "h", F.pmod(F.xxhash64("h", F.lit(7)), F.lit(packs)).alias("tile"), F.lit(2).alias("side"))
     if large.isEmpty():
         return out
@@ -252,27 +264,46 @@ def tiles(docs: DataFrame) -> DataFrame:
     return out.unionByName(dealt.join(sides, ["h", "block"]).select("id", "n", "c", "h", "tile", "side"))
 
 
-def pairs_in_buckets(docs: DataFrame, signatures: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of members (h, id, n, c) of one bucket and different components that may be links."""
-    kind = docs.schema["id"].dataType.simpleString()
+def _buckets(t: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(left, right) rows of each bucket of a tile, which is sorted by bucket."""
+    h, side = t.column("h").to_numpy(), t.column("side").to_numpy()
+    starts = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+    for lo, hi in zip(starts, [*starts[1:], len(h)], strict=True):
+        yield lo + np.flatnonzero(side[lo:hi] != 1), lo + np.flatnonzero(side[lo:hi] != 0)
+
+
+def _columns(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    signatures = np.frombuffer(b"".join(t.column("signature").to_pylist()), np.uint8).reshape(len(t), -1)
+    return signatures, t.column("n").to_numpy(), t.column("c").combine_chunks().dictionary_encode().indices.to_numpy()
+
+
+def links_in_buckets(docs: DataFrame, signatures: DataFrame, sets_of, percent: int) -> DataFrame:
+    """Links (a, b) that join different components of members (h, id, n, c) of one bucket; ``sets_of`` gives the sets of a table of ids."""
+    spark, kind = docs.sparkSession, docs.schema["id"].dataType.simpleString()
+    by_bucket = lambda t: t.take(pa.array(np.argsort(t.column("h").to_numpy(), kind="stable")))
+
+    def look(t: pa.Table) -> pa.Table:
+        t = by_bucket(t)
+        columns, taken = _columns(t), np.zeros(len(t), bool)
+        for left, right in _buckets(t):
+            for i in left:
+                found = partners(i, *columns, right, percent)
+                taken[found] = True
+                taken[i] |= len(found) > 0
+        return t.select(["h", "id"]).filter(pa.array(taken))
 
-    def run(t: pa.Table) -> pa.Table:
-        t = t.take(pa.array(np.argsort(t.column("h").to_numpy(), kind="stable")))
-        ids, h, side, sizes = t.column("id"), t.column("h").to_numpy(), t.column("side").to_numpy(), t.column("n").to_numpy()
-        labels = t.column("c").combine_chunks().dictionary_encode().indices.to_numpy()
-        signed = np.frombuffer(b"".join(t.column("signature").to_pylist()), np.uint8).reshape(len(t), -1)
-        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        starts = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-        for lo, hi in zip(starts, [*starts[1:], len(h)], strict=True):
-            left, right = lo + np.flatnonzero(side[lo:hi] != 1), lo + np.flatnonzero(side[lo:hi] != 0)
-            for i, j in pairs_in_tile(signed, sizes, labels, left, right, percent):
-                keep = (side[i] != 2) | (i < j)
-                a.append(i[keep])
-                b.append(j[keep])
-        return pa.table({"a": ids.take(pa.array(np.concatenate(a))), "b": ids.take(pa.array(np.concatenate(b)))})
+    def join(t: pa.Table) -> pa.Table:
+        t = by_bucket(t)
+        columns, sets, ids = _columns(t), [x.values.to_numpy() for x in t.column("shingles")], t.column("id")
+        pairs = [p for left, right in _buckets(t) for p in links_in_tile(sets, *columns, left, right, percent)]
+        return pa.table({k: ids.take(pa.array([p[n] for p in pairs], pa.int64())) for n, k in enumerate("ab")})
 
-    found = tiles(docs).join(signatures, "id").groupBy("tile").applyInArrow(run, f"a {kind}, b {kind}")
-    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    met = tiles(docs).join(signatures, "id").groupBy("tile").applyInArrow(look, f"h long, id {kind}")
+    met = written(spark, docs.join(met.distinct(), ["h", "id"], "left_semi"), "met")
+    if met.isEmpty():
+        return spark.createDataFrame([], f"a {kind}, b {kind}")
+    sets = sets_of(met.select("id").distinct())
+    return written(spark, tiles(met).join(signatures, "id").join(sets, "id").groupBy("tile").applyInArrow(join, f"a {kind}, b {kind}"), "more")
 
 
 def hot_keys(table: DataFrame, keys: list[str]) -> DataFrame | None:
@@ -310,19 +341,16 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         signatures = written(spark, usable.join(few(wanted), "id", "left_semi").join(classes.select(F.col("rep").alias("id"), "k1", "k2"), ["id", "k1", "k2"], "left_semi").dropDuplicates(["id", "k1", "k2"]).select("id", "signature"), "signatures")
         texts = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
 
-        def confirmed(pairs: DataFrame) -> DataFrame:
-            """Links among pairs that their signatures let through; sets are made of the texts that take part."""
-            pairs = written(spark, pairs, "pairs")
-            part = written(spark, pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "part")
-            sets = written(spark, full_sets(texts.join(few(part), "id", "left_semi"), "id", "text", width), "sets")
-            return written(spark, similar(pairs, sets, percent), "links")
+        def sets_of(ids: DataFrame) -> DataFrame:
+            return written(spark, full_sets(texts.join(few(written(spark, ids, "part")), "id", "left_semi"), "id", "text", width), "sets")
 
-        links = confirmed(agreeing(first, signatures, percent))
+        first = written(spark, agreeing(first, signatures, percent), "pairs")
+        links = written(spark, similar(first, sets_of(first.select(F.explode(F.array("a", "b")).alias("id")).distinct()), percent), "links")
         label = components(links, "a", "b")
         placed = written(spark, members.select("h", "id", "n").join(label.withColumnRenamed("vertex", "id"), "id", "left").select("h", "id", "n", F.coalesce("label", "id").alias("c")), "placed")
         open_buckets = placed.groupBy("h").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low != high").select("h", F.lit(1).alias("open"))
         involved = written(spark, join_hot(placed, open_buckets, ["h"], hot).select("h", "id", "n", "c").distinct(), "open")
-        more = confirmed(pairs_in_buckets(involved, signatures, percent))
+        more = links_in_buckets(involved, signatures, sets_of, percent)
         label = components(links.unionByName(more), "a", "b")
         by_class = classes.join(label.withColumnRenamed("vertex", "rep"), "rep", "left").select("k1", "k2", F.coalesce("label", "rep").alias("component_id"))
         known = sketched.select("id", "n_shingles", F.when((F.col("n_shingles") > 0) & F.col("id").isNotNull(), F.col("k1")).alias("k1"), "k2")

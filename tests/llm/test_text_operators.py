@@ -203,7 +203,7 @@ def families(seed):
     return out
 
 
-@pytest.mark.parametrize("settings", [{}, {"BROADCAST_BYTES": -1, "HOT": 2, "BLOCK": 4}, {"HOT": 2, "HOT_KEYS": 0, "GROUP": 3}])
+@pytest.mark.parametrize("settings", [{}, {"BROADCAST_BYTES": -1, "HOT": 2, "BLOCK": 4}, {"HOT": 2, "HOT_KEYS": 0, "GROUP": 3, "BLOCK_SHINGLES": 150, "SHARED": 5}])
 def test_near_duplicates_that_drift(spark, monkeypatch, settings):
     """Small bounds, so hot buckets, tiles of several blocks and the shuffle of texts are all in use."""
     for k, v in settings.items():
@@ -259,10 +259,22 @@ def test_signatures_agree_as_sets_do():
             pairs = [pair(n, share) for _ in range(12)]
             signed = np.array([near_dedup.signature(x) for p in pairs for x in p]).astype(np.uint8)
             sizes, labels = np.full(24, n), np.arange(24)
-            got = {(int(i[0]), int(k)) for k_ in range(12) for i, j in near_dedup.pairs_in_tile(signed, sizes, labels, np.array([2 * k_]), np.array([2 * k_ + 1]), 80) for k in j}
-            assert len(got) == (12 if passes else 0)
-    assert not list(near_dedup.pairs_in_tile(signed, np.array([100, 79] * 12), labels, np.array([0]), np.array([1]), 80))
-    assert not list(near_dedup.pairs_in_tile(np.repeat(signed[:1], 2, 0), np.array([5, 5]), np.array([1, 1]), np.array([0]), np.array([1]), 80))
+            got = sum(len(near_dedup.partners(2 * k, signed, sizes, labels, np.array([2 * k + 1]), 80)) for k in range(12))
+            assert got == (12 if passes else 0)
+    assert not len(near_dedup.partners(0, signed, np.array([100, 79] * 12), labels, np.array([1]), 80))
+    assert not len(near_dedup.partners(0, np.repeat(signed[:1], 2, 0), np.array([5, 5]), np.array([1, 1]), np.array([1]), 80))
+
+
+def test_tiles_join_components_once():
+    rng = np.random.default_rng(2)
+    base = rng.integers(-(1 << 62), 1 << 62, 100)
+    sets = [np.unique(np.where(rng.random(100) < 0.06, rng.integers(-(1 << 62), 1 << 62, 100), base)) for _ in range(40)] + [np.unique(rng.integers(-(1 << 62), 1 << 62, 100)) for _ in range(5)]
+    signed, sizes, labels = np.array([near_dedup.signature(x) for x in sets]).astype(np.uint8), np.array([len(x) for x in sets]), np.arange(45)
+    every = np.arange(45)
+    got = list(near_dedup.links_in_tile(sets, signed, sizes, labels, every, every, 80))
+    assert all(near_dedup.same_enough(sets[i], sets[j], 80) for i, j in got)
+    want = components_by_force({i: set(x.tolist()) for i, x in enumerate(sets)}, 80)
+    assert len(got) == 45 - len(set(want.values())) and len(set(want.values())) >= 6
 
 
 def test_boilerplate_is_not_compared_on_full_sets(spark, monkeypatch):
