@@ -825,14 +825,21 @@ def token_pack_one(spark, d):
 
 
 _TWO = "turn % 3 = 0"
-_READ = f"""SELECT conv_id, turn, CASE WHEN {_TWO} THEN 2 ELSE 1 END AS n, md5('None of ' || text || CASE WHEN {_TWO} THEN '|' || text ELSE '' END) AS subjects_md5, '''R'': False, None' || CASE WHEN {_TWO} THEN '|True: {{(),' ELSE '' END AS types,
- (turn + 1)::VARCHAR || CASE WHEN {_TWO} THEN '|4' ELSE '' END AS grades, CASE WHEN {_TWO} THEN 'it''s é' ELSE '' END AS modifiers, {_TWO} OR turn % 2 = 1 AS ready FROM conversations WHERE text IS NOT NULL"""
+_SETS = {
+    "n": f"CASE WHEN {_TWO} THEN 2 ELSE 1 END",
+    "subjects_md5": f"md5('None of ' || text || CASE WHEN {_TWO} THEN '|' || text ELSE '' END)",
+    "types": f"'''R'': False, None' || CASE WHEN {_TWO} THEN '|True: {{{{(),' ELSE '' END".replace("{{", "{"),
+    "grades": f"(turn + 1)::VARCHAR || CASE WHEN {_TWO} THEN '|4' ELSE '' END",
+    "modifiers": f"CASE WHEN {_TWO} THEN 'it''s é' ELSE '' END",
+    "ready": f"{_TWO} OR turn % 2 = 1",
+}
+_READ = "SELECT conv_id, turn, " + ", ".join(f"CASE WHEN text IS NOT NULL THEN {sql} END AS {name}" for name, sql in _SETS.items()) + " FROM conversations"
 
 
 @query("conv_literals", _READ)
 def conv_literals(spark, d):
     """Parameter sets from literals with quotes, constants and keys inside their values."""
-    read = feeds.feed(spark, feeds.LITERALS, conversations=t(spark, d, "conversations")).where("literal IS NOT NULL")
+    read = feeds.feed(spark, feeds.LITERALS, conversations=t(spark, d, "conversations"))
     sets = read.select("conv_id", "turn", conversation.parameters(F.col("literal")).alias("p"))
     joined = lambda k: F.array_join(F.transform("p", lambda x: x[k]), "|")
     return sets.select("conv_id", "turn", F.size("p").alias("n"), F.md5(joined("S")).alias("subjects_md5"), joined("T").alias("types"), joined("G").alias("grades"), joined("M").alias("modifiers"), F.element_at("p", -1)["R"].alias("ready"))
