@@ -11,12 +11,13 @@ Each worker packs the documents of its partition alone, in one pass:
   ``useful`` tokens or more together hold two sequences (eight, if it would be
   cut often) is it cut over the largest of them, so harmonic classes keep most
   documents whole and gaps cost hardly any padding. Smaller gaps take whole
-  documents only, and those under ``least`` tokens stay padding.
+  documents till the end, and those under ``least`` tokens stay padding.
 * At the end, documents of bins that are still open go whole into gaps that
-  hold them, the longest first; the others are cut over the open gaps of
+  hold them, the longest first; the others give a piece to a smaller gap for
+  each two times ``useful`` tokens they have, and are cut over the gaps of
   ``useful`` tokens or more and then over full sequences; the last, partial one
   is cut at powers of two, which need no padding. So what is placed at the end
-  lies in no more pieces than one for each ``useful`` tokens and a dozen more.
+  lies in no more pieces than two for each ``useful`` tokens and a dozen more.
 
 A worker holds one open bin a class and the open gaps (of useful size: nine
 sequences together at most; in all, 2048 gaps). Sequence numbers carry the partition's number in
@@ -47,7 +48,7 @@ from tessera.llm.word_bpe import encoder
 class HarmonicPacker:
     """Pieces (doc, start, length, doc_tokens, sequence, offset) of documents given one by one; ``doc`` is any key."""
 
-    def __init__(self, capacity: int = 4096, classes: int = 64, least: int = 16, useful: int = 256):
+    def __init__(self, capacity: int = 4096, classes: int = 64, least: int = 16, useful: int = 64):
         self.capacity, self.classes, self.least, self.useful = capacity, classes, least, useful
         self.bins: dict[int, list] = {}  # class -> [(doc, start, length, doc_tokens)]
         self.gaps: list[tuple[int, int, int]] = []  # (free tokens, sequence, offset), ascending
@@ -126,6 +127,17 @@ class HarmonicPacker:
                 yield doc, start, length, n, sequence, offset
                 self._gap(left - length, sequence, offset + length)
         self.bins = {}
+        # long documents give a piece to a small gap for each two times ``useful`` tokens they have
+        for _ in range(len(rest)):
+            doc, start, stop, n = rest.popleft()
+            for _ in range((stop - start) // (2 * self.useful)):
+                at = bisect_left(self.gaps, (self.useful,)) - 1
+                if at < 0:
+                    break
+                left, sequence, offset = self._take(at)
+                yield doc, start, left, n, sequence, offset
+                start += left
+            rest.append((doc, start, stop, n))
         total = sum(stop - start for _, start, stop, _ in rest)
         places = [(s, o, left) for left, s, o in reversed(self.gaps) if left >= self.useful]
         total -= sum(left for _, _, left in places)
