@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tessera.functions import headers, instruct, markup, pixels, templates
 from tessera.operators import conversation, labels, layout, ranks, requests, segments, split
 from tessera.plans import feeds
-from tessera.plans.registry import QUERIES, SQL, query, t
+from tessera.plans.registry import QUERIES, SQL, query, t  # noqa: F401  both tables are read here by others
 from tessera.streaming import sessions
 
 Q = f"WITH q AS ({feeds.QUESTIONS.format(documents='documents')}), p AS (SELECT *, regexp_matches(header, h) AS ok, translate(regexp_extract(header, h, 1), '()', '') AS s, translate(regexp_extract(header, h, 2), '()', '') AS t, regexp_extract(header, h, 3) AS g, translate(regexp_extract(header, h, 4), '()', '') AS m, regexp_extract(header, h, 0) AS whole FROM q, (SELECT '{headers.HEADER}' AS h)), v AS (SELECT * FROM p WHERE ok)"
