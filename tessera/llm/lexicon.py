@@ -85,6 +85,7 @@ class Memo:
                     unknown.append(i)
                 else:
                     out[i] = young[keys[i]] = w
+                    self.held += _bytes(keys[i]) + _bytes(w)
         if unknown:
             names = list(dict.fromkeys(keys[i] for i in unknown))
             found = dict(zip(names, make(names), strict=True))

@@ -180,6 +180,7 @@ def _kept(joined: DataFrame, good) -> DataFrame:
         for b in batches:
             keep = [good(x, y) for x, y in zip(b.column(2), b.column(3), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+        pa.default_memory_pool().release_unused()
 
     return joined.mapInArrow(run, f"a {kind}, b {kind}")
 
@@ -290,12 +291,15 @@ def links_in_buckets(docs: DataFrame, signatures: DataFrame, sets_of, percent: i
                 found = partners(i, *columns, right, percent)
                 taken[found] = True
                 taken[i] |= len(found) > 0
-        return t.select(["h", "id"]).filter(pa.array(taken))
+        found = t.select(["h", "id"]).filter(pa.array(taken))
+        pa.default_memory_pool().release_unused()  # workers are kept, and other stages need the memory
+        return found
 
     def join(t: pa.Table) -> pa.Table:
         t = by_bucket(t)
         columns, sets, ids = _columns(t), [x.values.to_numpy() for x in t.column("shingles")], t.column("id")
         pairs = [p for left, right in _buckets(t) for p in links_in_tile(sets, *columns, left, right, percent)]
+        pa.default_memory_pool().release_unused()
         return pa.table({k: ids.take(pa.array([p[n] for p in pairs], pa.int64())) for n, k in enumerate("ab")})
 
     met = tiles(docs).join(signatures, "id").groupBy("tile").applyInArrow(look, f"h long, id {kind}")

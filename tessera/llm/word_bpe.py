@@ -23,6 +23,8 @@ WORD = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\\sa-zß-ö
 #: Single bytes that stand alone after letters.
 MARKS = frozenset(b".,;:!?")
 SPECIAL = re.compile(r"<\|.*\|>")
+#: Keys and values that a generation of a cache of words holds, in bytes: workers are kept, and several share an executor.
+MEMO_BYTES = 16_000_000
 
 
 def byte_letters() -> dict[int, str]:
@@ -58,7 +60,7 @@ class WordBPE:
 
     def forget(self) -> None:
         """Empty the caches. Tasks do so at their end: workers are kept for other stages, which need the memory."""
-        self.memo, self.words = Memo(), Memo()
+        self.memo, self.words = Memo(size=MEMO_BYTES), Memo(size=MEMO_BYTES)
 
     @staticmethod
     def _is_known_kind(spec: dict) -> bool:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm import nearest, packing, pieces, token_counts, url_filter
 from tessera.llm.common import tokenizer_path
+from tessera.llm.lexicon import Memo
 from tessera.llm.word_bpe import encoder
 
 ROWS = [(None, "one text"), (None, None), (7, "a b c"), (7, "a b c"), (7, "another one"), (8, ""), (9, "x" * 20_000)]
@@ -72,3 +73,14 @@ def test_one_url_on_very_many_pages(spark):
     rows = [(i, "http://hot.org/page", link if i == 77 else "<p>") for i in range(5000)] + [(9000, "http://x.net/fr/a", "<p>"), (9001, None, None), (9002, "http://cold.org/", "<p>")]
     got = url_filter.judge(spark.createDataFrame(rows, "page_id long, url string, html string"))
     assert {(r["v"], r["n"]) for r in got.groupBy(F.col("verdict").alias("v")).agg(F.count("*").alias("n")).collect()} == {("block", 5001), ("allow", 2)}
+
+
+def test_memos_are_bounded_by_bytes():
+    """Large values fill a generation long before its number of words does, and nothing is given wrongly."""
+    made = []
+    memo = Memo(most=1000, size=20_000)
+    for k in range(300):
+        names = [f"w{k % 40}", f"x{k}"]
+        assert memo.look_up(names, lambda xs: made.append(len(xs)) or [x.encode() * 100 for x in xs]) == [x.encode() * 100 for x in names]
+        assert sum(map(len, (*memo.young.values(), *memo.old.values()))) <= 2 * 20_000 + 2_000
+    assert sum(made) < 600
