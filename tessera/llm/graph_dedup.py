@@ -8,7 +8,12 @@ node, which counts its copies.
    node goes to its nearest centre's shard, its home, and as a guest to each
    shard whose bisector with its own is within ``OVERLAP`` of half the largest
    distance of a link. (At an overlap of 1 no link could be lost; in many
-   dimensions a fraction of it is enough, and the audit tells.)
+   dimensions a fraction of it is enough, and the audit tells.) Guests are asked
+   for by sketches of ``BITS`` signs before any vector moves: only those stay
+   whose sketch is near that of a node at home there, and a link passes that
+   test but for ``DEVIATIONS`` standard deviations. So rows of shards follow the
+   nodes and their links, however often they are cut; a cut that still makes
+   more than ``GROWS`` times its rows is not made.
 2. *Flat graph.* In each shard every node gets robust-pruned neighbours: all
    nodes within range of a link, pruned with factor 1 and without a limit, and
    up to ``DEGREE`` more of its nearest others, pruned with factor ``ALPHA``.
@@ -45,13 +50,14 @@ from __future__ import annotations
 import itertools
 import logging
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import few, scratch, ship, written
+from tessera.llm.common import few, few_keys, scratch, ship, written
 from tessera.llm.components import components
 from tessera.llm.nearest import usable
 
@@ -63,21 +69,32 @@ POOL, DEGREE, ALPHA = 64, 24, 1.2
 #: Least recall; nodes that are audited: one a label, no fewer than the first and no more than the second number.
 AUDIT, AUDITED, MOST_AUDITED = 0.999, 200, 2000
 #: Rows on each side of an exact tile, on average at most; rows dealt to shards at once.
-TILE, DEAL = 2048, 4096
+TILE, DEAL = 8192, 4096
+#: Signs of a sketch, how far from its mean a link's sketch may be, and sketches on each side of a block that compares them.
+BITS, DEVIATIONS, MEET = 128, 5.5, 32768
+#: Rows that a cut may make of one; nodes of a cell whose guests all stay, since its next shards are its last.
+GROWS, PLAIN = 3, 2048
+#: Rows of a cut that need no proof of use.
+STAYS = "home OR sketch IS NULL"
 #: Neighbours that are looked up at once.
 STEP = 1 << 18
-NODE = "label string, path long, parent long, home boolean, id long, copies long, v array<double>"
+NAMES = ["label", "path", "parent", "home", "id", "copies", "v"]
 COUNTS = "id long, others long, root long"
 log = logging.getLogger(__name__)
 
 
+def node_of(vectors: str) -> str:
+    return f"label string, path long, parent long, home boolean, id long, copies long, v {vectors}"
+
+
 def unit(x: np.ndarray) -> np.ndarray:
     x = x / np.maximum(np.abs(x).max(1, keepdims=True), 1e-300)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
 def matrix(column: pa.ChunkedArray, rows: int) -> np.ndarray:
-    return column.combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(rows, -1)
+    """Vectors as rows in double precision; tables hold them as they came."""
+    return column.combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(rows, -1)
 
 
 # --- shards ---
@@ -102,41 +119,102 @@ def guests(near: np.ndarray, c: np.ndarray, least: float, overlap: float = OVERL
     return gap <= (overlap * np.sqrt(2 - 2 * least) / 2 + 1e-6) * apart[home] + 1e-6
 
 
-def cut(cells: DataFrame, sizes: DataFrame, least: float) -> DataFrame:
-    """The rows of the cells in ``sizes``, dealt to the shards of the next level."""
+@cache
+def planes(dimensions: int) -> np.ndarray:
+    return np.random.default_rng(17).standard_normal((dimensions, BITS))
+
+
+def sketch(u: np.ndarray) -> np.ndarray:
+    """The signs of each row's products with random planes, as unsigned 64-bit numbers (bits of signed ones are counted by absolute value)."""
+    return np.packbits(u @ planes(u.shape[1]) > 0, axis=1).view(np.uint64)
+
+
+def most_apart(least: float) -> int:
+    """Signs in which the sketches of a link differ at most."""
+    share = np.arccos(np.clip(least, -1, 1)) / np.pi
+    return int(BITS * share + DEVIATIONS * np.sqrt(BITS * share * (1 - share)))
+
+
+def met(asked: np.ndarray, homes: np.ndarray, least: float) -> np.ndarray:
+    """Which of the sketches ``asked`` are near one of ``homes``."""
+    out, most = np.zeros(len(asked), bool), most_apart(least)
+    for i in range(0, len(asked), 256):
+        part = asked[i : i + 256]
+        for j in range(0, len(homes), 4096):
+            apart = sum(np.bitwise_count(part[:, k, None] ^ homes[None, j : j + 4096, k]).astype(np.uint16) for k in range(part.shape[1]))
+            out[i : i + 256] |= (apart <= most).any(1)
+    return out
+
+
+def useful(dealt: DataFrame, least: float) -> DataFrame:
+    """(label, path, id) of the guests in ``dealt`` with sketches, where these are near that of a node at home there; only sketches move, in blocks."""
+    spark = dealt.sparkSession
+    dealt = dealt.where("sketch IS NOT NULL")
+    sizes = dealt.groupBy("label", "path").agg(F.ceil(F.count_if("home") / MEET).cast("int").alias("homes"), F.ceil(F.count_if(~F.col("home")) / MEET).cast("int").alias("guests"))
+    rows = dealt.select("label", "path", "home", "id", "sketch").join(few_keys(written(spark, sizes.where("homes > 0 AND guests > 0"), "sizes")), ["label", "path"])
+    block = lambda count, seed: F.pmod(F.xxhash64("id", F.lit(seed)), count).cast("int")
+    each = lambda count: F.explode(F.sequence(F.lit(0), F.col(count) - 1))
+    ours = rows.where("home").select("label", "path", block(F.col("homes"), 29).alias("r"), each("guests").alias("c"), "home", "id", "sketch")
+    theirs = rows.where("NOT home").select("label", "path", each("homes").alias("r"), block(F.col("guests"), 31).alias("c"), "home", "id", "sketch")
+
+    def run(t: pa.Table) -> pa.Table:
+        home = t.column("home").to_numpy()
+        signs = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint64).reshape(len(t), -1)
+        asked = np.flatnonzero(~home)
+        return t.select(["label", "path", "id"]).take(pa.array(asked[met(signs[asked], signs[home], least)]))
+
+    return written(spark, ours.unionAll(theirs).groupBy("label", "path", "r", "c").applyInArrow(run, "label string, path long, id long").distinct(), "useful")
+
+
+def cut(cells: DataFrame, nodes: DataFrame, sizes: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
+    """The rows of the cells in ``sizes``, dealt to the shards of the next level, and (label, path) of those cells that must stay whole."""
+    spark = cells.sparkSession
     parts = F.least(F.lit(FANOUT), F.greatest(F.lit(2), F.ceil(F.col("n") * 2.5 / SHARD))).cast("int")
     sizes = sizes.withColumn("parts", parts).withColumn("salts", F.ceil(F.col("n") / DEAL).cast("int"))
-    rows = cells.join(sizes, ["label", "path"])
+    rows = cells.join(few_keys(sizes), ["label", "path"])
     rank = F.pmod(F.xxhash64("id", F.lit(3), "path"), F.lit(1_000_000)) / 1_000_000
     sample = rows.where(rank * F.col("n") < F.col("parts") * SAMPLED).select("label", "path", "parts", "id", "v")
+    kind = cells.schema["v"].dataType.simpleString()
 
     def means(t: pa.Table) -> pa.Table:
         order = np.argsort(t.column("id").to_numpy(), kind="stable")
         x = unit(matrix(t.column("v"), len(t)))[order]
         c = centres(x[np.random.default_rng(7).permutation(len(x))], min(len(x), t.column("parts")[0].as_py()))
-        return pa.table({"label": t.column("label").slice(0, 1).take(pa.array([0] * len(c))), "path": t.column("path").take(pa.array([0] * len(c))), "k": pa.array(np.arange(len(c))), "v": pa.array(list(c), pa.list_(pa.float64()))})
+        return pa.table({"label": t.column("label").slice(0, 1).take(pa.array([0] * len(c))), "path": t.column("path").take(pa.array([0] * len(c))), "k": pa.array(np.arange(len(c))), "means": pa.array(list(c), pa.list_(pa.float64()))})
 
-    found = sample.groupBy("label", "path").applyInArrow(means, "label string, path long, k long, v array<double>")
-    found = found.join(sizes.select("label", "path", "salts"), ["label", "path"])
+    found = sample.groupBy("label", "path").applyInArrow(means, "label string, path long, k long, means array<double>")
+    found = found.join(few_keys(sizes.select("label", "path", "salts")), ["label", "path"])
     each = F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt")
-    theirs = found.select("label", "path", each, F.lit(True).alias("centre"), F.lit(0).cast("long").alias("parent"), F.lit(False).alias("home"), F.col("k").alias("id"), F.lit(0).cast("long").alias("copies"), "v")
-    ours = rows.select("label", "path", F.pmod(F.xxhash64("id", F.lit(11)), "salts").cast("int").alias("salt"), F.lit(False).alias("centre"), F.col("n").alias("parent"), "home", "id", "copies", "v")
+    theirs = found.select("label", "path", each, F.lit(0).cast("long").alias("parent"), F.lit(False).alias("home"), F.col("k").alias("id"), F.lit(0).cast("long").alias("copies"), F.lit(None).cast(kind).alias("v"), "means")
+    ours = rows.select("label", "path", F.pmod(F.xxhash64("id", F.lit(11)), "salts").cast("int").alias("salt"), F.col("n").alias("parent"), "home", "id", "copies", "v", F.lit(None).cast("array<double>").alias("means"))
 
     def deal(t: pa.Table) -> pa.Table:
-        is_centre = t.column("centre").to_numpy()
+        is_centre = t.column("means").combine_chunks().is_valid().to_numpy(zero_copy_only=False)
         c, rows = t.filter(pa.array(is_centre)).sort_by("id"), t.filter(pa.array(~is_centre))
-        names = ["label", "path", "parent", "home", "id", "copies", "v"]
-        if not len(rows) or not len(c):
-            return rows.select(names)
-        c = matrix(c.column("v"), len(c))
-        near = unit(matrix(rows.column("v"), len(rows))) @ c.T
+        if not len(rows):
+            return rows.select(NAMES).append_column("sketch", pa.array([], pa.binary()))
+        u = unit(matrix(rows.column("v"), len(rows)))
+        c = matrix(c.column("means"), len(c)) if len(c) else u[:1]
+        near = u @ c.T
         i, j = np.nonzero(guests(near, c, least))
         out = rows.take(pa.array(i))
         path = out.column("path").to_numpy() * (FANOUT + 1) + j + 1
         home = out.column("home").to_numpy() & (near.argmax(1)[i] == j)
-        return pa.table([out.column("label"), pa.array(path), out.column("parent"), pa.array(home), out.column("id"), out.column("copies"), out.column("v")], names=names)
-
-    return ours.unionByName(theirs).groupBy("label", "path", "salt").applyInArrow(deal, NODE)
+        v, signs = out.column("v"), pa.nulls(len(i), pa.binary())
+        if rows.column("parent")[0].as_py() > PLAIN:
+            v = rows.column("v").take(pa.array(i, mask=~home))  # guests come without, until they are known to be of use
+            signs = pa.array([x.tobytes() for x in sketch(u)], pa.binary()).take(pa.array(i))
+        return pa.table([out.column("label"), pa.array(path), out.column("parent"), pa.array(home), out.column("id"), out.column("copies"), v, signs], names=[*NAMES, "sketch"])
+
+    dealt = written(spark, ours.unionByName(theirs).groupBy("label", "path", "salt").applyInArrow(deal, f"{node_of(kind)}, sketch binary"), "dealt")
+    asked = useful(dealt, least)
+    above = F.floor((F.col("path") - 1) / (FANOUT + 1)).cast("long")
+    whole = sizes.select("label", F.col("path").alias("above"), "n")
+    grown = dealt.where(STAYS).select("label", above.alias("above")).unionAll(asked.select("label", above.alias("above"))).groupBy("label", "above").count()
+    whole = written(spark, grown.join(few_keys(whole), ["label", "above"]).where(F.col("count") > F.col("n") * GROWS).select("label", "above"), "whole")
+    made = lambda df: df.join(few_keys(whole), (df["label"] == whole["label"]) & (F.floor((df["path"] - 1) / (FANOUT + 1)).cast("long") == whole["above"]), "left_anti")
+    visiting = made(asked).join(nodes.select("id", "copies", "v"), "id").select("label", "path", F.lit(None).cast("long").alias("parent"), F.lit(False).alias("home"), "id", "copies", "v")
+    return made(dealt.where(STAYS)).select(NAMES).unionByName(written(spark, visiting, "guests")), whole.select("label", F.col("above").alias("path"))
 
 
 def shards(nodes: DataFrame, least: float) -> tuple[DataFrame, DataFrame | None]:
@@ -145,19 +223,22 @@ def shards(nodes: DataFrame, least: float) -> tuple[DataFrame, DataFrame | None]
     cells = nodes.select("label", F.lit(0).cast("long").alias("path"), F.lit(None).cast("long").alias("parent"), F.lit(True).alias("home"), "id", "copies", "v")
     small, dense = [], []
     for depth in range(DEPTH + 1):
-        sizes = cells.groupBy("label", "path").agg(F.count("*").alias("n"), F.count_if("home").alias("own"), F.max("parent").alias("whole"))
+        sizes = cells.groupBy("label", "path").agg(F.count("*").alias("n"), F.max("parent").alias("whole"))
         stuck = (F.col("n") > F.col("whole") * SHRINKS) | F.lit(depth == DEPTH)
-        state = F.when(F.col("own") == 0, "gone").when(F.col("n") <= SHARD, "small").when(F.coalesce(stuck, F.lit(False)), "dense").otherwise("big")
+        state = F.when(F.col("n") <= SHARD, "small").when(F.coalesce(stuck, F.lit(False)), "dense").otherwise("big")
         sizes = written(spark, sizes.select("label", "path", "n", state.alias("state")), "sizes")
-        states = {r["state"] for r in sizes.select("state").distinct().collect()}  # four at most
-        part = lambda name: cells.join(sizes.where(F.col("state") == name).select("label", "path"), ["label", "path"])  # noqa: B023, E731
+        states = {r["state"] for r in sizes.select("state").distinct().collect()}  # three at most
+        part = lambda keys: cells.join(few_keys(keys.select("label", "path")), ["label", "path"])  # noqa: B023, E731
         if "small" in states:
-            small.append(part("small"))
+            small.append(part(sizes.where("state = 'small'")))
         if "dense" in states:
-            dense.append(part("dense"))
+            dense.append(part(sizes.where("state = 'dense'")))
         if "big" not in states:
             break
-        cells = written(spark, cut(cells, sizes.where("state = 'big'").select("label", "path", "n"), least), "cells")
+        below, whole = cut(cells, nodes, sizes.where("state = 'big'").select("label", "path", "n"), least)
+        if not whole.isEmpty():
+            dense.append(part(whole))
+        cells = below
     union = lambda parts: parts[0] if len(parts) == 1 else parts[0].unionByName(union(parts[1:]))
     return union(small) if small else cells.where("false"), union(dense) if dense else None
 
@@ -357,7 +438,7 @@ def audit(nodes: DataFrame, found: DataFrame, least: float) -> dict[str, tuple[i
             for x, q in vectors.items():
                 if len(at := np.flatnonzero(theirs == x)):
                     rows = b.take(pa.array(at))
-                    u = unit(rows.column(2).flatten().to_numpy(zero_copy_only=False).reshape(len(at), -1))
+                    u = unit(rows.column(2).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(at), -1))
                     mine = np.flatnonzero(labels == x)
                     hit = (q @ u.T >= least) & (ids[mine][:, None] != rows.column(0).to_numpy()[None, :])
                     total[mine] += (hit * rows.column(3).to_numpy()[None, :]).sum(1)
@@ -383,8 +464,9 @@ def near_duplicate_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: st
     """(id, n_links, component_id, kept) for each row; ids are whole numbers."""
     spark = df.sparkSession
     ship(spark)
+    kind = "array<float>" if df.schema[vector_col].dataType.simpleString() == "array<float>" else "array<double>"  # what came in single precision is kept so, and compared in double
     with scratch(spark) as result:
-        rows = df.select(F.col(id_col).cast("long").alias("row_id"), F.col(label_col).cast("string").alias("label"), F.col(vector_col).cast("array<double>").alias("v"))
+        rows = df.select(F.col(id_col).cast("long").alias("row_id"), F.col(label_col).cast("string").alias("label"), F.col(vector_col).cast(kind).alias("v"))
         rows = rows.withColumn("label", F.when(usable(F.col("v")) & F.col("label").isNotNull() & F.col("row_id").isNotNull(), F.concat("label", F.lit("/"), F.size("v"))))
         keys = [F.when(F.col("label").isNotNull(), F.xxhash64(F.lit(i), "label", "v")).alias(f"k{i}") for i in (1, 2)]  # 128 bits tell vectors apart
         rows = written(spark, rows.select("row_id", *keys, "label", F.when(F.col("label").isNotNull(), F.col("v")).alias("v")), "vectors")

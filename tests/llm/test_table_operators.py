@@ -88,6 +88,29 @@ def test_graph_dedup_over_many_shards(spark, monkeypatch):
     assert counts_of(df) == links_by_force(x)
 
 
+def test_graph_dedup_guests_follow_links(spark, monkeypatch):
+    """Vectors at random with a few near copies, cut twice: rows of shards follow nodes and links, not the cuts, and no link is lost."""
+    monkeypatch.setattr(graph_dedup, "SHARD", 150)
+    rng = np.random.default_rng(31)
+    x = rng.normal(size=(6000, 32))
+    x[3000:3300] = x[:300] + rng.normal(size=(300, 32)) * 0.1
+    df = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], "vec_id long, embedding array<float>, label int")
+    nodes = df.select(F.lit("1").alias("label"), F.col("vec_id").alias("id"), F.lit(1).cast("long").alias("copies"), F.col("embedding").alias("v"))
+    small, dense = graph_dedup.shards(nodes, 0.93)
+    assert dense is None and small.where("home").count() == 6000 and small.count() < 12000
+    assert counts_of(df) == links_by_force(x.astype(np.float32).astype(float))
+
+
+def test_sketches_let_links_pass():
+    rng = np.random.default_rng(3)
+    x = graph_dedup.unit(rng.normal(size=(2000, 48)))
+    y = graph_dedup.unit(x + rng.normal(size=x.shape) * 0.35 / np.sqrt(48))
+    near = (x * y).sum(1) >= 0.93
+    signs = [graph_dedup.sketch(a).view(np.uint64).reshape(len(a), -1) for a in (x, y)]
+    assert near.sum() > 1500 and all(graph_dedup.met(b[None], a[None], 0.93)[0] for a, b in zip(signs[0][near], signs[1][near], strict=True))
+    assert graph_dedup.met(signs[0][:1000], signs[0][1000:], 0.93).mean() < 0.01
+
+
 def test_graph_dedup_cluster_of_near_copies(spark, monkeypatch):
     """2000 near copies, all linked: rows that leave the shards follow the nodes, not the pairs."""
     monkeypatch.setattr(graph_dedup, "SHARD", 500)
