@@ -237,3 +237,13 @@ def test_sessions_with_tool_and_removal(spark, tmp_path):
 def test_splits_refuse_zero_ratios():
     with pytest.raises(ValueError):
         split.draws((7, 0, 1))
+
+
+def test_mixed_samples_hashes_only(spark):
+    """The order is by hash and row, but no text is a key by which partitions are bounded."""
+    a, b = (spark.createDataFrame([(i, f"text {i}") for i in r], "id long, text string") for r in (range(50), range(50, 120)))
+    got = conversation.mixed(a, b, seed=3)
+    whole = F.to_json(F.struct("id", "text"))
+    assert got.collect() == a.unionByName(b).orderBy(F.xxhash64(F.lit(3), whole), whole).collect()
+    dealt = [x for x in got._jdf.queryExecution().executedPlan().toString().splitlines() if "rangepartitioning(" in x]
+    assert dealt and all(x.count("ASC NULLS FIRST") == 1 for x in dealt)  # the hash alone
