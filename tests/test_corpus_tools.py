@@ -247,3 +247,14 @@ def test_mixed_samples_hashes_only(spark):
     assert got.collect() == a.unionByName(b).orderBy(F.xxhash64(F.lit(3), whole), whole).collect()
     dealt = [x for x in got._jdf.queryExecution().executedPlan().toString().splitlines() if "rangepartitioning(" in x]
     assert dealt and all(x.count("ASC NULLS FIRST") == 1 for x in dealt)  # the hash alone
+
+
+def test_results_of_a_large_job_stay_where_they_are(spark):
+    lines = spark.range(300).selectExpr("concat('job', id % 3) AS job_id", "'{}' AS raw")
+    jobs = spark.createDataFrame([("job1",), ("job1",), ("job9",), (None,)], "job_id string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = requests.results_of(jobs, lines)
+        assert got.count() == 100 and "BroadcastHashJoin" in got._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")

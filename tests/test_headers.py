@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from tessera.functions import headers, instruct, markup
@@ -124,6 +126,16 @@ def test_bleu(spark):
     assert requests.corpus_bleu(spark.createDataFrame([("x", "y")], "h string, r string"), "h", "r").first()["bleu"] == 0
 
 
+def test_bleu_counts_pairs_where_they_are_read(spark):
+    """Clipped counts of repeated words; nothing is dealt out by n-grams."""
+    df = spark.createDataFrame([("a a a b c d", "a a b c d e f"), ("x", None), (None, "y z")], "h string, r string")
+    got = requests.corpus_bleu(df, "h", "r")
+    want = (5 / 7 * 4 / 5 * 3 / 4 * 2 / 3) ** 0.25 * math.exp(1 - 9 / 7)
+    assert abs(got.first()["bleu"] - want) < 1e-12
+    assert "hashpartitioning" not in got._jdf.queryExecution().executedPlan().toString()
+    assert requests.corpus_bleu(df.where("false"), "h", "r").first()["bleu"] == 0
+
+
 def test_markup(spark):
     assert one(spark, markup.without_brackets(F.lit("a(b)[c]{d}"))) == "abcd"
     assert one(spark, markup.without_brackets(F.lit("a(b)"), compat=True)) == "ab)"
