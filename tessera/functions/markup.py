@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -39,20 +40,34 @@ def to_latex(text: Column) -> Column:
     body's sections call for, and brackets around each part of more than one
     character; any other header stays as it is.
     """
-    at = F.instr(text, "\n")
-    head = F.when(at > 0, F.substring_index(text, "\n", 1)).otherwise(text)
-    body = F.when(at > 0, F.substr(text, at)).otherwise(F.lit(""))
-    parts = F.transform(F.regexp_extract_all(head, F.lit(r"(?U)\(.*?\)|\w+"), F.lit(0)), lambda p: F.regexp_replace(p, r"^[()]+|[()]+$", ""))
-    tags = section_tags(body)
-    own = F.filter(F.split(F.get(parts, F.lit(4)), ", "), lambda x: x != "")
-    new = F.filter(tags, lambda tag: ~F.array_contains(own, tag) & ~F.array_contains(own, F.concat(tag, F.lit("s"))))
-    # the placeholder gives way to a tag
-    modifier = F.array_join(F.concat(F.when((F.size(new) > 0) & (F.array_join(own, ",") == "M"), F.array().cast("array<string>")).otherwise(own), new), ", ")
-    every = F.concat(F.slice(parts, 1, 4), F.array(modifier))
-    rebuilt = F.array_join(F.transform(every, lambda p: F.when(F.length(p) > 1, F.concat(F.lit("("), p, F.lit(")"))).otherwise(p)), " ")
-    emptied = F.array_join(F.transform(F.split(body, "\n"), lambda x: F.when(x.rlike(r"\S"), x).otherwise("")), "\n")
-    done = to_latex_words(sections_to_latex(lists_to_latex(emptied)))
-    return F.concat(F.when(F.size(parts) == 5, rebuilt).otherwise(head), done)
+    at = lambda x: F.instr(x, "\n")
+    head_of = lambda x: F.when(at(x) > 0, F.substring_index(x, "\n", 1)).otherwise(x)
+    body_of = lambda x: F.when(at(x) > 0, F.substr(x, at(x))).otherwise(F.lit(""))
+    emptied = _once(text, lambda x: F.array_join(F.transform(F.split(body_of(x), "\n"), lambda line: F.when(line.rlike(r"\S"), line).otherwise("")), "\n"))
+    head = _once(text, lambda x: _once(head_of(x), lambda h: _rebuilt(h, body_of(x))))
+    return F.concat(head, to_latex_words(sections_to_latex(lists_to_latex(emptied))))
+
+
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value worked out once a row, however often it is used: columns are expressions, and each use would repeat them."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _rebuilt(head: Column, body: Column) -> Column:
+    """A header of five parts with the tags that a body calls for; any other stays."""
+
+    def tagged(parts: Column, own: Column, tags: Column) -> Column:
+        new = F.filter(tags, lambda tag: ~F.array_contains(own, tag) & ~F.array_contains(own, F.concat(tag, F.lit("s"))))
+        # the placeholder gives way to a tag
+        modifier = _once(new, lambda n: F.array_join(F.concat(F.when((F.size(n) > 0) & (F.array_join(own, ",") == "M"), F.array().cast("array<string>")).otherwise(own), n), ", "))
+        every = F.concat(F.slice(parts, 1, 4), F.array(modifier))
+        return F.array_join(F.transform(every, lambda p: F.when(F.length(p) > 1, F.concat(F.lit("("), p, F.lit(")"))).otherwise(p)), " ")
+
+    def of_parts(parts: Column) -> Column:
+        own = F.filter(F.split(F.get(parts, F.lit(4)), ", "), lambda x: x != "")
+        return F.when(F.size(parts) == 5, _once(own, lambda o: _once(section_tags(body), lambda tags: tagged(parts, o, tags)))).otherwise(head)
+
+    return _once(F.transform(F.regexp_extract_all(head, F.lit(r"(?U)\(.*?\)|\w+"), F.lit(0)), lambda p: F.regexp_replace(p, r"^[()]+|[()]+$", "")), of_parts)
 
 
 def sections_to_latex(body: Column, compat: bool = False) -> Column:
