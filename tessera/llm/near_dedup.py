@@ -143,7 +143,7 @@ def sketches(df: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame
 
 
 def full_sets(df: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
-    """(id, shingles): the sets themselves, as sorted arrays."""
+    """(id, shingles): the sets themselves, as sorted arrays; none for an empty one, which another row of its id may have."""
     kind = df.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -151,7 +151,8 @@ def full_sets(df: DataFrame, id_col: str, text_col: str, width: int) -> DataFram
             for start, part in slices(text_bytes(b.column(1))):
                 found = list(shingle_sets(part, width))
                 ends = np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(start, len(part)), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found)))], names=["id", "shingles"])
+                sets = pa.RecordBatch.from_arrays([b.column(0).slice(start, len(part)), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found)))], names=["id", "shingles"])
+                yield sets.filter(pa.array([len(x) > 0 for x in found], pa.bool_()))
 
     return df.select(id_col, text_col).mapInArrow(run, f"id {kind}, shingles array<long>")
 
@@ -325,6 +326,16 @@ def join_hot(rows: DataFrame, table: DataFrame, keys: list[str], hot: DataFrame
     return joined.hint("rebalance")  # the first part has as many partitions as texts were read in, each with few rows
 
 
+def repeated_ids(sketched: DataFrame) -> DataFrame | None:
+    """(id, several, mixed) of the ids of more than one row, or None: whether they have several sets, and an empty one beside others."""
+    spark = sketched.sparkSession
+    full = F.col("n_shingles") > 0
+    ends = [f(F.when(full, F.col(k))).alias(f"{n}{k}") for k in ("k1", "k2") for f, n in ((F.min, "low_"), (F.max, "high_"))]
+    counted = sketched.where("id IS NOT NULL").groupBy("id").agg(F.count("*").alias("m"), F.count(F.when(full, 1)).alias("full"), *ends).where("m > 1")
+    out = written(spark, counted.select("id", F.coalesce(F.expr("low_k1 != high_k1 OR low_k2 != high_k2"), F.lit(False)).alias("several"), F.expr("full BETWEEN 1 AND m - 1").alias("mixed")), "repeated")
+    return None if out.isEmpty() else out
+
+
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
     """(id, n_shingles, component_id, kept) for each row."""
     spark = df.sparkSession
@@ -334,7 +345,11 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         usable = sketched.where("n_shingles > 0 AND id IS NOT NULL")
         classes = written(spark, usable.groupBy("k1", "k2").agg(F.min("id").alias("rep"), F.count("*").alias("m")), "classes")
         copied = hot_keys(classes, ["k1", "k2"])
-        reps = usable.join(classes.select(F.col("rep").alias("id"), "k1", "k2"), ["id", "k1", "k2"], "left_semi").select("id", F.col("n_shingles").alias("n"), F.explode("bands").alias("h"))
+        repeated = repeated_ids(sketched)
+        reps = usable.join(classes.select(F.col("rep").alias("id"), "k1", "k2"), ["id", "k1", "k2"], "left_semi")
+        if repeated is not None:
+            reps = reps.dropDuplicates(["id", "k1", "k2"])
+        reps = reps.select("id", F.col("n_shingles").alias("n"), F.explode("bands").alias("h"))
         buckets = reps.groupBy("h").agg(F.min(F.struct("id", "n")).alias("first"), F.max("id").alias("last"), F.count("*").alias("m")).where("first.id != last")
         buckets = written(spark, buckets.select("h", F.col("first.id").alias("leader"), F.col("first.n").alias("leader_n"), "m"), "buckets")
         hot = hot_keys(buckets, ["h"])
@@ -346,10 +361,17 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         texts = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
 
         def sets_of(ids: DataFrame) -> DataFrame:
-            return written(spark, full_sets(texts.join(few(written(spark, ids, "part")), "id", "left_semi"), "id", "text", width), "sets")
+            part = texts.join(few(written(spark, ids, "part")), "id", "left_semi")
+            if repeated is not None:
+                part = part.dropDuplicates(["id", "text"])
+            return written(spark, full_sets(part, "id", "text", width), "sets")
 
         first = written(spark, agreeing(first, signatures, percent), "pairs")
         links = written(spark, similar(first, sets_of(first.select(F.explode(F.array("a", "b")).alias("id")).distinct()), percent), "links")
+        if repeated is not None:
+            several = usable.join(few(repeated.where("several").select("id")), "id", "left_semi").select("id", "k1", "k2").distinct()
+            through = join_hot(several, classes.select("rep", "k1", "k2"), ["k1", "k2"], copied).where("rep != id").select(F.col("rep").alias("a"), F.col("id").alias("b"))
+            links = written(spark, links.unionByName(through), "links")
         label = components(links, "a", "b")
         placed = written(spark, members.select("h", "id", "n").join(label.withColumnRenamed("vertex", "id"), "id", "left").select("h", "id", "n", F.coalesce("label", "id").alias("c")), "placed")
         open_buckets = placed.groupBy("h").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low != high").select("h", F.lit(1).alias("open"))
@@ -358,6 +380,10 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         label = components(links.unionByName(more), "a", "b")
         by_class = classes.join(label.withColumnRenamed("vertex", "rep"), "rep", "left").select("k1", "k2", F.coalesce("label", "rep").alias("component_id"))
         known = sketched.select("id", "n_shingles", F.when((F.col("n_shingles") > 0) & F.col("id").isNotNull(), F.col("k1")).alias("k1"), "k2")
-        out = join_hot(known.where("k1 IS NOT NULL"), by_class, ["k1", "k2"], copied).select("id", "n_shingles", "component_id").unionByName(known.where("k1 IS NULL").select("id", "n_shingles", F.col("id").alias("component_id")))
-        out = result(out, "near-duplicates")
+        linked = join_hot(known.where("k1 IS NOT NULL"), by_class, ["k1", "k2"], copied).select("id", "n_shingles", "component_id")
+        alone = known.where("k1 IS NULL").select("id", "n_shingles", F.col("id").alias("component_id"))
+        if repeated is not None:
+            of_id = linked.join(few(repeated.where("mixed").select("id")), "id", "left_semi").groupBy("id").agg(F.min("component_id").alias("c"))
+            alone = alone.join(of_id, "id", "left").select("id", "n_shingles", F.coalesce("c", "component_id").alias("component_id"))
+        out = result(linked.unionByName(alone), "near-duplicates")
     return out.select(F.col("id").alias(id_col), "n_shingles", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))

@@ -245,6 +245,31 @@ def test_near_duplicates_of_odd_ids(spark):
     assert named.where("kept").count() == 2 + 1
 
 
+def test_near_duplicates_of_ids_with_several_texts(spark, monkeypatch):
+    """Rows with one id are one document: an empty text beside another one is no fault, and what an id's texts link is one component."""
+    w = [f"w{i}" for i in range(40)]
+    near = lambda k: " ".join([*w[:-1], f"x{k}"])
+    other, third = " ".join(f"o{i}" for i in range(20)), " ".join(f"t{i}" for i in range(20))
+    rows = [(4, near(0)), (5, near(1)), (5, ""), (6, near(2)), (6, None), (6, near(2)), (11, other), (12, third), (13, other), (13, third), (20, "alone"), (20, " "), (30, ""), (30, None)]
+    want = {4: 4, 5: 4, 6: 4, 11: 11, 12: 11, 13: 11, 20: 20, 30: 30}
+    for settings in ({}, {"HOT": 1, "BLOCK": 2}):
+        for k, v in settings.items():
+            monkeypatch.setattr(near_dedup, k, v)
+        got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), width=4).collect()
+        assert sorted(r["doc_id"] for r in got) == sorted(i for i, _ in rows)
+        assert {(r["doc_id"], r["component_id"], r["kept"]) for r in got} == {(i, c, i == c) for i, c in want.items()}
+
+
+def test_repeated_rows_do_not_multiply_in_tiles(spark, monkeypatch):
+    """Of rows that are repeated with their id, one set goes on: work does not grow with the square of the repeats."""
+    looked_up = []
+    full = near_dedup.full_sets
+    monkeypatch.setattr(near_dedup, "full_sets", lambda df, *a: looked_up.append(df.count()) or full(df, *a))
+    rows = [(i, t) for i, t in enumerate(families(3)[:40])] * 12
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), width=4)
+    assert got.count() == len(rows) and 0 < max(looked_up) <= 40
+
+
 def test_signatures_agree_as_sets_do():
     """Pairs at the threshold pass, those that share boilerplate do not, and sizes decide alone where they can."""
     rng = np.random.default_rng(2)
